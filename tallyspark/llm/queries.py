@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+from .bpe import op7_byte_bpe
+from .langid import op2_language_id
+from .mixing import OP8_SQL, op8_source_mixing
+from .secrets import op9_secret_scan
 from .simhash import op10_simhash_near_dedup
+from .substring import op1_substring_dedup
+from .urls import OP5_SQL, op5_url_filter
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op2_language_id": op2_language_id,
+    "op5_url_filter": op5_url_filter,
+    "op7_byte_bpe": op7_byte_bpe,
+    "op8_source_mixing": op8_source_mixing,
+    "op9_secret_scan": op9_secret_scan,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op5_url_filter": OP5_SQL,
+    "op8_source_mixing": OP8_SQL,
+}
