@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 from .bpe import op7_byte_bpe
+from .flac import op4_flac_media
 from .langid import op2_language_id
 from .mixing import OP8_SQL, op8_source_mixing
+from .quality import op6_quality
 from .secrets import op9_secret_scan
 from .simhash import op10_simhash_near_dedup
 from .substring import op1_substring_dedup
 from .urls import OP5_SQL, op5_url_filter
+from .vafile import OP3_SQL, op3_exact_top_k
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
+    "op3_exact_top_k": op3_exact_top_k,
+    "op4_flac_media": op4_flac_media,
     "op5_url_filter": op5_url_filter,
+    "op6_quality": op6_quality,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_source_mixing": op8_source_mixing,
     "op9_secret_scan": op9_secret_scan,
@@ -21,6 +27,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_exact_top_k": OP3_SQL,
     "op5_url_filter": OP5_SQL,
     "op8_source_mixing": OP8_SQL,
 }
