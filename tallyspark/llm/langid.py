@@ -220,5 +220,18 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(texts, model, "doc_id long, held_out boolean, text string").drop("text")
 
 
+def known_languages(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` whose language can be told, with a missing lang filled in.
+
+    A row goes if its text has no letter, or if the uniform background explains it better than any language does.
+    """
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("doc_id").alias("doc_id"))
+    model = learn(packed.where(~held_out() & F.col("doc_id").isNotNull()))
+    row = docs.schema.simpleString()
+    found = predict(packed.select("row", "text"), model, f"row {row}, text string")
+    kept = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("evidence") > 0))
+    return kept.select(F.col("row").withField("lang", F.coalesce("row.lang", "lang_pred")).alias("row")).select("row.*")
+
+
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
     return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -151,34 +151,47 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", _names(every).alias("spans"))
 
 
-def _mask_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Masks the text: all strong spans, and those of the column linked."""
+def _mask_rows(weak: bool):
+    """Masks the rows that have weak parts, or those that have none: all strong spans, and those of the column linked."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, texts = [], []
+            linked = batch.column("secret_links")
+            for i, value in enumerate(batch.column("text")):
+                text = value.as_py()
+                spans = strong_spans(text or "")
+                if weak != bool(weak_spans(text or "", spans)):
+                    continue
+                if linked[i].is_valid:
+                    spans = spans + [(x["start"], x["kind"], x["end"]) for x in linked[i].as_py()]
+                kept.append(i)
+                texts.append(masked(text, spans) if spans else text)
+            part = batch.take(pa.array(kept, pa.int64()))
+            names = [n for n in batch.schema.names if n != "secret_links"]
+            yield pa.record_batch([pa.array(texts, pa.string()) if n == "text" else part.column(n) for n in names], names=names)
+
+    return rows
+
+
+def _weak_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, linked = [], batch.column("linked")
-        for value, more in zip(batch.column("text"), linked, strict=True):
-            text = value.as_py()
-            spans = [] if text is None else strong_spans(text)
-            if more.is_valid:
-                spans = spans + [(x["start"], x["kind"], x["end"]) for x in more.as_py()]
-            texts.append(masked(text, spans) if spans else text)
-        names = [n for n in batch.schema.names if n != "linked"]
-        yield pa.record_batch([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names=names)
+        found = [bool(weak_spans(t, strong_spans(t))) for t in (v.as_py() or "" for v in batch.column("text"))]
+        yield batch.filter(pa.array(found, pa.bool_()))
 
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
     """The rows of `docs` with every found span of the text replaced by MASK, and n_chars (if there) counted anew.
 
-    Only documents with linked parts shuffle their text; all others are masked where they are read.
+    Only documents with weak parts shuffle their text, to meet their links; all others are masked where they are read.
     """
-    scanned = checkpointed(scan(docs).where(F.size("weak") > 0))
-    linked = checkpointed(linked_parts(scanned).select(F.col("id").alias("secret_id"), F.col("text_hash").alias("secret_hash"), "linked"))
-    known = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    linked = checkpointed(linked_parts(scan(docs).where(F.size("weak") > 0)).select(F.col("id").alias("secret_id"), F.col("text_hash").alias("secret_hash"), F.col("linked").alias("secret_links")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    if linked.isEmpty():
-        keyed = docs.withColumn("linked", F.lit(None).cast(_SPANS))
-    else:
-        keyed = docs.join(linked, docs["doc_id"].eqNullSafe(F.col("secret_id")) & (known == F.col("secret_hash")), "left").select(*(docs[c] for c in docs.columns), "linked")
-    out = keyed.mapInArrow(_mask_rows, schema)
+    plain = docs.withColumn("secret_links", F.lit(None).cast(_SPANS)).mapInArrow(_mask_rows(weak=False), schema)
+    doubtful = docs.mapInArrow(_weak_rows, schema)
+    known = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    met = doubtful.join(linked, F.col("doc_id").eqNullSafe(F.col("secret_id")) & (known == F.col("secret_hash")), "left").select(*docs.columns, "secret_links")
+    out = plain.unionByName(met.mapInArrow(_mask_rows(weak=True), schema))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 

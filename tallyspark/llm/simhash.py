@@ -90,12 +90,17 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 found.append(flush(hashes, sizes))
                 hashes, sizes = [], []
         found.append(flush(hashes, sizes))
-        yield pa.record_batch({"doc_id": batch.column("doc_id"), "fp": pa.array(np.concatenate(found).view(np.int64))})
+        yield pa.record_batch({"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "fp": pa.array(np.concatenate(found).view(np.int64))})
+
+
+def _text_hash():
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long. Null and empty texts have fingerprint zero."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, text_hash, fp): the fingerprint as a signed long. Null and empty texts have fingerprint zero."""
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"))
+    return picked.mapInArrow(_fingerprints, "doc_id long, text_hash long, fp long")
 
 
 def _variant_codes(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,6 +177,16 @@ def links(distinct: DataFrame) -> DataFrame:
     return emitted.groupBy("bucket").applyInArrow(_link, "a long, b long")
 
 
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Checkpointed (doc_id, text_hash, fp) of all rows, and (fp, root, least) of the distinct fingerprints; least is the
+    smallest doc_id with the fingerprint, root the smallest fingerprint that it reaches."""
+    prints = checkpointed(fingerprints(docs))
+    distinct = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    labels = connected_components(links(distinct.select("fp")))
+    rooted = distinct.join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    return prints, checkpointed(rooted.select("fp", "least", F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) for every row of `docs` (doc_id, text; other columns are ignored).
 
@@ -179,15 +194,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     fingerprint zero and link like any other; a null doc_id keeps its row and never names a component unless all
     of its component's ids are null; repeated rows stay; an empty table gives an empty one.
     """
-    prints = checkpointed(fingerprints(docs))
-    distinct = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    labels = connected_components(links(distinct.select("fp")))
-    rooted = checkpointed(distinct.join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    prints, rooted = _classes(docs)
     named = checkpointed(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     by_print = checkpointed(rooted.join(named, "root").select("fp", "component_id"))
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` with one document of each component: that with the smallest doc_id (null last), then the
+    smallest hash of its text. Rows that repeat it exactly go too."""
+    prints, rooted = _classes(docs)
+    classed = prints.join(rooted.select("fp", "root"), "fp")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    kept = classed.groupBy("root").agg(F.min(first).alias("kept")).select(F.col("kept.id").alias("kept_id"), F.col("kept.hash").alias("kept_hash"))
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("own_id"), _text_hash().alias("own_hash"))
+    one = packed.join(checkpointed(kept), F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_hash") == F.col("kept_hash")), "left_semi")
+    return one.groupBy("own_id", "own_hash").agg(F.first("row").alias("row")).select("row.*")
+
+
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
