@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import odds as O
 from .features import latest_row
@@ -89,7 +90,7 @@ def entropy_pool(df: DataFrame, tolerance: float = 1e-7, rounds: int = 100) -> D
 
     Lines in ascending order, null targets skipped; needs the columns id, pmf, targets; adds pooled.
     """
-    schema = df.schema.add("pooled", "array<double>")
+    schema = T.StructType([*df.schema, T.StructField("pooled", T.ArrayType(T.DoubleType()))])
 
     def pool(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

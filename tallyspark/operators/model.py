@@ -11,6 +11,7 @@ from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HORIZON = 36
 MAX_COUNT = 20
@@ -98,7 +99,7 @@ def simulate(states: DataFrame, success: Forest, stop: Forest, features: Sequenc
     them, future_bf_step, times_through and heavy_workload.
     """
     wanted = sorted({*features, *stop_features, "bf_so_far", "pitches_so_far", "pitches_per_bf", "walk_rate", "hit_rate", "out_rate"} - {"future_bf_step", "times_through", "heavy_workload"})
-    schema = states.select(*keep).schema.add("pmf", "array<double>")
+    schema = T.StructType([*states.select(*keep).schema, T.StructField("pmf", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -113,7 +114,10 @@ def simulate(states: DataFrame, success: Forest, stop: Forest, features: Sequenc
                 hazard = stop.probability(np.stack([state[c] for c in stop_features], axis=1))
                 left[:, t + 1] = alive * hazard
                 alive = alive * (1 - hazard)
-                event_mix(steps[:, t], *rates)
+                mix = event_mix(steps[:, t], *rates)
+                for name, gained in zip(("is_strikeout", "is_walk", "is_hit", "is_out"), mix, strict=True):
+                    if f"{name}_so_far" in state:
+                        state[f"{name}_so_far"] = state[f"{name}_so_far"] + gained
                 state["bf_so_far"] = state["bf_so_far"] + 1
                 state["pitches_so_far"] = state["pitches_so_far"] + np.where(state["pitches_per_bf"] > 0, state["pitches_per_bf"], 4.0)
             left[:, horizon] += alive

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import odds as O
 from .features import latest_row
@@ -129,7 +130,7 @@ def _stakes(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def size_stakes(selected: DataFrame, board: str) -> DataFrame:
     """Adds weight and stake; a board (the day's selected bets) is sized as one. Vendors stay apart."""
-    schema = selected.schema.add("weight", "double").add("stake", "double")
+    schema = T.StructType([*selected.schema, T.StructField("weight", T.DoubleType()), T.StructField("stake", T.DoubleType())])
     return selected.groupBy(board).applyInPandas(_stakes, schema)
 
 

@@ -7,15 +7,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import odds as O
 from ..functions import pmf as PMF
+from ..operators import calibration as CAL
 from ..operators import features as X
 from ..operators import market as M
+from ..operators import matching as MT
 from ..operators import metrics as S
+from ..operators import model as MODEL
 from ..operators import selection as C
+from ..sources import scans as SC
+from . import board as B
 from .views import PA_SQL, QUOTE_SQL, pa_view, quote_view, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -164,8 +169,6 @@ def start_state(spark, d):
 
 @register("live_state_remaining", f"""{_STATE_SQL} SELECT event_id, count(*) OVER g - bf_so_far AS remaining_bf, CAST(sum(is_strikeout) OVER g AS BIGINT) - is_strikeout_so_far AS remaining_k FROM s WINDOW g AS (PARTITION BY game_id, pitcher_id)""")
 def live_state_remaining(spark, d):
-    from pyspark.sql import Window
-
     g = Window.partitionBy("game_id", "pitcher_id")
     return X.state_so_far(pa_view(spark, d)).select("event_id", (F.count(F.lit(1)).over(g) - F.col("bf_so_far")).alias("remaining_bf"), (F.sum("is_strikeout").over(g) - F.col("is_strikeout_so_far")).alias("remaining_k"))
 
@@ -547,3 +550,123 @@ def pmf_tilt_grid(spark, d):
     q = PMF.over(PMF.tilt(F.col("pmf"), F.col("tau"), F.col("lam")), F.lit(5.5))
     y = (F.col("vec_id") % 12 > 5.5).cast("int")
     return r6(rows.select("tau", "lam", q.alias("q"), y.alias("y")).groupBy("tau", "lam").agg(F.avg(O.log_loss(F.col("q"), F.col("y"))).alias("log_loss")))
+
+
+# --- matching, nested input, models -------------------------------------------------------------------------------------
+
+_NAMED = """WITH c AS (SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN s_name WHEN 1 THEN upper(replace(s_name, '#', ' - ')) || ' Jr.' ELSE 'nobody' END AS name
+  FROM customer JOIN supplier ON s_suppkey = c_custkey % 97 + 1)"""
+
+
+def _named(spark, d):
+    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
+    joined = c.join(s, F.col("s_suppkey") == F.col("c_custkey") % 97 + 1)
+    noisy = F.concat(F.upper(F.replace(F.col("s_name"), F.lit("#"), F.lit(" - "))), F.lit(" Jr."))
+    return joined.select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 == 0, F.col("s_name")).when(F.col("c_custkey") % 3 == 1, noisy).otherwise("nobody").alias("name"))
+
+
+@register("name_match_priority", _NAMED + """, n AS (SELECT s_suppkey, s_name, trim(regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g')) AS f FROM supplier)
+ SELECT id, coalesce(e.s_suppkey, g.s_suppkey, CASE WHEN id % 5 = 0 THEN id % 7 END) AS ref_id, CASE WHEN e.s_suppkey IS NOT NULL THEN 'exact' WHEN g.s_suppkey IS NOT NULL THEN 'normalised' WHEN id % 5 = 0 THEN 'override' END AS method
+ FROM c LEFT JOIN n e ON c.name = e.s_name LEFT JOIN n g ON trim(regexp_replace(regexp_replace(lower(c.name), '[^a-z0-9]+', ' ', 'g'), ' jr *$', '')) = g.f""")
+def name_match_priority(spark, d):
+    left = _named(spark, d)
+    registry = table(spark, d, "supplier").select(F.col("s_suppkey").alias("ref_id"), F.col("s_name").alias("ref_name"), F.lit(0).alias("rank"))
+    overrides = left.where("id % 5 = 0").select("id", (F.col("id") % 7).alias("ref_id"))
+    return MT.match_names(left, registry, overrides).select("id", "ref_id", "method")
+
+
+_MATCH = """WITH g AS (SELECT user_id % 50 AS t, CAST(ts AS DATE) AS day, min(event_id) AS game_id FROM events WHERE extract(DAY FROM ts) % 4 NOT IN (0, 3) GROUP BY ALL),
+ o AS (SELECT o_orderkey, CAST((SELECT min(CAST(ts AS DATE)) FROM events) + CAST(o_orderkey % 31 AS INTEGER) AS DATE) AS day, o_custkey % 60 AS team FROM orders)"""
+
+
+@register("date_fallback_match", _MATCH + """, h AS (SELECT o.*, (SELECT min(game_id) FROM g WHERE g.day = o.day AND (g.t = o.team OR g.t + 1 = o.team)) AS g0,
+   (SELECT min(game_id) FROM g WHERE g.day = o.day - 1 AND (g.t = o.team OR g.t + 1 = o.team)) AS gm, (SELECT min(game_id) FROM g WHERE g.day = o.day + 1 AND (g.t = o.team OR g.t + 1 = o.team)) AS gp,
+   EXISTS (SELECT 1 FROM g WHERE g.day = o.day) AS played FROM o) SELECT o_orderkey, CASE WHEN played THEN g0 ELSE coalesce(gm, gp) END AS game_id FROM h""")
+def date_fallback_match(spark, d):
+    e = table(spark, d, "events").withColumn("day", F.to_date("ts"))
+    games = e.where(~(F.dayofmonth("day") % 4).isin(0, 3)).groupBy((F.col("user_id") % 50).alias("t"), "day").agg(F.min("event_id").alias("game_id"))
+    games = games.select("game_id", "day", F.array("t", F.col("t") + 1).alias("teams"))
+    start = F.broadcast(e.agg(F.min("day").alias("start")))  # one row
+    quotes = table(spark, d, "orders").crossJoin(start).select("o_orderkey", F.date_add("start", (F.col("o_orderkey") % 31).cast("int")).alias("day"), (F.col("o_custkey") % 60).alias("team"))
+    return MT.match_games(quotes, games).select("o_orderkey", "game_id")
+
+
+@register("json_odds_normalise", """SELECT CAST(event_id AS VARCHAR) AS event_id, 'v' || CAST(user_id % 3 AS VARCHAR) AS vendor, event_type AS prop_type, 'p' || CAST(user_id AS VARCHAR) AS player_name,
+ CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) + 0.5 AS line_value, round(value, 2) AS over_odds, CASE WHEN event_id % 4 <> 0 THEN -110.0::DOUBLE END AS under_odds FROM events""")
+def json_odds_normalise(spark, d):
+    e = table(spark, d, "events")
+    name, point = F.concat(F.lit("p"), F.col("user_id").cast("string")), F.get_json_object("props", "$.k").cast("double") + 0.5
+    outcome = lambda side, price: F.struct(F.lit(side).alias("name"), name.alias("description"), point.alias("point"), price.cast("double").alias("price"))
+    outcomes = F.filter(F.array(outcome("Over", F.round("value", 2)), F.when(F.col("event_id") % 4 != 0, outcome("Under", F.lit(-110.0)))), lambda o: o.isNotNull())
+    market = F.struct(F.col("event_type").alias("key"), outcomes.alias("outcomes"))
+    book = F.struct(F.concat(F.lit("v"), (F.col("user_id") % 3).cast("string")).alias("key"), F.array(market).alias("markets"))
+    text = F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), F.array(book).alias("bookmakers")))
+    raw = e.select(F.lit(None).cast("timestamp").alias("fetched_at"), F.from_json(text, SC.RAW_SCHEMA).alias("raw"))
+    return SC.normalise_quotes(raw).select("event_id", "vendor", "prop_type", "player_name", "line_value", "over_odds", "under_odds")
+
+
+@register("archive_name_ts", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS fetched_at FROM events")
+def archive_name_ts(spark, d):
+    e = table(spark, d, "events")
+    name = F.concat(F.lit("props_"), F.date_format("ts", "yyyy-MM-dd'T'HHmmss"), F.lit("Z.json"))
+    return e.select("event_id", F.date_format(SC.name_time(name), "yyyy-MM-dd HH:mm:ss").alias("fetched_at"))
+
+
+@register("range_chunks", "SELECT CAST(day AS DATE) AS day FROM (SELECT unnest(generate_series((SELECT min(CAST(ts AS DATE)) FROM events)::TIMESTAMP, (SELECT max(CAST(ts AS DATE)) FROM events)::TIMESTAMP, INTERVAL 1 DAY)) AS day)")
+def range_chunks(spark, d):
+    span = table(spark, d, "events").agg(F.min(F.to_date("ts")).alias("a"), F.max(F.to_date("ts")).alias("b"))
+    return span.select(F.explode(F.sequence("a", "b")).alias("day"))
+
+
+@register("exact_sample")
+def exact_sample(spark, d):
+    return C.exact_sample(table(spark, d, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], 500)
+
+
+@register("isotonic_apply")
+def isotonic_apply(spark, d):
+    s = scored(spark, d)
+    curve = CAL.fit_isotonic(s)
+    return r6(s.select("p").distinct().select("p", curve.apply(F.col("p")).alias("q")))
+
+
+@register("platt_fit")
+def platt_fit(spark, d):
+    s = scored(spark, d)
+    fits = {k: CAL.fit_logistic(s, k) for k in ("platt", "beta")}
+    return r6(s.select("p").distinct().select("p", *(f.apply(F.col("p")).alias(k) for k, f in fits.items())), 4)
+
+
+@register("entropy_pool")
+def entropy_pool(spark, d):
+    base = logits_pmf(spark, d).select(F.col("vec_id").alias("id"), "pmf")
+    targets = F.array(*(F.struct(F.lit(line).alias("line"), F.lit(over).alias("over")) for line, over in ((3.5, 0.6), (6.5, 0.3))))
+    pooled = M.entropy_pool(base.withColumn("targets", targets))
+    return r6(pooled.select("id", PMF.over(F.col("pooled"), F.lit(3.5)).alias("over_35"), PMF.over(F.col("pooled"), F.lit(6.5)).alias("over_65")), 5)
+
+
+@register("stake_sizing")
+def stake_sizing(spark, d):
+    best = C.card(evaluated(spark, d), C.quote_summary(M.evaluation_quotes(quote_view(spark, d))), 1.0, 2, 0.10, None, ties=["vendor", *M.TIES])
+    odds = F.when(F.col("best_side") == "over", F.col("over_odds")).otherwise(F.col("under_odds"))
+    p = F.when(F.col("best_side") == "over", F.col("model_over_prob")).otherwise(1 - F.col("model_over_prob"))
+    rows = C.kelly_columns(best.withColumns({"prob": p, "odds": odds}), "prob", "odds").withColumn("uncertainty", F.lit(0.03))
+    return r6(C.size_stakes(rows.select("game_id", "player_id", "vendor", "line_value", "best_side", "prob", "decimal_odds", "ev", "stake_kelly", "uncertainty"), "game_id").select("game_id", "player_id", "vendor", "line_value", "best_side", "weight", "stake"), 6)
+
+
+@register("gbt_pmf_board")
+def gbt_pmf_board(spark, d):
+    keys = ["game_id", "pitcher_id"]
+    state = X.state_so_far(pa_view(spark, d)).withColumn("pitches_per_bf", F.coalesce("pitches_per_bf", F.lit(4.0)))
+    features = ["bf_so_far", "is_strikeout_so_far", "pitches_per_bf", "times_through", "heavy_workload"]
+    ends = state.withColumn("stops", (F.col("bf_so_far") == F.max("bf_so_far").over(Window.partitionBy(*keys))).cast("int")).withColumn("future_bf_step", F.lit(1.0))
+    success = MODEL.Forest.of(MODEL.fit_classifier(state, features, "is_strikeout", rounds=10))
+    stop = MODEL.Forest.of(MODEL.fit_classifier(ends, [*features, "future_bf_step"], "stops", rounds=10))
+    starts = state.where("bf_so_far = 0").select(*keys, "bf_so_far", F.col("pitch_count_pa_so_far").alias("pitches_so_far"), "is_strikeout_so_far", "pitches_per_bf", *(F.lit(v).alias(n) for n, v in (("walk_rate", 0.08), ("hit_rate", 0.22), ("out_rate", 0.7))))
+    priced = MODEL.simulate(starts, success, stop, features, [*features, "future_bf_step"], keys)
+    return r6(priced.select(*keys, PMF.mean(F.col("pmf")).alias("k_mean"), PMF.quantile(F.col("pmf"), 0.5).alias("k_median"), PMF.total(F.col("pmf")).alias("total")), 4)
+
+
+@register("board_flagship")
+def board_flagship(spark, d):
+    return r6(B.board(quote_view(spark, d), pa_view(spark, d)))
