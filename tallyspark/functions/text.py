@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Fixed values.
 SUFFIXES = ("jr", "sr", "ii", "iii", "iv")
@@ -14,7 +15,7 @@ OVER_NAMES = ("over", "o", "ov")
 UNDER_NAMES = ("under", "u", "un")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _ascii(s: pd.Series) -> pd.Series:
     """Compatibility decomposition without what ASCII lacks; Spark has no function for it."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode())

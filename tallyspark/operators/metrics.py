@@ -9,11 +9,17 @@ from pyspark.sql import functions as F
 
 from ..functions import odds as O
 
-P, Y = F.col("p"), F.col("y")
+
+def P() -> Column:
+    return F.col("p")
+
+
+def Y() -> Column:
+    return F.col("y")
 
 
 def scores(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(O.log_loss(P, Y)).alias("log_loss"), F.avg(O.brier(P, Y)).alias("brier"))
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(O.log_loss(P(), Y())).alias("log_loss"), F.avg(O.brier(P(), Y())).alias("brier"))
 
 
 def _by_score(df: DataFrame) -> DataFrame:
@@ -55,12 +61,12 @@ def average_precision(df: DataFrame) -> DataFrame:
 
 
 def z_simple(df: DataFrame) -> DataFrame:
-    return df.agg(F.try_divide(F.sum(Y - P), F.sqrt(F.sum(P * (1 - P)))).alias("z"))
+    return df.agg(F.try_divide(F.sum(Y() - P()), F.sqrt(F.sum(P() * (1 - P())))).alias("z"))
 
 
 def spiegelhalter(df: DataFrame) -> DataFrame:
-    w = 1 - 2 * P
-    return df.agg(F.try_divide(F.sum((Y - P) * w), F.sqrt(F.sum(w * w * P * (1 - P)))).alias("z"))
+    w = 1 - 2 * P()
+    return df.agg(F.try_divide(F.sum((Y() - P()) * w), F.sqrt(F.sum(w * w * P() * (1 - P())))).alias("z"))
 
 
 def average_rank(column: str) -> Column:
@@ -93,8 +99,8 @@ def reliability(df: DataFrame, bins: int = 10) -> DataFrame:
     """Per right-closed quantile bin of p: rows, mean p, mean y."""
     edges = F.broadcast(quantile_edges(df, bins))  # one row
     inner = F.slice(F.col("edges"), 2, F.greatest(F.size("edges") - 2, F.lit(0)))
-    bin_ = F.size(F.filter(inner, lambda e: e < P))
-    return df.crossJoin(edges).groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(P).alias("mean_p"), F.avg(Y).alias("mean_y"))
+    bin_ = F.size(F.filter(inner, lambda e: e < P()))
+    return df.crossJoin(edges).groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(P()).alias("mean_p"), F.avg(Y()).alias("mean_y"))
 
 
 def expected_calibration_error(df: DataFrame, bins: int = 10) -> DataFrame:
@@ -105,8 +111,8 @@ def ks_uniform(df: DataFrame) -> DataFrame:
     """Largest distance between the distribution of p and the uniform one."""
     r = running_by_score(df.withColumn("y", F.lit(0)), descending=False)
     total = r.agg(F.sum("n").alias("total"))
-    after = (F.col("n_before") + F.col("n")) / F.col("total") - P
-    before = P - F.col("n_before") / F.col("total")
+    after = (F.col("n_before") + F.col("n")) / F.col("total") - P()
+    before = P() - F.col("n_before") / F.col("total")
     return r.crossJoin(F.broadcast(total)).agg(F.max(F.greatest(after, before)).alias("ks"))
 
 

@@ -9,10 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-QUOTE_SCHEMA = T.StructType.fromDDL(
-    "event_id string, game_id long, player_name string, player_id long, vendor string, prop_type string, line_value double, updated_at timestamp,"
-    " commence_time timestamp, home_team string, away_team string, over_odds double, under_odds double, snapshot_ts timestamp, snapshot_date date, is_live_snapshot int"
-)
+_S, _L, _D, _TS = T.StringType(), T.LongType(), T.DoubleType(), T.TimestampType()
+QUOTE_SCHEMA = T.StructType([
+    T.StructField(n, t) for n, t in (
+        ("event_id", _S), ("game_id", _L), ("player_name", _S), ("player_id", _L), ("vendor", _S), ("prop_type", _S), ("line_value", _D), ("updated_at", _TS),
+        ("commence_time", _TS), ("home_team", _S), ("away_team", _S), ("over_odds", _D), ("under_odds", _D), ("snapshot_ts", _TS), ("snapshot_date", T.DateType()), ("is_live_snapshot", T.IntegerType()),
+    )
+])
 #: Nested quotes as vendors publish them.
 RAW_SCHEMA = (
     "id string, commence_time string, home_team string, away_team string, bookmakers array<struct<key: string, title: string, last_update: string,"
