@@ -61,17 +61,94 @@ def gate_sweep(rows: DataFrame, edges: Sequence[float], confidences: Sequence[fl
     thresholds it reaches, and the grid's sums are taken over cells, so rows are not copied for each gate.
     """
     top = lambda c, steps: F.size(F.filter(F.array(*map(F.lit, steps)), lambda s: s <= F.col(c)))
-    cells = rows.withColumns({"e": top("best_ev", edges), "c": top("conf_dist", confidences), "hit": F.when(F.col("best_side") == "over", F.col("over_hit")).otherwise(F.col("under_hit"))})
-    sums = cells.where("e > 0 AND c > 0").groupBy("vendor", "line_value", "e", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits"), F.sum("best_ev").alias("ev"))
-    grid = sums.select("*", F.explode(F.sequence(F.lit(1), F.col("e"))).alias("ei")).select("*", F.explode(F.sequence(F.lit(1), F.col("c"))).alias("ci"))
+    hit = F.when(F.col("best_side") == "over", F.col("over_hit")).otherwise(F.col("under_hit"))
+    model, market = F.col("model_prob"), F.col("market_prob")
+    sums = {
+        "hits": hit, "ev": F.col("best_ev"), "log_loss_gain": O.log_loss(market, hit) - O.log_loss(model, hit),
+        "brier_gain": O.brier(market, hit) - O.brier(model, hit), "model": model, "market": market, "confidence": F.col("conf_dist"),
+    }
+    cells = rows.withColumns({"e": top("best_ev", edges), "c": top("conf_dist", confidences), **{f"s_{n}": e for n, e in sums.items()}})
+    cells = cells.where("e > 0 AND c > 0").groupBy("vendor", "line_value", "e", "c").agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"s_{n}").alias(n) for n in sums))
+    grid = cells.select("*", F.explode(F.sequence(F.lit(1), F.col("e"))).alias("ei")).select("*", F.explode(F.sequence(F.lit(1), F.col("c"))).alias("ci"))
     at = lambda c, steps: F.element_at(F.array(*map(F.lit, steps)), F.col(c))
-    out = grid.groupingSets([["ei", "ci"], ["ei", "ci", "vendor"], ["ei", "ci", "line_value"], ["ei", "ci", "vendor", "line_value"]], "ei", "ci", "vendor", "line_value").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.sum("ev").alias("ev"))
+    sets = [["ei", "ci"], ["ei", "ci", "vendor"], ["ei", "ci", "line_value"], ["ei", "ci", "vendor", "line_value"]]
+    out = grid.groupingSets(sets, "ei", "ci", "vendor", "line_value").agg(F.sum("n").alias("n"), *(F.sum(n).alias(n) for n in sums))
+    mean = lambda n: F.col(n) / F.col("n")
     return out.where(F.col("n") >= least).select(
         at("ei", edges).alias("min_ev"), at("ci", confidences).alias("min_conf"), F.coalesce("vendor", F.lit("ALL")).alias("vendor"),
-        F.coalesce(F.col("line_value").cast("string"), F.lit("ALL")).alias("line"), "n", (F.col("hits") / F.col("n")).alias("hit_rate"), (F.col("ev") / F.col("n")).alias("mean_ev"),
+        F.coalesce(F.col("line_value").cast("string"), F.lit("ALL")).alias("line"), "n", mean("hits").alias("hit_rate"), mean("ev").alias("mean_ev"),
+        mean("log_loss_gain").alias("log_loss_gain"), mean("brier_gain").alias("brier_gain"), mean("model").alias("mean_model"),
+        mean("market").alias("mean_market"), mean("confidence").alias("mean_conf"),
     )
 
 
+def choose_gate(sweep: DataFrame, tolerance: float = 1e-4, small: float = 1e-6) -> dict | None:
+    """The best gate of a sweep that beats the market on both scores, by a fold in grid order.
+
+    Later gates win by log-loss gain, then Brier gain, value, hit rate and size, each beyond its tolerance; that is not
+    transitive, so the order is fixed. The grid is small by definition (gates times vendors times lines).
+    """
+    best = None
+    levels = (("log_loss_gain", tolerance), ("brier_gain", tolerance), ("mean_ev", small), ("hit_rate", small), ("n", 0))
+    for row in sweep.where("log_loss_gain > 0 AND brier_gain > 0").orderBy("min_ev", "min_conf", "vendor", "line").collect():
+        if best is not None:
+            for name, slack in levels:
+                if row[name] > best[name] + slack:
+                    best = row
+                    break
+                if abs(row[name] - best[name]) > slack:
+                    break
+        else:
+            best = row
+    return best.asDict() if best is not None else None
+
+
+def gated(rows: DataFrame, gate: dict) -> DataFrame:
+    kept = rows.where((F.col("best_ev") >= gate["min_ev"]) & (F.col("conf_dist") >= gate["min_conf"]))
+    if gate["vendor"] != "ALL":
+        kept = kept.where(F.col("vendor") == gate["vendor"])
+    return kept if gate["line"] == "ALL" else kept.where(F.col("line_value").cast("string") == gate["line"])
+
+
+def gate_holdout(rows: DataFrame, edges: Sequence[float], confidences: Sequence[float], ts: str = "snapshot_ts", least_test: int = 10) -> dict:
+    """Chooses a gate on the earlier groups and verifies it on the later ones: {accepted, gate, n_test, ...}."""
+    split = group_holdout(rows, ["game_id", "player_id"], ts)
+    gate = choose_gate(gate_sweep(split.where("not is_eval"), edges, confidences))
+    if gate is None:
+        return {"accepted": False, "reason": "no training gate beats the market on both scores"}
+    test = gate_sweep(gated(split.where("is_eval"), gate), [gate["min_ev"]], [gate["min_conf"]], least=1).where("vendor = 'ALL' AND line = 'ALL'").first()
+    if test is None or test["n"] < least_test:
+        return {"accepted": False, "gate": gate, "reason": "too few test rows"}
+    return {"accepted": test["log_loss_gain"] > 0 and test["brier_gain"] > 0, "gate": gate, "test": test.asDict()}
+
+
+RULES = {"edge": 0.025, "ev": 0.015, "uncertainty": 0.06, "vendor_count": 1}
+
+
+def rule_filter() -> Column:
+    return F.coalesce((F.col("edge") >= RULES["edge"]) & (F.col("ev") >= RULES["ev"]) & (F.col("uncertainty") <= RULES["uncertainty"]) & (F.col("vendor_count") >= RULES["vendor_count"]), F.lit(False))
+
+
+FILTER_FEATURES = ("edge", "ev", "uncertainty", "vendor_count", "abs_gap", "is_live")
+
+
+def learned_filter(history: DataFrame, candidates: DataFrame, least: int = 250, threshold: float = 0.55) -> DataFrame:
+    """Adds selection_score and selected: the rules, and a logistic score of them if history (with `won`) has enough rows of both kinds."""
+    counts = history.groupBy("won").count().collect()
+    ruled = candidates.withColumn("pass_rules", rule_filter())
+    if sum(r["count"] for r in counts) < least or len(counts) < 2:
+        return ruled.withColumns({"selection_score": F.col("pass_rules").cast("double"), "selected": F.col("pass_rules").cast("int")})
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    assemble = VectorAssembler(inputCols=list(FILTER_FEATURES), outputCol="_x")
+    n = sum(r["count"] for r in counts)
+    model = LogisticRegression(featuresCol="_x", labelCol="won", regParam=1 / (0.5 * n), standardization=False, maxIter=200, probabilityCol="_p").fit(assemble.transform(history.na.fill(0, list(FILTER_FEATURES)).withColumn("won", F.col("won").cast("double"))))
+    scored = model.transform(assemble.transform(ruled.na.fill(0, list(FILTER_FEATURES)))).withColumn("selection_score", vector_to_array("_p")[1])
+    return scored.select(*ruled.columns, "selection_score", (F.col("pass_rules") & (F.col("selection_score") >= threshold)).cast("int").alias("selected"))
+
+
 def time_split(df: DataFrame, day: str, share: float = 0.8) -> DataFrame:
     """Adds is_train: the first `share` of the distinct days."""
     days = df.select(day).where(F.col(day).isNotNull()).distinct()

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import odds as O
 from ..functions import pmf as PMF
 from ..operators import calibration as CAL
+from ..operators import diagnostics as D
 from ..operators import features as X
 from ..operators import market as M
 from ..operators import matching as MT
@@ -335,20 +336,24 @@ def segment_summary(spark, d):
     return r6(S.segment_summary(evaluated(spark, d)))
 
 
-EDGES, CONFIDENCES = (0.0, 0.05, 0.10, 0.15, 0.20, 0.25, 0.30, 0.40), (0.0, 0.05, 0.10, 0.15, 0.20, 0.25)
+#: Fixed grids.
+EDGES, CONFIDENCES = (0.01, 0.02, 0.03, 0.05, 0.07, 0.10, 0.15, 0.20), (0.00, 0.02, 0.04, 0.06, 0.08, 0.10)
 
 
 def _values(xs) -> str:
     return "(VALUES " + ", ".join(f"({x}::DOUBLE)" for x in xs) + ")"
 
 
-@register("gate_sweep_cube", f"""{EVALUATED}, r AS (SELECT *, CASE WHEN best_side = 'over' THEN over_hit ELSE under_hit END AS hit FROM cand)
+@register("gate_sweep_cube", f"""{EVALUATED}, r AS (SELECT *, CASE WHEN best_side = 'over' THEN over_hit ELSE under_hit END AS hit, CASE WHEN best_side = 'over' THEN model_over_prob ELSE 1 - model_over_prob END AS mp FROM cand)
  SELECT e AS min_ev, c AS min_conf, CASE WHEN grouping(vendor) = 1 THEN 'ALL' ELSE vendor END AS vendor, CASE WHEN grouping(line_value) = 1 THEN 'ALL' ELSE CAST(line_value AS VARCHAR) END AS line,
- count(*) AS n, round(avg(hit), 6) AS hit_rate, round(avg(best_ev), 6) AS mean_ev
+ count(*) AS n, round(avg(hit), 6) AS hit_rate, round(avg(best_ev), 6) AS mean_ev,
+ round(avg({_ll('market_prob', 'hit')} - {_ll('mp', 'hit')}), 6) + 0.0 AS log_loss_gain, round(avg(power({_CLIP.format('market_prob')} - hit, 2) - power({_CLIP.format('mp')} - hit, 2)), 6) + 0.0 AS brier_gain,
+ round(avg(market_prob), 6) AS mean_market, CAST(round(sum(mp) * 100) AS BIGINT) AS model_cents, CAST(round(sum(conf_dist) * 100) AS BIGINT) AS conf_cents
  FROM r, {_values(EDGES)} es(e), {_values(CONFIDENCES)} cs(c) WHERE best_ev >= e AND conf_dist >= c GROUP BY e, c, CUBE (vendor, line_value) HAVING count(*) >= 20""")
 def gate_sweep_cube(spark, d):
-    out = r6(C.gate_sweep(evaluated(spark, d), EDGES, CONFIDENCES))
-    return out.withColumn("n", F.col("n").cast("long"))
+    out = C.gate_sweep(evaluated(spark, d), EDGES, CONFIDENCES)
+    cents = {f"{c}_cents": F.round(F.col(f"mean_{c}") * F.col("n") * 100).cast("long") for c in ("model", "conf")}  # their means are of cents
+    return r6(out.withColumns(cents).drop("mean_model", "mean_conf"))
 
 
 @register("gate_holdout", f"""{EVALUATED}, g AS (SELECT game_id, player_id, max(snapshot_ts) AS latest FROM cand GROUP BY ALL),
@@ -670,3 +675,79 @@ def gbt_pmf_board(spark, d):
 @register("board_flagship")
 def board_flagship(spark, d):
     return r6(B.board(quote_view(spark, d), pa_view(spark, d)))
+
+
+# --- evaluation and diagnostics -----------------------------------------------------------------------------------------
+
+
+@register("evaluation_rows", f"""{EVALUATED}, n AS (SELECT *, count(*) OVER (PARTITION BY game_id, player_id, vendor) AS candidates, abs(market_over_prob - 0.5) AS distance FROM cand),
+ m AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY game_id, player_id, vendor ORDER BY distance, snapshot_ts, line_value, l_orderkey, l_linenumber, l_suppkey) = 1)
+ SELECT {_CELL}, candidates, over_hit, under_hit, best_side, round(best_ev, 6) + 0.0 AS best_ev, round(model_over_prob - market_over_prob, 6) + 0.0 AS over_edge, round({_ll('model_over_prob', 'over_hit')}, 6) AS model_log_loss_over,
+ round({_ll('market_over_prob', 'over_hit')}, 6) AS market_log_loss_over FROM m""")
+def evaluation_rows(spark, d):
+    rows = D.evaluation_rows(M.main_lines(M.evaluation_quotes(quote_view(spark, d))))
+    return r6(rows.select(*_CELL_COLS, "candidates", "over_hit", "under_hit", "best_side", "best_ev", "over_edge", "model_log_loss_over", "market_log_loss_over"))
+
+
+@register("market_history", f"""{EVALUATED}, s AS (SELECT 'over' AS side, over_odds AS odds, over_hit AS won, model_over_prob AS prob, market_over_prob AS market FROM cand UNION ALL SELECT 'under', under_odds, under_hit, 1 - model_over_prob, 1 - market_over_prob FROM cand)
+ SELECT side, won, count(*) AS n, round(avg(abs(prob - market)), 6) AS mean_gap, round(avg(CASE WHEN won = 1 THEN {_PROFIT.format('odds')} ELSE -1 END), 6) AS mean_realised FROM s GROUP BY side, won""")
+def market_history(spark, d):
+    h = D.market_history(M.evaluation_quotes(quote_view(spark, d)))
+    return r6(h.groupBy("side", "won").agg(F.count(F.lit(1)).alias("n"), F.avg("abs_gap").alias("mean_gap"), F.avg("realised").alias("mean_realised")))
+
+
+@register("temperature_fit", _LOGITS + f""", c AS (SELECT vec_id, unnest(pmf) AS p, unnest(range(0, 12)) AS k FROM f), t AS (SELECT t FROM {_values(D.TEMPERATURES)} a(t)),
+ w AS (SELECT t, vec_id, sum(power(p, 1 / t)) FILTER (WHERE k = vec_id % 12) / sum(power(p, 1 / t)) AS q FROM c, t GROUP BY ALL) SELECT t AS temperature, round(avg(-ln(q)), 6) AS log_score FROM w GROUP BY t""")
+def temperature_fit(spark, d):
+    return r6(D.temperature_scores(logits_pmf(spark, d).select("pmf", (F.col("vec_id") % 12).alias("actual"))))
+
+
+def _priors(spark, d):
+    base = B.distributions(B.states(pa_view(spark, d))).select("player_id", "pmf")
+    return quote_view(spark, d).select("game_id", "player_id").distinct().join(base, "player_id").select("game_id", "player_id", "pmf")
+
+
+@register("market_view")
+def market_view(spark, d):
+    view = D.market_view(M.evaluation_quotes(quote_view(spark, d)), _priors(spark, d))
+    return r6(view.select("game_id", "player_id", "vendor_count", "threshold_count", "mean_vendor_std", "market_mean", "prior_mean", "mean_shift", "divergence"), 4)
+
+
+@register("tilt_fit")
+def tilt_fit(spark, d):
+    rows = C.group_holdout(M.labels(M.evaluation_quotes(quote_view(spark, d))).join(_priors(spark, d), ["game_id", "player_id"]), ["game_id", "player_id"], "snapshot_ts")
+    return spark.createDataFrame([D.fit_tilt(rows.where("not is_eval"), rows.where("is_eval"))], "tau double, lam double, accepted boolean")
+
+
+@register("gate_choice_holdout")
+def gate_choice_holdout(spark, d):
+    found = C.gate_holdout(evaluated(spark, d), EDGES, CONFIDENCES)
+    gate = found.get("gate") or {}
+    return spark.createDataFrame([(found["accepted"], gate.get("min_ev"), gate.get("min_conf"), gate.get("vendor"), gate.get("line"))], "accepted boolean, min_ev double, min_conf double, vendor string, line string")
+
+
+@register("learned_filter")
+def learned_filter(spark, d):
+    h = C.group_holdout(D.market_history(M.evaluation_quotes(quote_view(spark, d))), ["game_id", "player_id"], "snapshot_ts")
+    out = C.learned_filter(h.where("not is_eval"), h.where("is_eval"))
+    return out.select(*_CELL_COLS, "side", F.round("selection_score", 3).alias("selection_score"), "selected")
+
+
+@register("pit_uniform")
+def pit_uniform(spark, d):
+    base = logits_pmf(spark, d).select(F.col("vec_id").alias("id"), "pmf", (F.col("vec_id") % 12).alias("actual"))
+    return r6(S.ks_uniform(D.randomised_pit(base)))
+
+
+@register("permutation_importance")
+def permutation_importance(spark, d):
+    rows = table(spark, d, "lineitem").select(F.xxhash64("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").alias("id"), (F.col("l_discount") * 10).alias("a"), F.col("l_tax").alias("b"), (F.col("l_discount") > 0.05).cast("int").alias("y"))
+    loss = lambda df: df.agg(F.avg(O.log_loss(O.clip(F.col("a"), 0.01, 0.99), F.col("y")))).first()[0]
+    return r6(D.permutation_importance(rows, ["a", "b"], loss, "id", repeats=2))
+
+
+@register("calibrator_sweep")
+def calibrator_sweep(spark, d):
+    s = scored(spark, d).withColumn("fold", F.pmod(F.xxhash64("p", "l_quantity", "l_discount"), F.lit(2)))
+    winner, rows = CAL.sweep(s.where("fold = 0"), s.where("fold = 1"))
+    return r6(spark.createDataFrame([(r["name"], r["log_loss"], r["brier"], r["name"] == winner) for r in rows], "name string, log_loss double, brier double, wins boolean"), 4)
