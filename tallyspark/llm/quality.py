@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, held_out, mix64, text_blocks, word_hashes, words_of
+from .common import checkpointed, held_out, text_blocks, word_hashes, words_of
 
 FEATURES = 192
 LENGTH_SCALE = 3.0
@@ -76,11 +76,12 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     mean = lambda x: np.bincount(word_doc, weights=x, minlength=n) / w
     last = data[end - 1] if end.size else np.zeros(0, np.uint8)
     lines = groups[:, 4] + 1
-    # A line's content is the sum of its bytes' hashes by place; lines end at newlines and at the ends of texts.
-    line = np.cumsum(data == 10) + doc if data.size else np.zeros(0, np.int64)
-    line_id, line_first = np.unique(line, return_index=True) if data.size else (line, line)
-    body = word_hashes(data, line_first, np.r_[line_first[1:], data.size]) if data.size else np.zeros(0, np.uint64)
-    distinct_lines, _ = _shares_of_runs(doc[line_first] if data.size else line_first, mix64(body), n)
+    # Lines end at newlines, which are no part of them, and at the ends of texts.
+    newline = data == 10
+    line_first = np.flatnonzero(np.r_[True, newline[:-1] | (doc[1:] != doc[:-1])]) if data.size else np.zeros(0, np.int64)
+    line_end = np.r_[line_first[1:], data.size] if data.size else line_first
+    line_end = line_end - newline[line_end - 1]
+    distinct_lines, _ = _shares_of_runs(doc[line_first], word_hashes(data, line_first, line_end), n)
     columns = [
         np.log1p(size), np.log1p(words), mean(length), share[:, 0], share[:, 1], share[:, 2], share[:, 3], share[:, 4], share[:, 5],
         share[:, 6], share[:, 7], share[:, 8], share[:, 9], share[:, 10], entropy, distinct / w, top / w,
