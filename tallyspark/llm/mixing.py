@@ -42,7 +42,8 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` with mix_size, source_size, target and mix_copies, for a table with doc_id, text and source.
+    """The rows of `docs` (doc_id, text, source; other columns with other names than the added ones) with mix_size,
+    source_size, target and mix_copies.
 
     A null or empty text has size 0 and keeps its row. Rows that repeat one doc_id share a draw. An empty table gives
     an empty one; sources without words have target 0.
@@ -61,8 +62,9 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 def emitted(docs: DataFrame) -> DataFrame:
     """The mix itself: each row of `docs` as often as it is taken, with its own columns only."""
-    taken = mixed(docs).where("mix_copies > 0")
-    return taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    packed = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("mix_row"))
+    taken = mixed(packed).where("mix_copies > 0")
+    return taken.select("mix_row", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy")).select("mix_row.*")
 
 
 def op8_source_mixing(spark, sf_dir: str) -> DataFrame:
