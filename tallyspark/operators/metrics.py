@@ -31,14 +31,18 @@ def running_by_score(df: DataFrame, descending: bool, blocks: int = 64) -> DataF
     """Per distinct score, `hits` and `n` with their sums over all scores before it, in either order.
 
     The order is total, but no task gets all of it: scores are dealt into ranges, summed within, and the sums of the
-    few ranges before are added.
+    few ranges before are added. The ranges' edges are fixed first, as numbers, so that a task that runs again finds
+    its rows in the same ranges.
     """
     counted = _by_score(df)
+    edges = sorted(set(counted.approxQuantile("p", [i / blocks for i in range(1, blocks)], 0.002)))
+    block = F.size(F.filter(F.array(*map(F.lit, edges)).cast("array<double>"), lambda e: e < P()))
+    block = -block if descending else block
     order = F.col("p").desc() if descending else F.col("p").asc()
-    ranged = counted.repartitionByRange(blocks, order).withColumn("block", F.spark_partition_id())
     inside = Window.partitionBy("block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    ranged = counted.withColumn("block", block)
     own = ranged.select("p", "hits", "n", "block", F.coalesce(F.sum("hits").over(inside), F.lit(0)).alias("h"), F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("c"))
-    spans = own.groupBy("block").agg(F.sum("hits").alias("bh"), F.sum("n").alias("bn"))
+    spans = ranged.groupBy("block").agg(F.sum("hits").alias("bh"), F.sum("n").alias("bn"))
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
     spans = spans.select("block", F.coalesce(F.sum("bh").over(before), F.lit(0)).alias("ph"), F.coalesce(F.sum("bn").over(before), F.lit(0)).alias("pn"))
     return own.join(F.broadcast(spans), "block").select("p", "hits", "n", (F.col("h") + F.col("ph")).alias("hits_before"), (F.col("c") + F.col("pn")).alias("n_before"))
