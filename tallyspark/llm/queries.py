@@ -9,7 +9,7 @@ from .mixing import OP8_SQL, op8_source_mixing
 from .quality import op6_quality
 from .secrets import op9_secret_scan
 from .simhash import op10_simhash_near_dedup
-from .substring import op1_substring_dedup
+from .substring import OP1_SQL, op1_substring_dedup
 from .urls import OP5_SQL, op5_url_filter
 from .vafile import OP3_SQL, op3_exact_top_k
 
@@ -27,6 +27,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_substring_dedup": OP1_SQL,
     "op3_exact_top_k": OP3_SQL,
     "op5_url_filter": OP5_SQL,
     "op8_source_mixing": OP8_SQL,

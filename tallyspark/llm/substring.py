@@ -213,3 +213,26 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, gram: int = MINIMIZER
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeated(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The same by single windows, compared as text.
+OP1_SQL = """
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^ \\t-\\r]+'), []) AS words FROM documents),
+windows AS (
+  SELECT doc_id, i AS place, doc_id::HUGEINT * 4294967296 + i AS coordinate, array_to_string(words[i:i + 19], ' ') AS content
+  FROM w, unnest(range(1, len(words) - 18)) AS t(i)),
+firsts AS (SELECT content, min(coordinate) AS first FROM windows GROUP BY content),
+covered AS (
+  SELECT DISTINCT doc_id, place + k AS place FROM windows JOIN firsts USING (content), range(0, 20) AS r(k) WHERE coordinate > first),
+words AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM w),
+kept AS (
+  SELECT doc_id, count(*) FILTER (WHERE c.place IS NOT NULL) AS n_removed,
+         string_agg(word, ' ' ORDER BY words.place) FILTER (WHERE c.place IS NULL) AS text
+  FROM words LEFT JOIN covered c USING (doc_id, place) GROUP BY doc_id),
+islands AS (
+  SELECT doc_id, min(place) AS a, max(place) AS b
+  FROM (SELECT doc_id, place, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS island FROM covered) GROUP BY doc_id, island),
+spans AS (SELECT doc_id, string_agg((a - 1) || '-' || b, ',' ORDER BY a) AS removed_spans FROM islands GROUP BY doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256, coalesce(removed_spans, '') AS removed_spans
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id LEFT JOIN spans ON w.doc_id = spans.doc_id
+"""
