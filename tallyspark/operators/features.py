@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .metrics import exact_quantiles
+
 ORDER = ("ts", "event_id")
 WINDOWS = (15, 30, 60)
 SUMS = ("is_strikeout", "is_walk", "is_hit", "is_out", "pitch_count_pa")
@@ -113,11 +115,10 @@ def lineup_order(events: DataFrame, keys: Sequence[str], batter: str, place: str
 
 
 def median_fill(df: DataFrame, columns: Sequence[str], training: Column | None = None) -> DataFrame:
-    """Nulls become the column's exact median, over all rows or those where `training` holds."""
+    """Nulls become the column's exact median, over all rows or those where `training` holds; without values they stay."""
     base = df if training is None else df.where(training)
-    medians = base.agg(*(F.median(c).alias(f"{c}_median") for c in columns))
-    filled = df.crossJoin(F.broadcast(medians))  # one row
-    return filled.withColumns({c: F.coalesce(c, f"{c}_median") for c in columns}).drop(*(f"{c}_median" for c in columns))
+    medians = {c: exact_quantiles(base, c, [0.5])[0] for c in columns}
+    return df.withColumns({c: F.coalesce(c, F.lit(m)) for c, m in medians.items() if m is not None})
 
 
 def prior_season(left: DataFrame, right: DataFrame, keys: Sequence[str], season: str) -> DataFrame:

@@ -94,17 +94,35 @@ def spearman(df: DataFrame, x: str, y: str, least: int = 100) -> DataFrame:
     return joined.agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= least, F.corr("x_rank", "y_rank")).alias("spearman"))
 
 
-def quantile_edges(df: DataFrame, bins: int) -> DataFrame:
-    """One row with the exact interpolated quantiles 0, 1/bins, .., 1 of p, duplicates dropped."""
-    return df.agg(F.array_distinct(F.percentile("p", F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).alias("edges"))
+def exact_quantiles(df: DataFrame, column: str, qs: Sequence[float]) -> list[float | None]:
+    """Exact interpolated quantiles of the non-null values; nulls for an empty column.
+
+    Cumulative counts of distinct values come from ranges, and only the values next to the wanted ranks reach the
+    driver: no task holds all distinct values, as the built-in exact percentile would.
+    """
+    known = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("p"), F.lit(0).alias("y"))
+    total = known.count()
+    if not total:
+        return [None for _ in qs]
+    wanted = [q * (total - 1) for q in qs]
+    ranks = sorted({int(w) for w in wanted} | {min(int(w) + 1, total - 1) for w in wanted})
+    r = running_by_score(known, descending=False)
+    holds = F.exists(F.array(*(F.lit(k).cast("long") for k in ranks)), lambda k: (F.col("n_before") <= k) & (k < F.col("n_before") + F.col("n")))
+    found = r.where(holds).select("p", "n", "n_before").collect()
+    at = {k: next(x.p for x in found if x.n_before <= k < x.n_before + x.n) for k in ranks}
+    return [at[int(w)] + (at[min(int(w) + 1, total - 1)] - at[int(w)]) * (w - int(w)) for w in wanted]
+
+
+def quantile_edges(df: DataFrame, bins: int) -> list[float]:
+    """The exact quantiles 0, 1/bins, .., 1 of p, duplicates dropped."""
+    return sorted({e for e in exact_quantiles(df, "p", [i / bins for i in range(bins + 1)]) if e is not None})
 
 
 def reliability(df: DataFrame, bins: int = 10) -> DataFrame:
     """Per right-closed quantile bin of p: rows, mean p, mean y."""
-    edges = F.broadcast(quantile_edges(df, bins))  # one row
-    inner = F.slice(F.col("edges"), 2, F.greatest(F.size("edges") - 2, F.lit(0)))
+    inner = F.array(*map(F.lit, quantile_edges(df, bins)[1:-1])).cast("array<double>")
     bin_ = F.size(F.filter(inner, lambda e: e < P()))
-    return df.crossJoin(edges).groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(P()).alias("mean_p"), F.avg(Y()).alias("mean_y"))
+    return df.groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(P()).alias("mean_p"), F.avg(Y()).alias("mean_y"))
 
 
 def expected_calibration_error(df: DataFrame, bins: int = 10) -> DataFrame:

@@ -87,3 +87,12 @@ def test_streaming_equals_batch(spark, tmp_path):
     batch = M.two_sided(source).groupBy(*Q.KEYS).agg(F.max("snapshot_ts").alias("snapshot_ts"))
     got = spark.table("latest").select(*Q.KEYS, "snapshot_ts")
     assert got.exceptAll(batch).count() == 0 and batch.exceptAll(got).count() == 0
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=501), 1)
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double").repartition(5)
+    qs = [0, 0.1, 0.25, 0.5, 0.9, 1]
+    assert S.exact_quantiles(df, "v", qs) == pytest.approx(np.quantile(x, qs).tolist())
+    assert S.exact_quantiles(df.where("v > 99"), "v", [0.5]) == [None]
