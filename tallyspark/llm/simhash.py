@@ -36,6 +36,8 @@ RADIUS = 3
 SEED = 42
 VARIANTS_PER_BUCKET = 1 << 21
 LEAST_BUCKETS = 64
+FINGERPRINTS_PER_TASK = 16_384
+LEAST_TASKS = 8
 _EXPECTED_VARIANTS = 561
 _FINGERPRINTS_AT_A_TIME = 4096
 _SHINGLES_AT_A_TIME = 1 << 17
@@ -173,7 +175,9 @@ def links(distinct: DataFrame) -> DataFrame:
     """(a, b): linked pairs of the distinct fingerprints (fp) that join all that are within reach."""
     n = distinct.count()
     buckets = max(LEAST_BUCKETS, -(-n * _EXPECTED_VARIANTS // VARIANTS_PER_BUCKET))
-    emitted = distinct.mapInArrow(_emit(buckets), "bucket long, fp long, codes binary")
+    # Few bytes become many: spread the fingerprints before they do.
+    spread = distinct.repartition(max(LEAST_TASKS, n // FINGERPRINTS_PER_TASK))
+    emitted = spread.mapInArrow(_emit(buckets), "bucket long, fp long, codes binary")
     return emitted.groupBy("bucket").applyInArrow(_link, "a long, b long")
 
 
