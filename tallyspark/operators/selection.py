@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import odds as O
 from .features import latest_row
+from .metrics import running_by_score
 
 MIN_EV, MIN_CONFIDENCE = 0.20, 0.10
 
@@ -159,10 +160,21 @@ def time_split(df: DataFrame, day: str, share: float = 0.8) -> DataFrame:
 
 
 def group_holdout(df: DataFrame, keys: Sequence[str], ts: str, share: float = 0.3) -> DataFrame:
-    """Adds is_eval: whole groups, the last `share` of them by their latest time (then by key)."""
-    groups = df.groupBy(*keys).agg(F.max(ts).alias("latest"))
-    ranked = groups.select(*keys, F.percent_rank().over(Window.orderBy("latest", *keys)).alias("r"), F.count(F.lit(1)).over(Window.partitionBy()).alias("groups"), F.row_number().over(Window.orderBy("latest", *keys)).alias("place"))
-    held = ranked.select(*keys, (F.col("place") > F.col("groups") - F.floor(F.col("groups") * share)).alias("is_eval"))
+    """Adds is_eval: whole groups, the last `share` of them by their latest time (then by key).
+
+    The boundary time comes from counts of distinct times in ranges; only groups with that very time are ranked by key.
+    """
+    kind = df.schema[ts].dataType
+    number = F.unix_micros(F.col(ts).cast("timestamp")) if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)) else F.col(ts)
+    groups = df.groupBy(*keys).agg(F.coalesce(F.max(number.cast("double")), F.lit(float("-inf"))).alias("p"))
+    total = groups.count()
+    kept = total - int(total * share)
+    places = running_by_score(groups.select("p", F.lit(0).alias("y")), descending=False)
+    edge = places.where((F.col("n_before") <= kept) & (F.col("n_before") + F.col("n") > kept)).first()
+    if edge is None:
+        return df.withColumn("is_eval", F.lit(False))
+    place = F.row_number().over(Window.partitionBy("p").orderBy(*keys))
+    held = groups.withColumn("_place", place).select(*keys, ((F.col("p") > edge.p) | ((F.col("p") == edge.p) & (F.col("_place") > kept - edge.n_before))).alias("is_eval"))
     return df.join(held, list(keys), "left")
 
 
