@@ -13,13 +13,25 @@ from tallyspark.llm.mixing import emitted
 from tallyspark.llm.secrets import mask_secrets
 from tallyspark.llm.simhash import one_of_each
 
+#: Bytes of a batch between Spark and Python: workers of five operators share an executor's memory.
+ARROW_BYTES = "8m"
+
+
+def _stage(operator):
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+        return operator(docs)
+
+    return stage
+
+
 #: Every stage takes (spark, docs, sf_dir). All but the last return the columns of `documents`.
 STAGES = [
-    ("language_id", lambda spark, docs, sf_dir: known_languages(docs)),
-    ("near_dedup", lambda spark, docs, sf_dir: one_of_each(docs)),
-    ("secret_scan", lambda spark, docs, sf_dir: mask_secrets(docs)),
-    ("source_mixing", lambda spark, docs, sf_dir: emitted(docs)),
-    ("byte_bpe", lambda spark, docs, sf_dir: encode_documents(docs)),
+    ("language_id", _stage(known_languages)),
+    ("near_dedup", _stage(one_of_each)),
+    ("secret_scan", _stage(mask_secrets)),
+    ("source_mixing", _stage(emitted)),
+    ("byte_bpe", _stage(encode_documents)),
 ]
 
 #: Fingerprints, trigram models and token ids are beyond SQL; tests hold the stages against brute force.

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: States, pairs and pieces that a worker keeps; beyond, it starts anew, with the same results.
-STATES_KEPT = 150_000
+STATES_KEPT = 130_000
 PIECES_KEPT = 400_000
 PIECE_CHARS = 48
 IDS_AT_A_TIME = 4096
@@ -41,13 +41,25 @@ def merge_order(piece: bytes, ranks: dict[bytes, int], least: int = 1) -> list[i
     return [ranks[p] for p in parts]
 
 
+_NOWHERE: dict = {}
+
+
 class State:
-    __slots__ = ("configurations", "final", "next")
+    """Configurations in one flat tuple, each as trie node, last token, number of pending tokens, pending tokens."""
+
+    __slots__ = ("flat", "next")
 
-    def __init__(self, configurations: tuple) -> None:
-        self.configurations = configurations
-        self.final = configurations[-1][2]
-        self.next: dict[int, tuple[State, tuple[int, ...]]] = {}
+    def __init__(self, flat: tuple[int, ...]) -> None:
+        self.flat = flat
+        self.next: dict[int, tuple[State, tuple[int, ...]]] = _NOWHERE
+
+    def configurations(self) -> list[tuple[int, int, tuple[int, ...]]]:
+        out, at, flat = [], 0, self.flat
+        while at < len(flat):
+            end = at + 3 + flat[at + 2]
+            out.append((flat[at], flat[at + 1], flat[at + 3 : end]))
+            at = end
+        return out
 
 
 class Transducer:
@@ -79,8 +91,8 @@ class Transducer:
     def clear(self) -> None:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.edges: tuple[dict, dict] = ({}, {})
-        self.start = State(((0, -1, ()),))
-        self.states = {self.start.configurations: self.start}
+        self.start = State((0, -1, 0))
+        self.states = {self.start.flat: self.start}
 
     def _edge(self, token: int, side: int) -> list[tuple[bytes, int]]:
         """The tokens at one end of a token while BPE builds it, smallest first, each with the rank that ends it."""
@@ -126,7 +138,7 @@ class Transducer:
     def step(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
         """The state after one more byte and the tokens that are certain by then."""
         alive, ended = [], None
-        for node, last, pending in state.configurations:
+        for node, last, pending in state.configurations():
             to = self.children[node].get(byte)
             if to is None:
                 continue
@@ -141,10 +153,15 @@ class Transducer:
             while written != c[2][: len(written)]:
                 written = written[:-1]
         shared = len(written)
-        key = tuple([(node, last, pending[shared:]) for node, last, pending in alive]) if shared else tuple(alive)
+        flat: list[int] = []
+        for node, last, pending in alive:
+            flat += (node, last, len(pending) - shared, *pending[shared:])
+        key = tuple(flat)
         found = self.states.get(key)
         if found is None:
             found = self.states[key] = State(key)
+        if state.next is _NOWHERE:
+            state.next = {}
         out = state.next[byte] = (found, written)
         return out
 
@@ -160,7 +177,7 @@ class Transducer:
             state, written = state.next.get(b) or step(state, b)
             if written:
                 out += written
-        out += state.final
+        out += state.configurations()[-1][2]
         return out
 
 
@@ -197,18 +214,19 @@ class Tokenizer:
         self.transducer = Transducer(ranks)
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
         self.written: dict[str, str] = {}
+        self.older: dict[str, str] = {}
         self.bytes_of = {str(r): t for t, r in ranks.items()}
 
     def _write(self, piece: str) -> str:
-        ids = ",".join(map(str, self.transducer.encode(piece.encode())))
+        ids = self.older.get(piece) or ",".join(map(str, self.transducer.encode(piece.encode())))
         if len(piece) <= PIECE_CHARS:
-            if len(self.written) >= PIECES_KEPT:
-                self.written.clear()
             self.written[piece] = ids
         return ids
 
     def encode(self, text: str) -> str:
         """The token ids in decimal, joined by commas."""
+        if len(self.written) >= PIECES_KEPT // 2:  # what is still in use moves over from the older half
+            self.older, self.written = self.written, {}
         get, write = self.written.get, self._write
         return ",".join([get(p) or write(p) for p in self.pieces(text)])
 
