@@ -11,8 +11,8 @@ written at once, so the lookahead is bounded by the longest token that is still
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -24,8 +24,11 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: States, pairs and pieces that a worker keeps; beyond, it starts anew, with the same results.
-STATES_KEPT = 130_000
-PIECES_KEPT = 400_000
+STATES_KEPT = 240_000
+STATE_BITS = 30
+LAST_STATE = (1 << STATE_BITS) - 1
+PAIR_BITS = 28
+PIECES_KEPT = 250_000
 PIECE_CHARS = 48
 IDS_AT_A_TIME = 4096
 
@@ -41,32 +44,13 @@ def merge_order(piece: bytes, ranks: dict[bytes, int], least: int = 1) -> list[i
     return [ranks[p] for p in parts]
 
 
-_NOWHERE: dict = {}
-
-
-class State:
-    """Configurations in one flat tuple, each as trie node, last token, number of pending tokens, pending tokens."""
-
-    __slots__ = ("flat", "next")
-
-    def __init__(self, flat: tuple[int, ...]) -> None:
-        self.flat = flat
-        self.next: dict[int, tuple[State, tuple[int, ...]]] = _NOWHERE
-
-    def configurations(self) -> list[tuple[int, int, tuple[int, ...]]]:
-        out, at, flat = [], 0, self.flat
-        while at < len(flat):
-            end = at + 3 + flat[at + 2]
-            out.append((flat[at], flat[at + 1], flat[at + 3 : end]))
-            at = end
-        return out
-
-
 class Transducer:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.tokens = {r: t for t, r in ranks.items()}
-        self.children: list[dict[int, int]] = [{}]
+        #: The trie: by node and byte, the node below; whether a node has any below it; its token.
+        self.below: dict[int, int] = {}
+        self.inner = bytearray(1)
         self.token_at: list[int] = [-1]
         self.halves: dict[int, tuple[int, int]] = {}
         self.in_order = True
@@ -79,20 +63,27 @@ class Transducer:
                 self.in_order &= all(len(self.tokens[h]) == 1 or h < rank for h in halves)
             node = 0
             for b in token:
-                to = self.children[node].get(b)
+                to = self.below.get(node << 8 | b)
                 if to is None:
-                    to = self.children[node][b] = len(self.children)
-                    self.children.append({})
+                    to = self.below[node << 8 | b] = len(self.token_at)
+                    self.inner[node] = 1
+                    self.inner.append(0)
                     self.token_at.append(-1)
                 node = to
             self.token_at[node] = rank
         self.clear()
 
     def clear(self) -> None:
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.edges: tuple[dict, dict] = ({}, {})
-        self.start = State((0, -1, 0))
-        self.states = {self.start.flat: self.start}
+        #: A state's number by its configurations as 4-byte ints: for each its trie node, last token, number of pending
+        #: tokens and pending tokens.
+        self.numbers: dict[bytes, int] = {array("i", (0, -1, 0)).tobytes(): 0}
+        self.states = list(self.numbers)
+        #: By state and byte, the number of what is written and of the state after it.
+        self.moves: dict[int, int] = {}
+        self.outs: list[tuple[int, ...]] = [()]
+        self.out_numbers: dict[tuple[int, ...], int] = {(): 0}
 
     def _edge(self, token: int, side: int) -> list[tuple[bytes, int]]:
         """The tokens at one end of a token while BPE builds it, smallest first, each with the rank that ends it."""
@@ -112,7 +103,8 @@ class Transducer:
         """Whether BPE leaves the two tokens as they are: no merge across them comes before those that build them."""
         if left < 0:
             return True
-        known = self.pairs.get((left, right))
+        pair = left << PAIR_BITS | right
+        known = self.pairs.get(pair)
         if known is None:
             if self.in_order:
                 before, after, rank = self._edge(left, 1), self._edge(right, 0), self.ranks.get
@@ -132,53 +124,70 @@ class Transducer:
                         j += 1
             else:
                 known = merge_order(self.tokens[left] + self.tokens[right], self.ranks) == [left, right]
-            self.pairs[left, right] = known
+            self.pairs[pair] = known
         return known
 
-    def step(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
-        """The state after one more byte and the tokens that are certain by then."""
-        alive, ended = [], None
-        for node, last, pending in state.configurations():
-            to = self.children[node].get(byte)
-            if to is None:
-                continue
-            if self.children[to]:
-                alive.append((to, last, pending))
-            token = self.token_at[to]
-            if token >= 0 and ended is None and self.may_follow(last, token):
-                ended = (0, token, (*pending, token))
+    def step(self, state: int, byte: int) -> int:
+        """The move from a state with one more byte: the tokens that are certain by then and the state after it."""
+        flat, below, inner, token_at = tuple(array("i", self.states[state])), self.below, self.inner, self.token_at
+        alive, ended, at = [], None, 0
+        while at < len(flat):
+            node, end = flat[at], at + 3 + flat[at + 2]
+            to = below.get(node << 8 | byte)
+            if to is not None:
+                if inner[to]:
+                    alive.append((to, flat[at + 1], flat[at + 3 : end]))
+                token = token_at[to]
+                if token >= 0 and ended is None and self.may_follow(flat[at + 1], token):
+                    ended = (0, token, (*flat[at + 3 : end], token))
+            at = end
         alive.append(ended)
         written = alive[0][2]
-        for c in alive:
-            while written != c[2][: len(written)]:
+        for _, _, pending in alive:
+            while written and written != pending[: len(written)]:
                 written = written[:-1]
-        shared = len(written)
-        flat: list[int] = []
+        shared, after_flat = len(written), []
         for node, last, pending in alive:
-            flat += (node, last, len(pending) - shared, *pending[shared:])
-        key = tuple(flat)
-        found = self.states.get(key)
-        if found is None:
-            found = self.states[key] = State(key)
-        if state.next is _NOWHERE:
-            state.next = {}
-        out = state.next[byte] = (found, written)
-        return out
+            after_flat += (node, last, len(pending) - shared)
+            after_flat += pending[shared:]
+        key = array("i", after_flat).tobytes()
+        after = self.numbers.setdefault(key, len(self.states))
+        if after == len(self.states):
+            self.states.append(key)
+        move = after
+        if written:
+            out = self.out_numbers.setdefault(written, len(self.outs))
+            if out == len(self.outs):
+                self.outs.append(written)
+            move |= out << STATE_BITS
+        self.moves[state << 8 | byte] = move
+        return move
+
+    def last_pending(self, state: int) -> tuple[int, ...]:
+        """The tokens not yet written of the configuration in which the input may end, which is the last one."""
+        flat, at = tuple(array("i", self.states[state])), 0
+        while True:
+            end = at + 3 + flat[at + 2]
+            if end == len(flat):
+                return flat[at + 3 :]
+            at = end
 
     def encode(self, piece: bytes) -> list[int]:
         rank = self.ranks.get(piece)
         if rank is not None:
             return [rank]
-        if len(self.states) > STATES_KEPT or len(self.pairs) > 4 * STATES_KEPT:
+        if len(self.states) > STATES_KEPT or len(self.pairs) > STATES_KEPT * 2:
             self.clear()
-            gc.collect()
-        state, out, step = self.start, [], self.step
+        state, written, move, step, outs = 0, [], self.moves.get, self.step, self.outs
         for b in piece:
-            state, written = state.next.get(b) or step(state, b)
-            if written:
-                out += written
-        out += state.configurations()[-1][2]
-        return out
+            to = move(state << 8 | b)
+            if to is None:
+                to = step(state, b)
+            state = to & LAST_STATE
+            if to > LAST_STATE:
+                written += outs[to >> STATE_BITS]
+        written += self.last_pending(state)
+        return written
 
 
 class Utf8Stream:
@@ -251,7 +260,6 @@ def _tokenizer(data: bytes) -> Tokenizer:
     key = hashlib.sha256(data).digest()
     if key not in _LOADED:
         _LOADED.clear()
-        gc.disable()  # states form cycles, which clear() collects; nothing else here does
         _LOADED[key] = Tokenizer(read_ranks(data))
     return _LOADED[key]
 
