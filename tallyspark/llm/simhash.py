@@ -39,7 +39,9 @@ LEAST_BUCKETS = 64
 FINGERPRINTS_PER_TASK = 16_384
 LEAST_TASKS = 8
 _EXPECTED_VARIANTS = 561
-_FINGERPRINTS_AT_A_TIME = 4096
+_FINGERPRINTS_AT_A_TIME = 1024
+#: A bucket's variants are sorted in so many parts, by their lowest bits.
+_PARTS = 8
 _SHINGLES_AT_A_TIME = 1 << 17
 
 #: Flip masks by code: none, the 64 single bits, then all pairs of bits.
@@ -142,6 +144,23 @@ def _emit(buckets: int):
     return emit
 
 
+def _pairs(member: np.ndarray, variant: np.ndarray, rim: np.ndarray) -> np.ndarray:
+    """Verified pairs [pairs, 2] among the members that share a variant; rim members are two flips away from it."""
+    order = np.argsort(variant)
+    same = variant[order]
+    together = same[1:] == same[:-1]
+    keep = order[np.r_[False, together] | np.r_[together, False]] if same.size else order
+    variant, member, rim = variant[keep], member[keep], rim[keep]
+    if variant.size == 0:
+        return np.zeros((0, 2), np.uint64)
+    order = np.lexsort((member, rim, variant))
+    variant, member, rim = variant[order], member[order], rim[order]
+    first = np.flatnonzero(np.r_[True, variant[1:] != variant[:-1]])
+    head = np.repeat(first, np.diff(np.r_[first, variant.size]))
+    ok = ~rim[head] & (member != member[head]) & (np.bitwise_count(member ^ member[head]) <= RADIUS)
+    return np.unique(np.stack([member[head][ok], member[ok]], axis=1), axis=0)
+
+
 def _link(group: pa.Table) -> pa.Table:
     """Verified links of one bucket: every member of a variant to its smallest member within one flip."""
     fps = group.column("fp").to_numpy().view(np.uint64)
@@ -152,22 +171,10 @@ def _link(group: pa.Table) -> pa.Table:
     data = packed.buffers()[2]
     begin = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset]
     code = np.frombuffer(data, "<u2")[begin // 2 : (begin + sizes.sum()) // 2]
-    row = np.repeat(np.arange(fps.size), sizes // 2)
+    row = np.repeat(np.arange(fps.size, dtype=np.int32), sizes // 2)
     variant = fps[row] ^ _MASKS[code]
-    order = np.argsort(variant)
-    same = variant[order]
-    together = same[1:] == same[:-1]
-    keep = order[np.r_[False, together] | np.r_[together, False]] if same.size else order
-    variant, member, rim = variant[keep], fps[row[keep]], code[keep] >= 65
-    order = np.lexsort((member, rim, variant))
-    variant, member, rim = variant[order], member[order], rim[order]
-    if variant.size:
-        first = np.flatnonzero(np.r_[True, variant[1:] != variant[:-1]])
-        head = np.repeat(first, np.diff(np.r_[first, variant.size]))
-        ok = ~rim[head] & (member != member[head]) & (np.bitwise_count(member ^ member[head]) <= RADIUS)
-        pairs = np.unique(np.stack([member[head][ok], member[ok]], axis=1), axis=0)
-    else:
-        pairs = np.zeros((0, 2), np.uint64)
+    found = [_pairs(fps[row[own]], variant[own], code[own] >= 65) for own in (np.flatnonzero(variant % np.uint64(_PARTS) == k) for k in range(_PARTS))]
+    pairs = np.unique(np.concatenate(found), axis=0)
     return pa.table({"a": pa.array(np.ascontiguousarray(pairs[:, 0]).view(np.int64)), "b": pa.array(np.ascontiguousarray(pairs[:, 1]).view(np.int64))})
 
 
