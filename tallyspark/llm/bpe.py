@@ -54,6 +54,7 @@ class Transducer:
         self.token_at: list[int] = [-1]
         self.halves: dict[int, tuple[int, int]] = {}
         self.in_order = True
+        self.states_kept = STATES_KEPT
         for token, rank in ranks.items():
             if len(token) > 1:
                 halves = merge_order(token, ranks, 2)
@@ -176,7 +177,7 @@ class Transducer:
         rank = self.ranks.get(piece)
         if rank is not None:
             return [rank]
-        if len(self.states) > STATES_KEPT or len(self.pairs) > STATES_KEPT * 2:
+        if len(self.states) > self.states_kept or len(self.pairs) > self.states_kept * 2:
             self.clear()
         state, written, move, step, outs = 0, [], self.moves.get, self.step, self.outs
         for b in piece:
@@ -221,6 +222,7 @@ class Tokenizer:
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.transducer = Transducer(ranks)
+        self.pieces_kept = PIECES_KEPT
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
         self.written: dict[str, str] = {}
         self.older: dict[str, str] = {}
@@ -234,7 +236,7 @@ class Tokenizer:
 
     def encode(self, text: str) -> str:
         """The token ids in decimal, joined by commas."""
-        if len(self.written) >= PIECES_KEPT // 2:  # what is still in use moves over from the older half
+        if len(self.written) >= self.pieces_kept // 2:  # what is still in use moves over from the older half
             self.older, self.written = self.written, {}
         get, write = self.written.get, self._write
         return ",".join([get(p) or write(p) for p in self.pieces(text)])
@@ -256,17 +258,20 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 _LOADED: dict[bytes, Tokenizer] = {}
 
 
-def _tokenizer(data: bytes) -> Tokenizer:
+def _tokenizer(data: bytes, kept: float = 1.0) -> Tokenizer:
+    """The worker's tokenizer; `kept` scales what it remembers, for this and later tasks."""
     key = hashlib.sha256(data).digest()
     if key not in _LOADED:
         _LOADED.clear()
         _LOADED[key] = Tokenizer(read_ranks(data))
-    return _LOADED[key]
+    found = _LOADED[key]
+    found.pieces_kept, found.transducer.states_kept = int(PIECES_KEPT * kept), int(STATES_KEPT * kept)
+    return found
 
 
-def _rows(vocabulary):
+def _rows(vocabulary, kept):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(vocabulary.value)
+        tokenizer = _tokenizer(vocabulary.value, kept)
         sha = hashlib.sha256
         for batch in batches:
             counts, digests, decoded = [], [], []
@@ -278,17 +283,18 @@ def _rows(vocabulary):
                 for part in tokenizer.decode(ids):
                     back.update(part.encode())
                 decoded.append(back.hexdigest())
-            kept = [n for n in batch.schema.names if n != "bpe_text"]
-            yield pa.record_batch([*(batch.column(n) for n in kept), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())], names=[*kept, "n_tokens", "ids_sha256", "decoded_sha256"])
+            names = [n for n in batch.schema.names if n != "bpe_text"]
+            yield pa.record_batch([*(batch.column(n) for n in names), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())], names=[*names, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return rows
 
 
-def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str | None = None, kept: float = 1.0) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row of `docs`.
 
     `vocabulary` is the path of a rank file on the driver, which reads and broadcasts it (its size is that of the
-    vocabulary, whatever the input). Null counts as the empty text, with no tokens; repeated rows each get a row;
+    vocabulary, whatever the input). `kept` scales the states and pieces that a worker remembers: less memory for more
+    time, with the same results. Null counts as the empty text, with no tokens; repeated rows each get a row;
     other columns are ignored.
     """
     data = Path(vocabulary or public_tokenizers.path(VOCABULARY)).read_bytes()
@@ -297,7 +303,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFram
     drop_text = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def rows(batches):
-        for out in _rows(shared)(batches):
+        for out in _rows(shared, kept)(batches):
             yield out.drop_columns(["text"])
 
     return picked.mapInArrow(rows, drop_text)
