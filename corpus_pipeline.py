@@ -15,6 +15,8 @@ from tallyspark.llm.simhash import one_of_each
 
 #: Bytes of a batch between Spark and Python: workers of five operators share an executor's memory.
 ARROW_BYTES = "8m"
+#: For the same reason the tokenizer remembers so much of what it does alone.
+TOKENIZER_KEPT = 0.5
 
 
 def _stage(operator):
@@ -31,7 +33,7 @@ STAGES = [
     ("near_dedup", _stage(one_of_each)),
     ("secret_scan", _stage(mask_secrets)),
     ("source_mixing", _stage(emitted)),
-    ("byte_bpe", _stage(encode_documents)),
+    ("byte_bpe", _stage(lambda docs: encode_documents(docs, kept=TOKENIZER_KEPT))),
 ]
 
 #: Fingerprints, trigram models and token ids are beyond SQL; tests hold the stages against brute force.
