@@ -1,7 +1,8 @@
 """Secret scans with multipart credential linking.
 
 Strong kinds stand alone: assignments of long values to secret names, access identifiers, long hex runs. Weak parts
-(an account name, a short password, a bare 40-character key, a service address) mean little alone. An interval join
+(an account name, a short password, a pwd, pass or private_key of any length, a bare 40-character key, a service
+address) mean little alone. An interval join
 links them: parts of one document whose distance is SCOPE characters at most, found by an equi-join on the document
 and on bins of SCOPE characters. A weak secret is reported if an identifier or an endpoint is in its scope, a weak
 identifier if a secret is, an endpoint if an identifier and a secret are.
@@ -26,10 +27,12 @@ MASK = "[SECRET]"
 _ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_IDENTIFIER = re.compile(r"""(?ai)\b(?:user(?:_?name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,64}""")
-_SHORT = re.compile(r"""(?ai)\b(?:pwd|pass|password|passwd|secret|token|api_?key|private_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+#: Names may carry a prefix that ends in a mark (DB_USER), but not in a letter or digit.
+_IDENTIFIER = re.compile(r"""(?ai)(?<![A-Za-z0-9])(?:user(?:_?name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,64}""")
+#: Group 1: names that no strong kind covers, so their values may be of any length.
+_SHORT = re.compile(r"""(?ai)(?<![A-Za-z0-9])(?:(pwd|pass|private_?key)|password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _BARE = re.compile(r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]{0,39}[0-9])(?=[A-Za-z0-9+/]{0,39}[A-Z])(?=[A-Za-z0-9+/]{0,39}[a-z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/])")
-_ENDPOINT = re.compile(r"""(?ai)\b(?:https?|ftp|ssh|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb|redis)://[^\s"'<>]{3,}|\b(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{3,64}""")
+_ENDPOINT = re.compile(r"""(?ai)(?<![A-Za-z0-9])(?:https?|ftp|ssh|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb|redis)://[^\s"'<>]{3,}|(?<![A-Za-z0-9])(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{3,64}""")
 _LEAST_ASSIGN, _LEAST_ACCESS, _LEAST_SHORT = 12, 18, 4
 
 _SECRET_NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key", "pwd", "pass", "private")
@@ -52,7 +55,7 @@ def weak_spans(text: str, strong: list[tuple[int, int, int]]) -> list[tuple[int,
     low = text.lower()
     out = [(m.start(), 4, m.end()) for m in _BARE.finditer(text)]
     if any(name in low for name in _SECRET_NAMES):
-        out += [(m.start(), 4, m.end()) for m in _SHORT.finditer(text) if _LEAST_SHORT <= m.end(1) - m.start(1) < _LEAST_ASSIGN]
+        out += [(m.start(), 4, m.end()) for m in _SHORT.finditer(text) if _LEAST_SHORT <= m.end(2) - m.start(2) and (m[1] or m.end(2) - m.start(2) < _LEAST_ASSIGN)]
     if any(name in low for name in _OTHER_NAMES):
         out += [(m.start(), 3, m.end()) for m in _IDENTIFIER.finditer(text)]
         out += [(m.start(), 5, m.end()) for m in _ENDPOINT.finditer(text)]

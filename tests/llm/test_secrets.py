@@ -79,3 +79,22 @@ def test_masking(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert find_secrets(df).count() == 0 and mask_secrets(df).count() == 0
+
+
+def test_names_outside_the_strong_set_and_prefixed_names(spark):
+    """Parts written by hand, not taken from weak_spans."""
+    rows = [
+        ("user=bob pwd=SuperLongPassword123", [("identifier", "user=bob"), ("secret", "pwd=SuperLongPassword123")]),
+        ("login: bob\nprivate_key: MIIEvQIBADANBgkqhkiG9w0BAQ==", [("identifier", "login: bob"), ("secret", "private_key: MIIEvQIBADANBgkqhkiG9w0BAQ==")]),
+        ("DB_USER=root\nDB_PASSWORD=hunter2\nDB_HOST=db.example", [("identifier", "USER=root"), ("secret", "PASSWORD=hunter2"), ("endpoint", "HOST=db.example")]),
+        ("MY_PASS=abcd _host=a.b", [("secret", "PASS=abcd")]),
+        ("user=bob bypass=SuperLongPassword123 compass=north", []),
+        ("pwd=abc user=bob", []),
+        ("pwd=SuperLongPassword123", []),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in find_secrets(df).collect()}
+    masks = {r.doc_id: r.text for r in mask_secrets(df).collect()}
+    for i, (text, parts) in enumerate(rows):
+        assert got[i] == ",".join(f"{k}:{text.index(p)}:{text.index(p) + len(p)}" for k, p in parts)
+        assert not any(p in masks[i] for _, p in parts) and (parts or masks[i] == text)
