@@ -2,9 +2,8 @@
 
 Strong kinds stand alone: assignments of long values to secret names, access identifiers, long hex runs. Weak parts
 (an account name, a short password, a pwd, pass or private_key of any length, a bare 40-character key, a service
-address) mean little alone. An interval join
-links them: parts of one document whose distance is SCOPE characters at most, found by an equi-join on the document
-and on bins of SCOPE characters. A weak secret is reported if an identifier or an endpoint is in its scope, a weak
+address) mean little alone. An interval join links them: parts of one document whose starts are SCOPE characters apart
+at most, found by an equi-join on the document and on bins of SCOPE characters. A weak secret is reported if an identifier or an endpoint is in its scope, a weak
 identifier if a secret is, an endpoint if an identifier and a secret are.
 """
 
@@ -51,7 +50,7 @@ def strong_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def weak_spans(text: str, strong: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of weak parts that overlap no strong span."""
+    """(start, kind, end) of weak parts that overlap no strong span but hex: hex has no part in linking, its name has."""
     low = text.lower()
     out = [(m.start(), 4, m.end()) for m in _BARE.finditer(text)]
     if any(name in low for name in _SECRET_NAMES):
@@ -59,7 +58,7 @@ def weak_spans(text: str, strong: list[tuple[int, int, int]]) -> list[tuple[int,
     if any(name in low for name in _OTHER_NAMES):
         out += [(m.start(), 3, m.end()) for m in _IDENTIFIER.finditer(text)]
         out += [(m.start(), 5, m.end()) for m in _ENDPOINT.finditer(text)]
-    ends = iter([*strong, (len(text) + 1, 0, len(text) + 1)])
+    ends = iter([*(s for s in strong if s[1] != 2), (len(text) + 1, 0, len(text) + 1)])
     kept, (start, _, end), reach = [], next(ends), 0
     for part in sorted(set(out)):
         while start <= part[0]:

@@ -98,3 +98,19 @@ def test_names_outside_the_strong_set_and_prefixed_names(spark):
     for i, (text, parts) in enumerate(rows):
         assert got[i] == ",".join(f"{k}:{text.index(p)}:{text.index(p) + len(p)}" for k, p in parts)
         assert not any(p in masks[i] for _, p in parts) and (parts or masks[i] == text)
+
+
+def test_parts_that_hold_hex_take_part_in_linking(spark):
+    digits = "0123456789abcdef" * 2
+    rows = [
+        (f"client_id={digits} pwd=abcd", [("identifier", f"client_id={digits}"), ("hex", digits), ("secret", "pwd=abcd")]),
+        (f"https://x.example/{digits} pass: abcd", [("endpoint", None), ("hex", digits), ("secret", "pass: abcd")]),
+        (f"{digits} pwd=abcd", [("hex", digits), ("secret", None)]),
+        (f"client_id={digits}", [("identifier", None), ("hex", digits)]),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in find_secrets(df).collect()}
+    masks = {r.doc_id: r.text for r in mask_secrets(df).collect()}
+    for i, (text, parts) in enumerate(rows):
+        assert got[i] == ",".join(f"{k}:{text.index(p)}:{text.index(p) + len(p)}" for k, p in parts if p)
+    assert [masks[i] for i in range(4)] == [f"{MASK} {MASK}", f"https://x.example/{MASK} {MASK}", f"{MASK} pwd=abcd", f"client_id={MASK}"]
