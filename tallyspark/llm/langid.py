@@ -135,7 +135,10 @@ def _mix(counts: np.ndarray, model: np.ndarray, weights: np.ndarray) -> tuple[np
 
 
 def infer(counts: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(proportions [texts, languages], evidence per trigram over the uniform background)."""
+    """(proportions [texts, languages], evidence per trigram over the uniform background).
+
+    The evidence is that of the chosen set's fitted mixture less its penalty, or of the top language alone if larger.
+    """
     n, k = counts.shape[0], model.shape[0] - 1
     total = counts.sum(axis=1)
     logs = np.log(model)
@@ -165,7 +168,8 @@ def infer(counts: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, np.ndarray
             break
     share = best[:, :k]
     share = share / np.maximum(share.sum(axis=1, keepdims=True), 1e-12)
-    evidence = (np.take_along_axis(single, order[:, :1], axis=1)[:, 0] - single[:, k]) / np.maximum(total, 1)
+    alone = np.take_along_axis(single, order[:, :1], axis=1)[:, 0]
+    evidence = (np.maximum(score, alone) - single[:, k]) / np.maximum(total, 1)
     return share, evidence
 
 
@@ -223,13 +227,14 @@ def identify(docs: DataFrame) -> DataFrame:
 def known_languages(docs: DataFrame) -> DataFrame:
     """The rows of `docs` whose language can be told, with a missing lang filled in.
 
-    A row goes if its text has no letter, or if the uniform background explains it better than any language does.
+    A row goes if its text has no letter, or if the uniform background alone explains it better than any language or
+    mixture does. A text with letters but no trigram stays.
     """
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("doc_id").alias("doc_id"))
     model = learn(packed.where(~held_out() & F.col("doc_id").isNotNull()))
     row = docs.schema.simpleString()
     found = predict(packed.select("row", "text"), model, f"row {row}, text string")
-    kept = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("evidence") > 0))
+    kept = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("evidence") >= 0))
     return kept.select(F.col("row").withField("lang", F.coalesce("row.lang", "lang_pred")).alias("row")).select("row.*")
 
 

@@ -82,3 +82,24 @@ def test_stage_keeps_clean_rows_and_all_columns(spark):
 def test_no_labels_and_no_rows(spark):
     assert {r.lang_pred for r in identify(frame(spark, [(1, "abc", None)])).collect()} == {UNDETERMINED}
     assert identify(frame(spark, [])).count() == 0
+
+
+def spoken():
+    """Documents of four languages, each with 120 words of its own letters."""
+    rng = random.Random(4)
+    names = {g: ["".join(rng.choices(a, k=rng.randint(3, 8))) for _ in range(120)] for g, a in (("de", "abcdefg"), ("en", "hijklmn"), ("es", "opqrstu"), ("fr", "vwxyzaeo"))}
+    say = lambda g: " ".join(rng.choices(names[g], k=150))
+    return say, [(i, say(g), g) for i, g in enumerate(list(names) * 15)], list(names)
+
+
+def test_stage_keeps_mixed_and_tiny_texts_and_drops_noise(spark):
+    say, rows, names = spoken()
+    rng = random.Random(5)
+    mixed = [(7000 + k, " ".join(say(g) for g in rng.sample(names, k)), None) for k in (2, 3, 4)] + [(7009, say("de") + " " + "".join(map(chr, rng.choices(range(0x4E00, 0x9FFF), k=400))), None)]
+    tiny = [(8001, "ok", None), (8002, "a", None), (8003, "é", None)]
+    noise = [(8100 + i, "".join(map(chr, rng.choices(range(0x4E00, 0x9FFF), k=n))), None) for i, n in enumerate((3, 50, 400))] + [(8110, "12 !", None)]
+    got = {r.doc_id: r for r in known_languages(frame(spark, rows + mixed + tiny + noise)).collect()}
+    assert set(got) == {r[0] for r in rows + mixed + tiny}
+    assert all(got[d].lang in names for d, _, _ in mixed + tiny)
+    whole = {r.doc_id: r for r in identify(frame(spark, rows + mixed)).collect()}
+    assert len(whole[7004].mixture.split()) == 4 and whole[7004].evidence > 0
