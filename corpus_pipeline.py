@@ -27,7 +27,8 @@ def _stage(operator):
     return stage
 
 
-#: Every stage takes (spark, docs, sf_dir). All but the last return the columns of `documents`.
+#: Every stage takes (spark, docs, sf_dir). All but the last return the columns of `documents`; the last the tokenised
+#: corpus, with the ids of every document.
 STAGES = [
     ("language_id", _stage(known_languages)),
     ("near_dedup", _stage(one_of_each)),
@@ -41,7 +42,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; what the stages before it return is written to the shared folder and read again."""
+    """Counts and digests of the tokenised corpus; what each stage returns is written to the shared folder and read again.
+
+    The corpus itself, with its ids, stays in the folder `4_byte_bpe` of the run.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
@@ -49,7 +53,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs.write.parquet(f"{folder}/{k}_{name}")
-            docs = spark.read.parquet(f"{folder}/{k}_{name}")
-    return docs
+        docs.write.parquet(f"{folder}/{k}_{name}")
+        docs = spark.read.parquet(f"{folder}/{k}_{name}")
+    return docs.drop("ids")

@@ -16,6 +16,7 @@ from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
@@ -245,7 +246,11 @@ class Tokenizer:
         """The text of comma-joined ids, in portions of whole characters."""
         if not ids:
             return
-        every, stream, look = ids.split(","), Utf8Stream(), self.bytes_of.__getitem__
+        yield from self.decode_ids(ids.split(","))
+
+    def decode_ids(self, every: list[str]) -> Iterator[str]:
+        """The text of ids in decimal, in portions of whole characters."""
+        stream, look = Utf8Stream(), self.bytes_of.__getitem__
         for k in range(0, len(every), IDS_AT_A_TIME):
             yield stream.feed(b"".join(map(look, every[k : k + IDS_AT_A_TIME])))
         yield stream.close()
@@ -269,45 +274,63 @@ def _tokenizer(data: bytes, kept: float = 1.0) -> Tokenizer:
     return found
 
 
-def _rows(vocabulary, kept):
+def _broadcast(docs: DataFrame, vocabulary: str | None):
+    return docs.sparkSession.sparkContext.broadcast(Path(vocabulary or public_tokenizers.path(VOCABULARY)).read_bytes())
+
+
+def _encode_rows(vocabulary, kept):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(vocabulary.value, kept)
         sha = hashlib.sha256
         for batch in batches:
-            counts, digests, decoded = [], [], []
+            every, counts, digests, decoded = [], [], [], []
             for value in batch.column("text"):
                 ids = tokenizer.encode(value.as_py() or "")
-                counts.append(ids.count(",") + 1 if ids else 0)
+                every.append(np.fromstring(ids, np.int32, sep=",") if ids else np.zeros(0, np.int32))
+                counts.append(every[-1].size)
                 digests.append(sha(ids.encode()).hexdigest())
                 back = sha()
                 for part in tokenizer.decode(ids):
                     back.update(part.encode())
                 decoded.append(back.hexdigest())
-            names = [n for n in batch.schema.names if n != "bpe_text"]
-            yield pa.record_batch([*(batch.column(n) for n in names), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())], names=[*names, "n_tokens", "ids_sha256", "decoded_sha256"])
+            offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
+            tokens = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(every) if every else np.zeros(0, np.int32)))
+            yield pa.record_batch({
+                "doc_id": batch.column("doc_id"), "ids": tokens, "n_tokens": pa.array(counts, pa.int64()),
+                "ids_sha256": pa.array(digests, pa.string()), "decoded_sha256": pa.array(decoded, pa.string()),
+            })
 
     return rows
 
 
 def encode_documents(docs: DataFrame, vocabulary: str | None = None, kept: float = 1.0) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row of `docs`.
+    """(doc_id, ids, n_tokens, ids_sha256, decoded_sha256) for every row of `docs`: the token ids, their number and
+    the digests of the ids in decimal, joined by commas, and of the text they decode to.
 
     `vocabulary` is the path of a rank file on the driver, which reads and broadcasts it (its size is that of the
     vocabulary, whatever the input). `kept` scales the states and pieces that a worker remembers: less memory for more
     time, with the same results. Null counts as the empty text, with no tokens; repeated rows each get a row;
     other columns are ignored.
     """
-    data = Path(vocabulary or public_tokenizers.path(VOCABULARY)).read_bytes()
-    shared = docs.sparkSession.sparkContext.broadcast(data)
     picked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    drop_text = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return picked.mapInArrow(_encode_rows(_broadcast(docs, vocabulary), kept), "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def _decode_rows(vocabulary):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = _tokenizer(vocabulary.value)
+        for batch in batches:
+            texts = ["".join(tokenizer.decode_ids(list(map(str, value.as_py() or [])))) for value in batch.column("ids")]
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "text": pa.array(texts, pa.string())})
+
+    return rows
 
-    def rows(batches):
-        for out in _rows(shared, kept)(batches):
-            yield out.drop_columns(["text"])
 
-    return picked.mapInArrow(rows, drop_text)
+def decode_documents(tokens: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """(doc_id, text) for every row of `tokens` (doc_id, ids), as encode_documents gives them; no ids give the empty text."""
+    picked = tokens.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>"))
+    return picked.mapInArrow(_decode_rows(_broadcast(tokens, vocabulary)), "doc_id long, text string")
 
 
 def op7_byte_bpe(spark, sf_dir: str) -> DataFrame:
-    return encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("ids")

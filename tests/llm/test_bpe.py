@@ -7,7 +7,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tallyspark.llm.bpe import VOCABULARY, Tokenizer, Utf8Stream, encode_documents, merge_order, read_ranks
+from tallyspark.llm.bpe import VOCABULARY, Tokenizer, Utf8Stream, decode_documents, encode_documents, merge_order, op7_byte_bpe, read_ranks
 
 RANKS = read_ranks(open(P.path(VOCABULARY), "rb").read())
 LIBRARY = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
@@ -81,3 +81,15 @@ def test_another_vocabulary(name):
     own = Tokenizer(ranks)
     for text in ("It's a test of naïve words, 1234 ones.", "internationalisation antidisestablishmentarianism", "  \n\t x"):
         assert own.encode(text) == ",".join(map(str, library.encode_ordinary(text)))
+
+
+def test_ids_are_returned_and_decode(spark, tmp_path):
+    texts = ["", None, "hello  world", "x" * 20_000, "été 东京 🎉 " * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tokens = encode_documents(df)
+    for r in tokens.collect():
+        assert r.ids == LIBRARY.encode_ordinary(texts[r.doc_id] or "") and r.n_tokens == len(r.ids)
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, r.ids)).encode()).hexdigest()
+    assert {r.doc_id: r.text for r in decode_documents(tokens).collect()} == {i: t or "" for i, t in enumerate(texts)}
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    assert op7_byte_bpe(spark, str(tmp_path)).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]

@@ -57,3 +57,15 @@ def test_run_reads_documents(spark, tmp_path):
     spark.createDataFrame(documents(), SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "secret_scan", "source_mixing", "byte_bpe"]
+
+
+def test_the_last_stage_writes_the_tokenised_corpus(spark, tmp_path):
+    from tallyspark.llm.bpe import decode_documents
+
+    docs = spark.createDataFrame(documents(), SCHEMA)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    counts = corpus_pipeline.run(spark, str(tmp_path))
+    written = spark.read.parquet(counts.inputFiles()[0].rsplit("/", 1)[0])
+    assert written.schema["ids"].dataType.simpleString() == "array<int>" and written.count() == counts.count() > 0
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert sorted((r.doc_id, digest(r.text)) for r in decode_documents(written).collect()) == sorted((r.doc_id, r.decoded_sha256) for r in counts.collect())
