@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Rolling, mix64, text_blocks, word_hashes, words_of
+from .common import NULL_ID, Rolling, checkpointed, mix64, text_blocks, word_hashes, words_of
 
 WINDOW = 20
 MINIMIZER = 6
+#: Ids with several texts that are broadcast at most; more of them are joined by a shuffle.
+SHARED_IDS = 20_000
 
 _FIRST = Rolling(0xC2B2AE3D27D4EB4F)
 _SECOND = Rolling(0x165667B19E3779F9)
@@ -100,11 +102,11 @@ def _first_in_document(doc: np.ndarray, *keys: np.ndarray) -> np.ndarray:
 def _path_rows(window: int, gram: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("d").to_numpy()
+            ids, variants = batch.column("d").to_numpy(), batch.column("v").to_numpy()
             for first, _, data, offsets in text_blocks(batch):
                 p = Paths(data, offsets, window, gram)
                 keep = _first_in_document(p.doc, p.key, p.content)
-                yield pa.record_batch({"k": _signed(p.key[keep]), "t": _signed(p.content[keep]), "d": pa.array(ids[first + p.doc[keep]]), "p": pa.array(p.place()[keep].astype(np.int32))})
+                yield pa.record_batch({"k": _signed(p.key[keep]), "t": _signed(p.content[keep]), "d": pa.array(ids[first + p.doc[keep]]), "v": pa.array(variants[first + p.doc[keep]]), "p": pa.array(p.place()[keep].astype(np.int32))})
 
     return rows
 
@@ -131,7 +133,7 @@ def _member(known: np.ndarray, x: np.ndarray) -> np.ndarray:
 def _edge_rows(window: int, gram: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("d").to_numpy()
+            ids, variants = batch.column("d").to_numpy(), batch.column("v").to_numpy()
             listed = batch.column("firsts")
             for first, end, data, offsets in text_blocks(batch):
                 p = Paths(data, offsets, window, gram)
@@ -143,7 +145,7 @@ def _edge_rows(window: int, gram: int):
                     continue
                 a, b = p.edge_hashes(at)
                 keep = _first_in_document(doc, a, b)
-                yield pa.record_batch({"a": _signed(a[keep]), "b": _signed(b[keep]), "d": pa.array(ids[first + doc[keep]]), "p": pa.array((at - p.bounds[doc])[keep].astype(np.int32))})
+                yield pa.record_batch({"a": _signed(a[keep]), "b": _signed(b[keep]), "d": pa.array(ids[first + doc[keep]]), "v": pa.array(variants[first + doc[keep]]), "p": pa.array((at - p.bounds[doc])[keep].astype(np.int32))})
 
     return rows
 
@@ -153,7 +155,7 @@ def _spans(covered: np.ndarray) -> str:
     return ",".join(f"{a}-{b}" for a, b in edge.reshape(-1, 2).tolist())
 
 
-def _kept_rows(window: int, gram: int):
+def _kept_rows(window: int, gram: int, with_text: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             listed, edges = batch.column("firsts"), batch.column("edges")
@@ -180,35 +182,59 @@ def _kept_rows(window: int, gram: int):
                     if n:
                         words = [w for w, c in zip(words, own.tolist(), strict=True) if not c]
                     kept = b" ".join(words)
+                    if with_text:
+                        out["kept"].append(kept)
                     out["n_words"].append(own.size)
                     out["n_removed"].append(n)
                     out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
                     out["removed_spans"].append(_spans(own) if n else "")
-            del out["kept"]
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_words": pa.array(out["n_words"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "kept_sha256": pa.array(out["kept_sha256"], pa.string()), "removed_spans": pa.array(out["removed_spans"], pa.string())})
+            text = {"kept_text": pa.array(out["kept"], pa.binary()).cast(pa.string())} if with_text else {}
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_words": pa.array(out["n_words"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "kept_sha256": pa.array(out["kept_sha256"], pa.string()), "removed_spans": pa.array(out["removed_spans"], pa.string()), **text})
 
     return rows
 
 
-def remove_repeated(docs: DataFrame, window: int = WINDOW, gram: int = MINIMIZER) -> DataFrame:
+def _named(docs: DataFrame) -> DataFrame:
+    """(d, v, text): v is a hash of the text where the id is null or stands with several texts, and 0 elsewhere.
+
+    d and v name a document and order it. v is not the hash everywhere because it is shuffled with each path.
+    """
+    digest = F.xxhash64("text")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    known = texts.where(F.col("d") != NULL_ID).select("d", digest.alias("h"))
+    several = checkpointed(known.groupBy("d").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("d", F.lit(True).alias("several")))
+    n = several.limit(SHARED_IDS + 1).count()
+    if n:
+        texts = texts.join(F.broadcast(several) if n <= SHARED_IDS else several, "d", "left")
+    shared = (F.col("d") == NULL_ID) | F.coalesce(F.col("several"), F.lit(False)) if n else F.col("d") == NULL_ID
+    return texts.select("d", F.when(shared, digest).otherwise(F.lit(0)).cast("long").alias("v"), "text")
+
+
+def _first(rows: DataFrame, *keys: str) -> DataFrame:
+    """The smallest coordinate (d, v, p) of each key."""
+    return rows.groupBy(*keys).agg(F.min(F.struct("d", "v", "p")).alias("at")).select(*keys, "at.d", "at.v", "at.p")
+
+
+def remove_repeated(docs: DataFrame, window: int = WINDOW, gram: int = MINIMIZER, with_text: bool = False) -> DataFrame:
     """One row for each row of `docs` (doc_id, text): n_words, n_removed, kept_sha256, removed_spans.
 
     A word goes if a window of `window` words covers it whose word sequence also starts earlier: in a smaller doc_id,
-    or earlier in the same document. removed_spans lists word ranges `start-end` (end exclusive). A null text has no
-    words; texts shorter than a window lose none. A null doc_id counts as larger than all others. doc_id names a
-    document: rows repeated with one id are that document again, none of them earlier than the others.
+    or earlier in the same document. removed_spans lists word ranges `start-end` (end exclusive); `with_text` adds
+    kept_text, the words that stay, joined by spaces. A null text has no words; texts shorter than a window lose none.
+    A null doc_id counts as larger than all others. doc_id and text name a document: different texts with one id, or
+    with none, are ordered by a hash; equal rows are one document again, none of them earlier than the others.
     """
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    paths = texts.mapInArrow(_path_rows(window, gram), "k long, t long, d long, p int")
-    first_copies = paths.groupBy("k", "t").agg(F.min("d").alias("d"), F.min_by("p", "d").alias("p")).select("k", "d", "p")
-    branches = first_copies.withColumn("branch", (F.count(F.lit(1)).over(Window.partitionBy("k")) > 1).cast("int"))
-    by_document = branches.groupBy("d").agg(F.collect_list(F.col("p") * 2 + F.col("branch")).alias("firsts"))
-    joined = texts.join(by_document, "d", "left")
+    texts = _named(docs)
+    paths = texts.mapInArrow(_path_rows(window, gram), "k long, t long, d long, v long, p int")
+    branches = _first(paths, "k", "t").withColumn("branch", (F.count(F.lit(1)).over(Window.partitionBy("k")) > 1).cast("int"))
+    by_document = branches.groupBy("d", "v").agg(F.collect_list(F.col("p") * 2 + F.col("branch")).alias("firsts"))
+    joined = texts.join(by_document, ["d", "v"], "left")
     # The same aggregate and the same text exchange serve both joins: Spark reuses the two exchanges.
-    edges = joined.where("exists(firsts, x -> x % 2 = 1)").select("d", "text", "firsts").mapInArrow(_edge_rows(window, gram), "a long, b long, d long, p int")
-    first_edges = edges.groupBy("a", "b").agg(F.min("d").alias("d"), F.min_by("p", "d").alias("p")).groupBy("d").agg(F.collect_list("p").alias("edges"))
-    whole = joined.join(first_edges, "d", "left").select(F.when(F.col("d") < NULL_ID, F.col("d")).alias("doc_id"), "text", "firsts", "edges")
-    return whole.mapInArrow(_kept_rows(window, gram), "doc_id long, n_words long, n_removed long, kept_sha256 string, removed_spans string")
+    edges = joined.where("exists(firsts, x -> x % 2 = 1)").select("d", "v", "text", "firsts").mapInArrow(_edge_rows(window, gram), "a long, b long, d long, v long, p int")
+    first_edges = _first(edges, "a", "b").groupBy("d", "v").agg(F.collect_list("p").alias("edges"))
+    whole = joined.join(first_edges, ["d", "v"], "left").select(F.when(F.col("d") < NULL_ID, F.col("d")).alias("doc_id"), "text", "firsts", "edges")
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed_spans string"
+    return whole.mapInArrow(_kept_rows(window, gram, with_text), f"{schema}, kept_text string" if with_text else schema)
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -61,3 +61,34 @@ def test_many_branches(spark):
 
 def test_empty_table(spark):
     assert run(spark, [], 20, 6) == []
+
+
+def test_different_texts_without_an_id_or_under_one_id(spark):
+    """The texts get ids of their own in the order that the docstring gives, and nothing else changes."""
+    from pyspark.sql import functions as F
+
+    texts = [t for _, t in corpus(3)]
+    rows = [(None if i % 3 else 7 if i % 2 else i, t) for i, t in enumerate(texts)] + [(None, texts[1]), (7, texts[3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    order = df.select("*", F.xxhash64("text").alias("h")).distinct().collect()
+    number = {(r.doc_id, r.text): n for n, r in enumerate(sorted(order, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.h)))}
+    assert len(number) > 60
+    want = sorted(x[1:] for x in brute([(number[r], r[1]) for r in rows], 20))
+    assert sum(x[1] for x in want) > 0
+    for shared in (20_000, 0):
+        import tallyspark.llm.substring as S
+
+        was, S.SHARED_IDS = S.SHARED_IDS, shared
+        try:
+            assert sorted(x[1:] for x in run(spark, rows, 20, 6)) == want
+        finally:
+            S.SHARED_IDS = was
+
+
+def test_kept_text(spark):
+    df = spark.createDataFrame(corpus(1), "doc_id long, text string")
+    got = remove_repeated(df, 20, 6, with_text=True).collect()
+    assert any(r.n_removed for r in got)
+    for r in got:
+        assert hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256
+    assert "kept_text" not in remove_repeated(df, 20, 6).columns
