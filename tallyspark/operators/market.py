@@ -19,8 +19,12 @@ TIES = ("l_orderkey", "l_linenumber", "l_suppkey")
 
 
 def two_sided(quotes: DataFrame) -> DataFrame:
-    """Quotes with valid odds on both sides, and market_over_prob without the margin."""
-    return quotes.withColumn("market_over_prob", O.no_vig(F.col("over_odds"), F.col("under_odds"))).where("market_over_prob IS NOT NULL")
+    """Quotes with valid odds on both sides, and market_over_prob without the margin.
+
+    The filter is on the odds themselves: one on the price would be pushed below joins with its whole formula in it.
+    """
+    both = quotes.where((F.abs(F.col("over_odds")) >= 100) & (F.abs(F.col("under_odds")) >= 100))
+    return both.withColumn("market_over_prob", O.no_vig(F.col("over_odds"), F.col("under_odds")))
 
 
 def latest_quotes(quotes: DataFrame, keys: Sequence[str] = CELL, ties: Sequence[str] = TIES) -> DataFrame:
