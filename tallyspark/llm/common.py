@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,12 +25,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's shared folder; a folder of our own only where none is set."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables, which driver and executors share: the session's spark.checkpoint.dir.
+
+    Where it is unset, a local session gets a folder of its own; on a cluster that is an error.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the session's shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -87,38 +102,82 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Rolling:
-    """Polynomial hashes modulo 2**64 of any span of a sequence, from prefix sums."""
-
-    def __init__(self, base: int) -> None:
-        self.base = base | 1
-        self.inverse = pow(self.base, -1, 2**64)
-        self._up = self._down = np.ones(1, np.uint64)
+_LONG_WORD = 256
+_CHUNK_MASKS = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 
-    def _powers(self, n: int) -> None:
-        if self._up.size < n:
-            size = max(n, 1 << 16)
-            for name, base in (("_up", self.base), ("_down", self.inverse)):
-                steps = np.full(size, base, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
 
-    def prefix(self, values: np.ndarray) -> np.ndarray:
-        self._powers(values.size + 1)
-        out = np.zeros(values.size + 1, np.uint64)
-        np.cumsum(values * self._up[: values.size], out=out[1:])
-        return out
-
-    def spans(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (prefix[end] - prefix[start]) * self._down[start]
-
-
-_BYTES = Rolling(0x9E3779B97F4A7C15)
-_BYTE_VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-
-
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes: eight bytes at a time are mixed in; words beyond _LONG_WORD bytes get XXH64."""
+    h = mix64((end - start).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15 * (seed + 1) % 2**64))
     if start.size == 0:
-        return np.zeros(0, np.uint64)
-    return mix64(_BYTES.spans(_BYTES.prefix(_BYTE_VALUES[data]), start, end) + (end - start).astype(np.uint64))
+        return h
+    padded = np.zeros(data.size + 8, np.uint8)
+    padded[: data.size] = data
+    eights = np.ndarray((data.size + 1,), "<u8", padded, strides=(1,))
+    sizes = end - start
+    open_words, at = np.flatnonzero(sizes <= _LONG_WORD), 0
+    while open_words.size:
+        chunk = eights[start[open_words] + at] & _CHUNK_MASKS[np.minimum(sizes[open_words] - at, 8)]
+        h[open_words] = mix64((h[open_words] ^ chunk) + np.uint64(0xD1342543DE82EF95))
+        at += 8
+        open_words = open_words[sizes[open_words] > at]
+    for i in np.flatnonzero(sizes > _LONG_WORD).tolist():
+        h[i] = xxhash.xxh64_intdigest(data[start[i] : end[i]].tobytes(), seed + 1)
+    return h
+
+
+def _joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Hashes of two parts in this order."""
+    return mix64((x * np.uint64(0x9FB21C651E98DF25)) ^ (mix64(y) + np.uint64(0x2545F4914F6CDD1D)))
+
+
+def run_hashes(values: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of each run of `width` values, joined from runs of powers of two."""
+    out, taken, power, level = None, 0, 1, values
+    while True:
+        if width & power:
+            out = level if out is None else _joined(out[: level.size - taken], level[taken:]) if level.size > taken else level[:0]
+            taken += power
+        if power * 2 > width:
+            return out if out is not None else values[:0]
+        level = _joined(level[:-power], level[power:]) if level.size > power else level[:0]
+        power *= 2
+
+
+def text_parts(batch: pa.RecordBatch, overlap: int, limit: int = BLOCK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, words before, UTF-8 bytes, offsets) like text_blocks, but long texts come in parts of about `limit` bytes
+    that end between words and repeat the last `overlap` words of the part before."""
+    for first, end, data, offsets in text_blocks(batch, limit=limit):
+        if data.size <= 2 * limit:
+            yield np.arange(first, end), np.zeros(end - first, np.int64), data, offsets
+            continue
+        at = before = 0
+        reach = limit
+        while True:
+            stop = min(data.size, at + reach)
+            while stop < data.size and not _SEPARATOR[data[stop]]:
+                ahead = np.flatnonzero(_SEPARATOR[data[stop : stop + 65536]])
+                stop = stop + int(ahead[0]) if ahead.size else min(data.size, stop + 65536)
+            part = data[at:stop]
+            start, _, _ = words_of(part, np.array([0, part.size]))
+            if stop < data.size and start.size <= overlap:
+                reach *= 2
+                continue
+            yield np.array([first]), np.array([before]), part, np.array([0, part.size])
+            if stop == data.size:
+                break
+            before += start.size - overlap
+            at += int(start[start.size - overlap]) if overlap else part.size
+            reach = limit
+
+
+def single_spaced(data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes with one space for each run of separators, and where each word starts in them."""
+    separator = _SEPARATOR[data]
+    dropped = separator.copy()
+    dropped[1:] &= separator[:-1]
+    at = start - np.searchsorted(np.flatnonzero(dropped), start)
+    np.logical_not(dropped, out=dropped)
+    out = data[dropped]
+    out[separator[dropped]] = 32
+    return out, at

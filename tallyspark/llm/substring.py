@@ -1,60 +1,70 @@
 """Substring dedup on a compacted De Bruijn graph of token k-mers.
 
-Edges of the graph are windows of WINDOW words; consecutive windows of a text are joined by the words they share.
-Each window belongs to its minimizer, the smallest hash among its runs of MINIMIZER words, and consecutive windows
-with one minimizer compact into a path. Equal windows have equal minimizers, so all copies of an edge lie in paths of
-one minimizer, and a path is about seven edges long: the graph shuffles as paths, not as single edges.
-
-1. Paths are grouped by (minimizer, content); Spark keeps each distinct path's first source coordinate. A path found
-   anywhere else than there is repeated as a whole (nonbranching: all of its edges repeat together).
-2. Where several distinct paths share a minimizer the graph branches, and only there the first copies of paths are
-   opened into edges, which are grouped by a 128-bit content hash for their first source coordinate.
-3. Both lists of first coordinates join back to the texts by document. A window that is not at its first coordinate
-   is repeated; the words that repeated windows cover make the removed spans.
-
-Nothing is keyed by a text's content without partial aggregation before the shuffle, so a passage in very many
-documents costs one row a task. The lists that are collected have one entry for each path or edge of one document.
+Edges of the graph are windows of WINDOW words; consecutive windows of a text meet in the node of the words they share.
+
+1. Edges leave the mappers in pieces: runs of consecutive windows with one minimizer, the smallest hash among their runs
+   of MINIMIZER words. Equal windows have equal minimizers, so all copies of an edge lie in pieces of one minimizer; a
+   piece is about seven edges long. Copies of a piece within a block of text point to the first one there, so a passage
+   in very many documents costs one row for each block.
+2. Pieces are dealt by minimizer and sorted by content and source coordinate (document, word). A piece that is not at
+   the first coordinate of its content is repeated as a whole and takes that coordinate as its source. Where pieces of
+   one minimizer differ the graph branches, and only there first pieces are opened into single edges, which find their
+   sources alike, by content.
+3. Paths compact: a repeated piece or edge is joined to the next one of its document if the sources are neighbours too,
+   that is, if the path goes on without a branch at both of its coordinates. All repeated pieces of a path lie in one
+   document on either side, so one sort by coordinate merges a path of any length, without rounds of joins.
+4. Every long repeated span is verified at its source: the source document sends the SHA-256 of the words there, the
+   repeating document compares it with its own, and only then its words go. A window without a source is the first of
+   its hash and so the first of its content. If any span differs (a collision of hashes), all is done again with
+   other hashes, so what is returned never rests on a hash of words or windows.
+
+A minimizer in very many different contexts would be one large group. Such heavy minimizers are counted first, over all
+texts; they are few (at most HEAVY_SHARE), count as branching and are dealt by content instead.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Rolling, checkpointed, mix64, text_blocks, word_hashes, words_of
+from .common import NULL_ID, checkpointed, mix64, run_hashes, single_spaced, text_blocks, text_parts, word_hashes, words_of
 
 WINDOW = 20
 MINIMIZER = 6
-#: Ids with several texts that are broadcast at most; more of them are joined by a shuffle.
+#: Ids with several texts or rows that are broadcast at most; more of them are joined by a shuffle.
 SHARED_IDS = 20_000
+#: A minimizer is heavy with this share of all pieces, and HEAVY_LEAST pieces; so at most so many are broadcast.
+HEAVY_SHARE = 1 << 16
+HEAVY_LEAST = 64
+HEAVY_SALTS = 64
+_HEAVY_HELD = 1 << 21
+#: Bits of the hashes of each attempt.
+ATTEMPTS = (64,) * 8
+#: A piece's place and length in one number.
+_LENGTH_BITS = 8
 
-_FIRST = Rolling(0xC2B2AE3D27D4EB4F)
-_SECOND = Rolling(0x165667B19E3779F9)
-_GRAM = Rolling(0x27D4EB2F165667C5)
 
+class Pieces:
+    """Runs of windows with one minimizer in a block of texts."""
 
-class Paths:
-    """The compacted paths of a block of texts: runs of windows with one minimizer."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int, gram: int, seed: int, bits: int) -> None:
         start, end, bounds = words_of(data, offsets)
-        self.window, self.bounds = window, bounds
-        self.words = word_hashes(data, start, end)
-        n = self.words.size
+        n = start.size
         doc_of = np.repeat(np.arange(bounds.size - 1), np.diff(bounds))
-        if n < window:
-            self.first = self.count = self.doc = np.zeros(0, np.int64)
+        inside = np.flatnonzero(doc_of[: n - window + 1] == doc_of[window - 1 :]) if n >= window else np.zeros(0, np.int64)
+        if inside.size == 0:
+            self.doc = self.place = self.count = np.zeros(0, np.int64)
             self.key = self.content = np.zeros(0, np.uint64)
             return
-        prefix = _GRAM.prefix(self.words)
-        at = np.arange(n - gram + 1)
-        grams = mix64(_GRAM.spans(prefix, at, at + gram))
-        reach, least = 1, at
+        words = word_hashes(data, start, end, seed)
+        mask = np.uint64((1 << bits) - 1)
+        grams, windows = run_hashes(words, gram) & mask, run_hashes(words, window)
+        reach, least = 1, np.arange(grams.size)
         while reach * 2 <= window - gram + 1:
             a, b = least[:-reach], least[reach:]
             least = np.where(grams[b] < grams[a], b, a)
@@ -62,182 +72,303 @@ class Paths:
         if rest := window - gram + 1 - reach:
             a, b = least[:-rest], least[rest:]
             least = np.where(grams[b] < grams[a], b, a)
-        inside = np.flatnonzero(doc_of[: n - window + 1] == doc_of[window - 1 :])
         chosen = least[inside]
-        new = np.flatnonzero(np.r_[True, (chosen[1:] != chosen[:-1]) | (inside[1:] != inside[:-1] + 1)]) if inside.size else np.zeros(0, np.int64)
-        self.first = inside[new]
+        # A piece is as long as its first and last window overlap or meet, and as its length has bits.
+        most = min(window, (1 << _LENGTH_BITS) - 1)
+        new = np.r_[True, (chosen[1:] != chosen[:-1]) | (inside[1:] != inside[:-1] + 1)]
+        run = np.flatnonzero(new)
+        new |= (np.arange(inside.size) - np.repeat(run, np.diff(np.r_[run, inside.size]))) % most == 0
+        new = np.flatnonzero(new)
+        first = inside[new]
         self.count = np.diff(np.r_[new, inside.size])
-        self.doc = doc_of[self.first]
+        self.doc = doc_of[first]
+        self.place = first - bounds[self.doc]
         self.key = grams[chosen[new]]
-        shape = (self.count * window + chosen[new] - self.first).astype(np.uint64)
-        self._prefix = _FIRST.prefix(self.words)
-        self.content = mix64(_FIRST.spans(self._prefix, self.first, self.first + self.count + window - 1) ^ mix64(shape))
-
-    def place(self) -> np.ndarray:
-        """Word of its document at which each path starts."""
-        return self.first - self.bounds[self.doc]
-
-    def edges(self, of: np.ndarray) -> np.ndarray:
-        """First words of all windows of the given paths."""
-        count = self.count[of]
-        return np.repeat(self.first[of] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-
-    def edge_hashes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        second = _SECOND.prefix(mix64(self.words + np.uint64(0x5851F42D4C957F2D)))
-        return mix64(_FIRST.spans(self._prefix, at, at + self.window)), mix64(_SECOND.spans(second, at, at + self.window))
+        shape = mix64((self.count * (window + 1) + chosen[new] - first).astype(np.uint64))
+        self.content = mix64(windows[first] ^ mix64(windows[first + self.count - 1] + shape)) & mask
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _first_in_document(doc: np.ndarray, *keys: np.ndarray) -> np.ndarray:
-    """Index of the first entry of each (document, keys)."""
-    h = mix64(doc.astype(np.uint64) + np.uint64(1))
-    for k in keys:
-        h = mix64(h ^ k)
-    return np.unique(h, return_index=True)[1]
+_SOURCE = "sd long, sv long, sp int"
+
 
+def _with_sources(hashes: tuple[np.ndarray, np.ndarray], doc: np.ndarray, p: np.ndarray, ids: np.ndarray, variants: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], dict[str, pa.Array]]:
+    """Names and places of a block's rows; those that repeat the content of another row of the block get its coordinate
+    as their source, and hashes of their own."""
+    a, b = hashes
+    d, v = ids[doc], variants[doc]
+    order = np.lexsort((p, v, d, b, a))
+    sa, sb = a[order], b[order]
+    head = np.flatnonzero(np.r_[True, (sa[1:] != sa[:-1]) | (sb[1:] != sb[:-1])]) if order.size else np.zeros(0, np.int64)
+    source = np.empty(order.size, np.int64)
+    source[order] = order[np.repeat(head, np.diff(np.r_[head, order.size]))]
+    own = source == np.arange(source.size)
+    apart = mix64(d.view(np.uint64) ^ mix64(v.view(np.uint64) + p.astype(np.uint64)))
+    masked = {"sd": pa.array(d[source], mask=own), "sv": pa.array(v[source], mask=own), "sp": pa.array(p[source].astype(np.int32), mask=own)}
+    return (np.where(own, a, apart), np.where(own, b, mix64(apart))), {"d": pa.array(d), "v": pa.array(v), "p": pa.array(p.astype(np.int32)), **masked}
 
-def _path_rows(window: int, gram: int):
+
+def _piece_rows(window: int, gram: int, seed: int, bits: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, variants = batch.column("d").to_numpy(), batch.column("v").to_numpy()
-            for first, _, data, offsets in text_blocks(batch):
-                p = Paths(data, offsets, window, gram)
-                keep = _first_in_document(p.doc, p.key, p.content)
-                yield pa.record_batch({"k": _signed(p.key[keep]), "t": _signed(p.content[keep]), "d": pa.array(ids[first + p.doc[keep]]), "v": pa.array(variants[first + p.doc[keep]]), "p": pa.array(p.place()[keep].astype(np.int32))})
+            for of, before, data, offsets in text_parts(batch, window - 1):
+                x = Pieces(data, offsets, window, gram, seed, bits)
+                hashes, named = _with_sources((x.key, x.content), of[x.doc], before[x.doc] + x.place, ids, variants)
+                yield pa.record_batch({"k": _signed(hashes[0]), "t": _signed(hashes[1]), **named, "n": pa.array(x.count.astype(np.int32))})
 
     return rows
 
 
-def _marked(listed: pa.Array, first: int, end: int, p: Paths) -> tuple[np.ndarray, np.ndarray]:
-    """For each path: is it listed as a first copy, and is it on a branch. Entries are 2 * place + branch."""
-    part = listed.slice(first, end - first)
-    sizes = np.array([len(x) if x.is_valid else 0 for x in part], np.int64)
-    values = part.flatten().to_numpy().astype(np.int64)
-    docs = np.repeat(np.arange(end - first), sizes)
-    known = np.sort(docs << 32 | values)
-    own = p.doc << 32 | p.place() * 2
-    branch = _member(known, own + 1)
-    return branch | _member(known, own), branch
+def _heavy_rows(window: int, gram: int, seed: int, bits: int):
+    """(k, n): minimizers with a notable number of a task's pieces, distinct by content in each block; k null: all pieces."""
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, counts, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        parts: list[np.ndarray] = []
 
-def _member(known: np.ndarray, x: np.ndarray) -> np.ndarray:
-    if known.size == 0:
-        return np.zeros(x.size, bool)
-    at = np.minimum(np.searchsorted(known, x), known.size - 1)
-    return known[at] == x
+        def merge() -> None:
+            nonlocal held, counts, parts
+            keys, n = np.unique(np.concatenate([held, *parts]), return_inverse=True)
+            held, counts, parts = keys, np.bincount(n, np.r_[counts, np.ones(n.size - counts.size, np.int64)], keys.size).astype(np.int64), []
 
+        for batch in batches:
+            for _, _, data, offsets in text_parts(batch, window - 1):
+                x = Pieces(data, offsets, window, gram, seed, bits)
+                distinct = x.key[np.unique(mix64(x.key ^ mix64(x.content)), return_index=True)[1]]
+                total += distinct.size
+                parts.append(distinct)
+                if sum(map(len, parts)) > _HEAVY_HELD:
+                    merge()
+                    held, counts = held[counts > 1], counts[counts > 1]
+        merge()
+        notable = counts >= max(8, total // HEAVY_SHARE)
+        yield pa.record_batch({"k": pa.concat_arrays([_signed(held[notable]), pa.nulls(1, pa.int64())]), "n": pa.array(np.r_[counts[notable], total])})
+
+    return rows
+
+
+def _edge_rows(window: int, seed: int, bits: int):
+    """The edges of the pieces in `opened`."""
 
-def _edge_rows(window: int, gram: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = np.uint64((1 << bits) - 1)
         for batch in batches:
-            ids, variants = batch.column("d").to_numpy(), batch.column("v").to_numpy()
-            listed = batch.column("firsts")
-            for first, end, data, offsets in text_blocks(batch):
-                p = Paths(data, offsets, window, gram)
-                _, branch = _marked(listed, first, end, p)
-                opened = np.flatnonzero(branch)
-                at = p.edges(opened)
-                doc = np.repeat(p.doc[opened], p.count[opened])
+            ids, variants, opened = batch.column("d").to_numpy(), batch.column("v").to_numpy(), batch.column("opened")
+            for of, before, data, offsets in text_parts(batch, window - 1):
+                start, end, bounds = words_of(data, offsets)
+                ats, docs = [], []
+                for i, row in enumerate(of.tolist()):
+                    pieces = opened[row].values.to_numpy()
+                    first, count = (pieces >> _LENGTH_BITS) - before[i], pieces & ((1 << _LENGTH_BITS) - 1)
+                    at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                    at = at[(at >= 0) & (at < bounds[i + 1] - bounds[i] - window + 1)]
+                    ats.append(bounds[i] + at)
+                    docs.append(np.full(at.size, i))
+                at, doc = np.concatenate(ats), np.concatenate(docs)
                 if at.size == 0:
                     continue
-                a, b = p.edge_hashes(at)
-                keep = _first_in_document(doc, a, b)
-                yield pa.record_batch({"a": _signed(a[keep]), "b": _signed(b[keep]), "d": pa.array(ids[first + doc[keep]]), "v": pa.array(variants[first + doc[keep]]), "p": pa.array((at - p.bounds[doc])[keep].astype(np.int32))})
+                a = run_hashes(word_hashes(data, start, end, seed), window)[at] & mask
+                b = run_hashes(word_hashes(data, start, end, seed + 1000), window)[at] & mask
+                hashes, named = _with_sources((a, b), of[doc], before[doc] + at - bounds[doc], ids, variants)
+                yield pa.record_batch({"k": _signed(hashes[0]), "t": _signed(hashes[1]), **named})
+
+    return rows
+
+
+def _digest_rows(window: int):
+    """(sd, sv, sp, n, digest): SHA-256 of the words of each of the spans that other documents ask for."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = batch.column("asked")
+            out: dict[str, list] = {"sp": [], "n": [], "digest": []}
+            rows_of = []
+            for first, end, data, offsets in text_blocks(batch):
+                text = Words(data, offsets)
+                for i in range(end - first):
+                    spans = asked[first + i].values.to_numpy()
+                    places, counts = spans >> 32, spans & (2**32 - 1)
+                    rows_of.append(np.full(spans.size, first + i))
+                    out["sp"].append(places)
+                    out["n"].append(counts)
+                    out["digest"] += [text.digest(i, p, p + n + window - 1) for p, n in zip(places.tolist(), counts.tolist(), strict=True)]
+            if rows_of:
+                row = np.concatenate(rows_of)
+                yield pa.record_batch({
+                    "sd": pa.array(batch.column("d").to_numpy()[row]), "sv": pa.array(batch.column("v").to_numpy()[row]),
+                    "sp": pa.array(np.concatenate(out["sp"]).astype(np.int32)), "n": pa.array(np.concatenate(out["n"]).astype(np.int64)), "digest": pa.array(out["digest"], pa.binary()),
+                })
 
     return rows
 
 
-def _spans(covered: np.ndarray) -> str:
+class Words:
+    """The words of a block of texts, joined by one space."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+        self.start, self.end, self.bounds = words_of(data, offsets)
+        self.joined, self.at = single_spaced(data, self.start)
+        self.until = self.at + (self.end - self.start)
+
+    def count(self, doc: int) -> int:
+        return int(self.bounds[doc + 1] - self.bounds[doc])
+
+    def digest(self, doc: int, first: int, end: int) -> bytes:
+        a, b = self.bounds[doc] + first, self.bounds[doc] + end
+        return hashlib.sha256(self.joined[self.at[a] : self.until[b - 1]]).digest() if b <= self.bounds[doc + 1] else b""
+
+    def kept(self, doc: int, covered: np.ndarray) -> bytes:
+        a, b = self.bounds[doc], self.bounds[doc + 1]
+        if a == b:
+            return b""
+        low, high = self.at[a], self.until[b - 1]
+        own = self.joined[low:high]
+        edge = np.flatnonzero(np.diff(np.r_[False, covered, False].astype(np.int8))).reshape(-1, 2)
+        if edge.size == 0:
+            return own.tobytes()
+        parts, last = [], low
+        for first, end in edge.tolist():
+            parts.append(self.joined[last : self.at[a + first]])
+            last = self.at[a + end] if a + end < b else high
+        parts.append(self.joined[last:high])
+        return np.concatenate(parts).tobytes().rstrip(b" ")
+
+
+def _written(covered: np.ndarray) -> str:
     edge = np.flatnonzero(np.diff(np.r_[False, covered, False].astype(np.int8)))
     return ",".join(f"{a}-{b}" for a, b in edge.reshape(-1, 2).tolist())
 
 
-def _kept_rows(window: int, gram: int, with_text: bool):
+def _kept_rows(window: int, with_text: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            listed, edges = batch.column("firsts"), batch.column("edges")
-            out: dict[str, list] = {"n_words": [], "n_removed": [], "kept_sha256": [], "removed_spans": [], "kept": []}
+            spans = batch.column("spans")
+            out: dict[str, list] = {"n_words": [], "n_removed": [], "kept_sha256": [], "removed_spans": [], "differing": [], "kept": []}
             for first, end, data, offsets in text_blocks(batch):
-                p = Paths(data, offsets, window, gram)
-                known, branch = _marked(listed, first, end, p)
-                whole = p.edges(np.flatnonzero(~known))
-                opened = np.flatnonzero(branch)
-                at = p.edges(opened)
-                part = edges.slice(first, end - first)
-                sizes = np.array([len(x) if x.is_valid else 0 for x in part], np.int64)
-                firsts = np.sort(np.repeat(np.arange(end - first), sizes) << 32 | part.flatten().to_numpy().astype(np.int64))
-                doc = np.repeat(p.doc[opened], p.count[opened])
-                repeated = np.r_[whole, at[~_member(firsts, doc << 32 | at - p.bounds[doc])]]
-                change = np.bincount(repeated, minlength=p.words.size + 1)[: p.words.size + 1]
-                change[window:] -= np.bincount(repeated + window, minlength=p.words.size + 1)[window : p.words.size + 1]
-                covered = np.cumsum(change[:-1]) > 0
-                raw = data.tobytes()
+                text = Words(data, offsets)
                 for i in range(end - first):
-                    own = covered[p.bounds[i] : p.bounds[i + 1]]
-                    words = raw[offsets[i] : offsets[i + 1]].split()
-                    n = int(own.sum())
-                    if n:
-                        words = [w for w, c in zip(words, own.tolist(), strict=True) if not c]
-                    kept = b" ".join(words)
+                    n = text.count(i)
+                    change = np.zeros(n + 1, np.int64)
+                    differing = 0
+                    for span in spans[first + i].as_py() or ():
+                        stop = span["p"] + span["n"] + window - 1
+                        if text.digest(i, span["p"], stop) != span["digest"]:
+                            differing += 1
+                            continue
+                        change[span["p"]] += 1
+                        change[stop] -= 1
+                    covered = np.cumsum(change[:-1]) > 0
+                    kept = text.kept(i, covered)
                     if with_text:
                         out["kept"].append(kept)
-                    out["n_words"].append(own.size)
-                    out["n_removed"].append(n)
+                    out["n_words"].append(n)
+                    out["n_removed"].append(int(covered.sum()))
                     out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                    out["removed_spans"].append(_spans(own) if n else "")
-            text = {"kept_text": pa.array(out["kept"], pa.binary()).cast(pa.string())} if with_text else {}
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_words": pa.array(out["n_words"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "kept_sha256": pa.array(out["kept_sha256"], pa.string()), "removed_spans": pa.array(out["removed_spans"], pa.string()), **text})
+                    out["removed_spans"].append(_written(covered))
+                    out["differing"].append(differing)
+            shown = {"kept_text": pa.array(out["kept"], pa.binary()).cast(pa.string())} if with_text else {}
+            yield pa.record_batch({
+                "doc_id": batch.column("doc_id"), "n_words": pa.array(out["n_words"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()),
+                "kept_sha256": pa.array(out["kept_sha256"], pa.string()), "removed_spans": pa.array(out["removed_spans"], pa.string()),
+                "differing": pa.array(out["differing"], pa.int32()), "copies": batch.column("copies"), **shown,
+            })
 
     return rows
 
 
 def _named(docs: DataFrame) -> DataFrame:
-    """(d, v, text): v is a hash of the text where the id is null or stands with several texts, and 0 elsewhere.
+    """(doc_id, d, v, text, copies): v is a hash of the text where the id is null or stands in several rows, else 0.
 
-    d and v name a document and order it. v is not the hash everywhere because it is shuffled with each path.
+    d and v name a document and order it; rows that repeat one are a single row here, with their number.
     """
     digest = F.xxhash64("text")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    known = texts.where(F.col("d") != NULL_ID).select("d", digest.alias("h"))
-    several = checkpointed(known.groupBy("d").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("d", F.lit(True).alias("several")))
-    n = several.limit(SHARED_IDS + 1).count()
-    if n:
-        texts = texts.join(F.broadcast(several) if n <= SHARED_IDS else several, "d", "left")
-    shared = (F.col("d") == NULL_ID) | F.coalesce(F.col("several"), F.lit(False)) if n else F.col("d") == NULL_ID
-    return texts.select("d", F.when(shared, digest).otherwise(F.lit(0)).cast("long").alias("v"), "text")
-
-
-def _first(rows: DataFrame, *keys: str) -> DataFrame:
-    """The smallest coordinate (d, v, p) of each key."""
-    return rows.groupBy(*keys).agg(F.min(F.struct("d", "v", "p")).alias("at")).select(*keys, "at.d", "at.v", "at.p")
-
-
-def remove_repeated(docs: DataFrame, window: int = WINDOW, gram: int = MINIMIZER, with_text: bool = False) -> DataFrame:
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    groups = texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), (F.min(digest) != F.max(digest)).alias("several"))
+    shared = checkpointed(groups.where("doc_id IS NULL OR rows > 1").select(F.col("doc_id").alias("shared_id"), (F.col("several") | F.col("doc_id").isNull()).alias("several")))
+    n = shared.limit(SHARED_IDS + 1).count()
+    d = F.coalesce("doc_id", F.lit(NULL_ID)).alias("d")
+    if n == 0:
+        return texts.select("doc_id", d, F.lit(0).cast("long").alias("v"), "text", F.lit(1).cast("long").alias("copies"))
+    joined = texts.join(F.broadcast(shared) if n <= SHARED_IDS else shared, F.col("doc_id").eqNullSafe(F.col("shared_id")), "left")
+    named = joined.select("doc_id", d, F.when(F.col("several"), digest).otherwise(F.lit(0)).cast("long").alias("v"), "text")
+    grouped = named.groupBy("d", "v", F.col("doc_id").isNull().alias("no_id")).agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    return grouped.select("doc_id", "d", "v", "text", "copies")
+
+
+def _sourced(rows: DataFrame, deal: Sequence[str]) -> DataFrame:
+    """Rows with `first`, the first coordinate of their (k, t); dealt by the given columns, so they end sorted by content."""
+    dealt = rows.repartition(*deal).sortWithinPartitions(*deal, *(c for c in ("k", "t", "d", "v", "p") if c not in deal))
+    same = Window.partitionBy(*deal, *(c for c in ("k", "t") if c not in deal)).orderBy("d", "v", "p")
+    return dealt.withColumn("first", F.first(F.struct("d", "v", "p")).over(same))
+
+
+def _repeated(rows: DataFrame, n: Column) -> DataFrame:
+    """(d, v, p, n, sd, sv, sp) of the rows that have an earlier copy: in their block, or else the first one."""
+    inside = F.col("sd").isNotNull() & F.col("sv").isNotNull() & F.col("sp").isNotNull()
+    later = F.struct("d", "v", "p") != F.col("first")
+    source = lambda x: F.when(inside, F.col(f"s{x}")).otherwise(F.col(f"first.{x}")).alias(f"s{x}")
+    return rows.where(inside | later).select("d", "v", "p", n.alias("n"), *map(source, "dvp"))
+
+
+def _compacted(pieces: DataFrame) -> DataFrame:
+    """Spans (d, v, p, n, sd, sv, sp): runs of repeated pieces that are neighbours in their document and at the source."""
+    along = Window.partitionBy("d", "v").orderBy("p")
+    goes_on = (
+        (F.lag(F.col("p") + F.col("n")).over(along) == F.col("p")) & (F.lag("sd").over(along) == F.col("sd")) & (F.lag("sv").over(along) == F.col("sv"))
+        & (F.lag(F.col("sp") - F.col("p")).over(along) == F.col("sp") - F.col("p"))
+    )
+    marked = pieces.withColumn("starts", F.when(goes_on, 0).otherwise(1)).withColumn("path", F.sum("starts").over(along))
+    return marked.groupBy("d", "v", "path").agg(F.min("p").alias("p"), F.sum("n").alias("n"), F.first("sd").alias("sd"), F.first("sv").alias("sv"), F.min("sp").alias("sp")).drop("path")
+
+
+def _attempt(texts: DataFrame, window: int, gram: int, with_text: bool, seed: int, bits: int) -> DataFrame:
+    notable = checkpointed(texts.mapInArrow(_heavy_rows(window, gram, seed, bits), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")))
+    every = notable.where("k IS NULL").first()
+    least = max(HEAVY_LEAST, (every.n if every else 0) // HEAVY_SHARE)
+    heavy = notable.where((F.col("n") >= least) & F.col("k").isNotNull()).select("k", F.lit(True).alias("heavy"))  # at most HEAVY_SHARE
+    pieces = texts.mapInArrow(_piece_rows(window, gram, seed, bits), f"k long, t long, d long, v long, p int, {_SOURCE}, n int")
+    salted = pieces.join(F.broadcast(heavy), "k", "left").withColumn("salt", F.when(F.col("heavy"), F.pmod(F.col("t"), F.lit(HEAVY_SALTS)).cast("int") + 1).otherwise(0)).drop("heavy")
+    group = Window.partitionBy("k", "salt")
+    found = _sourced(salted, ["k", "salt"]).withColumn("branch", (F.col("salt") > 0) | (F.min("t").over(group) != F.max("t").over(group)))
+    at_first = F.col("sd").isNull() & F.col("sv").isNull() & F.col("sp").isNull() & (F.struct("d", "v", "p") == F.col("first"))
+    opened = found.where(at_first & F.col("branch")).groupBy("d", "v").agg(F.collect_list(F.col("p").cast("long") * (1 << _LENGTH_BITS) + F.col("n")).alias("opened"))
+    edges = texts.join(opened, ["d", "v"]).select("d", "v", "text", "opened").mapInArrow(_edge_rows(window, seed, bits), f"k long, t long, d long, v long, p int, {_SOURCE}")
+    spans = _compacted(_repeated(found, F.col("n")).unionByName(_repeated(_sourced(edges, ["k", "t"]), F.lit(1))))
+    asked = spans.groupBy(F.col("sd").alias("d"), F.col("sv").alias("v")).agg(F.collect_set(F.col("sp").cast("long") * 2**32 + F.col("n")).alias("asked"))
+    digests = texts.join(asked, ["d", "v"]).select("d", "v", "text", "asked").mapInArrow(_digest_rows(window), "sd long, sv long, sp int, n long, digest binary")
+    listed = spans.join(digests, ["sd", "sv", "sp", "n"]).groupBy("d", "v").agg(F.collect_list(F.struct("p", "n", "digest")).alias("spans"))
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed_spans string, differing int, copies long"
+    whole = texts.join(listed, ["d", "v"], "left").select("doc_id", "text", "copies", "spans")
+    return checkpointed(whole.mapInArrow(_kept_rows(window, with_text), f"{schema}, kept_text string" if with_text else schema))
+
+
+def remove_repeated(docs: DataFrame, window: int = WINDOW, gram: int = MINIMIZER, with_text: bool = False, attempts: Sequence[int] = ATTEMPTS) -> DataFrame:
     """One row for each row of `docs` (doc_id, text): n_words, n_removed, kept_sha256, removed_spans.
 
     A word goes if a window of `window` words covers it whose word sequence also starts earlier: in a smaller doc_id,
     or earlier in the same document. removed_spans lists word ranges `start-end` (end exclusive); `with_text` adds
-    kept_text, the words that stay, joined by spaces. A null text has no words; texts shorter than a window lose none.
-    A null doc_id counts as larger than all others. doc_id and text name a document: different texts with one id, or
-    with none, are ordered by a hash; equal rows are one document again, none of them earlier than the others.
+    kept_text, the words that stay, joined by spaces. `attempts` has the bits of the hashes of each attempt.
+
+    A null text has no words; texts shorter than a window lose none; an empty table gives an empty one. Texts of any
+    length are hashed in parts. A null doc_id counts as 2**63 - 1. doc_id and text name a document: different texts
+    with one id, or with none, are ordered by a hash; equal rows are one document again, none of them earlier than the
+    others, and each gets its row. Other columns are ignored, whatever their names.
     """
     texts = _named(docs)
-    paths = texts.mapInArrow(_path_rows(window, gram), "k long, t long, d long, v long, p int")
-    branches = _first(paths, "k", "t").withColumn("branch", (F.count(F.lit(1)).over(Window.partitionBy("k")) > 1).cast("int"))
-    by_document = branches.groupBy("d", "v").agg(F.collect_list(F.col("p") * 2 + F.col("branch")).alias("firsts"))
-    joined = texts.join(by_document, ["d", "v"], "left")
-    # The same aggregate and the same text exchange serve both joins: Spark reuses the two exchanges.
-    edges = joined.where("exists(firsts, x -> x % 2 = 1)").select("d", "v", "text", "firsts").mapInArrow(_edge_rows(window, gram), "a long, b long, d long, v long, p int")
-    first_edges = _first(edges, "a", "b").groupBy("d", "v").agg(F.collect_list("p").alias("edges"))
-    whole = joined.join(first_edges, ["d", "v"], "left").select(F.when(F.col("d") < NULL_ID, F.col("d")).alias("doc_id"), "text", "firsts", "edges")
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed_spans string"
-    return whole.mapInArrow(_kept_rows(window, gram, with_text), f"{schema}, kept_text string" if with_text else schema)
+    for seed, bits in enumerate(attempts):
+        out = _attempt(texts, window, gram, with_text, seed, bits)
+        if out.where("differing > 0").isEmpty():
+            repeated = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+            return repeated.drop("differing", "copies", "copy")
+    raise RuntimeError("repeated spans differ from their sources in every attempt")
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """remove_repeated over all of `documents`, windows of 20 words; its edge cases hold."""
     return remove_repeated(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -92,3 +92,92 @@ def test_kept_text(spark):
     for r in got:
         assert hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256
     assert "kept_text" not in remove_repeated(df, 20, 6).columns
+
+
+def test_words_that_collide_under_polynomial_hashes(spark):
+    """Words in the Thue-Morse order and its complement are different words."""
+    order = [bin(i).count("1") & 1 for i in range(1024)]
+    one, other = ("".join("ab"[x ^ flip] for x in order) for flip in (0, 1))
+    tail = " ".join(["same"] * 19)
+    rows = [(1, f"{one} {tail}"), (2, f"{other} {tail}")]
+    assert run(spark, rows, 20, 6) == brute(rows, 20)
+    assert [x[2] for x in run(spark, rows, 20, 6)] == [0, 0]
+
+
+def test_differing_spans_start_another_attempt(spark, monkeypatch):
+    """Hashes of four bits collide all the time: no word goes on their word, and the next attempt is right."""
+    import tallyspark.llm.substring as S
+
+    tried = []
+    attempt = S._attempt
+
+    def watched(*args):
+        out = attempt(*args)
+        tried.append((args[-1], out.where("differing > 0").count()))
+        return out
+
+    monkeypatch.setattr(S, "_attempt", watched)
+    rows = corpus(4)
+    df = spark.createDataFrame([(d, t) for d, t in rows], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in S.remove_repeated(df, 20, 6, attempts=(4, 64)).collect()), key=str)
+    assert got == brute(rows, 20)
+    assert [bits for bits, _ in tried] == [4, 64] and tried[0][1] > 0 and tried[1][1] == 0
+
+
+def test_row_order_does_not_matter(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, b = " ".join(words[:40]), " ".join(words[10:60])
+    for id_ in (5, None, 2**63 - 1):
+        found = []
+        for rows in ([(id_, a), (id_, b)], [(id_, b), (id_, a)]):
+            found.append(run(spark, rows, 20, 6))
+        assert found[0] == found[1]
+        assert [x[0] for x in found[0]] == [id_, id_]
+        assert sum(x[2] for x in found[0]) == 30
+
+
+def test_heavy_minimizers_count_as_branches(spark, monkeypatch):
+    import tallyspark.llm.substring as S
+
+    monkeypatch.setattr(S, "HEAVY_LEAST", 2)
+    rows = corpus(5, vocabulary=30)
+    assert run(spark, rows, 20, 6) == brute(rows, 20)
+
+
+def test_text_parts_cover_every_window():
+    import numpy as np
+    import pyarrow as pa
+
+    from tallyspark.llm.common import text_parts, words_of
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["a", "bb", "ccé", " ", "\n ", "x" * 90]) for _ in range(n)) for n in (3000, 0, 40, 5000)]
+    batch = pa.record_batch({"text": pa.array(texts)})
+    seen = [dict() for _ in texts]
+    for rows, before, data, offsets in text_parts(batch, 4, limit=700):
+        start, end, bounds = words_of(data, offsets)
+        for i, row in enumerate(rows.tolist()):
+            words = [data[a:b].tobytes().decode() for a, b in zip(start[bounds[i] : bounds[i + 1]], end[bounds[i] : bounds[i + 1]])]
+            for j in range(len(words) - 4):
+                assert int(before[i]) + j not in seen[row]
+                seen[row][int(before[i]) + j] = words[j : j + 5]
+    for text, found in zip(texts, seen):
+        words = text.split()
+        assert found == {j: words[j : j + 5] for j in range(len(words) - 4)}
+    assert np.all([len(s) for s in (seen[0], seen[3])])
+
+
+def test_long_text(spark):
+    rng = random.Random(7)
+    text = " ".join(rng.choices([f"w{i}" for i in range(5000)], k=1_200_000))
+    cut = text[3_000_000:3_100_000]
+    rows = [(1, text), (2, cut), (3, cut[50_000:] + " new " + text[:5_000_000])]
+    assert run(spark, rows, 20, 6) == brute(rows, 20)
+
+
+def test_clashing_columns(spark):
+    rows = corpus(8)[:30]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("d", "v", "p", "k", "t", "n", "sd", "first", "salt", "heavy", "opened", "asked", "spans", "copies", "shared_id", "several", "differing", "copy"):
+        df = df.withColumn(name, df["doc_id"] * 0)
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in remove_repeated(df).collect()), key=str) == brute(rows, 20)
