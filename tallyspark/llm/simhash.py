@@ -1,7 +1,7 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
 A fingerprint is a 64-bit SimHash over word shingles. Two fingerprints link at three or fewer differing bits.
-Each distinct fingerprint emits the variants around it that two linked fingerprints are sure to share:
+Each distinct fingerprint has the variants around it that two linked fingerprints are sure to share:
 
 * itself and all 64 variants with one bit flipped, and
 * all variants with two of its set bits cleared.
@@ -11,9 +11,14 @@ reach either common neighbour by one flip. d = 3: one of the two, say a, has at
 clearing two of them leaves one difference, which is one flip of b. That is about 560 variants instead of the 2081
 of the whole ball of radius two.
 
-Variants shuffle in packed form: one row for a fingerprint and a bucket of variants, with two bytes a variant. The
-number of buckets follows the number of fingerprints, so a bucket holds about VARIANTS_PER_BUCKET variants at any
-size. At a variant, members one flip away or less (the core) lie within two bits of each other, and within three of
+Variants shuffle by their highest KEY_BITS bits (more for very many fingerprints). One row (key, fingerprint) stands
+for all variants of the fingerprint with that key, which the receiver writes out again: about 45 rows of two numbers
+each for 560 variants. The bits of a key follow the number of fingerprints slowly, and so do the rows: 113 of them for
+5 * 10**10 fingerprints. Clusters of fingerprints that agree in their highest bits share keys; a key with more than
+KEY_VARIANTS variants is not worked on where it lands but dealt again, each of its variants on its own. A single variant
+has 2081 members at most, so that splits any cluster.
+
+At a variant, members one flip away or less (the core) lie within two bits of each other, and within three of
 those two flips away. Linking every member to the smallest core member therefore keeps all reachability without
 listing all pairs; each emitted pair is deduplicated and verified by its differing bits.
 """
@@ -28,28 +33,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, mix64
+from .common import checkpointed
 from .components import connected_components
 
 SHINGLE_WORDS = 3
 RADIUS = 3
 SEED = 42
-VARIANTS_PER_BUCKET = 1 << 21
-LEAST_BUCKETS = 64
+#: Bits of a key at least, and rows of a key on average, at most, before it gets more.
+KEY_BITS = 16
+ROWS_PER_KEY = 32_768
+#: Variants that a task holds at a time; a key with more is dealt again by variant.
+KEY_VARIANTS = 1 << 21
 FINGERPRINTS_PER_TASK = 16_384
 LEAST_TASKS = 8
-_EXPECTED_VARIANTS = 561
-_FINGERPRINTS_AT_A_TIME = 1024
-#: A bucket's variants are sorted in so many parts, by their lowest bits.
-_PARTS = 8
+_ROWS_PER_FINGERPRINT = 64
+_FINGERPRINTS_AT_A_TIME = 4096
 _SHINGLES_AT_A_TIME = 1 << 17
 
-#: Flip masks by code: none, the 64 single bits, then all pairs of bits.
 _ONE = np.uint64(1) << np.arange(64, dtype=np.uint64)
-_LOW, _HIGH = np.triu_indices(64, 1)
-_MASKS = np.concatenate([np.zeros(1, np.uint64), _ONE, _ONE[_LOW] | _ONE[_HIGH]])
-_PAIR_CODE = np.zeros((64, 64), np.int64)
-_PAIR_CODE[_LOW, _HIGH] = _PAIR_CODE[_HIGH, _LOW] = 65 + np.arange(_LOW.size)
 
 
 def shingle_hashes(text: str | None) -> list[int]:
@@ -107,39 +108,66 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return picked.mapInArrow(_fingerprints, "doc_id long, text_hash long, fp long")
 
 
-def _variant_codes(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row of fps, code) of every variant that the fingerprints emit."""
-    n = fps.size
-    rows, codes = [np.repeat(np.arange(n), 65)], [np.tile(np.arange(65), n)]
-    set_bits = (fps[:, None] & _ONE) != 0
+def _set_pairs(fps: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row of fps, mask of two bits) of every pair of set bits among the bits low..high-1."""
+    set_bits = (fps[:, None] & _ONE[low:high]) != 0
     weight = set_bits.sum(axis=1)
+    rows, masks = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for w in np.unique(weight[weight >= 2]):
         own = np.flatnonzero(weight == w)
-        places = np.nonzero(set_bits[own])[1].reshape(own.size, w)
+        places = np.nonzero(set_bits[own])[1].reshape(own.size, w) + low
         i, j = np.triu_indices(w, 1)
         rows.append(np.repeat(own, i.size))
-        codes.append(_PAIR_CODE[places[:, i], places[:, j]].ravel())
-    return np.concatenate(rows), np.concatenate(codes)
+        masks.append((_ONE[places[:, i]] | _ONE[places[:, j]]).ravel())
+    return np.concatenate(rows), np.concatenate(masks)
+
+
+def _keys(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row of fps, key) for all different highest `bits` bits among the variants of each fingerprint."""
+    n, low = fps.size, 64 - bits
+    pairs, masks = _set_pairs(fps, low, 64)
+    rows = np.concatenate([np.arange(n), np.repeat(np.arange(n), bits), pairs])
+    return rows, (fps[rows] ^ np.concatenate([np.zeros(n, np.uint64), np.tile(_ONE[low:], n), masks])) >> np.uint64(low)
+
+
+def _variants(fps: np.ndarray, keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, variant, rim) of the variants of each fingerprint with the given key; rim ones are two flips away."""
+    low = 64 - bits
+    flips = ((fps >> np.uint64(low)) ^ keys) << np.uint64(low)
+    far = np.bitwise_count(flips)
+    every = np.arange(fps.size)
+    out = [(every, fps ^ flips, far == 2)]
+    near = np.flatnonzero(far == 0)
+    rows = np.repeat(near, low)
+    out.append((rows, fps[rows] ^ np.tile(_ONE[:low], near.size), np.zeros(rows.size, bool)))
+    rows, masks = _set_pairs(fps[near], 0, low)
+    out.append((near[rows], fps[near[rows]] ^ masks, np.ones(rows.size, bool)))
+    cleared = np.flatnonzero((far == 1) & ((fps & flips) != 0))
+    row, bit = np.nonzero((fps[cleared][:, None] & _ONE[:low]) != 0)
+    rows = cleared[row]
+    out.append((rows, fps[rows] ^ flips[rows] ^ _ONE[bit], np.ones(rows.size, bool)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
 
+def _number_of_variants(fps: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+    low = np.uint64(64 - bits)
+    flips = ((fps >> low) ^ keys) << low
+    far, weight = np.bitwise_count(flips).astype(np.int64), np.bitwise_count(fps & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+    return np.where(far == 0, 1 + int(low) + weight * (weight - 1) // 2, np.where((far == 1) & ((fps & flips) != 0), 1 + weight, 1))
 
-def _emit(buckets: int):
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+def _emit(bits: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every = batch.column("fp").to_numpy().view(np.uint64)
             for k in range(0, every.size, _FINGERPRINTS_AT_A_TIME):
                 fps = every[k : k + _FINGERPRINTS_AT_A_TIME]
-                row, code = _variant_codes(fps)
-                bucket = (mix64(fps[row] ^ _MASKS[code]) % np.uint64(buckets)).astype(np.int64)
-                packed = np.sort((row * buckets + bucket) << 12 | code)
-                cell = packed >> 12
-                first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-                offsets = np.r_[first, cell.size].astype(np.int32) * 2
-                data = (packed & 4095).astype("<u2").tobytes()
-                yield pa.record_batch({
-                    "bucket": pa.array(cell[first] % buckets),
-                    "fp": pa.array(fps[cell[first] // buckets].view(np.int64)),
-                    "codes": pa.BinaryArray.from_buffers(pa.binary(), first.size, [None, pa.py_buffer(offsets), pa.py_buffer(data)]),
-                })
+                row, key = _keys(fps, bits)
+                yield pa.record_batch({"key": _signed(key), "fp": _signed(fps[row])})
 
     return emit
 
@@ -161,31 +189,94 @@ def _pairs(member: np.ndarray, variant: np.ndarray, rim: np.ndarray) -> np.ndarr
     return np.unique(np.stack([member[head][ok], member[ok]], axis=1), axis=0)
 
 
-def _link(group: pa.Table) -> pa.Table:
-    """Verified links of one bucket: every member of a variant to its smallest member within one flip."""
-    fps = group.column("fp").to_numpy().view(np.uint64)
-    packed = group.column("codes").combine_chunks()
-    if isinstance(packed, pa.ChunkedArray):
-        packed = pa.concat_arrays(packed.chunks)
-    sizes = np.diff(np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1])
-    data = packed.buffers()[2]
-    begin = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset]
-    code = np.frombuffer(data, "<u2")[begin // 2 : (begin + sizes.sum()) // 2]
-    row = np.repeat(np.arange(fps.size, dtype=np.int32), sizes // 2)
-    variant = fps[row] ^ _MASKS[code]
-    found = [_pairs(fps[row[own]], variant[own], code[own] >= 65) for own in (np.flatnonzero(variant % np.uint64(_PARTS) == k) for k in range(_PARTS))]
-    pairs = np.unique(np.concatenate(found), axis=0)
-    return pa.table({"a": pa.array(np.ascontiguousarray(pairs[:, 0]).view(np.int64)), "b": pa.array(np.ascontiguousarray(pairs[:, 1]).view(np.int64))})
-
-
-def links(distinct: DataFrame) -> DataFrame:
+def _link(bits: int, most: int):
+    """(key, a, b) from rows (key, fp) sorted by key: verified links of every member of a variant to its smallest member
+    within one flip; b is null for the members of a key with more than `most` variants."""
+
+    def pairs(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        row, variant, rim = _variants(fps, keys, bits)
+        found = _pairs(fps[row], variant, rim)
+        return _links(np.zeros(found.shape[0], np.uint64), found[:, 0], found[:, 1], False)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, fps, crowded = np.zeros(0, np.uint64), np.zeros(0, np.uint64), None
+        for batch in batches:
+            keys = np.r_[keys, batch.column("key").to_numpy().view(np.uint64)]
+            fps = np.r_[fps, batch.column("fp").to_numpy().view(np.uint64)]
+            sizes = np.cumsum(_number_of_variants(fps, keys, bits))
+            at, before = 0, 0
+            while sizes.size and sizes[-1] - before > most:
+                if crowded is not None and keys[at] == crowded:
+                    end = int(np.searchsorted(keys, crowded, side="right"))
+                    yield _links(keys[at:end], fps[at:end], fps[at:end], True)
+                else:
+                    end = int(np.searchsorted(sizes, before + most, side="right"))
+                    end = int(np.searchsorted(keys, keys[end], side="left"))  # whole keys only
+                    if end <= at:
+                        crowded = keys[at]
+                        continue
+                    yield pairs(keys[at:end], fps[at:end])
+                at, before = end, int(sizes[end - 1])
+            keys, fps = keys[at:], fps[at:]
+            if crowded is not None and keys.size and keys[0] == crowded:
+                end = int(np.searchsorted(keys, crowded, side="right"))
+                yield _links(keys[:end], fps[:end], fps[:end], True)
+                keys, fps = keys[end:], fps[end:]
+        if keys.size:
+            yield pairs(keys, fps)
+
+    return link
+
+
+def _links(key: np.ndarray, a: np.ndarray, b: np.ndarray, open_: bool) -> pa.RecordBatch:
+    return pa.record_batch({"key": _signed(key), "a": _signed(a), "b": pa.nulls(b.size, pa.int64()) if open_ else _signed(b)})
+
+
+def _emit_apart(bits: int):
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, keys = batch.column("fp").to_numpy().view(np.uint64), batch.column("key").to_numpy().view(np.uint64)
+            for k in range(0, fps.size, _FINGERPRINTS_AT_A_TIME):
+                own = fps[k : k + _FINGERPRINTS_AT_A_TIME]
+                row, variant, rim = _variants(own, keys[k : k + _FINGERPRINTS_AT_A_TIME], bits)
+                yield pa.record_batch({"variant": _signed(variant), "fp": _signed(own[row]), "rim": pa.array(rim)})
+
+    return emit
+
+
+def _link_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) from rows (variant, fp, rim) sorted by variant."""
+    held: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
+    for batch in batches:
+        held = [np.r_[x, batch.column(n).to_numpy(zero_copy_only=False)] for x, n in zip(held, ("variant", "fp", "rim"), strict=True)]
+        end = int(np.searchsorted(held[0], held[0][-1], side="left")) if held[0].size else 0  # the last variant may go on
+        if end:
+            found = _pairs(held[1][:end].view(np.uint64), held[0][:end], held[2][:end])
+            yield pa.record_batch({"a": _signed(found[:, 0]), "b": _signed(found[:, 1])})
+            held = [x[end:] for x in held]
+    found = _pairs(held[1].view(np.uint64), held[0], held[2])
+    yield pa.record_batch({"a": _signed(found[:, 0]), "b": _signed(found[:, 1])})
+
+
+def key_bits(n: int) -> int:
+    """Bits of a key for so many fingerprints."""
+    return min(48, max(KEY_BITS, (n * _ROWS_PER_FINGERPRINT // ROWS_PER_KEY).bit_length()))
+
+
+def links(distinct: DataFrame, most: int = KEY_VARIANTS) -> DataFrame:
     """(a, b): linked pairs of the distinct fingerprints (fp) that join all that are within reach."""
     n = distinct.count()
-    buckets = max(LEAST_BUCKETS, -(-n * _EXPECTED_VARIANTS // VARIANTS_PER_BUCKET))
+    bits = key_bits(n)
     # Few bytes become many: spread the fingerprints before they do.
     spread = distinct.repartition(max(LEAST_TASKS, n // FINGERPRINTS_PER_TASK))
-    emitted = spread.mapInArrow(_emit(buckets), "bucket long, fp long, codes binary")
-    return emitted.groupBy("bucket").applyInArrow(_link, "a long, b long")
+    dealt = spread.mapInArrow(_emit(bits), "key long, fp long").repartition("key").sortWithinPartitions("key")
+    found = checkpointed(dealt.mapInArrow(_link(bits, most), "key long, a long, b long"))
+    crowded = found.where("b IS NULL").select("key", F.col("a").alias("fp"))
+    if crowded.isEmpty():
+        return found.select("a", "b")
+    apart = crowded.repartition(max(LEAST_TASKS, crowded.count() // _FINGERPRINTS_AT_A_TIME)).mapInArrow(_emit_apart(bits), "variant long, fp long, rim boolean")
+    more = apart.repartition("variant").sortWithinPartitions("variant").mapInArrow(_link_apart, "a long, b long")
+    return found.where("b IS NOT NULL").select("a", "b").unionByName(more)
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -224,5 +315,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
+    """near_duplicates over all of `documents`, fingerprints as 16 hexadecimal digits; its edge cases hold."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -94,3 +94,53 @@ def test_close_fingerprints_link(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def components(spark, fps, most):
+    from tallyspark.llm.components import connected_components
+    from tallyspark.llm.simhash import links
+
+    signed = lambda x: x - 2**64 if x >> 63 else x
+    df = spark.createDataFrame([(signed(x),) for x in fps], "fp long").repartition(3)
+    return {r.node: r.root for r in connected_components(links(df, most)).collect()}
+
+
+def test_crowded_keys_are_dealt_by_variant(spark):
+    """A cluster that shares all its keys gives the same components with room for few variants as with room for all."""
+    rng = random.Random(9)
+    centre = rng.getrandbits(64)
+    fps = {centre}
+    while len(fps) < 400:
+        x = centre
+        for b in rng.sample(range(46), rng.randint(1, 9)):
+            x ^= 1 << b
+        fps.add(x)
+    fps |= {rng.getrandbits(64) for _ in range(200)}
+    every = components(spark, fps, 1 << 21)
+    assert len(every) > 20
+    for most in (1000, 20_000):
+        assert components(spark, fps, most) == every
+
+
+def test_rows_of_a_fingerprint_grow_slowly():
+    """Rows a fingerprint at the keys of 200 thousand, 15 million, 150 million and 50 billion fingerprints."""
+    import numpy as np
+
+    from tallyspark.llm.simhash import _keys, _number_of_variants, _variants, key_bits
+
+    fps = np.random.default_rng(1).integers(0, 2**64, 2000, np.uint64)
+    rows = {}
+    for n in (200_000, 15_000_000, 150_000_000, 5 * 10**10):
+        row, key = _keys(fps, key_bits(n))
+        rows[n] = row.size / fps.size
+        assert np.unique(np.stack([row.astype(np.uint64), key]), axis=1).shape[1] == row.size
+        got, variant, rim = _variants(fps[row], key, key_bits(n))
+        assert (np.bincount(got, minlength=row.size) == _number_of_variants(fps[row], key, key_bits(n))).all()
+        assert (variant >> np.uint64(64 - key_bits(n)) == key[got]).all()
+        own = row[got] == 0
+        x = int(fps[0])
+        ones = [b for b in range(64) if x >> b & 1]
+        core = {x} | {x ^ 1 << b for b in range(64)}
+        assert set(variant[own & ~rim].tolist()) == core
+        assert set(variant[own & rim].tolist()) == {x ^ 1 << a ^ 1 << b for a in ones for b in ones if a < b}
+    assert rows[15_000_000] < 1.2 * rows[200_000] and rows[150_000_000] < 1.5 * rows[200_000] and rows[5 * 10**10] < 120
