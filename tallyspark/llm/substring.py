@@ -4,8 +4,7 @@ Edges of the graph are windows of WINDOW words; consecutive windows of a text me
 
 1. Edges leave the mappers in pieces: runs of consecutive windows with one minimizer, the smallest hash among their runs
    of MINIMIZER words. Equal windows have equal minimizers, so all copies of an edge lie in pieces of one minimizer; a
-   piece is about seven edges long. Copies of a piece within a block of text point to the first one there, so a passage
-   in very many documents costs one row for each block.
+   piece is about seven edges long. A piece that its own document has before takes that as its source at once.
 2. Pieces are dealt by minimizer and sorted by content and source coordinate (document, word). A piece that is not at
    the first coordinate of its content is repeated as a whole and takes that coordinate as its source. Where pieces of
    one minimizer differ the graph branches, and only there first pieces are opened into single edges, which find their
@@ -18,8 +17,9 @@ Edges of the graph are windows of WINDOW words; consecutive windows of a text me
    its hash and so the first of its content. If any span differs (a collision of hashes), all is done again with
    other hashes, so what is returned never rests on a hash of words or windows.
 
-A minimizer in very many different contexts would be one large group. Such heavy minimizers are counted first, over all
-texts; they are few (at most HEAVY_SHARE), count as branching and are dealt by content instead.
+A minimizer in very many places would be one large group. Such heavy minimizers are counted first, over all texts; they
+are few (at most HEAVY_SHARE). They count as branching and are dealt by content instead, and equal contents within a
+block of text point to the first one there, so a passage in very many documents costs one row for each block.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ MINIMIZER = 6
 SHARED_IDS = 20_000
 #: A minimizer is heavy with this share of all pieces, and HEAVY_LEAST pieces; so at most so many are broadcast.
 HEAVY_SHARE = 1 << 16
-HEAVY_LEAST = 64
+HEAVY_LEAST = 1024
 HEAVY_SALTS = 64
 _HEAVY_HELD = 1 << 21
 #: Bits of the hashes of each attempt.
@@ -92,39 +92,62 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-_SOURCE = "sd long, sv long, sp int"
+_SOURCE = "sd long, sv long, sp int, n int"
+#: Copies of an edge in one block from which on they point to the first one there.
+MANY = 4
 
 
-def _with_sources(hashes: tuple[np.ndarray, np.ndarray], doc: np.ndarray, p: np.ndarray, ids: np.ndarray, variants: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], dict[str, pa.Array]]:
-    """Names and places of a block's rows; those that repeat the content of another row of the block get its coordinate
-    as their source, and hashes of their own."""
-    a, b = hashes
+def _located(hashes: tuple[np.ndarray, np.ndarray], doc: np.ndarray, p: np.ndarray, n: np.ndarray, ids: np.ndarray, variants: np.ndarray, hot: np.ndarray | None) -> pa.RecordBatch:
+    """Rows (k, t, d, v, p, sd, sv, sp, n) for a block's pieces or edges, which come in order.
+
+    What repeats an earlier one of its own document has the nearest as its source; runs that go on at both places are one
+    row. Of the others, hot ones (null: those with MANY copies here) have the first copy in the block as their source.
+    Rows with a source get hashes of their own.
+    """
+    joint = mix64(hashes[0] ^ mix64(hashes[1]))
+    own = mix64(joint + doc.astype(np.uint64))
+    order = np.argsort(own, kind="stable")
+    source = np.full(own.size, -1)
+    same = own[order[1:]] == own[order[:-1]]
+    source[order[1:][same]] = order[:-1][same]
+    again = np.flatnonzero(source >= 0)
+    goes_on = (doc[again[1:]] == doc[again[:-1]]) & (p[again[1:]] == p[again[:-1]] + n[again[:-1]]) & (p[source[again[1:]]] - p[source[again[:-1]]] == p[again[1:]] - p[again[:-1]])
+    run = np.flatnonzero(np.r_[True, ~goes_on]) if again.size else again
+    length = n.copy()
+    length[again[run]] = np.add.reduceat(n[again], run) if again.size else 0
     d, v = ids[doc], variants[doc]
-    order = np.lexsort((p, v, d, b, a))
-    sa, sb = a[order], b[order]
-    head = np.flatnonzero(np.r_[True, (sa[1:] != sa[:-1]) | (sb[1:] != sb[:-1])]) if order.size else np.zeros(0, np.int64)
-    source = np.empty(order.size, np.int64)
-    source[order] = order[np.repeat(head, np.diff(np.r_[head, order.size]))]
-    own = source == np.arange(source.size)
-    apart = mix64(d.view(np.uint64) ^ mix64(v.view(np.uint64) + p.astype(np.uint64)))
-    masked = {"sd": pa.array(d[source], mask=own), "sv": pa.array(v[source], mask=own), "sp": pa.array(p[source].astype(np.int32), mask=own)}
-    return (np.where(own, a, apart), np.where(own, b, mix64(apart))), {"d": pa.array(d), "v": pa.array(v), "p": pa.array(p.astype(np.int32)), **masked}
-
-
-def _piece_rows(window: int, gram: int, seed: int, bits: int):
+    rest = np.flatnonzero(source < 0)
+    order = rest[np.lexsort((p[rest], v[rest], d[rest], joint[rest]))]
+    head = np.flatnonzero(np.r_[True, joint[order[1:]] != joint[order[:-1]]]) if order.size else order
+    size = np.diff(np.r_[head, order.size])
+    first = np.repeat(order[head], size)
+    pointed = (hot[order] if hot is not None else np.repeat(size >= MANY, size)) & (first != order)
+    source[order[pointed]] = first[pointed]
+    rows = np.sort(np.r_[again[run], rest])
+    source, d_row, v_row, p_row = source[rows], d[rows], v[rows], p[rows]
+    plain = source < 0
+    apart = mix64(d_row.view(np.uint64) ^ mix64(v_row.view(np.uint64) + p_row.astype(np.uint64)))
+    return pa.record_batch({
+        "k": _signed(np.where(plain, hashes[0][rows], apart)), "t": _signed(np.where(plain, hashes[1][rows], mix64(apart))),
+        "d": pa.array(d_row), "v": pa.array(v_row), "p": pa.array(p_row.astype(np.int32)),
+        "sd": pa.array(d[source], mask=plain), "sv": pa.array(v[source], mask=plain), "sp": pa.array(p[source].astype(np.int32), mask=plain),
+        "n": pa.array(length[rows].astype(np.int32)),
+    })
+
+
+def _piece_rows(window: int, gram: int, seed: int, bits: int, heavy: np.ndarray):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, variants = batch.column("d").to_numpy(), batch.column("v").to_numpy()
             for of, before, data, offsets in text_parts(batch, window - 1):
                 x = Pieces(data, offsets, window, gram, seed, bits)
-                hashes, named = _with_sources((x.key, x.content), of[x.doc], before[x.doc] + x.place, ids, variants)
-                yield pa.record_batch({"k": _signed(hashes[0]), "t": _signed(hashes[1]), **named, "n": pa.array(x.count.astype(np.int32))})
+                yield _located((x.key, x.content), of[x.doc], before[x.doc] + x.place, x.count, ids, variants, np.isin(x.key, heavy))
 
     return rows
 
 
 def _heavy_rows(window: int, gram: int, seed: int, bits: int):
-    """(k, n): minimizers with a notable number of a task's pieces, distinct by content in each block; k null: all pieces."""
+    """(k, n): minimizers with a notable number of a task's pieces, distinct in each document; k null: all pieces."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, counts, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
@@ -136,9 +159,9 @@ def _heavy_rows(window: int, gram: int, seed: int, bits: int):
             held, counts, parts = keys, np.bincount(n, np.r_[counts, np.ones(n.size - counts.size, np.int64)], keys.size).astype(np.int64), []
 
         for batch in batches:
-            for _, _, data, offsets in text_parts(batch, window - 1):
+            for of, _, data, offsets in text_parts(batch, window - 1):
                 x = Pieces(data, offsets, window, gram, seed, bits)
-                distinct = x.key[np.unique(mix64(x.key ^ mix64(x.content)), return_index=True)[1]]
+                distinct = x.key[np.unique(mix64(mix64(x.key ^ mix64(x.content)) + of[x.doc].astype(np.uint64)), return_index=True)[1]]
                 total += distinct.size
                 parts.append(distinct)
                 if sum(map(len, parts)) > _HEAVY_HELD:
@@ -162,7 +185,7 @@ def _edge_rows(window: int, seed: int, bits: int):
                 start, end, bounds = words_of(data, offsets)
                 ats, docs = [], []
                 for i, row in enumerate(of.tolist()):
-                    pieces = opened[row].values.to_numpy()
+                    pieces = np.sort(opened[row].values.to_numpy())
                     first, count = (pieces >> _LENGTH_BITS) - before[i], pieces & ((1 << _LENGTH_BITS) - 1)
                     at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
                     at = at[(at >= 0) & (at < bounds[i + 1] - bounds[i] - window + 1)]
@@ -173,8 +196,7 @@ def _edge_rows(window: int, seed: int, bits: int):
                     continue
                 a = run_hashes(word_hashes(data, start, end, seed), window)[at] & mask
                 b = run_hashes(word_hashes(data, start, end, seed + 1000), window)[at] & mask
-                hashes, named = _with_sources((a, b), of[doc], before[doc] + at - bounds[doc], ids, variants)
-                yield pa.record_batch({"k": _signed(hashes[0]), "t": _signed(hashes[1]), **named})
+                yield _located((a, b), of[doc], before[doc] + at - bounds[doc], np.ones(at.size, np.int64), ids, variants, None)
 
     return rows
 
@@ -300,18 +322,22 @@ def _named(docs: DataFrame) -> DataFrame:
 
 
 def _sourced(rows: DataFrame, deal: Sequence[str]) -> DataFrame:
-    """Rows with `first`, the first coordinate of their (k, t); dealt by the given columns, so they end sorted by content."""
+    """Rows with `first`, the first coordinate of their (k, t), and `nearest`, the one before theirs; dealt by the given
+    columns, so they end sorted by content."""
     dealt = rows.repartition(*deal).sortWithinPartitions(*deal, *(c for c in ("k", "t", "d", "v", "p") if c not in deal))
     same = Window.partitionBy(*deal, *(c for c in ("k", "t") if c not in deal)).orderBy("d", "v", "p")
-    return dealt.withColumn("first", F.first(F.struct("d", "v", "p")).over(same))
+    at = F.struct("d", "v", "p")
+    return dealt.withColumns({"first": F.first(at).over(same), "nearest": F.lag(at).over(same)})
 
 
-def _repeated(rows: DataFrame, n: Column) -> DataFrame:
-    """(d, v, p, n, sd, sv, sp) of the rows that have an earlier copy: in their block, or else the first one."""
+def _repeated(rows: DataFrame) -> DataFrame:
+    """(d, v, p, n, sd, sv, sp) of the rows that have an earlier copy. Its source is the one found where the row was
+    made, or else the nearest in its own document, or else the first."""
     inside = F.col("sd").isNotNull() & F.col("sv").isNotNull() & F.col("sp").isNotNull()
     later = F.struct("d", "v", "p") != F.col("first")
-    source = lambda x: F.when(inside, F.col(f"s{x}")).otherwise(F.col(f"first.{x}")).alias(f"s{x}")
-    return rows.where(inside | later).select("d", "v", "p", n.alias("n"), *map(source, "dvp"))
+    own = (F.col("nearest.d") == F.col("d")) & (F.col("nearest.v") == F.col("v"))
+    source = lambda x: F.when(inside, F.col(f"s{x}")).when(own, F.col(f"nearest.{x}")).otherwise(F.col(f"first.{x}")).alias(f"s{x}")
+    return rows.where(inside | later).select("d", "v", "p", "n", *map(source, "dvp"))
 
 
 def _compacted(pieces: DataFrame) -> DataFrame:
@@ -329,15 +355,16 @@ def _attempt(texts: DataFrame, window: int, gram: int, with_text: bool, seed: in
     notable = checkpointed(texts.mapInArrow(_heavy_rows(window, gram, seed, bits), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")))
     every = notable.where("k IS NULL").first()
     least = max(HEAVY_LEAST, (every.n if every else 0) // HEAVY_SHARE)
-    heavy = notable.where((F.col("n") >= least) & F.col("k").isNotNull()).select("k", F.lit(True).alias("heavy"))  # at most HEAVY_SHARE
-    pieces = texts.mapInArrow(_piece_rows(window, gram, seed, bits), f"k long, t long, d long, v long, p int, {_SOURCE}, n int")
-    salted = pieces.join(F.broadcast(heavy), "k", "left").withColumn("salt", F.when(F.col("heavy"), F.pmod(F.col("t"), F.lit(HEAVY_SALTS)).cast("int") + 1).otherwise(0)).drop("heavy")
+    chosen = notable.where((F.col("n") >= least) & F.col("k").isNotNull()).select("k", F.lit(True).alias("heavy"))  # at most HEAVY_SHARE
+    heavy = np.array([r.k for r in chosen.select("k").collect()], np.int64).view(np.uint64)
+    pieces = texts.mapInArrow(_piece_rows(window, gram, seed, bits, heavy), f"k long, t long, d long, v long, p int, {_SOURCE}")
+    salted = pieces.join(F.broadcast(chosen), "k", "left").withColumn("salt", F.when(F.col("heavy"), F.pmod(F.col("t"), F.lit(HEAVY_SALTS)).cast("int") + 1).otherwise(0)).drop("heavy")
     group = Window.partitionBy("k", "salt")
     found = _sourced(salted, ["k", "salt"]).withColumn("branch", (F.col("salt") > 0) | (F.min("t").over(group) != F.max("t").over(group)))
     at_first = F.col("sd").isNull() & F.col("sv").isNull() & F.col("sp").isNull() & (F.struct("d", "v", "p") == F.col("first"))
     opened = found.where(at_first & F.col("branch")).groupBy("d", "v").agg(F.collect_list(F.col("p").cast("long") * (1 << _LENGTH_BITS) + F.col("n")).alias("opened"))
     edges = texts.join(opened, ["d", "v"]).select("d", "v", "text", "opened").mapInArrow(_edge_rows(window, seed, bits), f"k long, t long, d long, v long, p int, {_SOURCE}")
-    spans = _compacted(_repeated(found, F.col("n")).unionByName(_repeated(_sourced(edges, ["k", "t"]), F.lit(1))))
+    spans = _compacted(_repeated(found).unionByName(_repeated(_sourced(edges, ["k", "t"]))))
     asked = spans.groupBy(F.col("sd").alias("d"), F.col("sv").alias("v")).agg(F.collect_set(F.col("sp").cast("long") * 2**32 + F.col("n")).alias("asked"))
     digests = texts.join(asked, ["d", "v"]).select("d", "v", "text", "asked").mapInArrow(_digest_rows(window), "sd long, sv long, sp int, n long, digest binary")
     listed = spans.join(digests, ["sd", "sv", "sp", "n"]).groupBy("d", "v").agg(F.collect_list(F.struct("p", "n", "digest")).alias("spans"))

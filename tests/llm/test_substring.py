@@ -139,7 +139,7 @@ def test_row_order_does_not_matter(spark):
 def test_heavy_minimizers_count_as_branches(spark, monkeypatch):
     import tallyspark.llm.substring as S
 
-    monkeypatch.setattr(S, "HEAVY_LEAST", 2)
+    monkeypatch.setattr(S, "HEAVY_LEAST", 9)
     rows = corpus(5, vocabulary=30)
     assert run(spark, rows, 20, 6) == brute(rows, 20)
 
