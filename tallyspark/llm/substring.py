@@ -363,13 +363,15 @@ def _attempt(texts: DataFrame, window: int, gram: int, with_text: bool, seed: in
     found = _sourced(salted, ["k", "salt"]).withColumn("branch", (F.col("salt") > 0) | (F.min("t").over(group) != F.max("t").over(group)))
     at_first = F.col("sd").isNull() & F.col("sv").isNull() & F.col("sp").isNull() & (F.struct("d", "v", "p") == F.col("first"))
     opened = found.where(at_first & F.col("branch")).groupBy("d", "v").agg(F.collect_list(F.col("p").cast("long") * (1 << _LENGTH_BITS) + F.col("n")).alias("opened"))
-    edges = texts.join(opened, ["d", "v"]).select("d", "v", "text", "opened").mapInArrow(_edge_rows(window, seed, bits), f"k long, t long, d long, v long, p int, {_SOURCE}")
+    # All three joins take the same columns of the texts, so Spark shuffles them once and reuses the exchange.
+    columns = ["doc_id", "d", "v", "text", "copies"]
+    edges = texts.join(opened, ["d", "v"]).select(*columns, "opened").mapInArrow(_edge_rows(window, seed, bits), f"k long, t long, d long, v long, p int, {_SOURCE}")
     spans = _compacted(_repeated(found).unionByName(_repeated(_sourced(edges, ["k", "t"]))))
     asked = spans.groupBy(F.col("sd").alias("d"), F.col("sv").alias("v")).agg(F.collect_set(F.col("sp").cast("long") * 2**32 + F.col("n")).alias("asked"))
-    digests = texts.join(asked, ["d", "v"]).select("d", "v", "text", "asked").mapInArrow(_digest_rows(window), "sd long, sv long, sp int, n long, digest binary")
+    digests = texts.join(asked, ["d", "v"]).select(*columns, "asked").mapInArrow(_digest_rows(window), "sd long, sv long, sp int, n long, digest binary")
     listed = spans.join(digests, ["sd", "sv", "sp", "n"]).groupBy("d", "v").agg(F.collect_list(F.struct("p", "n", "digest")).alias("spans"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed_spans string, differing int, copies long"
-    whole = texts.join(listed, ["d", "v"], "left").select("doc_id", "text", "copies", "spans")
+    whole = texts.join(listed, ["d", "v"], "left").select(*columns, "spans")
     return checkpointed(whole.mapInArrow(_kept_rows(window, with_text), f"{schema}, kept_text string" if with_text else schema))
 
 
