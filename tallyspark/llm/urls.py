@@ -1,9 +1,10 @@
 """URL filters in DataFrame operations only: rules on hosts and paths, and a list of canonical URLs.
 
-The list is folded into a blocked Bloom filter: a table of BLOCKS rows at most, each with four 64-bit words of which a
-URL sets one bit each, so an URL touches one row. Its size is fixed by BLOCKS whatever the length of the list, so it
-is broadcast; a longer list only lets more false positives through. URLs that may be listed go to an exact join with
-the list, which removes the false positives; all others never shuffle.
+The list is folded into a blocked Bloom filter: a table of blocks, each with four 64-bit words of which a URL sets one
+bit each, so a URL touches one row. The number of blocks follows the counted list, one for every URLS_PER_BLOCK URLs, up
+to MOST_BLOCKS; so its size has a bound (10 MB) and it is broadcast. A list too long for that only lets more false
+positives through. URLs that may be listed go to an exact join with the list, which removes the false positives; all
+others never shuffle.
 """
 
 from __future__ import annotations
@@ -21,10 +22,13 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: Stand-in for a published list: the canonical URLs of all pages on these sites.
+#: No list comes with the data. The stand-in for a published one has the canonical URLs of all pages on these sites, and
+#: of single pages of any other site: those whose digest begins like this, a sixteenth.
 LISTED_SITES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
-#: Blocks of the filter: 40 bytes a row, 2.6 MB in all.
-BLOCKS = 1 << 16
+LISTED_DIGEST = "7"
+#: Blocks of the filter at most: 40 bytes a row.
+MOST_BLOCKS = 1 << 18
+URLS_PER_BLOCK = 8
 WORDS = 4
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -66,8 +70,12 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def _block(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BLOCKS)).cast("int")
+def number_of_blocks(listed: int) -> int:
+    return min(MOST_BLOCKS, 1 << max(0, -(-listed // URLS_PER_BLOCK) - 1).bit_length())
+
+
+def _block(key: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
 
 
 def _masks(key: Column) -> list[Column]:
@@ -76,28 +84,35 @@ def _masks(key: Column) -> list[Column]:
     return [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(bits, 6 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(WORDS)]
 
 
-def bloom_filter(listed: DataFrame) -> DataFrame:
-    """(block, word_0 .. word_3) of a table (canonical)."""
-    keyed = listed.select(_block(F.col("canonical")).alias("block"), *(m.alias(f"mask_{i}") for i, m in enumerate(_masks(F.col("canonical")))))
+def bloom_filter(listed: DataFrame, blocks: int) -> DataFrame:
+    """(block, word_0 .. word_3) of a table (canonical): at most `blocks` rows."""
+    keyed = listed.select(_block(F.col("canonical"), blocks).alias("block"), *(m.alias(f"mask_{i}") for i, m in enumerate(_masks(F.col("canonical")))))
     return keyed.groupBy("block").agg(*(F.bit_or(f"mask_{i}").alias(f"word_{i}") for i in range(WORDS)))
 
 
+def probed(parsed: DataFrame, urls: DataFrame) -> DataFrame:
+    """The rows of `parsed` with `possible`: may its canonical_url be one of the listed `urls`?"""
+    blocks = number_of_blocks(urls.count())
+    words = F.broadcast(checkpointed(bloom_filter(urls, blocks)))  # at most MOST_BLOCKS rows
+    key = F.col("canonical_url")
+    hit = F.lit(True)
+    for i, m in enumerate(_masks(key)):
+        hit = hit & (F.col(f"word_{i}").bitwiseAND(m) == m)
+    met = parsed.withColumn("probe", _block(key, blocks)).join(words, F.col("probe") == F.col("block"), "left")
+    return met.select(*parsed.columns, F.coalesce(hit, F.lit(False)).alias("possible"))
+
+
 def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, listed) for each row of `pages` (page_id, url).
 
     The verdict is the rule's, else block for a listed URL and allow for any other. A null url, or one without `://`,
     has empty host and path, fits no rule and is never listed. `listed` (canonical) may repeat and hold nulls; an
-    empty list blocks nothing. Repeated pages each get a row; other columns are ignored.
+    empty list blocks nothing and an empty table of pages gives an empty result. Repeated pages each get a row; URLs may
+    be of any length; other columns are ignored, whatever their names.
     """
     urls = checkpointed(listed.where("canonical is not null").select("canonical").distinct())
-    blocks = F.broadcast(checkpointed(bloom_filter(urls)))  # at most BLOCKS rows
-    key = F.col("canonical_url")
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), canonical(F.col("url")).alias("canonical_url"))
-    probed = parsed.withColumn("probe", _block(key)).join(blocks, F.col("probe") == F.col("block"), "left")
-    hit = F.lit(True)
-    for i, m in enumerate(_masks(key)):
-        hit = hit & (F.col(f"word_{i}").bitwiseAND(m) == m)
-    flagged = probed.select("page_id", "host", "path", "canonical_url", F.coalesce(hit, F.lit(False)).alias("possible"))
+    flagged = probed(parsed, urls)
     exact = flagged.where("possible").join(urls.withColumn("listed", F.lit(True)), F.col("canonical_url") == F.col("canonical"), "left")
     columns = ["page_id", "host", "path", F.coalesce(F.col("listed"), F.lit(False)).alias("listed")]
     both = exact.select(*columns).unionByName(flagged.where("not possible").select("page_id", "host", "path", F.lit(False).alias("listed")))
@@ -106,12 +121,14 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
 
 
 def listed_urls(pages: DataFrame) -> DataFrame:
-    """(canonical) of the pages on LISTED_SITES."""
+    """(canonical) of the pages on LISTED_SITES, and of those whose digest begins with LISTED_DIGEST."""
     sites = "|".join(LISTED_SITES)
-    return pages.where(host_of(F.col("url")).rlike(rf"(^|[.])({sites})[.]")).select(canonical(F.col("url")).alias("canonical"))
+    name = canonical(F.col("url"))
+    return pages.where(host_of(F.col("url")).rlike(rf"(^|[.])({sites})[.]") | F.md5(name).startswith(LISTED_DIGEST)).select(name.alias("canonical"))
 
 
 def op5_url_filter(spark, sf_dir: str) -> DataFrame:
+    """judge() of all `pages` against listed_urls(); its edge cases hold."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return judge(pages, listed_urls(pages))
 
@@ -128,7 +145,7 @@ queried AS (
 keyed AS (
   SELECT *, CASE WHEN rest IS NOT NULL THEN regexp_replace(host, '^www\\.', '') || regexp_replace(path, '/+$', '')
             || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS canonical FROM queried),
-listing AS (SELECT DISTINCT canonical FROM keyed WHERE regexp_matches(host, '(^|[.])({"|".join(LISTED_SITES)})[.]')),
+listing AS (SELECT DISTINCT canonical FROM keyed WHERE canonical IS NOT NULL AND (regexp_matches(host, '(^|[.])({"|".join(LISTED_SITES)})[.]') OR starts_with(md5(canonical), '{LISTED_DIGEST}'))),
 rules(decision, rhost, rpath) AS (VALUES {", ".join(f"('{d}', '{h}', '{p}')" for d, h, p in RULES)}),
 fitting AS (
   SELECT k.page_id, max_by(rhost || rpath, length(rhost || rpath)) AS rule, max_by(decision, length(rhost || rpath)) AS decision

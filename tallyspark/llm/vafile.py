@@ -1,11 +1,16 @@
 """Exact top-k search by vector-approximation files.
 
-Vectors are dealt into blocks; each block keeps a file of small codes, one byte a component, which name the cell that
-holds the component. A query scans the codes first: the inner product with a cell's centre is certain up to a slack
-that depends on the query alone, so every vector gets an upper and a lower bound. Exact vectors are then read in the
-order of their bounds until the k-th result is certain, that is, no bound of an unread vector reaches it. Block
-results merge per query. Queries and vectors meet block by block, so a task holds one block of either, whatever the
-number of rows.
+Every vector gets an approximation: one byte a component, which names the cell of a common grid that holds the component.
+The inner product of a query with a cell's centre is certain up to a slack that depends on the query alone, so the
+approximations bound every exact score. The file of approximations is scanned twice, in blocks of vectors and queries:
+
+1. Each query takes the READ vectors with the best bounds. Only their exact vectors are read, by a join; the k-th of
+   their scores is a floor that no result falls below.
+2. Vectors whose bound reaches the floor of a query of the block are read exactly, once for a block of queries; for any
+   other the result is certain without them. The best of a block merge per query.
+
+A task holds one block of vectors and one of queries, whatever the number of rows or of equal vectors, and sends k rows
+for each query and block at most.
 """
 
 from __future__ import annotations
@@ -26,9 +31,9 @@ CELLS = 256
 #: Rows in a block of vectors and in a block of queries, at most on average; small tables still make LEAST_BLOCKS.
 BLOCK_ROWS = 16_384
 QUERY_ROWS = 2_048
-LEAST_BLOCKS = 64
-#: Exact vectors read at a time for a query.
-READ = 64
+LEAST_BLOCKS = 8
+#: Exact vectors that a query reads for its floor.
+READ = 16
 _QUERIES_AT_A_TIME = 128
 
 
@@ -52,96 +57,203 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-class ApproximationFile:
-    """Codes of a block's vectors, with cells of equal width in each dimension."""
+class Grid:
+    """Cells of equal width in each dimension, from the least to the largest component there."""
 
-    def __init__(self, ids: np.ndarray, exact: np.ndarray) -> None:
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.exact = ids[order], exact[order]
-        low, high = self.exact.min(axis=0).astype(np.float64), self.exact.max(axis=0).astype(np.float64)
-        self.width = np.maximum((high - low) / CELLS, 1e-9)
-        self.low = low
-        self.codes = np.clip((self.exact - low) / self.width, 0, CELLS - 1).astype(np.uint8)
-        self.largest = float(np.abs(self.exact).max(initial=0))
+    def __init__(self, low: np.ndarray, high: np.ndarray) -> None:
+        self.low = low.astype(np.float64)
+        self.step = np.maximum((high - self.low) / CELLS, 1e-9)
 
-    def products(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-        """Exact inner products of some rows."""
-        if self.largest * float(np.abs(query).max(initial=0)) * query.size < 2**53:
-            return (self.exact[rows].astype(np.float64) @ query.astype(np.float64)).astype(np.int64)
-        return (self.exact[rows] * query).sum(axis=1)
+    def codes(self, exact: np.ndarray) -> np.ndarray:
+        return np.clip((exact - self.low) / self.step, 0, CELLS - 1).astype(np.uint8)
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(query, vec_ids, scores) of each query's k best, ties to the smaller vec_id."""
+    def bounds(self, codes: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(middle [vector, query], slack [query]): every exact inner product is within the slack of its middle."""
         q = queries.astype(np.float64)
-        centre = self.codes.astype(np.float32) @ (q * self.width).T.astype(np.float32)
-        base = q @ (self.low + self.width / 2)
+        centre = codes.astype(np.float32) @ (q * self.step).T.astype(np.float32)
         # Half a cell in each dimension, and what single precision may lose in the sum.
-        loss = 255.0 * (np.abs(q) * self.width).sum(axis=1) * (q.shape[1] + 4) * 2.0**-23 + 1.0
-        slack = (np.abs(q) * self.width).sum(axis=1) / 2 + loss
-        for i, query_id in enumerate(query_ids.tolist()):
-            middle = centre[:, i].astype(np.float64) + base[i]
-            own = slice(*np.searchsorted(self.ids, [query_id, query_id + 1]))
-            middle[own] = -np.inf
-            n = middle.size - (own.stop - own.start)
-            if n <= 0:
-                continue
-            least = min(k, n)
-            floor = np.partition(middle, middle.size - least)[middle.size - least] - slack[i]
-            open_rows = np.flatnonzero(middle + slack[i] >= floor)
-            open_rows = open_rows[np.argsort(-middle[open_rows], kind="stable")]
-            ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            at = 0
-            while at < open_rows.size:
-                if ids.size >= least and middle[open_rows[at]] + slack[i] < scores[-1]:
-                    break  # the k-th is certain: no unread vector can reach it
-                read = open_rows[at : at + READ]
-                at += READ
-                ids = np.r_[ids, self.ids[read]]
-                scores = np.r_[scores, self.products(read, queries[i])]
-                best = np.lexsort((ids, -scores))[:k]
-                ids, scores = ids[best], scores[best]
-            yield query_id, ids, scores
-
-
-def _search_block(width: int, k: int):
+        loss = 255.0 * (np.abs(q) * self.step).sum(axis=1) * (q.shape[1] + 4) * 2.0**-23 + 1.0
+        return centre.astype(np.float64) + q @ (self.low + self.step / 2), (np.abs(q) * self.step).sum(axis=1) / 2 + loss
+
+
+def products(exact: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Exact inner products [vector, query]."""
+    if float(np.abs(exact).max(initial=0)) * float(np.abs(queries).max(initial=0)) * exact.shape[1] < 2**53:
+        return (exact.astype(np.float64) @ queries.T.astype(np.float64)).astype(np.int64)
+    return exact @ queries.T
+
+
+def _ranges(width: int):
+    """(dim, low, high) of each batch."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                exact = _matrix(batch.column("v"), width)
+                yield pa.record_batch({"dim": pa.array(np.arange(width)), "low": pa.array(exact.min(axis=0)), "high": pa.array(exact.max(axis=0))})
+
+    return rows
+
+
+def _coded(width: int, grid: Grid):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = grid.codes(_matrix(batch.column("v"), width))
+            offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * width
+            yield pa.record_batch({"vec_id": batch.column("vec_id"), "code": pa.BinaryArray.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(codes.tobytes())])})
+
+    return rows
+
+
+def _codes_of(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+
+
+def _portions(left: pa.Table, right: pa.Table, width: int, grid: Grid):
+    """(first query, middle, slack, own) of portions of the block's queries; own marks a query's own vector."""
+    ids, codes = left.column("vec_id").to_numpy(), _codes_of(left.column("code"), width)
+    query_ids, queries = right.column("query_id").to_numpy(), _matrix(right.column("q"), width)
+    for at in range(0, query_ids.size, _QUERIES_AT_A_TIME):
+        middle, slack = grid.bounds(codes, queries[at : at + _QUERIES_AT_A_TIME])
+        yield at, middle, slack, ids[:, None] == query_ids[None, at : at + _QUERIES_AT_A_TIME]
+
+
+def _best_bounds(width: int, grid: Grid):
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("bound", pa.float64())])
+
+    def scan(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float64)]]
+        if left.num_rows and right.num_rows:
+            ids, query_ids = left.column("vec_id").to_numpy(), right.column("query_id").to_numpy()
+            n = min(READ, ids.size)
+            for at, middle, slack, own in _portions(left, right, width, grid):
+                middle[own] = -np.inf
+                best = np.argpartition(-middle, n - 1, axis=0)[:n]
+                bound = np.take_along_axis(middle, best, axis=0) + slack
+                rows, columns = np.nonzero(bound > -np.inf)
+                for column, values in zip(out, (query_ids[at + columns], ids[best[rows, columns]], bound[rows, columns]), strict=True):
+                    column.append(values)
+        return pa.table([pa.array(np.concatenate(c)) for c in out], schema=schema)
+
+    return scan
+
+
+def _open(width: int, grid: Grid):
+    schema = pa.schema([("block", pa.int32()), ("query_block", pa.int32()), ("vec_id", pa.int64())])
+
+    def scan(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = np.zeros(0, np.int64)
+        if left.num_rows and right.num_rows:
+            floor = right.column("floor").to_numpy()
+            reached = np.zeros(left.num_rows, bool)
+            for at, middle, slack, own in _portions(left, right, width, grid):
+                reached |= ((middle + slack >= floor[at : at + slack.size]) & ~own).any(axis=1)
+            found = left.column("vec_id").to_numpy()[reached]
+        place = [left.column(c)[0].as_py() if found.size else 0 for c in ("block", "query_block")]
+        return pa.table([pa.array(np.full(found.size, x, np.int32)) for x in place] + [pa.array(found)], schema=schema)
+
+    return scan
+
+
+def _best_scores(width: int, k: int):
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+    def read(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
         if left.num_rows and right.num_rows:
-            file = ApproximationFile(left.column("vec_id").to_numpy(), _matrix(left.column("v"), width))
-            ids, queries = right.column("vec_id").to_numpy(), _matrix(right.column("v"), width)
-            for at in range(0, ids.size, _QUERIES_AT_A_TIME):
-                for query, found, scores in file.search(ids[at : at + _QUERIES_AT_A_TIME], queries[at : at + _QUERIES_AT_A_TIME], k):
-                    for column, values in zip(out, (np.full(found.size, query), found, scores), strict=True):
+            ids = left.column("vec_id").to_numpy()
+            order = np.argsort(ids, kind="stable")
+            ids, exact = ids[order], _matrix(left.column("v"), width)[order]
+            query_ids, queries = right.column("query_id").to_numpy(), _matrix(right.column("q"), width)
+            for at in range(0, query_ids.size, _QUERIES_AT_A_TIME):
+                part = query_ids[at : at + _QUERIES_AT_A_TIME]
+                scores = products(exact, queries[at : at + _QUERIES_AT_A_TIME])
+                for i, query in enumerate(part.tolist()):
+                    own, mine = ids != query, scores[:, i]
+                    if not own.any():
+                        continue
+                    n = min(k, int(own.sum()))
+                    least = np.partition(mine[own], mine[own].size - n)[mine[own].size - n]
+                    near = np.flatnonzero(own & (mine >= least))
+                    best = near[np.lexsort((ids[near], -mine[near]))[:n]]
+                    for column, values in zip(out, (np.full(best.size, query), ids[best], mine[best]), strict=True):
                         column.append(values)
         return pa.table([pa.array(np.concatenate(c)) for c in out], schema=schema)
 
-    return search
+    return read
+
+
+class Search:
+    """The steps of a search; open_vectors() are the exact vectors that its last step reads."""
+
+    def __init__(self, vectors: DataFrame, queries: DataFrame, k: int) -> None:
+        facts = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).first()
+        self.vectors, self.k, self.width = vectors, k, max(1, facts.width or 0)
+        self.blocks = max(LEAST_BLOCKS, -(-facts.n // BLOCK_ROWS))
+        self.query_blocks = max(1, -(-queries.count() // QUERY_ROWS))
+        width, low, high = self.width, np.zeros(self.width), np.zeros(self.width)
+        # One row a dimension.
+        for r in vectors.mapInArrow(_ranges(width), "dim long, low long, high long").groupBy("dim").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect():
+            low[r.dim], high[r.dim] = r.low, r.high
+        self.grid = Grid(low, high)
+        self.queries = queries.select(self._part("vec_id", "query", self.query_blocks).alias("query_block"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+        codes = vectors.mapInArrow(_coded(width, self.grid), "vec_id long, code binary")
+        self.file = codes.select(self._part("vec_id", "block", self.blocks).alias("block"), self._every(self.query_blocks).alias("query_block"), "vec_id", "code")
+
+    @staticmethod
+    def _part(column: str, seed: str, n: int):
+        return F.pmod(F.xxhash64(column, F.lit(seed)), F.lit(n)).cast("int")
+
+    @staticmethod
+    def _every(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    def _met(self, left: DataFrame, queries: DataFrame, step, schema: str) -> DataFrame:
+        right = queries.select(self._every(self.blocks).alias("block"), *queries.columns)
+        return left.groupBy("block", "query_block").cogroup(right.groupBy("block", "query_block")).applyInArrow(step, schema)
+
+    def floors(self) -> DataFrame:
+        """(query_id, floor): the k-th score among the READ vectors with the best bounds; no row if they are fewer."""
+        bounds = self._met(self.file, self.queries, _best_bounds(self.width, self.grid), "query_id long, vec_id long, bound double")
+        by_bound = Window.partitionBy("query_id").orderBy(F.desc("bound"), "vec_id")
+        first = bounds.withColumn("place", F.row_number().over(by_bound)).where(F.col("place") <= READ).select("query_id", "vec_id")
+        product = F.aggregate(F.zip_with("q", "v", lambda x, y: F.coalesce(x * y, F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x)
+        scored = first.join(self.vectors, "vec_id").join(self.queries, "query_id").select("query_id", product.alias("score"))
+        by_score = Window.partitionBy("query_id").orderBy(F.desc("score"))
+        return checkpointed(scored.withColumn("place", F.row_number().over(by_score)).where(F.col("place") == self.k).select("query_id", F.col("score").alias("floor")))
+
+    def open_vectors(self) -> DataFrame:
+        """(block, query_block, vec_id) of the vectors whose bound reaches the floor of a query of the block."""
+        floor = F.coalesce(F.col("floor").cast("double") - F.abs(F.col("floor")) * 2.0**-50, F.lit(float("-inf")))
+        queries = self.queries.join(self.floors(), "query_id", "left").select("query_block", "query_id", "q", floor.alias("floor"))
+        return self._met(self.file, queries, _open(self.width, self.grid), "block int, query_block int, vec_id long")
+
+    def found(self) -> DataFrame:
+        read = self.open_vectors().join(self.vectors, "vec_id")
+        best = self._met(read, self.queries, _best_scores(self.width, self.k), "query_id long, vec_id long, score long")
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= self.k).select("query_id", "rank", "vec_id", "score")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of `queries` the k largest inner products among `vectors`.
 
-    Both are (vec_id, v array<long>) with unique ids; shorter vectors count as padded with zeros; rows with the query's
-    own vec_id are not its candidates. A query with fewer candidates gets them all; empty tables give no rows.
+    Both are (vec_id, v array<long>) with unique ids; shorter vectors count as padded with zeros, empty ones as zeros;
+    rows with the query's own vec_id are not its candidates; ties go to the smaller vec_id, also among equal vectors. A
+    query with fewer candidates gets them all; empty tables give no rows. Other columns must not be there.
     """
-    facts = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).first()
-    width = max(1, facts.width or 0)
-    blocks = max(LEAST_BLOCKS, -(-facts.n // BLOCK_ROWS))
-    query_blocks = max(1, -(-queries.count() // QUERY_ROWS))
-    part = lambda seed, n: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = vectors.select(part("block", blocks).alias("block"), every(query_blocks).alias("query_block"), "vec_id", "v")
-    right = queries.select(every(blocks).alias("block"), part("query", query_blocks).alias("query_block"), "vec_id", "v")
-    found = left.groupBy("block", "query_block").cogroup(right.groupBy("block", "query_block")).applyInArrow(_search_block(width, k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return Search(vectors, queries, k).found()
+
+
+def exact_vectors(embeddings: DataFrame) -> DataFrame:
+    """(vec_id, v), checkpointed: scaled(), where rows that repeat an id are one vector, the smallest of them."""
+    return checkpointed(scaled(embeddings).groupBy("vec_id").agg(F.min("v").alias("v")))
 
 
 def op3_exact_top_k(spark, sf_dir: str) -> DataFrame:
-    # Rows that repeat an id are one vector, the smallest of them.
-    vectors = checkpointed(scaled(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).groupBy("vec_id").agg(F.min("v").alias("v")))
+    """top_k of all `embeddings`, queries are those whose vec_id is divisible by 50. Rows without an id, or with null or
+    non-finite components, take no part; other columns are ignored; of rows with one id the smallest vector counts."""
+    vectors = exact_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return top_k(vectors, vectors.where(F.col("vec_id") % QUERY_EVERY == 0))
 
 

@@ -81,11 +81,33 @@ def test_urls_equal_sql(spark, tmp_path):
 def test_bloom_false_positives_are_removed(spark, monkeypatch):
     import tallyspark.llm.urls as U
 
-    monkeypatch.setattr(U, "BLOCKS", 1)
+    monkeypatch.setattr(U, "MOST_BLOCKS", 1)
     pages = spark.createDataFrame([(i, f"http://h{i}.net/p") for i in range(400)], "page_id long, url string")
     listed = pages.where("page_id % 2 = 0").select(canonical(F.col("url")).alias("canonical"))
     got = {r.page_id: r.listed for r in judge(pages, listed, RULES).collect()}
     assert got == {i: i % 2 == 0 for i in range(400)}
+    # The filter alone lets unlisted pages through here, and never fails a listed one.
+    parsed = pages.select("page_id", canonical(F.col("url")).alias("canonical_url"))
+    possible = {r.page_id: r.possible for r in U.probed(parsed, listed).collect()}
+    assert all(possible[i] for i in range(0, 400, 2)) and any(possible[i] for i in range(1, 400, 2))
     none = judge(pages, listed.limit(0), ())
     assert {r.verdict for r in none.collect()} == {"allow"} and judge(pages.limit(0), listed).count() == 0
     assert len(LISTED_SITES) == 6
+
+
+def test_pages_of_one_host_differ(spark):
+    """The list names pages, not hosts, and only their canonical form: variants of a listed page are listed too."""
+    rows = [(i, f"http://{'www.' if i % 2 else ''}site.net/p{i // 2}{'/' if i % 2 else '?ref=x'}") for i in range(800)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    from tallyspark.llm.urls import listed_urls
+
+    got = {r.page_id: r.verdict for r in judge(pages, listed_urls(pages)).collect()}
+    assert all(got[i] == got[i + 1] for i in range(0, 800, 2))
+    assert 10 < sum(v == "block" for v in got.values()) < 120
+
+
+def test_size_of_the_filter():
+    from tallyspark.llm.urls import MOST_BLOCKS, URLS_PER_BLOCK, number_of_blocks
+
+    assert [number_of_blocks(n) for n in (0, 1, 8, 9, 17, 10**12)] == [1, 1, 1, 2, 4, MOST_BLOCKS]
+    assert all(number_of_blocks(n) * URLS_PER_BLOCK >= n for n in (100, 12_345, 10**6))

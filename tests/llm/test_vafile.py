@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.llm import vafile
-from tallyspark.llm.vafile import ApproximationFile, op3_exact_top_k, scaled, top_k
+from tallyspark.llm.vafile import Grid, Search, exact_vectors, op3_exact_top_k, products, scaled, top_k
 
 
 def brute(rows, every, k):
@@ -40,20 +40,36 @@ def test_equals_brute_force(spark, tmp_path, monkeypatch, blocks):
     assert got == brute(rows, 50, 5)
 
 
-def test_bounds_hold_and_few_vectors_are_read(monkeypatch):
+def test_bounds_hold():
     rng = np.random.default_rng(2)
     exact = np.floor(256 * rng.normal(size=(3000, 64))).astype(np.int64)
-    file = ApproximationFile(np.arange(3000), exact)
-    reads = []
-    own = file.products
-    file.products = lambda rows, q: reads.append(rows.size) or own(rows, q)
+    grid = Grid(exact.min(axis=0), exact.max(axis=0))
     queries = exact[::100]
-    for q, ids, scores in file.search(np.arange(0, 3000, 100), queries, 5):
-        want = exact @ exact[q]
-        want[q] = -(10**15)
-        best = np.lexsort((np.arange(3000), -want))[:5]
-        assert ids.tolist() == best.tolist() and scores.tolist() == want[best].tolist()
-    assert sum(reads) < 0.1 * 3000 * len(queries)
+    middle, slack = grid.bounds(grid.codes(exact), queries)
+    assert (products(exact, queries) == exact @ queries.T).all()
+    assert (np.abs(exact @ queries.T - middle) <= slack).all()
+    large = exact * 2**24
+    assert (products(large, large[:5]) == large @ large[:5].T).all()
+
+
+def test_few_vectors_are_read(spark):
+    """Through the query's own steps on sf0.1: 2,000 vectors and 40 queries; the first step reads READ vectors a query."""
+    vectors = exact_vectors(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"))
+    queries = vectors.where("vec_id % 50 = 0")
+    search = Search(vectors, queries, 5)
+    assert search.floors().count() == queries.count() == 40
+    read = search.open_vectors().count() / search.query_blocks
+    # Once for all 40 queries together: 262 vectors, under seven a query.
+    assert 5 <= read <= 10 * 40
+
+
+def test_many_equal_vectors(spark):
+    """A third of the rows are one vector: ties go to the smallest ids, and each block sends k rows a query."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [2.0] * 6 if i % 3 == 0 else rng.normal(size=6).tolist()) for i in range(900)]
+    v = scaled(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = sorted(tuple(r) for r in top_k(v, v.where("vec_id % 50 = 0")).collect())
+    assert got == brute(rows, 50, 5)
 
 
 def test_few_and_no_candidates(spark):
