@@ -14,6 +14,7 @@ import base64
 import hashlib
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
@@ -32,6 +33,9 @@ PAIR_BITS = 28
 PIECES_KEPT = 250_000
 PIECE_CHARS = 48
 IDS_AT_A_TIME = 4096
+#: Characters of a text from which on its pieces are taken PIECES_AT_A_TIME.
+LONG_TEXT = 1 << 20
+PIECES_AT_A_TIME = 1 << 16
 
 
 def merge_order(piece: bytes, ranks: dict[bytes, int], least: int = 1) -> list[int]:
@@ -192,30 +196,72 @@ class Transducer:
         return written
 
 
+def _utf8_moves() -> np.ndarray:
+    """The UTF-8 state machine, by state and byte. State 0 is between characters; the others say which continuation
+    bytes are still to come. A byte that its state has no place for is ill-formed and is read again from state 0."""
+    ranges = {0: [(0x00, 0x7F, 0), (0xC2, 0xDF, 1), (0xE0, 0xE0, 4), (0xE1, 0xEC, 2), (0xED, 0xED, 5), (0xEE, 0xEF, 2), (0xF0, 0xF0, 6), (0xF1, 0xF3, 3), (0xF4, 0xF4, 7)],
+              1: [(0x80, 0xBF, 0)], 2: [(0x80, 0xBF, 1)], 3: [(0x80, 0xBF, 2)],
+              4: [(0xA0, 0xBF, 1)], 5: [(0x80, 0x9F, 1)], 6: [(0x90, 0xBF, 2)], 7: [(0x80, 0x8F, 2)]}
+    moves = np.zeros((8, 256), np.uint8)
+    for state in range(8):
+        moves[state] = moves[0]
+        for low, high, to in ranges[state]:
+            moves[state, low : high + 1] = to
+    return moves
+
+
+UTF8_MOVES = _utf8_moves()
+
+
+def token_moves(tokens: list[bytes]) -> np.ndarray:
+    """The state after each token from each state [token, state]."""
+    sizes = np.array(list(map(len, tokens)), np.int64)
+    data, start = np.frombuffer(b"".join(tokens) or b"\0", np.uint8), np.cumsum(sizes) - sizes
+    out = np.tile(np.arange(8, dtype=np.uint8), (sizes.size, 1))
+    for k in range(int(sizes.max(initial=0))):
+        more = np.flatnonzero(sizes > k)
+        out[more] = UTF8_MOVES[out[more], data[start[more] + k][:, None]]
+    return out
+
+
 class Utf8Stream:
-    """Decodes bytes that arrive in any portions; an unfinished character waits for its other bytes."""
+    """Decodes bytes that arrive in any portions by the state machine; an unfinished character waits for its other bytes.
 
-    #: By the high five bits of a lead byte, the bytes of its character; 0: a continuation byte.
-    LENGTH = (1,) * 16 + (0,) * 8 + (2,) * 4 + (3,) * 2 + (4, 1)
+    take() returns bytes, all of them in the end and unchanged, also those that are no UTF-8; feed() returns text, with
+    the replacement character for what is ill-formed.
+    """
 
     def __init__(self) -> None:
-        self.waiting = b""
-
-    def feed(self, data: bytes) -> str:
+        self.state, self.waiting = 0, b""
+
+    def take(self, data: bytes, state: int | None = None) -> bytes:
+        """The bytes up to the end of the last whole character; `state`: that after these bytes, if it is known."""
+        if state is None:
+            state, moves = self.state, _MOVES_BY_STATE
+            for b in data:
+                state = moves[state][b]
+        self.state = state
         data = self.waiting + data
         cut = len(data)
-        for back in range(1, min(3, cut) + 1):
-            need = self.LENGTH[data[-back] >> 3]
-            if need:
-                if need > back:
-                    cut -= back
-                break
+        if state:  # inside a character: it began with the last byte that is no continuation
+            while data[cut - 1] & 0xC0 == 0x80:
+                cut -= 1
+            cut -= 1
         self.waiting = data[cut:]
-        return data[:cut].decode("utf-8", "replace")
+        return data[:cut]
+
+    def rest(self) -> bytes:
+        rest, self.waiting, self.state = self.waiting, b"", 0
+        return rest
+
+    def feed(self, data: bytes) -> str:
+        return self.take(data).decode("utf-8", "replace")
 
     def close(self) -> str:
-        rest, self.waiting = self.waiting, b""
-        return rest.decode("utf-8", "replace")
+        return self.rest().decode("utf-8", "replace")
+
+
+_MOVES_BY_STATE = [tuple(x) for x in UTF8_MOVES.tolist()]
 
 
 class Tokenizer:
@@ -225,9 +271,15 @@ class Tokenizer:
         self.transducer = Transducer(ranks)
         self.pieces_kept = PIECES_KEPT
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
+        self.each_piece = regex.compile(public_tokenizers.PATTERN).finditer
         self.written: dict[str, str] = {}
         self.older: dict[str, str] = {}
-        self.bytes_of = {str(r): t for t, r in ranks.items()}
+        most = max(ranks.values(), default=-1) + 1
+        self.bytes_of = [b""] * most
+        for token, rank in ranks.items():
+            self.bytes_of[rank] = token
+        self.moves = token_moves(self.bytes_of)
+        self.opens = self.moves[:, 0] != 0
 
     def _write(self, piece: str) -> str:
         ids = self.older.get(piece) or ",".join(map(str, self.transducer.encode(piece.encode())))
@@ -235,25 +287,56 @@ class Tokenizer:
             self.written[piece] = ids
         return ids
 
-    def encode(self, text: str) -> str:
-        """The token ids in decimal, joined by commas."""
+    def _trim(self) -> None:
         if len(self.written) >= self.pieces_kept // 2:  # what is still in use moves over from the older half
             self.older, self.written = self.written, {}
-        get, write = self.written.get, self._write
-        return ",".join([get(p) or write(p) for p in self.pieces(text)])
 
-    def decode(self, ids: str) -> Iterator[str]:
-        """The text of comma-joined ids, in portions of whole characters."""
-        if not ids:
+    def encode(self, text: str) -> str:
+        """The token ids in decimal, joined by commas."""
+        return ",".join(self.encoded(text))
+
+    def encoded(self, text: str) -> Iterator[str]:
+        """The token ids in decimal, joined by commas, in portions; a long text is cut into pieces bit by bit."""
+        if len(text) <= LONG_TEXT:
+            self._trim()
+            get, write = self.written.get, self._write
+            if found := [get(p) or write(p) for p in self.pieces(text)]:
+                yield ",".join(found)
             return
-        yield from self.decode_ids(ids.split(","))
+        every = (m[0] for m in self.each_piece(text))
+        while some := list(islice(every, PIECES_AT_A_TIME)):
+            self._trim()
+            get, write = self.written.get, self._write
+            yield ",".join([get(p) or write(p) for p in some])
 
-    def decode_ids(self, every: list[str]) -> Iterator[str]:
-        """The text of ids in decimal, in portions of whole characters."""
-        stream, look = Utf8Stream(), self.bytes_of.__getitem__
-        for k in range(0, len(every), IDS_AT_A_TIME):
-            yield stream.feed(b"".join(map(look, every[k : k + IDS_AT_A_TIME])))
-        yield stream.close()
+    def decode(self, ids: str) -> Iterator[str]:
+        """The text of comma-joined ids, in portions of whole characters."""
+        for part in self.decoded(np.fromstring(ids, np.int64, sep=",") if ids else np.zeros(0, np.int64)):
+            yield part.decode("utf-8", "replace")
+
+    def decoded(self, ids: np.ndarray) -> Iterator[bytes]:
+        """The bytes of ids, in portions of whole characters. The state machine runs by tokens: most neither begin nor end
+        inside a character, so it looks only at those that leave one open and what follows them."""
+        stream, look, moves = Utf8Stream(), self.bytes_of, self.moves
+        for k in range(0, ids.size, IDS_AT_A_TIME):
+            own = ids[k : k + IDS_AT_A_TIME]
+            state, at = stream.state, 0
+            opening = np.flatnonzero(self.opens[own])
+            while True:
+                if state == 0:
+                    later = np.searchsorted(opening, at)
+                    if later == opening.size:
+                        break
+                    at = int(opening[later])
+                while at < own.size:
+                    state = int(moves[own[at], state])
+                    at += 1
+                    if state == 0:
+                        break
+                if at == own.size:
+                    break
+            yield stream.take(b"".join([look[i] for i in own.tolist()]), state)
+        yield stream.rest()
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -285,13 +368,17 @@ def _encode_rows(vocabulary, kept):
         for batch in batches:
             every, counts, digests, decoded = [], [], [], []
             for value in batch.column("text"):
-                ids = tokenizer.encode(value.as_py() or "")
-                every.append(np.fromstring(ids, np.int32, sep=",") if ids else np.zeros(0, np.int32))
-                counts.append(every[-1].size)
-                digests.append(sha(ids.encode()).hexdigest())
+                own, written = [], sha()
+                for part in tokenizer.encoded(value.as_py() or ""):
+                    written.update(("," if own else "").encode() + part.encode())
+                    own.append(np.fromstring(part, np.int32, sep=","))
+                ids = own[0] if len(own) == 1 else np.concatenate([np.zeros(0, np.int32), *own])
+                every.append(ids)
+                counts.append(ids.size)
+                digests.append(written.hexdigest())
                 back = sha()
-                for part in tokenizer.decode(ids):
-                    back.update(part.encode())
+                for part in tokenizer.decoded(ids):
+                    back.update(part)
                 decoded.append(back.hexdigest())
             offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
             tokens = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(every) if every else np.zeros(0, np.int32)))
@@ -305,12 +392,12 @@ def _encode_rows(vocabulary, kept):
 
 def encode_documents(docs: DataFrame, vocabulary: str | None = None, kept: float = 1.0) -> DataFrame:
     """(doc_id, ids, n_tokens, ids_sha256, decoded_sha256) for every row of `docs`: the token ids, their number and
-    the digests of the ids in decimal, joined by commas, and of the text they decode to.
+    the digests of the ids in decimal, joined by commas, and of the bytes they decode to.
 
     `vocabulary` is the path of a rank file on the driver, which reads and broadcasts it (its size is that of the
     vocabulary, whatever the input). `kept` scales the states and pieces that a worker remembers: less memory for more
-    time, with the same results. Null counts as the empty text, with no tokens; repeated rows each get a row;
-    other columns are ignored.
+    time, with the same results. Null counts as the empty text, with no tokens; long texts are encoded in portions;
+    repeated rows each get a row; an empty table gives an empty one; other columns are ignored, whatever their names.
     """
     picked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return picked.mapInArrow(_encode_rows(_broadcast(docs, vocabulary), kept), "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -320,7 +407,9 @@ def _decode_rows(vocabulary):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(vocabulary.value)
         for batch in batches:
-            texts = ["".join(tokenizer.decode_ids(list(map(str, value.as_py() or [])))) for value in batch.column("ids")]
+            ids = batch.column("ids")
+            own = [ids[i].values.to_numpy() if ids[i].is_valid and len(ids[i]) else np.zeros(0, np.int32) for i in range(len(ids))]
+            texts = ["".join([part.decode("utf-8", "replace") for part in tokenizer.decoded(x)]) for x in own]
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "text": pa.array(texts, pa.string())})
 
     return rows
@@ -333,4 +422,5 @@ def decode_documents(tokens: DataFrame, vocabulary: str | None = None) -> DataFr
 
 
 def op7_byte_bpe(spark, sf_dir: str) -> DataFrame:
+    """encode_documents of all `documents`, without the ids; its edge cases hold."""
     return encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("ids")

@@ -26,6 +26,9 @@ LPC_ORDER = 8
 LPC_BITS = 12
 MOST_RICE = 14
 BATCH_BYTES = 1 << 20
+#: Samples of a long payload that are encoded, and frames that are decoded, at a time.
+RUN = 1 << 20
+FRAMES_AT_A_TIME = 1 << 11
 
 CONSTANT, VERBATIM, FIXED, LPC = range(4)
 KIND_NAMES = ("constant", "verbatim", "fixed", "lpc")
@@ -119,10 +122,49 @@ def _put(bits: np.ndarray, at: np.ndarray, values: np.ndarray, width: int) -> No
 
 
 def encode(payload: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """FLAC streams of consecutive payloads of the given positive sizes; sample = byte - 128."""
+    """FLAC streams of consecutive payloads of the given positive sizes; sample = byte - 128. A payload of more than RUN
+    samples is encoded in runs of frames."""
+    out, end = [], np.cumsum(sizes)
+    begin = end - sizes
+    first = 0
+    while first < sizes.size:
+        if sizes[first] > RUN:
+            own = payload[begin[first] : end[first]]
+            runs = [_encode_frames(own[at : at + RUN], np.array([min(RUN, own.size - at)]), at // BLOCK) for at in range(0, own.size, RUN)]
+            out.append(_stream(own, np.concatenate([r[1] for r in runs]), b"".join(r[0] for r in runs)))
+            first += 1
+            continue
+        stop = first
+        while stop < sizes.size and sizes[stop] <= RUN:
+            stop += 1
+        raw, frame_bytes = _encode_frames(payload[begin[first] : end[stop - 1]], sizes[first:stop], 0)
+        bound, place = np.r_[0, np.cumsum(-(-sizes[first:stop] // BLOCK))], np.r_[0, np.cumsum(frame_bytes)]
+        for i in range(first, stop):
+            a, b = bound[i - first], bound[i - first + 1]
+            out.append(_stream(payload[begin[i] : end[i]], frame_bytes[a:b], raw[place[a] : place[b]]))
+        first = stop
+    return out
+
+
+def _stream(payload: np.ndarray, frame_bytes: np.ndarray, frames: bytes) -> bytes:
+    """The metadata with a seek point for each frame, and the frames."""
+    n = payload.size
+    table = np.zeros(frame_bytes.size, np.dtype([("sample", ">u8"), ("offset", ">u8"), ("size", ">u2")]))
+    table["sample"] = np.arange(frame_bytes.size) * BLOCK
+    table["offset"] = np.cumsum(frame_bytes) - frame_bytes
+    table["size"] = np.minimum(BLOCK, n - np.arange(frame_bytes.size) * BLOCK)
+    packed = RATE << 44 | 7 << 36 | n
+    info = BLOCK.to_bytes(2, "big") * 2 + int(frame_bytes.min()).to_bytes(3, "big") + int(frame_bytes.max()).to_bytes(3, "big") + packed.to_bytes(8, "big") + hashlib.md5((payload ^ 0x80).tobytes()).digest()
+    seek = table.tobytes()
+    if len(seek) >= 1 << 24:  # a metadata block has no room for it; such a stream is read frame by frame
+        return b"fLaC\x80\x00\x00\x22" + info + frames
+    return b"fLaC\x00\x00\x00\x22" + info + b"\x83" + len(seek).to_bytes(3, "big") + seek + frames
+
+
+def _encode_frames(payload: np.ndarray, sizes: np.ndarray, first_number: int) -> tuple[bytes, np.ndarray]:
+    """The frames of consecutive payloads, and the bytes of each; numbers begin at first_number."""
     frames = -(-sizes // BLOCK)
     total = int(frames.sum())
-    stream = np.repeat(np.arange(sizes.size), frames)
     number = np.arange(total) - np.repeat(np.cumsum(frames) - frames, frames)
     begin = np.repeat(np.cumsum(sizes) - sizes, frames) + number * BLOCK
     size = np.minimum(BLOCK, np.repeat(sizes, frames) - number * BLOCK)
@@ -153,7 +195,8 @@ def encode(payload: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     kind[~same], best[~same] = CONSTANT, 8
     order[kind <= VERBATIM] = 0
 
-    number_bytes = {n: _coded_number(n) for n in range(int(frames.max(initial=0)))}
+    number = number + first_number
+    number_bytes = {n: _coded_number(n) for n in range(first_number, first_number + int(frames.max(initial=0)))}
     heads = []
     for n, s in zip(number.tolist(), size.tolist(), strict=True):
         full = s == BLOCK
@@ -205,20 +248,7 @@ def encode(payload: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     check = _crc(data, start, frame_bytes - 2, 16)
     data[start + frame_bytes - 2], data[start + frame_bytes - 1] = check >> 8, check & 0xFF
 
-    out = []
-    raw, signed = data.tobytes(), (payload ^ 0x80).tobytes()
-    bound = np.r_[0, np.cumsum(frames)]
-    for i, n in enumerate(sizes.tolist()):
-        own = slice(bound[i], bound[i + 1])
-        a, b = int(start[own.start]), int(start[own.stop - 1] + frame_bytes[own.stop - 1])
-        head = int(np.cumsum(sizes)[i] - n) if i == 0 else head + int(sizes[i - 1])
-        table = np.zeros(own.stop - own.start, np.dtype([("sample", ">u8"), ("offset", ">u8"), ("size", ">u2")]))
-        table["sample"], table["offset"], table["size"] = number[own] * BLOCK, start[own] - a, size[own]
-        packed = RATE << 44 | 7 << 36 | n
-        info = BLOCK.to_bytes(2, "big") * 2 + int(frame_bytes[own].min()).to_bytes(3, "big") + int(frame_bytes[own].max()).to_bytes(3, "big") + packed.to_bytes(8, "big") + hashlib.md5(signed[head : head + n]).digest()
-        seek = table.tobytes()
-        out.append(b"fLaC\x00\x00\x00\x22" + info + b"\x83" + len(seek).to_bytes(3, "big") + seek + raw[a:b])
-    return out
+    return data.tobytes(), frame_bytes
 
 
 # --- decoding ---------------------------------------------------------------------------------------------------
@@ -441,24 +471,34 @@ def decode(media: list[bytes]) -> list[Decoded]:
     """Payloads of FLAC streams, with frame checksums, sample counts and MD5 verified."""
     streams = [read_metadata(m) for m in media]
     base = np.cumsum([0, *map(len, media)])
-    lanes = Lanes(np.frombuffer(b"".join(media), np.uint8))
+    data = np.frombuffer(b"".join(media), np.uint8)
     parts: list[list[tuple[int, np.ndarray, int, int]]] = [[] for _ in media]
     done = np.zeros(len(media), np.int64)
     at = np.array([s.audio for s in streams], np.int64)
 
-    def take(owner: np.ndarray, start: np.ndarray) -> None:
-        frames = decode_frames(lanes, base[owner] + start)
-        values = (np.where(frames.samples < 0, frames.samples + 128, frames.samples + 128) & 0xFF).astype(np.uint8).T
+    def take(lanes: Lanes, begin: int, owner: np.ndarray, start: np.ndarray) -> None:
+        frames = decode_frames(lanes, base[owner] + start - begin)
+        values = ((frames.samples + 128) & 0xFF).astype(np.uint8).T
         for j, (i, n) in enumerate(zip(owner.tolist(), frames.size.tolist(), strict=True)):
-            parts[i].append((int(done[i]), values[j, :n], int(start[j]), int(frames.kind[j])))
+            parts[i].append((int(done[i]), values[j, :n].copy(), int(start[j]), int(frames.kind[j])))
             done[i] += n
-            at[i] = frames.end[j] - base[i]
+            at[i] = frames.end[j] + begin - base[i]
 
     seekable = [i for i, s in enumerate(streams) if s.points.size]
     if seekable:
-        take(np.repeat(seekable, [streams[i].points.size for i in seekable]), np.concatenate([streams[i].points for i in seekable]))
-    while (rest := np.array([i for i, s in enumerate(streams) if done[i] < s.samples], np.int64)).size:
-        take(rest, at[rest])
+        owner, start = np.repeat(seekable, [streams[i].points.size for i in seekable]), np.concatenate([streams[i].points for i in seekable])
+        for k in range(0, owner.size, FRAMES_AT_A_TIME):
+            some = slice(k, k + FRAMES_AT_A_TIME)
+            begin = int(base[owner[k]] + start[k])
+            last = owner[some][-1]
+            end = int(base[owner[k + FRAMES_AT_A_TIME]] + start[k + FRAMES_AT_A_TIME]) if k + FRAMES_AT_A_TIME < owner.size and owner[k + FRAMES_AT_A_TIME] == last else int(base[last + 1])
+            if (start[some] < 0).any() or (base[owner[some]] + start[some] >= end).any() or (base[owner[some]] + start[some] < begin).any():
+                raise FlacError("a seek point is out of place")
+            take(Lanes(data[begin:end]), begin, owner[some], start[some])
+    if any(done[i] < s.samples for i, s in enumerate(streams)):
+        lanes = Lanes(data)
+        while (rest := np.array([i for i, s in enumerate(streams) if done[i] < s.samples], np.int64)).size:
+            take(lanes, 0, rest, at[rest])
     out = []
     for i, s in enumerate(streams):
         payload = np.concatenate([p[1] for p in parts[i]]) if parts[i] else np.zeros(0, np.uint8)
@@ -477,14 +517,15 @@ def _store_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes = np.diff(offsets)
             padded = np.maximum(UNIT, -(-sizes // UNIT) * UNIT)
             payload = np.zeros(int(padded.sum()), np.uint8)
-            shift = np.cumsum(padded) - padded - offsets[:-1]
-            payload[np.arange(data.size) + np.repeat(shift, sizes)] = data
+            for at, a, b in zip((np.cumsum(padded) - padded).tolist(), offsets.tolist(), offsets[1:].tolist()):
+                payload[at : at + b - a] = data[a:b]
             yield pa.record_batch({"doc_id": batch.column("doc_id").slice(first, end - first), "n_bytes": pa.array(sizes), "media": pa.array(encode(payload, padded), pa.binary())})
 
 
 def store(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media) for each row of `docs` (doc_id, text): the text's UTF-8 bytes, padded with zero bytes to a
-    positive multiple of UNIT, as a FLAC stream. Null counts as empty; repeated rows each get a row."""
+    positive multiple of UNIT, as a FLAC stream. Null counts as empty and gives UNIT zero bytes; repeated rows each get a
+    row; long texts are encoded in runs of frames; an empty table gives an empty one; other columns are ignored."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_store_rows, "doc_id long, n_bytes long, media binary")
 
 
@@ -501,49 +542,86 @@ def _groups(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         yield first, held
 
 
-def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_BLOCK = pa.struct([("sample_offset", pa.int64()), ("byte_offset", pa.int64()), ("kind", pa.int32()), ("pcm", pa.binary())])
+
+
+def _read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, media in _groups(batch.column("media")):
-            rows = decode(media)
-            mean = [sum(r.payload) / len(r.payload) for r in rows]
-            features = [
-                ";".join([f"frames:{r.kinds.size}", *(f"{name}:{int((r.kinds == k).sum())}" for k, name in enumerate(KIND_NAMES)), f"mean:{m:.3f}"])
-                for r, m in zip(rows, mean, strict=True)
-            ]
+            try:
+                rows, errors = decode(media), [None] * len(media)
+            except FlacError:
+                rows, errors = [], []
+                for m in media:
+                    try:
+                        rows += decode([m])
+                        errors.append(None)
+                    except FlacError as e:
+                        rows.append(None)
+                        errors.append(str(e))
+            blocks = []
+            for r in rows:
+                ends = [] if r is None else [*r.offsets[1:].tolist(), len(r.payload)]
+                blocks.append(None if r is None else [
+                    {"sample_offset": a, "byte_offset": p, "kind": k, "pcm": r.payload[a:b]} for a, b, p, k in zip(r.offsets.tolist(), ends, r.places.tolist(), r.kinds.tolist(), strict=True)])
             yield pa.record_batch({
                 "doc_id": batch.column("doc_id").slice(first, len(rows)), "n_bytes": batch.column("n_bytes").slice(first, len(rows)),
-                "payload_bytes": pa.array([len(r.payload) for r in rows], pa.int64()),
-                "payload_sha256": pa.array([hashlib.sha256(r.payload).hexdigest() for r in rows]),
-                "tail_crc32": pa.array([zlib.crc32(r.payload[-UNIT:]) for r in rows], pa.int64()),
-                "media_bytes": pa.array([len(m) for m in media], pa.int64()),
-                "media_sha256": pa.array([hashlib.sha256(m).hexdigest() for m in media]),
-                "feature": pa.array(features),
+                "media_bytes": pa.array([len(m) for m in media], pa.int64()), "media_sha256": pa.array([hashlib.sha256(m).hexdigest() for m in media]),
+                "blocks": pa.array(blocks, pa.list_(_BLOCK)), "error": pa.array(errors, pa.string()),
             })
 
 
-def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for first, media in _groups(batch.column("media")):
-            for i, r in enumerate(decode(media)):
-                ends = np.r_[r.offsets[1:], len(r.payload)]
-                yield pa.record_batch({
-                    "doc_id": batch.column("doc_id").take(pa.array([first + i] * ends.size)), "block": pa.array(np.arange(ends.size, dtype=np.int32)),
-                    "sample_offset": pa.array(r.offsets.astype(np.int64)), "byte_offset": pa.array(r.places.astype(np.int64)),
-                    "pcm": pa.array([r.payload[a:b] for a, b in zip(r.offsets.tolist(), ends.tolist(), strict=True)], pa.binary()),
-                })
+def read_back(media: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, media_bytes, media_sha256, blocks, error) of each row of a table (doc_id, n_bytes, media) whose
+    media is not null: PCM blocks by frame, with the first sample of each and its byte in the stream.
+
+    A damaged stream, or one whose checksums don't hold, has null blocks and its error; it fails no other row.
+    """
+    schema = "doc_id long, n_bytes long, media_bytes long, media_sha256 string, blocks array<struct<sample_offset: bigint, byte_offset: bigint, kind: int, pcm: binary>>, error string"
+    return media.select("doc_id", "n_bytes", "media").where("media is not null").mapInArrow(_read_rows, schema)
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
-    """(doc_id, block, sample_offset, byte_offset, pcm) of a table (doc_id, media): unsigned 8-bit PCM by frame, with the
-    first sample of each and its byte in the stream, so that a reader can seek. A damaged stream raises FlacError."""
-    return media.select("doc_id", "media").where("media is not null").mapInArrow(_block_rows, "doc_id long, block int, sample_offset long, byte_offset long, pcm binary")
+    """(doc_id, block, sample_offset, byte_offset, pcm) of a table (doc_id, media): unsigned 8-bit PCM by frame, so that a
+    reader can seek. Damaged streams have no blocks here; read_back() names their errors."""
+    read = read_back(media.select("doc_id", F.lit(None).cast("long").alias("n_bytes"), "media"))
+    return read.select("doc_id", F.posexplode("blocks").alias("block", "b")).select("doc_id", "block", "b.sample_offset", "b.byte_offset", "b.pcm")
+
+
+def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out: dict[str, list] = {"payload_bytes": [], "payload_sha256": [], "tail_crc32": [], "feature": []}
+        listed = batch.column("blocks")
+        for row in range(batch.num_rows):
+            if not listed[row].is_valid:
+                for values in out.values():
+                    values.append(None)
+                continue
+            blocks = listed[row].values
+            pcm, kinds = blocks.field("pcm").to_pylist(), blocks.field("kind").to_numpy()
+            whole, total, tail = hashlib.sha256(), 0, b""
+            for p in pcm:
+                whole.update(p)
+                total += int(np.frombuffer(p, np.uint8).sum())
+                tail = (tail + p)[-UNIT:]
+            n = sum(map(len, pcm))
+            out["payload_bytes"].append(n)
+            out["payload_sha256"].append(whole.hexdigest())
+            out["tail_crc32"].append(zlib.crc32(tail))
+            out["feature"].append(";".join([f"frames:{kinds.size}", *(f"{name}:{int((kinds == k).sum())}" for k, name in enumerate(KIND_NAMES)), f"mean:{total / n:.3f}"]))
+        yield pa.record_batch({
+            "doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes"), "payload_bytes": pa.array(out["payload_bytes"], pa.int64()),
+            "payload_sha256": pa.array(out["payload_sha256"], pa.string()), "tail_crc32": pa.array(out["tail_crc32"], pa.int64()),
+            "media_bytes": batch.column("media_bytes"), "media_sha256": batch.column("media_sha256"), "feature": pa.array(out["feature"], pa.string()), "error": batch.column("error"),
+        })
 
 
 def digest(media: DataFrame) -> DataFrame:
-    """Digests of what is read back from a table of `store`."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.mapInArrow(_digest_rows, schema)
+    """Digests of the PCM blocks that read_back() gives of a table of `store`; null for a damaged stream, with its error."""
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
+    return read_back(media).mapInArrow(_digest_rows, schema)
 
 
 def op4_flac_media(spark, sf_dir: str) -> DataFrame:
+    """Stores every text of `documents` as FLAC, reads it back in PCM blocks and digests those; edge cases as in store()."""
     return digest(store(spark.read.parquet(f"{sf_dir}/documents.parquet")))

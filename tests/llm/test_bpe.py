@@ -93,3 +93,42 @@ def test_ids_are_returned_and_decode(spark, tmp_path):
     assert {r.doc_id: r.text for r in decode_documents(tokens).collect()} == {i: t or "" for i, t in enumerate(texts)}
     df.write.parquet(str(tmp_path / "documents.parquet"))
     assert op7_byte_bpe(spark, str(tmp_path)).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.binary(max_size=30), st.lists(st.integers(0, 30), max_size=5))
+def test_any_bytes_come_back(data, cuts):
+    """Bytes that are no UTF-8 are neither lost nor changed, and only whole characters go before the rest."""
+    cuts = sorted({min(c, len(data)) for c in cuts} | {0, len(data)})
+    stream = Utf8Stream()
+    parts = [stream.take(data[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    assert b"".join(parts) + stream.rest() == data
+    assert "".join(p.decode("utf-8", "replace") for p in [*parts, data[sum(map(len, parts)) :]]) == data.decode("utf-8", "replace")
+
+
+def test_tokens_move_the_machine_as_their_bytes_do():
+    import numpy as np
+
+    from tallyspark.llm.bpe import UTF8_MOVES, token_moves
+
+    rng = random.Random(4)
+    tokens = [bytes(rng.choices(range(256), k=rng.randint(1, 5))) for _ in range(300)] + ["é".encode()[:1], "🎉".encode()[1:]]
+    moves = token_moves(tokens)
+    for token, row in zip(tokens, moves):
+        for state in range(8):
+            to = state
+            for b in token:
+                to = int(UTF8_MOVES[to, b])
+            assert row[state] == to
+    single = [r for t, r in RANKS.items() if len(t) == 1]
+    ids_ = np.array(rng.choices(single, k=9000))
+    assert b"".join(OWN.decoded(ids_)) == b"".join(OWN.bytes_of[i] for i in ids_)
+
+
+def test_long_text_in_portions(monkeypatch):
+    import tallyspark.llm.bpe as B
+
+    monkeypatch.setattr(B, "LONG_TEXT", 100)
+    monkeypatch.setattr(B, "PIECES_AT_A_TIME", 7)
+    text = "The naïve fox, 東京 and 13 lazy dogs " * 30
+    assert OWN.encode(text) == ids(text)

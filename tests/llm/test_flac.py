@@ -115,3 +115,32 @@ def test_bad_streams():
     for bad in (b"", b"nope", b"fLaC", b"fLaC\x80\x00\x00\x00"):
         with pytest.raises(FlacError):
             decode([bad])
+
+
+def test_long_payload_is_coded_in_runs():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    text = np.frombuffer((" ".join(rng.choice(["alpha", "beta", "gamma", "delta"], 500_000).tolist())).encode()[: 5 << 19], np.uint8)
+    tracemalloc.start()
+    media = encode(text, np.array([text.size]))
+    back = decode(media)[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert back.payload == text.tobytes() and back.offsets.tolist() == list(range(0, text.size, BLOCK))
+    assert peak < 160 << 20
+    some = [text[:100], text[: 1 << 21], text[:64], text[: (1 << 20) + 1]]
+    streams = encode(np.concatenate(some), np.array([x.size for x in some]))
+    assert streams == [encode(x, np.array([x.size]))[0] for x in some]
+    assert [d.payload for d in decode(streams)] == [x.tobytes() for x in some]
+
+
+def test_damaged_rows_are_set_apart(spark):
+    good = store(spark.createDataFrame([(1, "abc " * 400), (2, "def " * 400), (3, None)], "doc_id long, text string")).collect()
+    rows = [(r.doc_id, r.n_bytes, bytes(r.media[:-3]) + bytes(3) if r.doc_id == 2 else bytes(r.media)) for r in good] + [(4, 0, None)]
+    table = spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in digest(table).collect()}
+    assert sorted(got) == [1, 2, 3]
+    assert got[2].error and got[2].payload_sha256 is None and got[1].error is None and got[3].payload_bytes == 64
+    assert {r.doc_id for r in pcm_blocks(table).collect()} == {1, 3}
+    assert digest(table.limit(0)).count() == 0
