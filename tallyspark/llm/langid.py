@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import held_out, text_blocks
 
@@ -204,39 +205,42 @@ def _predict_rows(shared):
 ADDED = "lang_pred string, score double, evidence double, mixture string"
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], schema: str) -> DataFrame:
-    """The rows of `docs` (with a column text; `schema` is its DDL) and ADDED: the language, its share of the text
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], schema: T.StructType) -> DataFrame:
+    """The rows of `docs` (with a column text; `schema` is theirs) and ADDED: the language, its share of the text
     (0 to 1), the evidence per trigram against the background, and the mixture. `und` with score zero: a null text,
     one without a letter, or a model without languages. A text with letters but no trigram goes to the first language."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_predict_rows(shared), f"{schema}, {ADDED}")
+    return docs.mapInArrow(_predict_rows(shared), T.StructType([*schema.fields, *T.StructType.fromDDL(ADDED).fields]))
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, evidence, mixture) for each row of `docs` (doc_id, text, lang).
 
     Learns from rows with a lang whose id is not in the held-out fold; a null id is never learned from and counts as
-    not held out. lang, source and doc_id are no inputs of a prediction. Repeated rows each get a row.
+    not held out. lang, source and doc_id are no inputs of a prediction. Null and empty texts are `und` with score 0;
+    texts are read whole, whatever their length; equal likelihoods go to the first language in code point order; repeated
+    rows each get a row; an empty table gives an empty one; other columns are ignored, whatever their names.
     """
     picked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     model = learn(picked.where(~held_out() & F.col("doc_id").isNotNull()))
     texts = picked.select("doc_id", held_out().alias("held_out"), "text")
-    return predict(texts, model, "doc_id long, held_out boolean, text string").drop("text")
+    return predict(texts, model, T.StructType.fromDDL("doc_id long, held_out boolean, text string")).drop("text")
 
 
 def known_languages(docs: DataFrame) -> DataFrame:
     """The rows of `docs` whose language can be told, with a missing lang filled in.
 
     A row goes if its text has no letter, or if the uniform background alone explains it better than any language or
-    mixture does. A text with letters but no trigram stays.
+    mixture does. A text with letters but no trigram stays. Repeated rows stay; an empty table gives an empty one; other
+    columns keep their names and values, whatever they are.
     """
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("doc_id").alias("doc_id"))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("doc_id").alias("doc_id"))
     model = learn(packed.where(~held_out() & F.col("doc_id").isNotNull()))
-    row = docs.schema.simpleString()
-    found = predict(packed.select("row", "text"), model, f"row {row}, text string")
+    found = predict(packed.select("row", "text"), model, T.StructType([packed.schema["row"], T.StructField("text", T.StringType())]))
     kept = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("evidence") >= 0))
     return kept.select(F.col("row").withField("lang", F.coalesce("row.lang", "lang_pred")).alias("row")).select("row.*")
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
+    """identify() over all of `documents`; its edge cases hold."""
     return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -41,33 +41,47 @@ def targets(sizes: DataFrame) -> DataFrame:
     return levels.select("mix_source", "source_size", F.round(filled, 6).alias("target"))
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` (doc_id, text, source; other columns with other names than the added ones) with mix_size,
-    source_size, target and mix_copies.
+_ADDED = ("mix_size", "source_size", "target", "mix_copies")
 
-    A null or empty text has size 0 and keeps its row. Rows that repeat one doc_id share a draw. An empty table gives
-    an empty one; sources without words have target 0.
-    """
-    sized = docs.withColumn("mix_size", word_count(F.col("text")))
-    sources = checkpointed(targets(docs.select("source", word_count(F.col("text")).alias("size"))))
+
+def _mixed(docs: DataFrame) -> DataFrame:
+    """(mix_row, mix_size, source_size, target, mix_copies): mix_row has the columns of `docs`."""
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("mix_row"))
+    sized = packed.withColumn("mix_size", word_count(F.col("mix_row.text")))
+    sources = checkpointed(targets(sized.select(F.col("mix_row.source").alias("source"), F.col("mix_size").alias("size"))))
     if sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         sources = F.broadcast(sources)
-    joined = sized.join(sources, F.col("source").eqNullSafe(F.col("mix_source"))).drop("mix_source")
+    joined = sized.join(sources, F.col("mix_row.source").eqNullSafe(F.col("mix_source")))
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MOST_REPEATS)))).otherwise(0.0)
-    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{SEED}")))
+    digest = F.md5(F.concat(F.coalesce(F.col("mix_row.doc_id").cast("string"), F.lit("null")), F.lit(f":{SEED}")))
     draw = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
     copies = F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")
-    return joined.withColumn("mix_copies", copies.cast("long"))
+    return joined.select("mix_row", "mix_size", "source_size", "target", copies.cast("long").alias("mix_copies"))
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` (doc_id, text, source and any others) with mix_size, source_size, target and mix_copies, which
+    take the place of columns with these names.
+
+    A null or empty text has size 0 and keeps its row; texts may be of any length. Rows that repeat one doc_id share a
+    draw. An empty table gives an empty one; sources without words have target 0.
+    """
+    own = [F.col(f"mix_row.`{c}`").alias(c) for c in docs.columns if c.lower() not in _ADDED]
+    return _mixed(docs).select(*own, *_ADDED)
 
 
 def emitted(docs: DataFrame) -> DataFrame:
-    """The mix itself: each row of `docs` as often as it is taken, with its own columns only."""
-    packed = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("mix_row"))
-    taken = mixed(packed).where("mix_copies > 0")
+    """The mix itself: each row of `docs` (doc_id, text, source and any others) as often as it is taken, unchanged.
+
+    Nulls, empty and long texts, repeated rows and empty tables are as in mixed(); a text without words is taken as its
+    source is. Columns keep their names and values, whatever they are.
+    """
+    taken = _mixed(docs).where("mix_copies > 0")
     return taken.select("mix_row", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy")).select("mix_row.*")
 
 
 def op8_source_mixing(spark, sf_dir: str) -> DataFrame:
+    """mixed() over all of `documents`, in words; its edge cases hold."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return mixed(docs).select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
 

@@ -215,7 +215,8 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of `docs` (doc_id, text), learned from `labels` (doc_id, quality).
 
     Rows of the held-out fold and those with a null id or label are not learned from; repeated labels count each. A
-    null text counts as empty, and has a score. Without any labels every score is one half.
+    null text counts as empty, and has a score. Without any labels every score is one half. Texts are read whole; repeated
+    rows each get a row; an empty table gives an empty one; other columns are ignored, whatever their names.
     """
     picked = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     stats = checkpointed(picked.mapInArrow(_statistics_rows, "doc_id long, held_out boolean, x array<double>"))
@@ -228,4 +229,5 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
+    """score_quality() of all `documents` by `labels`; its edge cases hold."""
     return score_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import checkpointed
 
@@ -143,8 +144,9 @@ def _names(spans: Column) -> Column:
 def find_secrets(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) for each row of `docs` (doc_id, text).
 
-    A null text counts as empty and has no spans. Offsets are code points, ends exclusive. Repeated rows each get a row;
-    other columns are ignored. The part lists that are collected belong to one document each.
+    A null text counts as empty and has no spans. Offsets are code points, ends exclusive. Texts are scanned whole,
+    whatever their length. Repeated rows each get a row; an empty table gives an empty one; other columns are ignored,
+    whatever their names. The part lists that are collected belong to one document each.
     """
     scanned = checkpointed(scan(docs))
     linked = linked_parts(scanned)
@@ -154,12 +156,12 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 
 def _mask_rows(weak: bool):
-    """Masks the rows that have weak parts, or those that have none: all strong spans, and those of the column linked."""
+    """Masks the rows that have weak parts, or those that have none: all strong spans, and those of the column links."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, texts = [], []
-            linked = batch.column("secret_links")
+            linked = batch.column("links")
             for i, value in enumerate(batch.column("text")):
                 text = value.as_py()
                 spans = strong_spans(text or "")
@@ -169,9 +171,7 @@ def _mask_rows(weak: bool):
                     spans = spans + [(x["start"], x["kind"], x["end"]) for x in linked[i].as_py()]
                 kept.append(i)
                 texts.append(masked(text, spans) if spans else text)
-            part = batch.take(pa.array(kept, pa.int64()))
-            names = [n for n in batch.schema.names if n != "secret_links"]
-            yield pa.record_batch([pa.array(texts, pa.string()) if n == "text" else part.column(n) for n in names], names=names)
+            yield pa.record_batch([batch.column("packed").take(pa.array(kept, pa.int64())), pa.array(texts, pa.string())], names=["packed", "text"])
 
     return rows
 
@@ -183,19 +183,27 @@ def _weak_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` with every found span of the text replaced by MASK, and n_chars (if there) counted anew.
+    """The rows of `docs` (doc_id, text and any others) with every found span of the text replaced by MASK, and n_chars
+    (if there) counted anew.
 
     Only documents with weak parts shuffle their text, to meet their links; all others are masked where they are read.
+    Null texts stay null and empty ones empty; texts are scanned whole; repeated rows each keep theirs; an empty table
+    gives an empty one; all other columns keep their names and values, whatever they are.
     """
-    linked = checkpointed(linked_parts(scan(docs).where(F.size("weak") > 0)).select(F.col("id").alias("secret_id"), F.col("text_hash").alias("secret_hash"), F.col("linked").alias("secret_links")))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    plain = docs.withColumn("secret_links", F.lit(None).cast(_SPANS)).mapInArrow(_mask_rows(weak=False), schema)
-    doubtful = docs.mapInArrow(_weak_rows, schema)
+    found = linked_parts(scan(docs).where(F.size("weak") > 0))
+    linked = checkpointed(found.select(F.col("id").alias("secret_id"), F.col("text_hash").alias("secret_hash"), F.col("linked").alias("links")))
+    others = [c for c in docs.columns if c.lower() != "text"]
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("packed"), F.col("text").cast("string").alias("text"))
+    schema = T.StructType([packed.schema["packed"], T.StructField("text", T.StringType())])
+    plain = packed.withColumn("links", F.lit(None).cast(_SPANS)).mapInArrow(_mask_rows(weak=False), schema)
+    doubtful = packed.mapInArrow(_weak_rows, schema)
     known = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    met = doubtful.join(linked, F.col("doc_id").eqNullSafe(F.col("secret_id")) & (known == F.col("secret_hash")), "left").select(*docs.columns, "secret_links")
+    met = doubtful.join(linked, F.col("packed.doc_id").cast("long").eqNullSafe(F.col("secret_id")) & (known == F.col("secret_hash")), "left").select("packed", "text", "links")
     out = plain.unionByName(met.mapInArrow(_mask_rows(weak=True), schema))
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    own = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*((own[c.lower()] if c.lower() in own else F.col(f"packed.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op9_secret_scan(spark, sf_dir: str) -> DataFrame:
+    """find_secrets in all of `documents`; its edge cases hold."""
     return find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -303,13 +303,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` with one document of each component: that with the smallest doc_id (null last), then the
-    smallest hash of its text. Rows that repeat it exactly go too."""
+    """The rows of `docs` (doc_id, text and any others) with one document of each component: that with the smallest
+    doc_id (null last), then the smallest hash of its text. Rows that repeat it exactly go too.
+
+    Null and empty texts are one component, so one of them stays. Texts are hashed whole, whatever their length; an empty
+    table gives an empty one; other columns keep their names and values, whatever they are.
+    """
     prints, rooted = _classes(docs)
     classed = prints.join(rooted.select("fp", "root"), "fp")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
     kept = classed.groupBy("root").agg(F.min(first).alias("kept")).select(F.col("kept.id").alias("kept_id"), F.col("kept.hash").alias("kept_hash"))
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("own_id"), _text_hash().alias("own_hash"))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("own_id"), _text_hash().alias("own_hash"))
     one = packed.join(checkpointed(kept), F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_hash") == F.col("kept_hash")), "left_semi")
     return one.groupBy("own_id", "own_hash").agg(F.first("row").alias("row")).select("row.*")
 

@@ -111,3 +111,15 @@ def test_size_of_the_filter():
 
     assert [number_of_blocks(n) for n in (0, 1, 8, 9, 17, 10**12)] == [1, 1, 1, 2, 4, MOST_BLOCKS]
     assert all(number_of_blocks(n) * URLS_PER_BLOCK >= n for n in (100, 12_345, 10**6))
+
+
+def test_mixing_keeps_columns_with_its_own_names(spark):
+    rows = [(i, "w " * (i % 9), f"s{i % 3}", i, -i, f"c{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, target long, mix_copies int, mix_row string")
+    plain = df.select("doc_id", "text", "source")
+    want = sorted((r.doc_id, r.target, r.mix_copies) for r in mixed(plain).collect())
+    got = mixed(df)
+    assert got.columns == ["doc_id", "text", "source", "mix_row", "mix_size", "source_size", "target", "mix_copies"]
+    assert sorted((r.doc_id, r.target, r.mix_copies) for r in got.collect()) == want
+    out = emitted(df)
+    assert out.columns == df.columns and all((r.target, r.mix_copies) == (r.doc_id, -r.doc_id) for r in out.collect())

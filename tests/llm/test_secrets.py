@@ -114,3 +114,19 @@ def test_parts_that_hold_hex_take_part_in_linking(spark):
     for i, (text, parts) in enumerate(rows):
         assert got[i] == ",".join(f"{k}:{text.index(p)}:{text.index(p) + len(p)}" for k, p in parts if p)
     assert [masks[i] for i in range(4)] == [f"{MASK} {MASK}", f"https://x.example/{MASK} {MASK}", f"{MASK} pwd=abcd", f"client_id={MASK}"]
+
+
+def test_masking_keeps_columns_with_its_own_names(spark):
+    from tallyspark.llm.secrets import mask_secrets
+
+    texts = [None, "", "password: abcdefghijkl and more", "user=bob pass=hunter22 host=db.example.org", "plain words"]
+    rows = [(i if i else None, t, i, f"h{i}", [i], len(t or "")) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, secret_id int, secret_hash string, `secret links` array<int>, n_chars long")
+    for name in ("links", "packed", "secret_links"):
+        df = df.withColumn(name, df["secret_id"] * 2)
+    got = {r.secret_id: r for r in mask_secrets(df).collect()}
+    assert mask_secrets(df).columns == df.columns
+    assert got[0].text is None and got[1].text == "" and got[4].text == texts[4]
+    assert got[2].text == "[SECRET] and more" and "hunter22" not in got[3].text and got[3].n_chars == len(got[3].text)
+    assert all((r.secret_hash, r["secret links"], r.links, r.packed) == (f"h{i}", [i], 2 * i, 2 * i) for i, r in got.items())
+    assert mask_secrets(df.limit(0)).count() == 0
