@@ -7,13 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyspark.llm.bpe import encode_documents
-from tallyspark.llm.common import table
+from tallyspark.llm.common import shared_folder, table
 from tallyspark.llm.langid import known_languages
 from tallyspark.llm.mixing import emitted
 from tallyspark.llm.secrets import mask_secrets
 from tallyspark.llm.simhash import one_of_each
 
 #: Bytes of a batch between Spark and Python: workers of five operators share an executor's memory.
+ARROW_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 ARROW_BYTES = "8m"
 #: For the same reason the tokenizer remembers so much of what it does alone.
 TOKENIZER_KEPT = 0.5
@@ -21,7 +22,7 @@ TOKENIZER_KEPT = 0.5
 
 def _stage(operator):
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+        spark.conf.set(ARROW_CONF, ARROW_BYTES)  # run() puts it back; a stage of its own leaves it, as its plan is lazy
         return operator(docs)
 
     return stage
@@ -41,18 +42,32 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a stage's table by way of the file system that holds it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and digests of the tokenised corpus; what each stage returns is written to the shared folder and read again.
+    """Counts and digests of the tokenised corpus. What a stage returns is written to the shared folder and read again
+    by the next one; once that has written its own, it is deleted.
 
     The corpus itself, with its ids, stays in the folder `4_byte_bpe` of the run.
     """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    folder = f"{context.getCheckpointDir()}/pipeline-{uuid.uuid4()}"
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        docs.write.parquet(f"{folder}/{k}_{name}")
-        docs = spark.read.parquet(f"{folder}/{k}_{name}")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
+    docs, before = table(spark, sf_dir, "documents"), None
+    was = spark.conf.get(ARROW_CONF, None)
+    try:
+        for k, (name, stage) in enumerate(STAGES):
+            own = f"{folder}/{k}_{name}"
+            stage(spark, docs, sf_dir).write.parquet(own)
+            docs = spark.read.parquet(own)
+            if before:
+                _remove(spark, before)
+            before = own
+    finally:
+        if was is None:
+            spark.conf.unset(ARROW_CONF)
+        else:
+            spark.conf.set(ARROW_CONF, was)
     return docs.drop("ids")
