@@ -312,10 +312,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     prints, rooted = _classes(docs)
     classed = prints.join(rooted.select("fp", "root"), "fp")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
-    kept = classed.groupBy("root").agg(F.min(first).alias("kept")).select(F.col("kept.id").alias("kept_id"), F.col("kept.hash").alias("kept_hash"))
+    kept = classed.groupBy("root").agg(F.min(first).alias("kept")).select("kept.*")
+    key = lambda id_, hash_: [F.coalesce(F.col(id_), F.lit(0).cast("long")).alias("k_id"), F.col(id_).isNull().alias("k_no_id"), F.col(hash_).alias("k_hash")]
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("own_id"), _text_hash().alias("own_hash"))
-    one = packed.join(checkpointed(kept), F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_hash") == F.col("kept_hash")), "left_semi")
-    return one.groupBy("own_id", "own_hash").agg(F.first("row").alias("row")).select("row.*")
+    # The rows shuffle once: the semi-join finds them dealt by its keys.
+    single = packed.select("row", *key("own_id", "own_hash")).groupBy("k_id", "k_no_id", "k_hash").agg(F.first("row").alias("row"))
+    return single.join(checkpointed(kept.select(*key("id", "hash"))), ["k_id", "k_no_id", "k_hash"], "left_semi").select("row.*")
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
