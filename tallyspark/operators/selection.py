@@ -183,7 +183,9 @@ def exact_sample(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) ->
     return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
 
 
+#: Caps of a bet, a board and a game, the bankroll, and correlations of two bets.
 CAP, BOARD_CAP, GAME_CAP, BANKROLL = 0.0125, 0.05, 0.025, 10_000.0
+SAME_PLAYER, SAME_GAME, OTHERS = 0.65, 0.30, 0.05
 
 
 def _stakes(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -193,7 +195,7 @@ def _stakes(pdf: pd.DataFrame) -> pd.DataFrame:
     spread = np.sqrt(np.maximum(p * gain**2 + (1 - p) - ev**2, 1e-8))
     game, player = pdf["game_id"].to_numpy(), pdf["player_id"].to_numpy()
     same_game, same_player = game[:, None] == game, player[:, None] == player
-    correlation = np.where(same_game & same_player, 0.65, np.where(same_game, 0.30, 0.05))
+    correlation = np.where(same_player, SAME_PLAYER, np.where(same_game, SAME_GAME, OTHERS))
     np.fill_diagonal(correlation, 1.0)
     cov = correlation * spread[:, None] * spread
     w = np.minimum(cap, BOARD_CAP / max(len(p), 1))
