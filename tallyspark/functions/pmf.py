@@ -74,6 +74,16 @@ def tilt(a: Column, tau: Column, lam: Column) -> Column:
     return let(raised, lambda r: let(F.array_max(r), lambda top: normalise(F.transform(r, lambda x: F.exp(x - top)))))
 
 
+def logs(a: Column) -> Column:
+    return F.transform(a, lambda x: F.log(F.greatest(x, F.lit(FLOOR))))
+
+
+def tilted_over(log_a: Column, tau: Column, lam: Column, line: Column) -> Column:
+    """over(tilt(a, tau, lam), line) from logs(a), which a grid of cells shares; each cell takes one exponential a count."""
+    raised = F.transform(log_a, lambda x, i: F.exp(x / tau + lam * i))
+    return let(raised, lambda r: total(F.filter(r, lambda x, i: i > line)) / total(r))
+
+
 def ranked_probability_score(a: Column, actual: Column) -> Column:
     """Mean squared distance of the CDF from the step at the actual count."""
     steps = F.transform(cdf(a), lambda x, i: F.pow(x - F.when(i >= actual, 1.0).otherwise(0.0), 2.0))

@@ -66,8 +66,8 @@ def best_temperature(df: DataFrame) -> float:
 
 def tilt_scores(df: DataFrame, taus: Sequence[float] = TAUS, lambdas: Sequence[float] = LAMBDAS) -> DataFrame:
     """(tau, lam, log_loss, brier) of a table (pmf, line_value, over_hit)."""
-    over = PMF.over(PMF.tilt(F.col("pmf"), F.col("tau"), F.col("lam")), F.col("line_value"))
-    scored = _grid(df.select("pmf", "line_value", "over_hit"), tau=taus, lam=lambdas).select("tau", "lam", over.alias("q"), "over_hit")
+    over = PMF.tilted_over(F.col("logs"), F.col("tau"), F.col("lam"), F.col("line_value"))
+    scored = _grid(df.select(PMF.logs(F.col("pmf")).alias("logs"), "line_value", "over_hit"), tau=taus, lam=lambdas).select("tau", "lam", over.alias("q"), "over_hit")
     return scored.groupBy("tau", "lam").agg(F.avg(O.log_loss(F.col("q"), F.col("over_hit"))).alias("log_loss"), F.avg(O.brier(F.col("q"), F.col("over_hit"))).alias("brier"))
 
 

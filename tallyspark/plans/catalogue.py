@@ -551,8 +551,8 @@ TILT_TAUS, TILT_LAMBDAS = tuple(round(0.7 + 0.05 * i, 2) for i in range(15)), tu
  SELECT t AS tau, l AS lam, round(avg({_ll('q', '(CASE WHEN actual > 5.5 THEN 1 ELSE 0 END)')}), 6) AS log_loss FROM w GROUP BY t, l""")
 def pmf_tilt_grid(spark, d):
     grid = spark.range(1).select(F.explode(F.array(*map(F.lit, TILT_TAUS))).alias("tau")).select("tau", F.explode(F.array(*map(F.lit, TILT_LAMBDAS))).alias("lam"))
-    rows = logits_pmf(spark, d).crossJoin(F.broadcast(grid))  # 375 cells, fixed
-    q = PMF.over(PMF.tilt(F.col("pmf"), F.col("tau"), F.col("lam")), F.lit(5.5))
+    rows = logits_pmf(spark, d).select("vec_id", PMF.logs(F.col("pmf")).alias("logs")).crossJoin(F.broadcast(grid))  # 375 cells, fixed
+    q = PMF.tilted_over(F.col("logs"), F.col("tau"), F.col("lam"), F.lit(5.5))
     y = (F.col("vec_id") % 12 > 5.5).cast("int")
     return r6(rows.select("tau", "lam", q.alias("q"), y.alias("y")).groupBy("tau", "lam").agg(F.avg(O.log_loss(F.col("q"), F.col("y"))).alias("log_loss")))
 

@@ -72,3 +72,13 @@ def test_mixture_equals_its_definition():
             np.add.at(folded, np.minimum(np.arange(pb.size), 4), pb)
             want += left[i, n] * folded
         assert got[i] == pytest.approx(want / want.sum())
+
+
+def test_tilted_over_is_over_of_the_tilt(spark):
+    from pyspark.sql import functions as F
+
+    from tallyspark.functions import pmf as PMF
+
+    df = spark.createDataFrame([([0.1, 0.0, 0.4, 0.5], t, l, x) for t in (0.7, 1.0, 1.4) for l in (-0.3, 0.0, 0.3) for x in (0.5, 2.0, 3.5)], "a array<double>, t double, l double, x double")
+    both = df.select(PMF.tilted_over(PMF.logs(F.col("a")), F.col("t"), F.col("l"), F.col("x")).alias("p"), PMF.over(PMF.tilt(F.col("a"), F.col("t"), F.col("l")), F.col("x")).alias("q"))
+    assert all(abs(r.p - r.q) < 1e-12 for r in both.collect())
