@@ -27,6 +27,8 @@ ROUNDS = 12
 TOLERANCE = 1e-3
 #: Documents whose trigram counts a task holds at a time.
 DOCUMENTS_AT_A_TIME = 512
+#: Bytes whose trigrams are computed at a time; a longer text is counted in parts.
+PART_BYTES = 4 << 20
 
 #: Bytes to classes: letters without case; digits, marks and white space each as one class; other bytes as they are.
 _CLASS = np.arange(256, dtype=np.uint32)
@@ -48,20 +50,22 @@ def _fold(data: np.ndarray) -> np.ndarray:
 
 
 def trigram_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Counts [texts, BUCKETS] of the trigrams with a letter, inside each text."""
+    """Counts [texts, BUCKETS] of the trigrams with a letter, inside each text; PART_BYTES of bytes are in work at a time."""
     n = offsets.size - 1
-    if data.size < 3:
-        return np.zeros((n, BUCKETS), np.float32)
-    c = _fold(data)
-    h = (c[:-2] * np.uint32(0x9E3779B1)) ^ (c[1:-1] * np.uint32(0x85EBCA77)) ^ (c[2:] * np.uint32(0xC2B2AE3D))
-    h ^= h >> np.uint32(15)
-    h = (h * np.uint32(0x2C1B3C6D)) >> np.uint32(20)
-    letter = c > 3
-    good = letter[:-2] | letter[1:-1] | letter[2:]
-    doc = np.repeat(np.arange(n), np.diff(offsets))
-    good &= doc[:-2] == doc[2:]
-    cell = doc[:-2][good] * BUCKETS + h[good]
-    return np.bincount(cell, minlength=n * BUCKETS).reshape(n, BUCKETS).astype(np.float32)
+    total = np.zeros(n * BUCKETS, np.int64)
+    for at in range(0, max(data.size - 2, 0), PART_BYTES):
+        # One byte more before, for capitals of two bytes, and two behind, for the last trigrams.
+        lead = min(at, 1)
+        c = _fold(data[at - lead : at + PART_BYTES + 2])[lead:]
+        h = (c[:-2] * np.uint32(0x9E3779B1)) ^ (c[1:-1] * np.uint32(0x85EBCA77)) ^ (c[2:] * np.uint32(0xC2B2AE3D))
+        h ^= h >> np.uint32(15)
+        h = (h * np.uint32(0x2C1B3C6D)) >> np.uint32(20)
+        letter = c > 3
+        good = letter[:-2] | letter[1:-1] | letter[2:]
+        doc = np.repeat(np.arange(n), np.diff(np.clip(offsets, at, at + c.size)))
+        good &= doc[:-2] == doc[2:]
+        total += np.bincount(doc[:-2][good] * BUCKETS + h[good], minlength=n * BUCKETS)
+    return total.reshape(n, BUCKETS).astype(np.float32)
 
 
 def has_letter(raw: bytes) -> bool:
@@ -69,8 +73,10 @@ def has_letter(raw: bytes) -> bool:
 
 
 def _letters(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    seen = np.concatenate([[0], np.cumsum(_ASCII_LETTER[data])])
-    out = seen[offsets[1:]] > seen[offsets[:-1]]
+    out = np.zeros(offsets.size - 1, dtype=bool)
+    filled = np.flatnonzero(np.diff(offsets))
+    if filled.size:
+        out[filled] = np.logical_or.reduceat(_ASCII_LETTER[data], offsets[filled])
     for i in np.flatnonzero(~out):
         out[i] = has_letter(data[offsets[i] : offsets[i + 1]].tobytes())
     return out

@@ -103,3 +103,71 @@ def test_stage_keeps_mixed_and_tiny_texts_and_drops_noise(spark):
     assert all(got[d].lang in names for d, _, _ in mixed + tiny)
     whole = {r.doc_id: r for r in identify(frame(spark, rows + mixed)).collect()}
     assert len(whole[7004].mixture.split()) == 4 and whole[7004].evidence > 0
+
+
+def test_long_texts_count_the_same_in_parts(monkeypatch):
+    texts = [("École É " * 90 + "the cat Ü").encode(), b"", "ab é".encode() * 50]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    whole = trigram_counts(data, offsets)
+    for size in (1, 7, 64):
+        monkeypatch.setattr("tallyspark.llm.langid.PART_BYTES", size)
+        assert (trigram_counts(data, offsets) == whole).all()
+
+
+def plain_counts(raw):
+    """Trigram classes of one text, written byte by byte."""
+    kinds = []
+    for i, b in enumerate(raw):
+        if 65 <= b <= 90:
+            kind = b + 32
+        elif 97 <= b <= 122 or b >= 128:
+            kind = b + 32 if i and raw[i - 1] == 0xC3 and 0x80 <= b <= 0x9E else b
+        else:
+            kind = 1 if b in b"\t\n\v\f\r " else 2 if 48 <= b <= 57 else 3
+        kinds.append(kind)
+    counts = {}
+    for x, y, z in zip(kinds, kinds[1:], kinds[2:]):
+        if max(x, y, z) > 3:
+            h = (x * 0x9E3779B1 ^ y * 0x85EBCA77 ^ z * 0xC2B2AE3D) % 2**32
+            h = ((h ^ h >> 15) * 0x2C1B3C6D % 2**32) >> 20
+            counts[h] = counts.get(h, 0) + 1
+    return counts
+
+
+def plain_em(counts, models, members):
+    """Log-likelihood and weights after many rounds of EM over `members` and the background, in plain arithmetic."""
+    weights = {m: 1 / (len(members) + 1) for m in [*members, None]}
+    p = lambda m, g: models[m].get(g, 0.02 / 4096) if m else 1 / 4096
+    total = sum(counts.values())
+    for _ in range(150):
+        new = dict.fromkeys(weights, 0.0)
+        for g, c in counts.items():
+            mix = sum(w * p(m, g) for m, w in weights.items())
+            for m, w in weights.items():
+                new[m] += c * w * p(m, g) / mix / total
+        weights = new
+    return sum(c * np.log(sum(w * p(m, g) for m, w in weights.items())) for g, c in counts.items()), weights
+
+
+def test_matches_em_over_all_sets_by_brute_force(spark):
+    from itertools import combinations
+
+    say, rows, names = spoken()
+    rng = random.Random(6)
+    mixed = [(7000 + i, " ".join(say(g) for g in rng.sample(names, 1 + i % 3)), None) for i in range(9)]
+    totals = {g: {} for g in names}
+    for d, t, g in rows:
+        if zlib.crc32(str(d).encode()) % 4 != 2:
+            for k, c in plain_counts(t.encode()).items():
+                totals[g][k] = totals[g].get(k, 0) + c
+    models = {g: {k: 0.98 * c / sum(of.values()) + 0.02 / 4096 for k, c in of.items()} for g, of in totals.items()}
+    got = {r.doc_id: r for r in identify(frame(spark, rows + mixed)).collect()}
+    for d, t, _ in mixed + rows[:4]:
+        counts = plain_counts(t.encode())
+        penalty = 0.5 * np.log(sum(counts.values()))
+        value, weights = max(((lambda f: (f[0] - penalty * n, f[1]))(plain_em(counts, models, s)) for n in range(1, 5) for s in combinations(names, n)), key=lambda x: x[0])
+        share = {m: w / (1 - weights[None]) for m, w in weights.items() if m}
+        mixture = dict(x.split(":") for x in got[d].mixture.split())
+        assert set(mixture) == set(share)
+        assert all(abs(float(mixture[m]) - share[m]) < 0.02 for m in share)
+        assert share[got[d].lang_pred] >= max(share.values()) - 0.01 and abs(got[d].score - share[got[d].lang_pred]) < 0.02
