@@ -19,6 +19,8 @@ BLOCK_BYTES = 2 << 20
 
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
+#: True for the bytes that are no part of a word.
+SEPARATORS = _SEPARATOR
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, held_out, text_blocks, word_hashes, words_of
+from .common import SEPARATORS, checkpointed, held_out, text_blocks, word_hashes, words_of
 
 FEATURES = 192
 LENGTH_SCALE = 3.0
@@ -28,6 +28,9 @@ BINS = 256
 #: crc32 of the id modulo 4 of the rows that calibrate; 2 is the held-out fold, the others fit.
 CALIBRATION_FOLD = 3
 THRESHOLD = 0.7
+#: Longer texts (bytes) are read in parts of PART_BYTES.
+LONG_TEXT = 4 << 20
+PART_BYTES = 2 << 20
 
 STATISTICS = (
     "log_bytes", "log_words", "mean_word", "upper", "lower", "digit", "space", "newline", "non_ascii", "comma", "stop",
@@ -55,40 +58,107 @@ def _shares_of_runs(doc: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndar
     return distinct, top
 
 
+def _columns(groups: np.ndarray, entropy: np.ndarray, word: dict[str, np.ndarray], distinct_lines: np.ndarray) -> np.ndarray:
+    """[texts, STATISTICS] from bytes by group, entropies, sums over words, and numbers of distinct lines."""
+    size, words, lines = groups.sum(axis=1), word["n"], groups[:, 4] + 1
+    share, w = groups / np.maximum(size, 1)[:, None], np.maximum(words, 1)
+    columns = [
+        np.log1p(size), np.log1p(words), word["bytes"] / w, *share.T, entropy, word["distinct"] / w, word["top"] / w, word["same"] / w,
+        word["short"] / w, word["long"] / w, word["marked"] / w, np.minimum(words / lines, 200), distinct_lines / lines,
+    ]
+    return np.stack(columns, axis=1)
+
+
+def _entropy(histogram: np.ndarray) -> np.ndarray:
+    share = histogram / np.maximum(histogram.sum(axis=1, keepdims=True), 1)
+    return -(share * np.log(np.maximum(share, 1e-12))).sum(axis=1)
+
+
+def _cuts(data: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
+    """`data` in parts of about PART_BYTES, cut behind bytes for which `ends` is true."""
+    at = 0
+    while at < data.size:
+        stop = min(data.size, at + PART_BYTES)
+        while stop < data.size and not ends[data[stop - 1]]:
+            ahead = np.flatnonzero(ends[data[stop : stop + PART_BYTES]])
+            stop = min(data.size, stop + (int(ahead[0]) + 1 if ahead.size else PART_BYTES))
+        yield data[at:stop]
+        at = stop
+
+
+class _Tally:
+    """Numbers of equal hashes, kept as one sorted run and the runs added since."""
+
+    def __init__(self) -> None:
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+
+    def add(self, hashes: np.ndarray) -> None:
+        self.runs.append(np.unique(hashes, return_counts=True))
+        if sum(v.size for v, _ in self.runs[1:]) > self.runs[0][0].size:
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        values, at = np.unique(np.concatenate([v for v, _ in self.runs]), return_inverse=True)
+        counts = np.zeros(values.size, np.int64)
+        np.add.at(counts, at, np.concatenate([c for _, c in self.runs]))
+        self.runs = [(values, counts)]
+        return self.runs[0]
+
+
+def _long_statistics(data: np.ndarray) -> np.ndarray:
+    """statistics() of one long text, read in parts: what grows with it is the number of distinct words and lines."""
+    histogram = sum(np.bincount(part, minlength=256) for part in _cuts(data, np.ones(256, bool)))
+    groups = np.bincount(_GROUP, weights=histogram, minlength=11)
+    word = dict.fromkeys(("n", "bytes", "same", "short", "long", "marked"), 0)
+    seen, before = _Tally(), np.zeros(0, np.uint64)
+    for part in _cuts(data, SEPARATORS):
+        start, end, _ = words_of(part, np.array([0, part.size]))
+        if start.size == 0:
+            continue
+        length, hashes = end - start, word_hashes(part, start, end)
+        row = np.r_[before, hashes]
+        added = (start.size, length.sum(), (row[1:] == row[:-1]).sum(), (length <= 3).sum(), (length >= 12).sum(), (_GROUP[part[end - 1]] >= 8).sum())
+        for name, more in zip(word, added, strict=True):
+            word[name] += int(more)
+        seen.add(hashes)
+        before = hashes[-1:]
+    _, counts = seen.merge()
+    word["distinct"], word["top"] = counts.size, counts.max(initial=0)
+    lines = _Tally()
+    for part in _cuts(data, np.arange(256) == 10):
+        newline = np.flatnonzero(part == 10)
+        end = newline if newline.size and newline[-1] == part.size - 1 else np.r_[newline, part.size]
+        lines.add(word_hashes(part, np.r_[0, newline + 1][: end.size], end))
+    return _columns(groups[None], _entropy(histogram[None]), {k: np.array([float(v)]) for k, v in word.items()}, np.array([float(lines.merge()[0].size)]))
+
+
 def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """[texts, STATISTICS] of whole texts; an empty text has zeros."""
+    """[texts, STATISTICS] of whole texts; an empty text has zeros. A text beyond LONG_TEXT comes alone and in parts."""
     n = offsets.size - 1
-    size = np.diff(offsets)
-    doc = np.repeat(np.arange(n), size)
-    bytes_of = np.maximum(size, 1)
+    if n == 1 and data.size > LONG_TEXT:
+        return _long_statistics(data)
+    doc = np.repeat(np.arange(n), np.diff(offsets))
     groups = np.bincount(doc * 11 + _GROUP[data], minlength=n * 11).reshape(n, 11)
-    share = groups / bytes_of[:, None]
-    histogram = np.bincount(doc * 256 + data, minlength=n * 256).reshape(n, 256) / bytes_of[:, None]
-    entropy = -(histogram * np.log(np.maximum(histogram, 1e-12))).sum(axis=1)
+    histogram = np.bincount(doc * 256 + data, minlength=n * 256).reshape(n, 256)
     start, end, bounds = words_of(data, offsets)
-    words = np.diff(bounds)
-    word_doc = np.repeat(np.arange(n), words)
-    w = np.maximum(words, 1)
+    word_doc = np.repeat(np.arange(n), np.diff(bounds))
     length = end - start
     hashes = word_hashes(data, start, end)
     distinct, top = _shares_of_runs(word_doc, hashes, n)
     same = (hashes[1:] == hashes[:-1]) & (word_doc[1:] == word_doc[:-1])
-    mean = lambda x: np.bincount(word_doc, weights=x, minlength=n) / w
+    total = lambda x: np.bincount(word_doc, weights=x, minlength=n)
     last = data[end - 1] if end.size else np.zeros(0, np.uint8)
-    lines = groups[:, 4] + 1
+    word = {
+        "n": np.diff(bounds), "bytes": total(length), "same": np.bincount(word_doc[1:][same], minlength=n), "short": total(length <= 3),
+        "long": total(length >= 12), "marked": total(_GROUP[last] >= 8), "distinct": distinct, "top": top,
+    }
     # Lines end at newlines, which are no part of them, and at the ends of texts.
     newline = data == 10
     line_first = np.flatnonzero(np.r_[True, newline[:-1] | (doc[1:] != doc[:-1])]) if data.size else np.zeros(0, np.int64)
     line_end = np.r_[line_first[1:], data.size] if data.size else line_first
     line_end = line_end - newline[line_end - 1]
     distinct_lines, _ = _shares_of_runs(doc[line_first], word_hashes(data, line_first, line_end), n)
-    columns = [
-        np.log1p(size), np.log1p(words), mean(length), share[:, 0], share[:, 1], share[:, 2], share[:, 3], share[:, 4], share[:, 5],
-        share[:, 6], share[:, 7], share[:, 8], share[:, 9], share[:, 10], entropy, distinct / w, top / w,
-        np.bincount(word_doc[1:][same], minlength=n) / w, mean(length <= 3), mean(length >= 12),
-        mean(_GROUP[last] >= 8), np.minimum(words / lines, 200), distinct_lines / lines,
-    ]
-    return np.stack(columns, axis=1)
+    return _columns(groups, _entropy(histogram), word, distinct_lines)
 
 
 def _statistics_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
