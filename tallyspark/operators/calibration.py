@@ -103,6 +103,41 @@ def sweep(train: DataFrame, test: DataFrame, tolerance: float = 1e-4) -> tuple[s
     return best["name"], rows
 
 
+RESIDUAL_METRICS = ("log_loss", "market_log_loss", "delta_log_loss", "brier", "market_brier", "delta_brier", "mean_p", "mean_market")
+
+
+def residual_sweep(train: DataFrame, test: DataFrame, market: str = "market_over_prob", tolerance: float = 1e-4) -> tuple[bool, str, list[dict]]:
+    """(accepted, chosen, metrics) of calibrators of the prices in use: `current` leaves them as they are.
+
+    Candidates are fitted on `train` (p, y) and scored on `test` (p, y, market) in one pass, current and identity first,
+    then isotonic, then Platt and beta for each strength. One that beats those before it by log loss beyond the
+    tolerance, or ties and beats them by Brier, is chosen; it is accepted if it beats `current` likewise.
+    """
+    fitted = candidates(train)
+    order = ["identity", "isotonic", *(f"{kind}_{c:g}" for c in (0.1, 1.0, 10.0) for kind in ("platt", "beta"))]
+    named = {"current": O.clip_probability(F.col("p")), **{n: fitted[n] for n in order}}
+    y, m = F.col("y"), O.clip_probability(F.col(market))
+    usable = test.where(F.col("p").isNotNull() & y.isNotNull() & F.col(market).isNotNull())
+    scored = usable.select("y", m.alias("m"), F.explode(F.array(*(F.struct(F.lit(n).alias("name"), e.alias("q")) for n, e in named.items()))).alias("s")).select("y", "m", "s.*")
+    q, m = F.col("q"), F.col("m")
+    losses = {"log_loss": O.log_loss(q, y), "market_log_loss": O.log_loss(m, y), "brier": O.brier(q, y), "market_brier": O.brier(m, y), "mean_p": q, "mean_market": m}
+    means = scored.groupBy("name").agg(*(F.avg(e).alias(c) for c, e in losses.items()))
+    found = {r["name"]: r.asDict() for r in means.withColumns({"delta_log_loss": F.col("market_log_loss") - F.col("log_loss"), "delta_brier": F.col("market_brier") - F.col("brier")}).collect()}
+
+    def beats(a: dict, b: dict) -> bool:
+        gain = b["log_loss"] - a["log_loss"]
+        return gain > tolerance or (abs(gain) <= tolerance and b["brier"] - a["brier"] > tolerance)
+
+    rows = [found[n] for n in named if n in found]
+    if not rows:
+        return False, "current", []
+    best = rows[0]
+    for r in rows[1:]:
+        if beats(r, best):
+            best = r
+    return best["name"] != "current" and beats(best, rows[0]), best["name"], sorted(rows, key=lambda r: (r["log_loss"], r["brier"], -r["delta_log_loss"]))
+
+
 def fit_count_cdf(df: DataFrame, size: int, pmf: str = "pmf", actual: str = "actual") -> list[Isotonic]:
     """One isotonic curve for each count below the last: raw CDF to the chance that the actual is at most it."""
     long = df.select(F.posexplode(PMF.cdf(F.col(pmf))).alias("k", "p"), actual)

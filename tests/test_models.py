@@ -96,3 +96,20 @@ def test_exact_quantiles(spark):
     qs = [0, 0.1, 0.25, 0.5, 0.9, 1]
     assert S.exact_quantiles(df, "v", qs) == pytest.approx(np.quantile(x, qs).tolist())
     assert S.exact_quantiles(df.where("v > 99"), "v", [0.5]) == [None]
+
+
+def test_residual_sweep_accepts_only_a_gain(spark):
+    rng = np.random.default_rng(9)
+    truth = rng.uniform(0.1, 0.9, 4000)
+    y = (rng.random(4000) < truth).astype(int)
+    frame = lambda p: spark.createDataFrame([(float(a), int(b), 0.5) for a, b in zip(p, y, strict=True)], "p double, y int, market_over_prob double")
+    skewed = frame(truth**3)
+    accepted, chosen, rows = CAL.residual_sweep(skewed, skewed)
+    by_name = {r["name"]: r for r in rows}
+    q = np.clip(truth**3, 1e-6, 1 - 1e-6)
+    assert accepted and chosen != "current" and len(rows) == 9 and set(CAL.RESIDUAL_METRICS) <= set(rows[0])
+    assert by_name["current"]["log_loss"] == pytest.approx(-np.mean(y * np.log(q) + (1 - y) * np.log(1 - q)))
+    assert by_name["current"]["market_brier"] == pytest.approx(0.25) and by_name["current"]["delta_brier"] == pytest.approx(0.25 - np.mean((q - y) ** 2))
+    flat = spark.createDataFrame([(0.5, i % 2, 0.5) for i in range(400)], "p double, y int, market_over_prob double")
+    assert CAL.residual_sweep(flat, flat)[:2] == (False, "current")
+    assert CAL.residual_sweep(flat, flat.where("p > 1"))[0] is False
