@@ -14,6 +14,7 @@ from ..operators import features as X
 from ..operators import frames as FR
 from ..operators import market as M
 from ..operators import selection as C
+from ..operators.lineage import settled
 from . import board as B
 from .catalogue import EVALUATED, ORACLE_SQL, TWO_SIDED, _ev, evaluated, r6, register
 from .views import PA_SQL, pa_view, quote_view, table
@@ -179,7 +180,8 @@ ORACLE_SQL["board_flagship"] = f"""{EVALUATED}, {_states_sql("")},
 @register("residual_sweep")
 def residual_sweep(spark, d):
     rows = M.main_lines(evaluated(spark, d)).select("game_id", "player_id", "snapshot_ts", F.col("model_over_prob").alias("p"), "market_over_prob", F.col("over_hit").alias("y"))
-    split = C.group_holdout(rows, ["game_id", "player_id"], "snapshot_ts")
+    # Nine calibrators are fitted and scored on these rows.
+    split = settled(C.group_holdout(settled(rows), ["game_id", "player_id"], "snapshot_ts"))
     accepted, chosen, found = CAL.residual_sweep(split.where("not is_eval"), split.where("is_eval"))
     table_ = [(r["name"], r["name"] == chosen, accepted, *(float(r[c]) for c in CAL.RESIDUAL_METRICS)) for r in found]
     return r6(spark.createDataFrame(table_, f"name string, chosen boolean, accepted boolean, {', '.join(c + ' double' for c in CAL.RESIDUAL_METRICS)}"), 4)
