@@ -19,26 +19,45 @@ MOST_REPEATS = 3
 SEED = "mix-1"
 #: The table of sources is broadcast up to so many rows (of under 100 bytes and a name); beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 20_000
+#: Sources that one task ranks, about.
+SOURCES_A_RANGE = 20_000
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def targets(sizes: DataFrame) -> DataFrame:
-    """(mix_source, source_size, target) of a table (source, size): one row for each source."""
-    sources = sizes.groupBy(F.col("source").alias("mix_source")).agg(F.sum("size").alias("source_size"))
-    by_name = Window.orderBy(F.col("mix_source").asc_nulls_last())  # one row a source, not one a document
-    place = (F.row_number().over(by_name) - 1).alias("place")
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), F.col("place") % len(WEIGHTS) + 1).alias("weight")
-    ranked = sources.select("mix_source", "source_size", place).select("*", weight).withColumn("cap", F.col("source_size") * MOST_REPEATS)
-    before = Window.orderBy(F.col("cap") / F.col("weight"), "place").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    left = F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0))
-    open_weight = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    levels = ranked.select("*", (left / open_weight).alias("level"))
-    filled = F.least(F.col("cap").cast("double"), F.max("level").over(everything) * F.col("weight"))
-    return levels.select("mix_source", "source_size", F.round(filled, 6).alias("target"))
+def _running(df: DataFrame, order: list[Column], sums: list[str], ranges: int) -> DataFrame:
+    """Adds <column>_before: the sum of the column over all rows before, in an order without ties.
+
+    Rows are dealt into ranges of that order, which are written out so that all readers find the same ones, summed within
+    each, and the sums of the ranges before are added: no task holds more than a range, or a row a range.
+    """
+    ranged = checkpointed(df.repartitionByRange(ranges, *order).withColumn("mix_range", F.spark_partition_id()))
+    inside = Window.partitionBy("mix_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("mix_range").rowsBetween(Window.unboundedPreceding, -1)
+    spans = ranged.groupBy("mix_range").agg(*(F.sum(c).alias(c) for c in sums))
+    spans = spans.select("mix_range", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_span") for c in sums))
+    own = ranged.select("*", *(F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"{c}_own") for c in sums))
+    added = (F.col(f"{c}_own") + F.col(f"{c}_span") for c in sums)
+    return own.join(spans, "mix_range").select(*df.columns, *(e.alias(f"{c}_before") for e, c in zip(added, sums, strict=True)))
+
+
+def targets(sizes: DataFrame, a_range: int = SOURCES_A_RANGE) -> DataFrame:
+    """(mix_source, source_size, target) of a table (source, size): one row for each source.
+
+    Sources are ranked in ranges of about `a_range`, however many there are; only sums over all of them reach the driver.
+    """
+    sources = checkpointed(sizes.groupBy(F.col("source").alias("mix_source")).agg(F.sum("size").alias("source_size")))
+    ranges = sources.count() // a_range + 1
+    placed = _running(sources.withColumn("one", F.lit(1)), [F.col("mix_source").asc_nulls_last()], ["one"], ranges)
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("one_before") % len(WEIGHTS) + 1).cast("int"))
+    ranked = placed.select("mix_source", "source_size", F.col("one_before").alias("place"), weight.alias("weight"), (F.col("source_size") * MOST_REPEATS).alias("cap"))
+    total, weights = ranked.agg(F.sum("source_size"), F.sum("weight")).first()
+    filling = _running(ranked, [(F.col("cap") / F.col("weight")).asc(), F.col("place").asc()], ["cap", "weight"], ranges)
+    level = filling.agg(F.max((F.lit(total) - F.col("cap_before")) / (F.lit(weights) - F.col("weight_before")))).first()[0]
+    filled = F.least(F.col("cap").cast("double"), F.lit(level).cast("double") * F.col("weight"))
+    return ranked.select("mix_source", "source_size", F.round(filled, 6).alias("target"))
 
 
 _ADDED = ("mix_size", "source_size", "target", "mix_copies")

@@ -52,6 +52,16 @@ def test_targets_by_repeated_sharing(spark):
     assert sum(got.values()) == pytest.approx(total)
 
 
+def test_targets_do_not_depend_on_the_ranges(spark):
+    rows = [(None if i == 40 else f"s{i * 7919 % 101}", (i * 37) % 90 * (50 if i % 5 == 0 else 1)) for i in range(200)]
+    df = spark.createDataFrame(rows, "source string, size long")
+    whole = sorted(map(str, targets(df).collect()))
+    assert len(whole) == 102
+    for a_range in (1, 7, 60):
+        assert sorted(map(str, targets(df, a_range).collect())) == whole
+    assert targets(df.limit(0)).collect() == []
+
+
 def test_mix_comes_near_its_targets_and_is_emitted(spark):
     df = spark.createDataFrame([(i, "w " * (1 + i % 9), f"s{i % 4}", "x") for i in range(6000)], SCHEMA)
     taken = {r.source: (r.taken, r.most) for r in mixed(df.drop("target")).groupBy("source").agg(F.sum(F.col("mix_size") * F.col("mix_copies")).alias("taken"), F.max("mix_copies").alias("most")).collect()}
