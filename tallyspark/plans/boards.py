@@ -43,15 +43,12 @@ def resolved(quotes: DataFrame, states: DataFrame) -> DataFrame:
     return found.where(F.col("pmf").isNotNull()).select(*ENTRY, "pmf")
 
 
-def universe_board(quotes: DataFrame, states: DataFrame, tilt: tuple[float, float] | None = None, threshold: CAL.Isotonic | None = None) -> Board:
-    """The tables of a board from open quotes (open_quotes) and states (player_id, player_name, pmf).
+def priced_board(quotes: DataFrame, entries: DataFrame, threshold: CAL.Isotonic | None = None) -> Board:
+    """The tables of a board from open quotes and entries (game_id, player_name, pmf).
 
-    `tilt` is the fitted (tau, lambda) of the distributions, `threshold` the calibrator of over prices. Distributions are
-    tilted once a state, before they meet the quotes. Entries without a state are left out.
+    `threshold` is the calibrator of over prices. An entry without quotes has a summary and its exact counts only; quotes
+    without an entry are left out.
     """
-    if tilt is not None:
-        states = states.withColumn("pmf", PMF.tilt(F.col("pmf"), F.lit(tilt[0]), F.lit(tilt[1])))
-    entries = resolved(quotes, states)
     p_over = O.clip_probability(PMF.over(F.col("pmf"), F.col("line_value")))
     if threshold is not None:
         p_over = threshold.apply(p_over)
@@ -63,7 +60,8 @@ def universe_board(quotes: DataFrame, states: DataFrame, tilt: tuple[float, floa
     near = F.struct(F.abs(F.col("market_over_prob") - 0.5), "snapshot_ts", "line_value", "vendor")
     main = quotes.groupBy(*ENTRY).agg(F.count(F.lit(1)).alias("top_quote_count"), F.countDistinct("vendor").alias("vendor_count"), F.min_by("line_value", near).alias("market_mean"))
     moments = {"k_mean": PMF.mean(F.col("pmf")), **{name: PMF.quantile(F.col("pmf"), q) for name, q in (("k_median", 0.5), ("k_p80", 0.8), ("k_p90", 0.9))}}
-    summary = main.join(entries.withColumns(moments), list(ENTRY)).withColumn("market_mean_shift", F.col("market_mean") - F.col("k_mean")).drop("pmf")
+    summary = main.join(entries.withColumns(moments), list(ENTRY), "right").withColumn("market_mean_shift", F.col("market_mean") - F.col("k_mean")).drop("pmf")
+    summary = summary.fillna(0, ["top_quote_count", "vendor_count"])
 
     grid = quotes.select(*ENTRY, "line_value").distinct().join(entries, list(ENTRY)).withColumn("p_over", p_over).drop("pmf")
     lines = grid.withColumns({"p_under": 1 - F.col("p_over"), "p_push": F.lit(0.0), "fair_over": O.fair_odds(F.col("p_over")), "fair_under": O.fair_odds(1 - F.col("p_over"))})
@@ -71,6 +69,17 @@ def universe_board(quotes: DataFrame, states: DataFrame, tilt: tuple[float, floa
     return Board(summary, bets, lines, exact)
 
 
+def universe_board(quotes: DataFrame, states: DataFrame, tilt: tuple[float, float] | None = None, threshold: CAL.Isotonic | None = None) -> Board:
+    """The tables of a board from open quotes (open_quotes) and states (player_id, player_name, pmf).
+
+    `tilt` is the fitted (tau, lambda) of the distributions, `threshold` the calibrator of over prices. Distributions are
+    tilted once a state, before they meet the quotes. Entries without a state are left out.
+    """
+    if tilt is not None:
+        states = states.withColumn("pmf", PMF.tilt(F.col("pmf"), F.lit(tilt[0]), F.lit(tilt[1])))
+    return priced_board(quotes, resolved(quotes, states), threshold)
+
+
 def with_names(df: DataFrame, player: str) -> DataFrame:
     return df.withColumn("player_name", F.concat(F.lit("p"), F.col(player).cast("string")))
 
@@ -133,23 +142,36 @@ UNIVERSE = f"""{TWO_SIDED}, open AS (SELECT * EXCLUDE (player_id, model_over_pro
 _P_OVER = _between_sql(_over_sql("line_value"))
 
 
-@register("universe_summary", f"""{UNIVERSE}, g AS (SELECT game_id, player_name, count(*) AS top_quote_count, count(DISTINCT vendor) AS vendor_count,
+def summary_sql(base: str, kind: str = "") -> str:
+    """The summary over CTEs qs (quotes) and found (entries); `kind` is the join's, RIGHT to keep entries without quotes."""
+    return f"""{base}, g AS (SELECT game_id, player_name, count(*) AS top_quote_count, count(DISTINCT vendor) AS vendor_count,
   arg_min(line_value, (abs(market_over_prob - 0.5), snapshot_ts, line_value, vendor)) AS market_mean FROM qs GROUP BY ALL)
- SELECT game_id, player_name, top_quote_count, vendor_count, market_mean, round({_MEAN}, 6) AS k_mean, {_quantile_sql(0.5)} AS k_median, {_quantile_sql(0.8)} AS k_p80, {_quantile_sql(0.9)} AS k_p90,
-  round(market_mean - {_MEAN}, 6) AS market_mean_shift FROM g JOIN found USING (game_id, player_name)""")
+ SELECT game_id, player_name, coalesce(top_quote_count, 0) AS top_quote_count, coalesce(vendor_count, 0) AS vendor_count, market_mean, round({_MEAN}, 6) AS k_mean, {_quantile_sql(0.5)} AS k_median, {_quantile_sql(0.8)} AS k_p80, {_quantile_sql(0.9)} AS k_p90,
+  round(market_mean - {_MEAN}, 6) AS market_mean_shift FROM g {kind} JOIN found USING (game_id, player_name)"""
+
+
+@register("universe_summary", summary_sql(UNIVERSE))
 def universe_summary(spark, d):
     return r6(_universe(spark, d).summary)
 
 
-@register("universe_bets", f"""{UNIVERSE}, b AS (SELECT *, {_P_OVER} AS model_over_prob FROM qs JOIN found USING (game_id, player_name)),
+def bets_sql(base: str) -> str:
+    """The bets over CTEs qs (quotes) and found (entries)."""
+    return f"""{base}, b AS (SELECT *, {_P_OVER} AS model_over_prob FROM qs JOIN found USING (game_id, player_name)),
  v AS (SELECT *, {_ev("model_over_prob", "over_odds")} AS over_ev, {_ev("(1 - model_over_prob)", "under_odds")} AS under_ev, abs(model_over_prob - 0.5) AS conf_dist FROM b),
  w AS (SELECT *, greatest(over_ev, under_ev) AS best_ev, greatest(over_ev, under_ev) >= 0.2 AND conf_dist >= 0.1 AS passes_strict_ev_gate FROM v)
  SELECT game_id, player_name, vendor, line_value, over_odds, under_odds, CASE WHEN over_ev >= under_ev THEN 'over' ELSE 'under' END AS best_side, round(best_ev, 6) AS best_ev, round(over_ev, 6) AS over_ev, round(under_ev, 6) AS under_ev,
-  round(model_over_prob, 6) AS model_over_prob, round(market_over_prob, 6) AS market_over_prob, round(conf_dist, 6) AS conf_dist, passes_strict_ev_gate, CASE WHEN passes_strict_ev_gate THEN 'BET' ELSE 'PASS' END AS action_tier FROM w""")
+  round(model_over_prob, 6) AS model_over_prob, round(market_over_prob, 6) AS market_over_prob, round(conf_dist, 6) AS conf_dist, passes_strict_ev_gate, CASE WHEN passes_strict_ev_gate THEN 'BET' ELSE 'PASS' END AS action_tier FROM w"""
+
+
+BET_COLUMNS = (
+    *ENTRY, "vendor", "line_value", "over_odds", "under_odds", "best_side", "best_ev", "over_ev", "under_ev", "model_over_prob", "market_over_prob", "conf_dist", "passes_strict_ev_gate", "action_tier",
+)
+
+
+@register("universe_bets", bets_sql(UNIVERSE))
 def universe_bets(spark, d):
-    return r6(_universe(spark, d).bets.select(
-        *ENTRY, "vendor", "line_value", "over_odds", "under_odds", "best_side", "best_ev", "over_ev", "under_ev", "model_over_prob", "market_over_prob", "conf_dist", "passes_strict_ev_gate", "action_tier",
-    ))
+    return r6(_universe(spark, d).bets.select(*BET_COLUMNS))
 
 
 @register("universe_lines", f"""{UNIVERSE}, c AS (SELECT DISTINCT game_id, player_name, line_value FROM qs), o AS (SELECT game_id, player_name, line_value, {_P_OVER} AS p_over FROM c JOIN found USING (game_id, player_name))
