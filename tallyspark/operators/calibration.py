@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import odds as O
 from ..functions import pmf as PMF
+from .lineage import settled
 
 LEAST_DISTINCT = 5
 
@@ -44,7 +45,14 @@ class Isotonic:
 
 def fit_isotonic(df: DataFrame, p: str = "p", y: str = "y") -> Isotonic:
     """From counts of distinct scores; the identity with fewer than LEAST_DISTINCT of them."""
-    counted = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(p).cast("double").alias("features")).agg(F.avg(F.col(y).cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
+    return _fit_counted(_counted(df, p, y))
+
+
+def _counted(df: DataFrame, p: str, y: str) -> DataFrame:
+    return df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(p).cast("double").alias("features")).agg(F.avg(F.col(y).cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
+
+
+def _fit_counted(counted: DataFrame) -> Isotonic:
     if counted.limit(LEAST_DISTINCT).count() < LEAST_DISTINCT:
         return Isotonic([], [])
     model = IsotonicRegression(weightCol="weight").fit(counted)
@@ -139,9 +147,13 @@ def residual_sweep(train: DataFrame, test: DataFrame, market: str = "market_over
 
 
 def fit_count_cdf(df: DataFrame, size: int, pmf: str = "pmf", actual: str = "actual") -> list[Isotonic]:
-    """One isotonic curve for each count below the last: raw CDF to the chance that the actual is at most it."""
-    long = df.select(F.posexplode(PMF.cdf(F.col(pmf))).alias("k", "p"), actual)
-    return [fit_isotonic(long.where(F.col("k") == k).select("p", (F.col(actual) <= k).cast("int").alias("y"))) for k in range(size - 1)]
+    """One isotonic curve for each count below the last: raw CDF to the chance that the actual is at most it.
+
+    The rows are read once, into counts of distinct values for each count; the curves are fitted from these.
+    """
+    long = df.where(F.col(actual).isNotNull()).select(F.posexplode(PMF.cdf(F.col(pmf))).alias("k", "features"), actual).where((F.col("k") < size - 1) & F.col("features").isNotNull())
+    counts = settled(long.groupBy("k", "features").agg(F.avg((F.col(actual) <= F.col("k")).cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("weight")))
+    return [_fit_counted(counts.where(F.col("k") == k).drop("k")) for k in range(size - 1)]
 
 
 def apply_count_cdf(pmf: Column, curves: list[Isotonic]) -> Column:

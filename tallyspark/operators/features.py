@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import settled
 from .metrics import exact_quantiles
 
 ORDER = ("ts", "event_id")
@@ -53,12 +54,20 @@ def _derived(out: DataFrame) -> DataFrame:
 def state_so_far_compat(events: DataFrame, keys: Sequence[str] = ("game_id", "pitcher_id"), order: Sequence[str] = ("pa_number", "event_id")) -> DataFrame:
     """As state_so_far, but a group's first row inherits the sums of the group before it in key order.
 
-    The hand-over is a lag over one row per group, not over the events.
+    Groups are dealt into ranges of their keys, written out so that both readers find the same ones; the first group of a
+    range is handed the last one of the range before, so no task orders all groups.
     """
     right = state_so_far(events, keys, order)
+    sums = [f"{c}_total" for c in SUMS]
     totals = events.groupBy(*keys).agg(*(F.sum(c).alias(f"{c}_total") for c in SUMS))
-    in_order = Window.orderBy(*keys)  # one row a group
-    handed = totals.select(*keys, *(F.coalesce(F.lag(f"{c}_total").over(in_order), F.lit(0)).alias(f"{c}_handed") for c in SUMS))
+    ranges = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = settled(totals.repartitionByRange(ranges, *keys).withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy("_range").orderBy(*keys)
+    lasts = ranged.groupBy("_range").agg(F.max_by(F.struct(*sums), F.struct(*keys)).alias("_last"))
+    before = lasts.select("_range", F.lag("_last").over(Window.orderBy("_range")).alias("_before"))  # one row a range
+    placed = ranged.select("*", F.row_number().over(inside).alias("_place"), F.lag(F.struct(*sums)).over(inside).alias("_inside")).join(before, "_range")
+    group = F.when(F.col("_place") == 1, F.col("_before")).otherwise(F.col("_inside"))
+    handed = placed.select(*keys, group.alias("_group")).select(*keys, *(F.coalesce(F.col(f"_group.{c}_total"), F.lit(0)).alias(f"{c}_handed") for c in SUMS))
     first = F.col("bf_so_far") == 0
     joined = right.join(handed, list(keys))
     fixed = joined.withColumns({f"{c}_so_far": F.when(first, F.col(f"{c}_handed")).otherwise(F.col(f"{c}_so_far")) for c in SUMS})

@@ -193,15 +193,23 @@ def _stakes(pdf: pd.DataFrame) -> pd.DataFrame:
     p, gain, ev = pdf["prob"].to_numpy(float), pdf["decimal_odds"].to_numpy(float) - 1, pdf["ev"].to_numpy(float)
     cap = np.minimum(CAP, np.maximum(0, pdf["stake_kelly"].to_numpy(float) * np.maximum(0, 1 - pdf["uncertainty"].to_numpy(float))))
     spread = np.sqrt(np.maximum(p * gain**2 + (1 - p) - ev**2, 1e-8))
-    game, player = pdf["game_id"].to_numpy(), pdf["player_id"].to_numpy()
-    same_game, same_player = game[:, None] == game, player[:, None] == player
-    correlation = np.where(same_player, SAME_PLAYER, np.where(same_game, SAME_GAME, OTHERS))
-    np.fill_diagonal(correlation, 1.0)
-    cov = correlation * spread[:, None] * spread
+    game, player, both = (np.unique(k, return_inverse=True)[1] for k in (pdf["game_id"].astype(str), pdf["player_id"].astype(str), pdf["game_id"].astype(str) + "/" + pdf["player_id"].astype(str)))
+
+    def covered(w: np.ndarray) -> np.ndarray:
+        """The covariance times w: correlations are constant within a player, a game and the board, so sums replace the matrix."""
+        x = spread * w
+        of = lambda k: np.bincount(k, x)[k]
+        return spread * (OTHERS * x.sum() + (SAME_PLAYER - OTHERS) * of(player) + (SAME_GAME - OTHERS) * (of(game) - of(both)) + (1 - SAME_PLAYER) * x)
+
+    top = spread / np.linalg.norm(spread)
+    for _ in range(100):  # its largest eigenvalue, which bounds the step
+        top = covered(top)
+        norm = np.linalg.norm(top)
+        top = top / norm
     w = np.minimum(cap, BOARD_CAP / max(len(p), 1))
-    step = 1.0 / max(np.linalg.norm(cov, 2), 1e-9)
+    step = 1.0 / max(norm, 1e-9)
     for _ in range(500):
-        v = w + step * (ev - cov @ w)
+        v = w + step * (ev - covered(w))
         low, high = 0.0, max(float(np.max(v, initial=0)), 0.0)
         if np.clip(v, 0, cap).sum() > BOARD_CAP:
             for _ in range(60):
@@ -212,10 +220,8 @@ def _stakes(pdf: pd.DataFrame) -> pd.DataFrame:
         if np.abs(new - w).max(initial=0) < 1e-12:
             break
         w = new
-    for g in np.unique(game):
-        own = game == g
-        if w[own].sum() > GAME_CAP:
-            w[own] *= GAME_CAP / w[own].sum()
+    held = np.bincount(game, w)
+    w = w * np.minimum(1.0, GAME_CAP / np.maximum(held, GAME_CAP))[game]
     return pdf.assign(weight=w, stake=w * BANKROLL)
 
 
