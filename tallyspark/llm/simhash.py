@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, single_spaced, text_parts, words_of
 from .components import connected_components
 
 SHINGLE_WORDS = 3
@@ -53,20 +53,28 @@ _SHINGLES_AT_A_TIME = 1 << 17
 _ONE = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
-def shingle_hashes(text: str | None) -> list[int]:
-    """Unsigned XXH64 of every shingle of the text, A-Z lower-cased, in order, repeats included."""
-    words = (text or "").encode().lower().split()  # bytes.split() splits at exactly [\x20\x09-\x0D]
-    digest = xxhash.xxh64_intdigest
-    if len(words) < SHINGLE_WORDS:
-        return [digest(b" ".join(words), SEED)] if words else []
-    joined = b" ".join(words)
-    starts = [0]
-    push = starts.append
-    at = 0
-    for word in words:
-        at += len(word) + 1
-        push(at)
-    return [digest(joined[a : b - 1], SEED) for a, b in zip(starts, starts[SHINGLE_WORDS:], strict=False)]
+def _lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z lower-cased."""
+    return np.where((data >= 65) & (data <= 90), data | 32, data)
+
+
+def _shingles(rows: np.ndarray, data: np.ndarray, offsets: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, unsigned XXH64) of every shingle of the texts between the offsets, repeats included. A text of fewer words is
+    one shingle where `fresh`, as nothing of it came before."""
+    start, end, first = words_of(data, offsets)
+    spaced, at = single_spaced(_lowered(data), start)
+    sizes = np.diff(first)
+    # A shingle at each word that has enough of its text behind it, and at the first of a short text.
+    reach = np.minimum(np.repeat(first[1:], sizes), np.arange(start.size) + SHINGLE_WORDS)
+    whole = reach - np.arange(start.size) == SHINGLE_WORDS
+    short = fresh & (sizes > 0) & (sizes < SHINGLE_WORDS)
+    whole[first[:-1][short]] = True
+    begins = np.flatnonzero(whole)
+    last = reach[begins] - 1
+    text, digest = spaced.tobytes(), xxhash.xxh64_intdigest
+    ends = at[last] + end[last] - start[last]
+    hashes = np.fromiter((digest(text[a:b], SEED) for a, b in zip(at[begins].tolist(), ends.tolist(), strict=True)), np.uint64, begins.size)
+    return np.repeat(rows, sizes)[begins], hashes
 
 
 def _bits(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
@@ -75,27 +83,19 @@ def _bits(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def flush(hashes: list[int], sizes: list[int]) -> np.ndarray:
-        totals = np.array(sizes, np.int64)
-        counts = np.zeros((totals.size, 64), np.int64)
-        if hashes:
-            bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            full = np.flatnonzero(totals)
-            firsts = (np.cumsum(totals) - totals)[full]
-            counts[full] = np.add.reduceat(bits, firsts, axis=0, dtype=np.int64)
-        return _bits(counts, totals)
-
+    """Long texts come in parts, of which each adds to its text's 64 counts."""
     for batch in batches:
-        found, hashes, sizes = [], [], []
-        for value in batch.column("text"):
-            own = shingle_hashes(value.as_py())
-            hashes += own
-            sizes.append(len(own))
-            if len(hashes) >= _SHINGLES_AT_A_TIME:
-                found.append(flush(hashes, sizes))
-                hashes, sizes = [], []
-        found.append(flush(hashes, sizes))
-        yield pa.record_batch({"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "fp": pa.array(np.concatenate(found).view(np.int64))})
+        n = batch.num_rows
+        counts, totals = np.zeros((n, 64), np.int64), np.zeros(n, np.int64)
+        for rows, before, data, offsets in text_parts(batch, SHINGLE_WORDS - 1):
+            row, hashes = _shingles(rows, data, offsets, (before == 0) & (totals[rows] == 0))
+            for k in range(0, row.size, _SHINGLES_AT_A_TIME):
+                own = row[k : k + _SHINGLES_AT_A_TIME]
+                bits = np.unpackbits(hashes[k : k + _SHINGLES_AT_A_TIME].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+                firsts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                counts[own[firsts]] += np.add.reduceat(bits, firsts, axis=0, dtype=np.int64)
+            totals += np.bincount(row, minlength=n)
+        yield pa.record_batch({"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "fp": pa.array(_bits(counts, totals).view(np.int64))})
 
 
 def _text_hash():
@@ -294,7 +294,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     component_id is the smallest doc_id reachable over links, the row's own included. Null and empty texts have
     fingerprint zero and link like any other; a null doc_id keeps its row and never names a component unless all
-    of its component's ids are null; repeated rows stay; an empty table gives an empty one.
+    of its component's ids are null; repeated rows stay; an empty table gives an empty one. Texts of any length are
+    hashed whole, in parts that share two words.
     """
     prints, rooted = _classes(docs)
     named = checkpointed(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
@@ -306,7 +307,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of `docs` (doc_id, text and any others) with one document of each component: that with the smallest
     doc_id (null last), then the smallest hash of its text. Rows that repeat it exactly go too.
 
-    Null and empty texts are one component, so one of them stays. Texts are hashed whole, whatever their length; an empty
+    Null and empty texts are one component, so one of them stays. Texts of any length are hashed whole, in parts; an empty
     table gives an empty one; other columns keep their names and values, whatever they are.
     """
     prints, rooted = _classes(docs)

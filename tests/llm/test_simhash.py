@@ -58,6 +58,51 @@ def test_matches_brute_force(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_long_texts_in_parts(spark, monkeypatch):
+    """Texts of many parts, and parts with words that span them, have the fingerprints of whole texts."""
+    import pyarrow as pa
+
+    from tallyspark.llm import common, simhash
+
+    rng = random.Random(11)
+    long_ = lambda n: rng.choice([" ", "\n \t"]).join("".join(rng.choices("ABcdéf", k=rng.randint(1, 30))) for _ in range(n))
+    texts = [long_(900), "", None, long_(2), "x" * 5000, "x" * 5000 + " y", "a b " + "x" * 5000 + " c", long_(300) + " " * 3000, " " * 4000 + long_(300), "one two", *(long_(n) for n in range(1, 40))]
+    part = lambda batch, overlap: common.text_parts(batch, overlap, 200)
+    monkeypatch.setattr(simhash, "text_parts", part)
+    n = len(texts)
+    batch = pa.record_batch({"doc_id": pa.array(range(n)), "text_hash": pa.array(range(n)), "text": pa.array(texts)})
+    found = next(simhash._fingerprints([batch])).column("fp").to_numpy().view("uint64").tolist()
+    assert found == [f for _, f, _ in sorted(brute(list(enumerate(texts))), key=lambda r: r[0])]
+
+
+def peak_mb(code):
+    """MB that a worker's function adds at its peak, on one text of 64 MB of random words."""
+    import subprocess
+    import sys
+
+    made = """
+import resource, sys
+import numpy as np, pyarrow as pa
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+letters = np.random.default_rng(1).integers(97, 123, 64 << 20, np.uint8)
+letters[np.random.default_rng(2).integers(0, letters.size, letters.size // 7)] = 32
+text = pa.StringArray.from_buffers(1, pa.py_buffer(np.array([0, letters.size], np.int32)), pa.py_buffer(letters))
+"""
+    out = subprocess.run([sys.executable, "-c", made + code], capture_output=True, text=True, check=True, timeout=600)
+    return float(out.stdout.strip().splitlines()[-1])
+
+
+def test_memory_of_a_64_mb_text():
+    code = """
+from tallyspark.llm.simhash import _fingerprints
+batch = pa.record_batch({"doc_id": pa.array([1]), "text_hash": pa.array([1]), "text": text})
+before = peak()
+list(_fingerprints([batch]))
+print(peak() - before)
+"""
+    assert peak_mb(code) < 500
+
+
 def test_close_fingerprints_link(spark):
     """Chains of fingerprints three bits apart, in every mix of set and cleared bits."""
     from tallyspark.llm.components import connected_components
