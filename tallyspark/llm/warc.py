@@ -38,6 +38,8 @@ _MAGIC = b"\x1f\x8b\x08"
 _CHUNK = 1 << 18
 _LONGEST_HEADER = 1 << 20
 _HEADER_STEP, _HEADER_STEPS = 128, 1024
+#: Tasks of a read at most; beyond it a task has several ranges.
+MOST_TASKS = 100_000
 _BATCH_BYTES = 4 << 20
 _BATCH_ROWS = 2000
 _HEADER_END = b"\r\n\r\n"
@@ -314,7 +316,9 @@ def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES, payload: bool =
     """
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start")
     ranges = files.where("n_bytes > 0").select("file", "n_bytes", starts).select("file", "start", F.least(F.col("start") + split_bytes, F.col("n_bytes")).alias("end"))
-    return ranges.repartition("file", "start").mapInArrow(_reader(payload), RECORDS)
+    # Rows of a few bytes stand for ranges of many: their number is set, or else they would be put together by their size.
+    tasks = files.where("n_bytes > 0").agg(F.sum(F.ceil(F.col("n_bytes") / split_bytes))).first()[0] or 1
+    return ranges.repartition(min(MOST_TASKS, int(tasks))).mapInArrow(_reader(payload), RECORDS)
 
 
 def settled(records: DataFrame) -> DataFrame:
