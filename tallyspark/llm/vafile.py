@@ -7,7 +7,8 @@ approximations bound every exact score. The file of approximations is scanned tw
 1. Each query takes the READ vectors with the best bounds. Only their exact vectors are read, by a join; the k-th of
    their scores is a floor that no result falls below.
 2. Vectors whose bound reaches the floor of a query of the block are read exactly, once for a block of queries; for any
-   other the result is certain without them. The best of a block merge per query.
+   other the result is certain without them. Each query scores those in the order of its bounds until no bound that is
+   left reaches its k-th score. The best of a block merge per query.
 
 A task holds one block of vectors and one of queries, whatever the number of rows or of equal vectors, and sends k rows
 for each query and block at most.
@@ -32,16 +33,24 @@ CELLS = 256
 BLOCK_ROWS = 16_384
 QUERY_ROWS = 2_048
 LEAST_BLOCKS = 8
+#: Components and scores beyond a long count as its ends.
+LARGEST, SMALLEST = 2**63 - 1, -(2**63)
 #: Exact vectors that a query reads for its floor.
 READ = 16
 _QUERIES_AT_A_TIME = 128
 
 
+def _floored(x):
+    product = x.cast("double") * SCALE
+    return F.when(product >= float(2**63), F.lit(LARGEST)).when(product < float(SMALLEST), F.lit(SMALLEST)).otherwise(F.floor(product))
+
+
 def scaled(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v array<long>): floor(SCALE * x) of each component; vectors that are null, or hold null or non-finite ones, go."""
+    """(vec_id, v array<long>): floor(SCALE * x) of each component, at most the ends of a long; vectors that are null, or
+    hold null or non-finite components, go."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     good = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite)
-    return good.select(F.col("vec_id").cast("long"), F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE)).alias("v"))
+    return good.select(F.col("vec_id").cast("long"), F.transform("embedding", _floored).alias("v"))
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -70,19 +79,50 @@ class Grid:
     def bounds(self, codes: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(middle [vector, query], slack [query]): every exact inner product is within the slack of its middle."""
         q = queries.astype(np.float64)
-        centre = codes.astype(np.float32) @ (q * self.step).T.astype(np.float32)
-        # Half a cell in each dimension, and what single precision may lose in the sum.
-        loss = 255.0 * (np.abs(q) * self.step).sum(axis=1) * (q.shape[1] + 4) * 2.0**-23 + 1.0
+        scaled = q * self.step
+        kind = np.float32 if float(np.abs(scaled).sum(axis=1).max(initial=0)) < 1e30 else np.float64
+        centre = codes.astype(kind) @ scaled.T.astype(kind)
+        # Half a cell in each dimension, what single precision may lose in the sum, and double precision in large numbers.
+        loss = 255.0 * np.abs(scaled).sum(axis=1) * (q.shape[1] + 4) * 2.0**-23 + 1.0
+        loss += np.abs(q) @ (np.abs(self.low) + CELLS * self.step) * (q.shape[1] + 4) * 2.0**-50
         return centre.astype(np.float64) + q @ (self.low + self.step / 2), (np.abs(q) * self.step).sum(axis=1) / 2 + loss
 
 
 def products(exact: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    """Exact inner products [vector, query]."""
-    if float(np.abs(exact).max(initial=0)) * float(np.abs(queries).max(initial=0)) * exact.shape[1] < 2**53:
+    """Inner products [vector, query], exact as long as they and their parts fit a long."""
+    if _largest(exact, queries) < 2**53:
         return (exact.astype(np.float64) @ queries.T.astype(np.float64)).astype(np.int64)
     return exact @ queries.T
 
 
+def _largest(exact: np.ndarray, queries: np.ndarray) -> float:
+    return float(np.abs(exact.astype(np.float64)).max(initial=0)) * float(np.abs(queries.astype(np.float64)).max(initial=0)) * exact.shape[1]
+
+
+def clamped_products(exact: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Exact inner products [vector, query] of any longs; those beyond a long count as its ends."""
+    if _largest(exact, queries) < 2**62:
+        return products(exact, queries)
+    return np.clip(exact.astype(object) @ queries.astype(object).T, SMALLEST, LARGEST).astype(np.int64)
+
+
+def best_in_order(exact: np.ndarray, ids: np.ndarray, query: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(rows, scores, vectors scored) of the k largest scores, ties to the smaller id: vectors are scored in the order of
+    their bounds, in portions that double, until the k-th score is above every bound that is left."""
+    order = np.argsort(-bound, kind="stable")
+    rows, scores, at, step = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, max(k, 4)
+    while at < order.size:
+        if rows.size >= k and bound[order[at]] < float(scores[-1]) and scores[-1] < LARGEST:
+            break
+        part = order[at : at + step]
+        if rows.size >= k and scores[-1] < LARGEST:
+            part = part[bound[part] >= float(scores[-1])]
+        rows, scores = np.r_[rows, part], np.r_[scores, clamped_products(exact[part], query[None])[:, 0]]
+        best = np.lexsort((ids[rows], ~scores))[:k]
+        rows, scores, at, step = rows[best], scores[best], at + part.size, 2 * step
+    return rows, scores, at
+
+
 def _ranges(width: int):
     """(dim, low, high) of each batch."""
 
@@ -155,28 +195,23 @@ def _open(width: int, grid: Grid):
     return scan
 
 
-def _best_scores(width: int, k: int):
+def _best_scores(width: int, grid: Grid, k: int):
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def read(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
         if left.num_rows and right.num_rows:
-            ids = left.column("vec_id").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids, exact = ids[order], _matrix(left.column("v"), width)[order]
+            ids, exact = left.column("vec_id").to_numpy(), _matrix(left.column("v"), width)
+            codes = grid.codes(exact)
             query_ids, queries = right.column("query_id").to_numpy(), _matrix(right.column("q"), width)
+            floor = right.column("floor").to_numpy()
             for at in range(0, query_ids.size, _QUERIES_AT_A_TIME):
-                part = query_ids[at : at + _QUERIES_AT_A_TIME]
-                scores = products(exact, queries[at : at + _QUERIES_AT_A_TIME])
-                for i, query in enumerate(part.tolist()):
-                    own, mine = ids != query, scores[:, i]
-                    if not own.any():
-                        continue
-                    n = min(k, int(own.sum()))
-                    least = np.partition(mine[own], mine[own].size - n)[mine[own].size - n]
-                    near = np.flatnonzero(own & (mine >= least))
-                    best = near[np.lexsort((ids[near], -mine[near]))[:n]]
-                    for column, values in zip(out, (np.full(best.size, query), ids[best], mine[best]), strict=True):
+                middle, slack = grid.bounds(codes, queries[at : at + _QUERIES_AT_A_TIME])
+                for i, query in enumerate(query_ids[at : at + _QUERIES_AT_A_TIME].tolist()):
+                    bound = middle[:, i] + slack[i]
+                    near = np.flatnonzero((bound >= floor[at + i]) & (ids != query))
+                    rows, scores, _ = best_in_order(exact[near], ids[near], queries[at + i], bound[near], k)
+                    for column, values in zip(out, (np.full(rows.size, query), ids[near[rows]], scores), strict=True):
                         column.append(values)
         return pa.table([pa.array(np.concatenate(c)) for c in out], schema=schema)
 
@@ -187,6 +222,7 @@ class Search:
     """The steps of a search; open_vectors() are the exact vectors that its last step reads."""
 
     def __init__(self, vectors: DataFrame, queries: DataFrame, k: int) -> None:
+        vectors, queries = vectors.select("vec_id", "v"), queries.select("vec_id", "v")
         facts = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).first()
         self.vectors, self.k, self.width = vectors, k, max(1, facts.width or 0)
         self.blocks = max(LEAST_BLOCKS, -(-facts.n // BLOCK_ROWS))
@@ -217,20 +253,28 @@ class Search:
         bounds = self._met(self.file, self.queries, _best_bounds(self.width, self.grid), "query_id long, vec_id long, bound double")
         by_bound = Window.partitionBy("query_id").orderBy(F.desc("bound"), "vec_id")
         first = bounds.withColumn("place", F.row_number().over(by_bound)).where(F.col("place") <= READ).select("query_id", "vec_id")
-        product = F.aggregate(F.zip_with("q", "v", lambda x, y: F.coalesce(x * y, F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x)
-        scored = first.join(self.vectors, "vec_id").join(self.queries, "query_id").select("query_id", product.alias("score"))
+        none = F.lit(0.0)
+        terms = F.zip_with("q", "v", lambda x, y: F.coalesce(x.cast("double") * y.cast("double"), none))
+        # Double precision loses a little of each term: the floor is what the score has at least.
+        sums = F.aggregate(terms, F.struct(none.alias("sum"), none.alias("size")), lambda s, x: F.struct((s["sum"] + x).alias("sum"), (s["size"] + F.abs(x)).alias("size")), lambda s: s["sum"] - s["size"] * (self.width + 4) * 2.0**-52)
+        scored = first.join(self.vectors, "vec_id").join(self.queries, "query_id").select("query_id", sums.alias("score"))
         by_score = Window.partitionBy("query_id").orderBy(F.desc("score"))
         return checkpointed(scored.withColumn("place", F.row_number().over(by_score)).where(F.col("place") == self.k).select("query_id", F.col("score").alias("floor")))
 
-    def open_vectors(self) -> DataFrame:
+    def floored(self) -> DataFrame:
+        """The queries with their floors. Scores beyond a long are ties, so none of them may be above a floor."""
+        floor = F.when(F.col("floor") > float(SMALLEST), F.least(F.col("floor"), F.lit(float(2**62))))
+        floor = F.coalesce(floor, F.lit(float("-inf")))
+        return checkpointed(self.queries.join(self.floors(), "query_id", "left").select("query_block", "query_id", "q", floor.alias("floor")))
+
+    def open_vectors(self, queries: DataFrame) -> DataFrame:
         """(block, query_block, vec_id) of the vectors whose bound reaches the floor of a query of the block."""
-        floor = F.coalesce(F.col("floor").cast("double") - F.abs(F.col("floor")) * 2.0**-50, F.lit(float("-inf")))
-        queries = self.queries.join(self.floors(), "query_id", "left").select("query_block", "query_id", "q", floor.alias("floor"))
         return self._met(self.file, queries, _open(self.width, self.grid), "block int, query_block int, vec_id long")
 
     def found(self) -> DataFrame:
-        read = self.open_vectors().join(self.vectors, "vec_id")
-        best = self._met(read, self.queries, _best_scores(self.width, self.k), "query_id long, vec_id long, score long")
+        queries = self.floored()
+        read = self.open_vectors(queries).join(self.vectors, "vec_id")
+        best = self._met(read, queries, _best_scores(self.width, self.grid, self.k), "query_id long, vec_id long, score long")
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= self.k).select("query_id", "rank", "vec_id", "score")
 
@@ -240,7 +284,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
 
     Both are (vec_id, v array<long>) with unique ids; shorter vectors count as padded with zeros, empty ones as zeros;
     rows with the query's own vec_id are not its candidates; ties go to the smaller vec_id, also among equal vectors. A
-    query with fewer candidates gets them all; empty tables give no rows. Other columns must not be there.
+    query with fewer candidates gets them all; empty tables give no rows; other columns are ignored, whatever their
+    names. Scores are exact; those beyond a long count as its ends, and tie.
     """
     return Search(vectors, queries, k).found()
 
