@@ -130,3 +130,16 @@ def test_masking_keeps_columns_with_its_own_names(spark):
     assert got[2].text == "[SECRET] and more" and "hunter22" not in got[3].text and got[3].n_chars == len(got[3].text)
     assert all((r.secret_hash, r["secret links"], r.links, r.packed) == (f"h{i}", [i], 2 * i, 2 * i) for i, r in got.items())
     assert mask_secrets(df.limit(0)).count() == 0
+
+
+def test_memory_of_a_64_mb_text():
+    from test_simhash import peak_mb
+
+    code = """
+from tallyspark.llm.secrets import _scan_rows
+batch = pa.record_batch({"doc_id": pa.array([1]), "text_hash": pa.array([1]), "text": text})
+before = peak()
+list(_scan_rows([batch]))
+print(peak() - before)
+"""
+    assert peak_mb(code) < 500
