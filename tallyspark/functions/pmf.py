@@ -95,3 +95,28 @@ def calibrated_from_cdf(c: Column) -> Column:
     clipped = F.transform(c, lambda x, i: F.when(i == F.size(c) - 1, F.lit(1.0)).otherwise(clip(x, 1e-6, 1 - 1e-6)))
     rising = F.aggregate(clipped, F.array().cast("array<double>"), lambda s, x: F.concat(s, F.array(F.greatest(F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0.0)), x))))
     return normalise(let(rising, lambda r: F.transform(r, lambda x, i: F.greatest(x - F.when(i > 0, F.try_element_at(r, i)).otherwise(0.0), F.lit(0.0)))))
+
+
+def lengths(hazards: Column) -> Column:
+    """The distribution of the length 0..n of a session from the chances to end at step 1..n; who is left at the end has n."""
+    empty = F.struct(F.lit(1.0).alias("alive"), F.array(F.lit(0.0)).alias("ends"))
+    step = lambda s, h: F.struct((s["alive"] * (1 - h)).alias("alive"), F.concat(s["ends"], F.array(s["alive"] * h)).alias("ends"))
+    at_end = lambda s: F.transform(s["ends"], lambda x, i: F.when(i == F.size(s["ends"]) - 1, x + s["alive"]).otherwise(x))
+    return F.aggregate(hazards, empty, step, at_end)
+
+
+def mixture(steps: Column, length: Column, size: int) -> Column:
+    """The count of successes of the first n steps with these chances, over the distribution of n; the last cell keeps
+    what passes it. One fold: the running distribution grows by a step and is added with the weight of its length."""
+    first = F.array(F.lit(1.0), *(F.lit(0.0) for _ in range(size - 1)))
+
+    def grown(run: Column, p: Column) -> Column:
+        moved = lambda x, i: x * (1 - p) + F.when(i > 0, F.try_element_at(run, i) * p).otherwise(0.0) + F.when(i == size - 1, x * p).otherwise(0.0)
+        return F.transform(run, moved)
+
+    def step(s: Column, x: Column) -> Column:
+        return let(grown(s["run"], clip(x["p"], 0.0, 1.0)), lambda run: F.struct(run.alias("run"), F.zip_with(s["out"], run, lambda o, r: o + r * x["w"]).alias("out")))
+
+    pairs = F.zip_with(steps, F.slice(length, 2, F.size(steps)), lambda p, w: F.struct(p.alias("p"), w.alias("w")))
+    start = F.struct(first.alias("run"), F.transform(first, lambda x: x * F.element_at(length, 1)).alias("out"))
+    return normalise(F.aggregate(pairs, start, step, lambda s: s["out"]))
