@@ -628,13 +628,6 @@ def exact_sample(spark, d):
     return C.exact_sample(table(spark, d, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], 500)
 
 
-@register("isotonic_apply")
-def isotonic_apply(spark, d):
-    s = scored(spark, d)
-    curve = CAL.fit_isotonic(s)
-    return r6(s.select("p").distinct().select("p", curve.apply(F.col("p")).alias("q")))
-
-
 @register("platt_fit")
 def platt_fit(spark, d):
     s = scored(spark, d)
