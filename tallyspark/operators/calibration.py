@@ -43,13 +43,19 @@ class Isotonic:
         return O.clip_probability(PMF.let(curve, between))
 
 
+def outcome_counts(df: DataFrame, *others: str, p: str = "p", y: str = "y") -> DataFrame:
+    """(p, y, others, weight): how often each score comes with each outcome. Fits and means need no more than that."""
+    known = df.where(F.col(p).isNotNull() & F.col(y).isNotNull())
+    return known.groupBy(F.col(p).cast("double").alias("p"), F.col(y).cast("double").alias("y"), *others).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+
+
 def fit_isotonic(df: DataFrame, p: str = "p", y: str = "y") -> Isotonic:
     """From counts of distinct scores; the identity with fewer than LEAST_DISTINCT of them."""
-    return _fit_counted(_counted(df, p, y))
+    return _isotonic_of(outcome_counts(df, p=p, y=y))
 
 
-def _counted(df: DataFrame, p: str, y: str) -> DataFrame:
-    return df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(p).cast("double").alias("features")).agg(F.avg(F.col(y).cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
+def _isotonic_of(counts: DataFrame) -> Isotonic:
+    return _fit_counted(counts.groupBy(F.col("p").alias("features")).agg((F.sum(F.col("y") * F.col("weight")) / F.sum("weight")).alias("label"), F.sum("weight").alias("weight")))
 
 
 def _fit_counted(counted: DataFrame) -> Isotonic:
@@ -78,19 +84,24 @@ def _inputs(p: Column, kind: str) -> list[Column]:
 
 
 def fit_logistic(df: DataFrame, kind: str = "platt", c: float = 1.0, p: str = "p", y: str = "y") -> Logistic:
+    return _logistic_of(outcome_counts(df, p=p, y=y), kind, c)
+
+
+def _logistic_of(counts: DataFrame, kind: str, c: float) -> Logistic:
     names = [f"x{i}" for i in range(1 if kind == "platt" else 2)]
-    rows = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).select(*(e.alias(n) for e, n in zip(_inputs(F.col(p), kind), names, strict=True)), F.col(y).cast("double").alias("label"))
-    n = rows.count()
-    model = LogisticRegression(regParam=1 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-9).fit(VectorAssembler(inputCols=names, outputCol="features").transform(rows))
+    rows = counts.select(*(e.alias(n) for e, n in zip(_inputs(F.col("p"), kind), names, strict=True)), F.col("y").alias("label"), "weight")
+    n = rows.agg(F.sum("weight")).first()[0] or 1.0
+    model = LogisticRegression(regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-9, weightCol="weight").fit(VectorAssembler(inputCols=names, outputCol="features").transform(rows))
     return Logistic(list(model.coefficients), float(model.intercept), kind)
 
 
 def candidates(df: DataFrame) -> dict[str, Column]:
     """The calibrators that a sweep compares, as expressions of p, fitted on df."""
-    out = {"identity": O.clip_probability(F.col("p")), "isotonic": fit_isotonic(df).apply(F.col("p"))}
+    counts = settled(outcome_counts(df))
+    out = {"identity": O.clip_probability(F.col("p")), "isotonic": _isotonic_of(counts).apply(F.col("p"))}
     for kind in ("platt", "beta"):
         for c in (0.1, 1.0, 10.0):
-            out[f"{kind}_{c:g}"] = fit_logistic(df, kind, c).apply(F.col("p"))
+            out[f"{kind}_{c:g}"] = _logistic_of(counts, kind, c).apply(F.col("p"))
     return out
 
 
@@ -126,10 +137,11 @@ def residual_sweep(train: DataFrame, test: DataFrame, market: str = "market_over
     named = {"current": O.clip_probability(F.col("p")), **{n: fitted[n] for n in order}}
     y, m = F.col("y"), O.clip_probability(F.col(market))
     usable = test.where(F.col("p").isNotNull() & y.isNotNull() & F.col(market).isNotNull())
-    scored = usable.select("y", m.alias("m"), F.explode(F.array(*(F.struct(F.lit(n).alias("name"), e.alias("q")) for n, e in named.items()))).alias("s")).select("y", "m", "s.*")
+    usable = outcome_counts(usable, market)
+    scored = usable.select("y", m.alias("m"), "weight", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), e.alias("q")) for n, e in named.items()))).alias("s")).select("y", "m", "weight", "s.*")
     q, m = F.col("q"), F.col("m")
     losses = {"log_loss": O.log_loss(q, y), "market_log_loss": O.log_loss(m, y), "brier": O.brier(q, y), "market_brier": O.brier(m, y), "mean_p": q, "mean_market": m}
-    means = scored.groupBy("name").agg(*(F.avg(e).alias(c) for c, e in losses.items()))
+    means = scored.groupBy("name").agg(*((F.sum(e * F.col("weight")) / F.sum("weight")).alias(c) for c, e in losses.items()))
     found = {r["name"]: r.asDict() for r in means.withColumns({"delta_log_loss": F.col("market_log_loss") - F.col("log_loss"), "delta_brier": F.col("market_brier") - F.col("brier")}).collect()}
 
     def beats(a: dict, b: dict) -> bool:

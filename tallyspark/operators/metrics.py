@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +29,11 @@ def _by_score(df: DataFrame) -> DataFrame:
     return df.groupBy("p").agg(F.sum("y").alias("hits"), F.count(F.lit(1)).alias("n"))
 
 
-def running_by_score(df: DataFrame, descending: bool, blocks: int = 64) -> DataFrame:
+#: Distinct scores of a range on average; small tables still have LEAST_RANGES.
+RANGE_SCORES, LEAST_RANGES, MOST_RANGES = 100_000, 64, 10_000
+
+
+def running_by_score(df: DataFrame, descending: bool, blocks: int | None = None) -> DataFrame:
     """Per distinct score, `hits` and `n` with their sums over all scores before it, in either order.
 
     The order is total, but no task gets all of it: scores are dealt into ranges, summed within, and the sums of the
@@ -35,8 +41,14 @@ def running_by_score(df: DataFrame, descending: bool, blocks: int = 64) -> DataF
     its rows in the same ranges.
     """
     counted = _by_score(df)
-    edges = sorted(set(counted.approxQuantile("p", [i / blocks for i in range(1, blocks)], 0.002)))
-    block = F.size(F.filter(F.array(*map(F.lit, edges)).cast("array<double>"), lambda e: e < P()))
+    if blocks is None:
+        distinct = counted.agg(F.approx_count_distinct("p", 0.05)).first()[0]
+        blocks = min(MOST_RANGES, max(LEAST_RANGES, distinct // RANGE_SCORES))
+    edges = sorted(set(counted.approxQuantile("p", [i / blocks for i in range(1, blocks)], min(0.002, 0.25 / blocks))))
+    if blocks > LEAST_RANGES:  # many edges are searched, not compared one by one
+        block = F.when(F.col("p").isNotNull(), _edges_below(edges)(F.col("p")))
+    else:
+        block = F.size(F.filter(F.array(*map(F.lit, edges)).cast("array<double>"), lambda e: e < P()))
     block = -block if descending else block
     order = F.col("p").desc() if descending else F.col("p").asc()
     inside = Window.partitionBy("block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -48,6 +60,17 @@ def running_by_score(df: DataFrame, descending: bool, blocks: int = 64) -> DataF
     return own.join(F.broadcast(spans), "block").select("p", "hits", "n", (F.col("h") + F.col("ph")).alias("hits_before"), (F.col("c") + F.col("pn")).alias("n_before"))
 
 
+def _edges_below(edges: Sequence[float]):
+    """How many of the rising edges are below a value."""
+    at = np.array(edges, float)
+
+    @F.pandas_udf("int")
+    def below(p: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(at, p.to_numpy(float), side="left").astype("int32"))
+
+    return below
+
+
 def roc_auc(df: DataFrame) -> DataFrame:
     """The chance that a hit scores above a miss, ties counted half; null with one class only."""
     r = running_by_score(df, descending=False)
@@ -73,12 +96,6 @@ def spiegelhalter(df: DataFrame) -> DataFrame:
     return df.agg(F.try_divide(F.sum((Y() - P()) * w), F.sqrt(F.sum(w * w * P() * (1 - P())))).alias("z"))
 
 
-def average_rank(column: str) -> Column:
-    """Ranks with ties averaged, over the whole table: for tables of metrics size, or within the given partition."""
-    w = Window.orderBy(column)
-    return F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy(column)) - 1) / 2
-
-
 def spearman(df: DataFrame, x: str, y: str, least: int = 100) -> DataFrame:
     """Rank correlation of rows where both are known; null under `least` of them.
 

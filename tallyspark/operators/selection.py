@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions import odds as O
 from .features import latest_row
 from .metrics import running_by_score
+from .ranges import last_rows
 
 MIN_EV, MIN_CONFIDENCE = 0.20, 0.10
 
@@ -173,8 +174,9 @@ def group_holdout(df: DataFrame, keys: Sequence[str], ts: str, share: float = 0.
     edge = places.where((F.col("n_before") <= kept) & (F.col("n_before") + F.col("n") > kept)).first()
     if edge is None:
         return df.withColumn("is_eval", F.lit(False))
-    place = F.row_number().over(Window.partitionBy("p").orderBy(*keys))
-    held = groups.withColumn("_place", place).select(*keys, ((F.col("p") > edge.p) | ((F.col("p") == edge.p) & (F.col("_place") > kept - edge.n_before))).alias("is_eval"))
+    # Groups of the boundary time alone are put in order, in ranges, as there may be very many of them.
+    tied = last_rows(groups.where(F.col("p") == edge.p), list(keys), int(edge.n_before + edge.n - kept), "is_eval").select(*keys, "is_eval")
+    held = groups.where(F.col("p") != edge.p).select(*keys, (F.col("p") > edge.p).alias("is_eval")).unionByName(tied)
     return df.join(held, list(keys), "left")
 
 

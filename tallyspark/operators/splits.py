@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import P, Y, exact_quantiles
+from .ranges import last_rows
 
 
 def out_of_time(df: DataFrame, day: Column, calibrate: float = 0.10, evaluate: float = 0.10, least: int = 7, least_days: int = 30) -> DataFrame:
@@ -25,10 +26,9 @@ def out_of_time(df: DataFrame, day: Column, calibrate: float = 0.10, evaluate: f
 
 
 def tail_split(df: DataFrame, order: list[str], least: int = 200, share: int = 5) -> DataFrame:
-    """Adds is_train: false for the last max(least, rows // share) rows in order; for tables of a single day."""
+    """Adds is_train: false for the last max(least, rows // share) rows in order (nulls first); for tables of a single day."""
     n = df.count()
-    held = df.select(*order).orderBy(*(F.col(c).desc() for c in order)).limit(min(n, max(least, n // share))).withColumn("_held", F.lit(True))
-    return df.join(held, order, "left").withColumn("is_train", F.col("_held").isNull()).drop("_held")
+    return last_rows(df, order, min(n, max(least, n // share)), "_held").select(*df.columns, (~F.col("_held")).alias("is_train"))
 
 
 def digitised_error(df: DataFrame, bins: int = 15) -> DataFrame:

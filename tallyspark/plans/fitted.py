@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from ..operators import chain as CH
 from ..operators import features as X
+from ..operators import market as M
 from ..operators import pooling as PO
-from .catalogue import SCORED, logits_pmf, r6, register, scored
-from .views import pa_view
+from ..operators import selection as C
+from ..operators import stakes as ST
+from .catalogue import SCORED, evaluated, logits_pmf, r6, register, scored
+from .views import pa_view, quote_view
 
 SESSION = ("day", "pitcher_id")
 #: Rounds of both classifiers in the registered query; the chain itself has 350 and 300.
@@ -67,3 +70,15 @@ def count_curve_fit(spark, d):
     rows = logits_pmf(spark, d).select("vec_id", "pmf", (F.col("vec_id") % 12).alias("actual"))
     cells = PO.apply_count_curves(rows, PO.fit_count_curves(rows, 12), ["vec_id"])
     return r6(cells.select("vec_id", F.posexplode("pmf").alias("k", "p")))
+
+
+@register("board_stakes")
+def board_stakes(spark, d):
+    """The best bets of all games, sized as one board under its cap."""
+    best = C.card(evaluated(spark, d), C.quote_summary(M.evaluation_quotes(quote_view(spark, d))), 1.0, 2, 0.10, None, ties=["vendor", *M.TIES])
+    over = F.col("best_side") == "over"
+    sided = best.withColumns({"prob": F.when(over, F.col("model_over_prob")).otherwise(1 - F.col("model_over_prob")), "odds": F.when(over, F.col("over_odds")).otherwise(F.col("under_odds"))})
+    rows = C.kelly_columns(sided, "prob", "odds").withColumns({"uncertainty": F.lit(0.03), "board": F.lit("all")})
+    keys = ("game_id", "player_id", "vendor", "line_value", "best_side")
+    sized = ST.size_board_stakes(rows.select("board", *keys, "prob", "decimal_odds", "ev", "stake_kelly", "uncertainty"), "board")
+    return r6(sized.select(*keys, "weight", "stake"))
