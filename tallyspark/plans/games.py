@@ -83,7 +83,8 @@ def _game_board(spark, d, live: bool):
     if live:
         status = F.when(F.col("game_id") % 7 == 0, "STATUS_FINAL").when(F.col("game_id") % 7 == 3, "status_postponed").otherwise("STATUS_IN_PROGRESS")
         games = today.select("game_id").distinct().withColumn("status", status)
-        entries = live_entries(games, today.where(F.col("pa_number") <= SEEN), line_ups(today), history)
+        seen = today.where(F.col("pa_number") <= SEEN)
+        entries = live_entries(games, seen, line_ups(seen), history)
     else:
         entries = pregame_entries(today, history)
     quotes = with_names(quote_view(spark, d), "player_id").withColumn("game_id", WEEK * 1000 + F.col("player_id") % 50)
@@ -107,7 +108,7 @@ def _games_sql(live: bool) -> str:
  today AS (SELECT * FROM pa WHERE game_week = {WEEK}),
  br AS (SELECT batter_id, CASE WHEN count(is_strikeout) OVER w >= {X.least_observations(60)} THEN avg(is_strikeout) OVER w END AS rate FROM seen WHERE batter_id IS NOT NULL
   WINDOW w AS (PARTITION BY batter_id ORDER BY ts, event_id ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) QUALIFY row_number() OVER (PARTITION BY batter_id ORDER BY ts DESC, event_id DESC) = 1),
- fb AS (SELECT game_id, half_inning, batter_id, min(pa_number) AS place FROM today WHERE batter_id IS NOT NULL GROUP BY ALL),
+ fb AS (SELECT game_id, half_inning, batter_id, min(pa_number) AS place FROM today WHERE {f"pa_number <= {SEEN} AND" if live else ""} batter_id IS NOT NULL GROUP BY ALL),
  lu AS (SELECT * FROM fb QUALIFY row_number() OVER (PARTITION BY game_id, half_inning ORDER BY place, batter_id) <= {PLACES}),
  lq AS (SELECT game_id, half_inning, avg(rate) AS lineup_rate FROM lu LEFT JOIN br USING (batter_id) GROUP BY ALL),
  {who},

@@ -109,3 +109,19 @@ def test_many_ranges_give_the_same_sums(spark, monkeypatch):
     want = {(r.p, r.n_before, r.hits_before) for r in S.running_by_score(df, True, 5).collect()}
     monkeypatch.setattr(S, "RANGE_SCORES", 30)
     assert {(r.p, r.n_before, r.hits_before) for r in S.running_by_score(df, True).collect()} == want
+
+
+def test_later_events_do_not_change_a_live_board(spark, monkeypatch):
+    from tallyspark.plans import games as G
+
+    monkeypatch.setattr(G, "SEEN", 3)
+    plain = G.pa_view
+
+    def changed(spark, d):
+        later = (F.col("game_week") == G.WEEK) & (F.col("pa_number") > 3)
+        return plain(spark, d).withColumn("batter_id", F.when(later, 1 - F.col("batter_id")).otherwise(F.col("batter_id"))).withColumn("is_strikeout", F.when(later, 1).otherwise(F.col("is_strikeout")))
+
+    read = lambda: sorted(map(str, G.live_summary(spark, "/root/testdata/sf0.01").collect()))
+    want = read()
+    monkeypatch.setattr(G, "pa_view", changed)
+    assert want and read() == want

@@ -1,6 +1,7 @@
 import json
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.operators.matching import match_games, match_names
@@ -76,3 +77,78 @@ def test_game_fallback_only_without_any_game(spark):
     quotes = spark.sql("SELECT * FROM VALUES (DATE'2024-01-02', 'a'), (DATE'2024-01-03', 'a'), (DATE'2024-01-04', 'a'), (DATE'2024-01-04', 'c'), (DATE'2024-01-01', 'b') AS t(day, team)")
     got = {(str(r.day), r.team): r.game_id for r in match_games(quotes, games).collect()}
     assert got == {("2024-01-02", "a"): 1, ("2024-01-03", "a"): None, ("2024-01-04", "a"): 3, ("2024-01-04", "c"): 2, ("2024-01-01", "b"): 1}
+
+
+def test_paged_filters_and_batches():
+    options = {"urls": "u v?x=1", "params": json.dumps({"seasons[]": [2023, 2024], "player_ids[]": [1, 2, 3, 4, 5], "postseason": False, "sort_by": "a b"}), "split": json.dumps({"seasons[]": 1, "player_ids[]": 2})}
+    urls = [p.value for p in PagedJson(options).reader(None).partitions()]
+    assert len(urls) == 2 * 2 * 3 and urls[0] == "u?seasons[]=2023&player_ids[]=1&player_ids[]=2&postseason=false&sort_by=a+b"
+    assert urls[-1] == "v?x=1&seasons[]=2024&player_ids[]=5&postseason=false&sort_by=a+b"
+    whole = PagedJson({"urls": "u", "params": '{"ids[]": [1, 2]}'}).reader(None)
+    assert [p.value for p in whole.partitions()] == ["u?ids[]=1&ids[]=2"]
+
+
+def test_a_failed_page_is_asked_for_again():
+    """From its own cursor: the pages before it are not read twice."""
+    reader = PagedJson({"urls": "u", "wait": "0"}).reader(None)
+    pages = {"u": {"data": [1], "meta": {"next_cursor": 7}}, "u?cursor=7": {"data": [2], "meta": {}}}
+    asked = []
+
+    def get(url):
+        asked.append(url)
+        if asked.count("u?cursor=7") in (1, 2) and url != "u":
+            raise OSError("no answer")
+        return pages[url]
+
+    reader._get = get
+    assert [r[1:] for r in reader.read(reader.partitions()[0])] == [(0, "1"), (1, "2")]
+    assert asked == ["u", "u?cursor=7", "u?cursor=7", "u?cursor=7"]
+    asked.clear()
+    reader.attempts = 2
+    with pytest.raises(OSError, match="no answer"):
+        list(reader.read(reader.partitions()[0]))
+
+
+def test_filters_on_the_query_are_pushed_down(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"p{k}").write_text(json.dumps([{"a": k}]))
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(PagedJson)
+    urls = [f"file://{tmp_path}/p{k}" for k in range(3)]
+    got = spark.read.format("paged_json").option("urls", f"{urls[0]} {urls[1]} file://{tmp_path}/missing").option("attempts", "1").option("pushdown", "true").load()
+    assert [r.record for r in got.where(F.col("url") == urls[1]).collect()] == ['{"a": 1}']
+    assert sorted(r.record for r in got.where(F.col("url").isin(urls[:2])).collect()) == ['{"a": 0}', '{"a": 1}']
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_empty_typed_snapshot(spark, tmp_path):
+    from tallyspark.sources.paged import typed
+
+    (tmp_path / "none").write_text(json.dumps({"data": []}))
+    spark.dataSource.register(PagedJson)
+    schema = spark.createDataFrame([], "a int, b array<string>").schema
+    records = spark.read.format("paged_json").option("urls", f"file://{tmp_path}/none").load()
+    sinks.write_parquet(typed(records, schema), str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == 0 and back.schema.simpleString() == schema.simpleString()
+
+
+def test_stream_of_pages_goes_on_at_its_cursors(spark, tmp_path):
+    """Batches continue where those before ended, also after a restart from the checkpoint; replays give the same rows."""
+    reader = PagedJson({"urls": "u v", "wait": "0"}).simpleStreamReader(None)
+    pages = {"u": {"data": [1, 2], "meta": {"next_cursor": "b"}}, "u?cursor=b": {"data": [3], "meta": {}}, "v": {"data": [9], "meta": {}}}
+    reader._get = pages.__getitem__
+    first, at = reader.read(reader.initialOffset())
+    assert sorted(r[2] for r in first) == ["1", "2", "9"] and at["v"]["done"] and at["u"] == {"page": 1, "cursor": "b", "done": False}
+    second, end = reader.read(at)
+    assert [r for r in second] == [("u", 1, "3")] and all(x["done"] for x in end.values()) and list(reader.read(end)[0]) == []
+    assert sorted(reader.readBetweenOffsets(reader.initialOffset(), end)) == [("u", 0, "1"), ("u", 0, "2"), ("u", 1, "3"), ("v", 0, "9")]
+
+    (tmp_path / "p").write_text(json.dumps({"data": [{"a": 1}], "meta": {}}))
+    spark.dataSource.register(PagedJson)
+    stream = spark.readStream.format("paged_json").option("urls", f"file://{tmp_path}/p").load()
+    for _ in range(2):
+        run = stream.writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="0 seconds").start()
+        run.processAllAvailable()
+        run.stop()
+    assert [r.record for r in spark.read.parquet(str(tmp_path / "o")).collect()] == ['{"a": 1}']
