@@ -35,16 +35,15 @@ def named_median_fill(spark, d):
     return r6(R.fill_medians(rolled(spark, d)), 9)
 
 
-_RANKS = " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS x, CAST(is_strikeout AS DOUBLE) AS y FROM rolled" for *_, c in ROLLED)
+_RANKS = " UNION ALL ".join(f"SELECT '{c}' AS feature, round(CAST({c} AS DOUBLE), 9) AS x, CAST(is_strikeout AS DOUBLE) AS y FROM rolled" for *_, c in ROLLED)
 
 
 @register("feature_signal", f"""{ROLLED_SQL}, f AS ({_RANKS}), s AS (SELECT feature, count(x) AS known, avg(CASE WHEN x IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS missing_rate, stddev_pop(x) AS std FROM f GROUP BY feature HAVING count(x) >= 100),
  r AS (SELECT feature, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY feature ORDER BY y) + (count(*) OVER (PARTITION BY feature, y) - 1) / 2.0::DOUBLE AS b FROM f WHERE x IS NOT NULL AND y IS NOT NULL),
  c AS (SELECT feature, count(*) AS n, corr(a, b) AS spearman FROM r GROUP BY feature) SELECT feature, n, round(spearman, 6) + 0.0::DOUBLE AS spearman, round(missing_rate, 6) + 0.0::DOUBLE AS missing_rate, round(std, 6) + 0.0::DOUBLE AS std FROM s JOIN c USING (feature)""")
 def feature_signal(spark, d):
-    """The rank correlation of every rolling column with the outcome."""
-    found = R.rank_correlations(rolled(spark, d), [c for *_, c in ROLLED], "is_strikeout")
-    return r6(found)
+    """The rank correlation of every rolling column with the outcome. Means that differ in their last bits alone are ties."""
+    return r6(R.rank_correlations(r6(rolled(spark, d), 9), [c for *_, c in ROLLED], "is_strikeout"))
 
 
 #: Quotes of the many-day board fall on these days of the events, and name their pitchers.
