@@ -157,8 +157,12 @@ def ks_uniform(df: DataFrame) -> DataFrame:
 
 def segment_summary(rows: DataFrame, least: int = 10) -> DataFrame:
     """Scores over all rows, by proposition, by vendor and by line, in one pass; vendors and lines under `least` rows are left out."""
+    positive = F.col("best_ev") > 0
+    won = F.when(F.col("best_side") == "over", F.col("over_hit")).otherwise(F.col("under_hit"))
     return rows.groupingSets([[], ["prop_type"], ["vendor"], ["line_value"]], "prop_type", "vendor", "line_value").agg(
         F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), F.avg(O.log_loss(F.col("model_over_prob"), F.col("over_hit"))).alias("model_log_loss"),
         F.avg(O.log_loss(F.col("market_over_prob"), F.col("over_hit"))).alias("market_log_loss"), F.avg("best_ev").alias("mean_best_ev"),
-        F.avg((F.col("best_ev") > 0).cast("int")).alias("share_positive_ev"),
+        F.avg(positive.cast("int")).alias("share_positive_ev"), F.avg(F.abs(F.col("market_over_prob") - 0.5)).alias("mean_market_distance"),
+        *(F.avg((F.col("best_ev") > limit).cast("int")).alias(f"share_ev_over_{name}") for name, limit in (("1pct", 0.01), ("2pct", 0.02))),
+        F.count_if(positive).alias("n_positive_ev"), F.avg(F.when(positive, won)).alias("positive_ev_hit_rate"), F.avg(F.when(positive, F.col("best_ev"))).alias("positive_ev_mean_ev"),
     ).where((F.col("n") >= least) | F.col("level").isin(7, 3))

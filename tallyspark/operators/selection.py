@@ -76,9 +76,10 @@ def gate_sweep(rows: DataFrame, edges: Sequence[float], confidences: Sequence[fl
     sets = [["ei", "ci"], ["ei", "ci", "vendor"], ["ei", "ci", "line_value"], ["ei", "ci", "vendor", "line_value"]]
     out = grid.groupingSets(sets, "ei", "ci", "vendor", "line_value").agg(F.sum("n").alias("n"), *(F.sum(n).alias(n) for n in sums))
     mean = lambda n: F.col(n) / F.col("n")
-    return out.where(F.col("n") >= least).select(
+    total = rows.agg(F.count(F.lit(1)).alias("total"))  # one row
+    return out.where(F.col("n") >= least).crossJoin(F.broadcast(total)).select(
         at("ei", edges).alias("min_ev"), at("ci", confidences).alias("min_conf"), F.coalesce("vendor", F.lit("ALL")).alias("vendor"),
-        F.coalesce(F.col("line_value").cast("string"), F.lit("ALL")).alias("line"), "n", mean("hits").alias("hit_rate"), mean("ev").alias("mean_ev"),
+        F.coalesce(F.col("line_value").cast("string"), F.lit("ALL")).alias("line"), "n", (F.col("n") / F.col("total")).alias("coverage"), mean("hits").alias("hit_rate"), mean("ev").alias("mean_ev"),
         mean("log_loss_gain").alias("log_loss_gain"), mean("brier_gain").alias("brier_gain"), mean("model").alias("mean_model"),
         mean("market").alias("mean_market"), mean("confidence").alias("mean_conf"),
     )

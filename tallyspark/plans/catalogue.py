@@ -330,7 +330,9 @@ def snapshot_union(spark, d):
 
 
 @register("segment_summary", f"""{EVALUATED} SELECT prop_type, vendor, line_value, grouping_id(prop_type, vendor, line_value) AS level, count(*) AS n, round(avg({_ll('model_over_prob', 'over_hit')}), 6) AS model_log_loss,
- round(avg({_ll('market_over_prob', 'over_hit')}), 6) AS market_log_loss, round(avg(best_ev), 6) AS mean_best_ev, round(avg(CASE WHEN best_ev > 0 THEN 1 ELSE 0 END), 6) AS share_positive_ev
+ round(avg({_ll('market_over_prob', 'over_hit')}), 6) AS market_log_loss, round(avg(best_ev), 6) AS mean_best_ev, round(avg(CASE WHEN best_ev > 0 THEN 1 ELSE 0 END), 6) AS share_positive_ev,
+ round(avg(abs(market_over_prob - 0.5)), 6) AS mean_market_distance, round(avg(CASE WHEN best_ev > 0.01 THEN 1 ELSE 0 END), 6) AS share_ev_over_1pct, round(avg(CASE WHEN best_ev > 0.02 THEN 1 ELSE 0 END), 6) AS share_ev_over_2pct,
+ count(*) FILTER (best_ev > 0) AS n_positive_ev, round(avg(CASE WHEN best_side = 'over' THEN over_hit ELSE under_hit END) FILTER (best_ev > 0), 6) AS positive_ev_hit_rate, round(avg(best_ev) FILTER (best_ev > 0), 6) AS positive_ev_mean_ev
  FROM cand GROUP BY GROUPING SETS ((), (prop_type), (vendor), (line_value)) HAVING count(*) >= 10 OR grouping_id(prop_type, vendor, line_value) IN (7, 3)""")
 def segment_summary(spark, d):
     return r6(S.segment_summary(evaluated(spark, d)))
@@ -346,7 +348,7 @@ def _values(xs) -> str:
 
 @register("gate_sweep_cube", f"""{EVALUATED}, r AS (SELECT *, CASE WHEN best_side = 'over' THEN over_hit ELSE under_hit END AS hit, CASE WHEN best_side = 'over' THEN model_over_prob ELSE 1 - model_over_prob END AS mp FROM cand)
  SELECT e AS min_ev, c AS min_conf, CASE WHEN grouping(vendor) = 1 THEN 'ALL' ELSE vendor END AS vendor, CASE WHEN grouping(line_value) = 1 THEN 'ALL' ELSE CAST(line_value AS VARCHAR) END AS line,
- count(*) AS n, round(avg(hit), 6) AS hit_rate, round(avg(best_ev), 6) AS mean_ev,
+ count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM r), 6) AS coverage, round(avg(hit), 6) AS hit_rate, round(avg(best_ev), 6) AS mean_ev,
  round(avg({_ll('market_prob', 'hit')} - {_ll('mp', 'hit')}), 6) + 0.0 AS log_loss_gain, round(avg(power({_CLIP.format('market_prob')} - hit, 2) - power({_CLIP.format('mp')} - hit, 2)), 6) + 0.0 AS brier_gain,
  round(avg(market_prob), 6) AS mean_market, CAST(round(sum(mp) * 100) AS BIGINT) AS model_cents, CAST(round(sum(conf_dist) * 100) AS BIGINT) AS conf_cents
  FROM r, {_values(EDGES)} es(e), {_values(CONFIDENCES)} cs(c) WHERE best_ev >= e AND conf_dist >= c GROUP BY e, c, CUBE (vendor, line_value) HAVING count(*) >= 20""")
