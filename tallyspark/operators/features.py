@@ -144,7 +144,8 @@ def outer_merge(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
 
 
 def pitch_summary(pitches: Column) -> dict[str, Column]:
-    """Aggregates of an array of pitch structs: means skip nulls, last_* is the last element's, shares are over all."""
+    """Aggregates of an array of pitch structs: means skip nulls, last_* is the last element's, shares of types are over
+    the pitches that have one."""
     n = F.size(pitches)
     def avg(field: str) -> Column:
         known = F.filter(pitches, lambda p: p[field].isNotNull())
@@ -153,16 +154,77 @@ def pitch_summary(pitches: Column) -> dict[str, Column]:
     def share(test) -> Column:
         return F.when(n > 0, F.size(F.filter(pitches, test)) / n)
 
+    named = F.filter(pitches, lambda p: p["pitch_type_code"] != "")
+
+    def type_share(codes: Sequence[str]) -> Column:
+        return F.when(F.size(named) > 0, F.size(F.filter(named, lambda p: p["pitch_type_code"].isin(*codes))) / F.size(named))
+
     #: Fixed code sets.
     fast, breaking, off = ("FF", "SI", "FC"), ("SL", "CU", "KC", "SV"), ("CH", "FS", "FO", "SC")
     return {
         "pitch_count_pa": n,
         **{f"avg_{c}": avg(c) for c in ("release_speed", "spin_rate", "release_extension", "plate_x", "plate_z")},
-        "fastball_share_pa": share(lambda p: p["pitch_type_code"].isin(*fast)),
-        "breaking_share_pa": share(lambda p: p["pitch_type_code"].isin(*breaking)),
-        "offspeed_share_pa": share(lambda p: p["pitch_type_code"].isin(*off)),
+        "fastball_share_pa": type_share(fast),
+        "breaking_share_pa": type_share(breaking),
+        "offspeed_share_pa": type_share(off),
         "zone_rate_pa": share(lambda p: p["strike_zone"].between(1, 9)),
         "strikes_seen_pa": F.size(F.filter(pitches, lambda p: p["pitch_call"].isin("S", "X"))),
         "last_release_speed": F.try_element_at(pitches, F.lit(-1))["release_speed"],
         "last_pitch_type_code": F.try_element_at(pitches, F.lit(-1))["pitch_type_code"],
     }
+
+
+#: Fixed names: means of movement, and fields of the last pitch under the names they get.
+MOVEMENTS = ("induced_vertical_break", "horizontal_movement")
+LAST_FIELDS = {
+    "last_pitch_number": "pitch_number", "last_balls": "balls", "last_strikes": "strikes", "last_spin_rate": "spin_rate", "last_release_extension": "release_extension",
+    "last_plate_x": "plate_x", "last_plate_z": "plate_z", "last_strike_zone": "strike_zone", "last_hmov": "horizontal_movement", "last_vmov": "vertical_movement",
+    "last_ivb": "induced_vertical_break", "last_exit_velocity": "exit_velocity", "last_launch_angle": "launch_angle", "last_xba_contact": "expected_batting_average",
+    "game_pitch_count": "game_pitch_count", "pitcher_pitch_count": "pitcher_pitch_count",
+}
+
+
+def pitch_features(df: DataFrame, pitches: str = "pitches") -> DataFrame:
+    """pitch_summary(), the mean movements and the rest of the last pitch, in place of the array column.
+
+    A field that the array's struct lacks is null; a null array is an empty one; a last pitch that is not known to be a
+    barrel is none.
+    """
+    element = df.schema[pitches].dataType.elementType
+    doubles = ("release_speed", "spin_rate", "release_extension", "plate_x", "plate_z", *MOVEMENTS)
+    kinds = {**dict.fromkeys(LAST_FIELDS.values(), "double"), **dict.fromkeys(doubles, "double"), "pitch_type_code": "string", "strike_zone": "int", "pitch_call": "string", "is_barrel": "boolean"}
+
+    def whole(p: Column) -> Column:
+        return F.struct(*((p[f].cast(k) if f in element.fieldNames() else F.lit(None).cast(k)).alias(f) for f, k in kinds.items()))
+
+    at = F.transform(F.coalesce(F.col(pitches), F.array().cast(df.schema[pitches].dataType)), whole)
+    out = df.withColumn(pitches, at)
+    a, last = F.col(pitches), F.try_element_at(F.col(pitches), F.lit(-1))
+
+    def mean(field: str) -> Column:
+        known = F.filter(a, lambda p: p[field].isNotNull())
+        return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda total, p: total + p[field]) / F.size(known))
+
+    return out.withColumns({
+        **pitch_summary(a), **{f"avg_{m}": mean(m) for m in MOVEMENTS}, **{name: last[f] for name, f in LAST_FIELDS.items()},
+        "last_is_barrel": F.coalesce(last["is_barrel"].cast("int"), F.lit(0)),
+    }).drop(pitches)
+
+
+def merge_priors(frame: DataFrame, player_map: DataFrame, priors: dict[str, DataFrame], season: str | None = "season") -> DataFrame:
+    """Joins external values of the season before to each entity: `priors` maps an entity ("pitcher") to a table of
+    (mlbam_id, season, ext_<entity>_*), `player_map` has (player_id, mlbam_id).
+
+    Of several external ids of one player the smallest counts. Without a season the values join by id alone. No row of the
+    frame is lost or doubled.
+    """
+    ids = player_map.dropna(subset=["player_id", "mlbam_id"]).groupBy("player_id").agg(F.min("mlbam_id").alias("mlbam_id"))
+    for entity, prior in priors.items():
+        own = f"{entity}_mlbam_id"
+        frame = frame.join(ids.select(F.col("player_id").alias(f"{entity}_id"), F.col("mlbam_id").alias(own)), f"{entity}_id", "left")
+        values = [c for c in prior.columns if c.startswith(f"ext_{entity}_")]
+        if season and season in prior.columns and season in frame.columns:
+            frame = prior_season(frame, prior.select(F.col("mlbam_id").alias(own), season, *values), [own], season)
+        else:
+            frame = frame.join(prior.select(F.col("mlbam_id").alias(own), *values).dropDuplicates([own]), own, "left")
+    return frame

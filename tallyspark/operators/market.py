@@ -32,7 +32,10 @@ def latest_quotes(quotes: DataFrame, keys: Sequence[str] = CELL, ties: Sequence[
 
 
 def pregame(quotes: DataFrame) -> DataFrame:
-    return quotes.where("snapshot_ts < commence_time")
+    """Quotes from before the start. Without both times those that are not flagged as live; without the flag all of them."""
+    if {"snapshot_ts", "commence_time"} <= set(quotes.columns):
+        return quotes.where("snapshot_ts < commence_time")
+    return quotes.where("is_live_snapshot = 0") if "is_live_snapshot" in quotes.columns else quotes
 
 
 def evaluation_quotes(quotes: DataFrame, prop_type: str | None = "primary") -> DataFrame:
@@ -89,6 +92,36 @@ def sides(quotes: DataFrame) -> DataFrame:
     return long.withColumns({"edge": F.col("prob") - F.coalesce("market", F.lit(0.0)), "ev": O.expected_value(F.col("prob"), F.col("odds")), "stake_kelly": O.kelly(F.col("prob"), F.col("odds"))})
 
 
+#: The uncertainty that any candidate has, and the gap that counts where a line has no market price.
+BASE_UNCERTAINTY, UNPRICED_GAP = 0.01, 0.02
+LINE = ("game_id", "player_id", "line_value")
+
+
+def board_candidates(quotes: DataFrame, live: bool = False) -> DataFrame:
+    """One row for each side that is offered: bet_side, odds, prob, market_prob, edge, ev, uncertainty, vendor_count, abs_gap, is_live.
+
+    The market price is the mean over the vendors of a line that offer both sides; where there is none, market_prob is
+    null, the edge is the whole probability and the gap 0. A candidate is as uncertain as its player's lines differ between
+    vendors in the mean, and its own line, and as its price is off the market's. Vendors count even if one-sided. Quotes
+    without a line are left out.
+    """
+    fair = quotes.where(F.col("line_value").isNotNull()).withColumn("_fair", O.no_vig(F.col("over_odds"), F.col("under_odds")))
+    lines = fair.groupBy(*LINE).agg(F.avg("_fair").alias("_market"), F.coalesce(F.stddev_samp("_fair"), F.lit(0.0)).alias("_std"), F.countDistinct("vendor").alias("vendor_count"))
+    # A window over the lines of one player in one game, a few rows after the aggregation.
+    lines = lines.withColumn("_base", F.lit(BASE_UNCERTAINTY) + F.avg("_std").over(Window.partitionBy("game_id", "player_id")))
+    p, m = F.col("model_over_prob"), F.col("_market")
+    rows = F.array(
+        F.struct(F.lit("over").alias("bet_side"), F.col("over_odds").alias("odds"), p.alias("prob"), m.alias("market_prob")),
+        F.struct(F.lit("under").alias("bet_side"), F.col("under_odds").alias("odds"), (1 - p).alias("prob"), (1 - m).alias("market_prob")),
+    )
+    long = fair.join(lines, list(LINE)).withColumn("_s", F.explode(rows)).select("*", "_s.*").where(F.col("odds").isNotNull())
+    gap = F.abs(F.col("prob") - F.col("market_prob"))
+    return long.withColumns({
+        "edge": F.col("prob") - F.coalesce("market_prob", F.lit(0.0)), "ev": O.expected_value(F.col("prob"), F.col("odds")),
+        "uncertainty": F.col("_base") + F.col("_std") + F.coalesce(gap, F.lit(UNPRICED_GAP)), "abs_gap": F.coalesce(gap, F.lit(0.0)), "is_live": F.lit(int(live)),
+    }).drop("_fair", "_market", "_std", "_base", "_s")
+
+
 def entropy_pool(df: DataFrame, tolerance: float = 1e-7, rounds: int = 100) -> DataFrame:
     """Rescales `pmf` (array) until its mass over each line meets the target of `targets` (array of struct line, over).
 

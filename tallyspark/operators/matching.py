@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import registry_name
+from ..functions.text import quote_name, registry_name
 
 
 def match_names(left: DataFrame, registry: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
@@ -31,6 +31,13 @@ def match_names(left: DataFrame, registry: DataFrame, overrides: DataFrame | Non
     return out.select(*left.columns, ref.alias("ref_id"), method.alias("method"))
 
 
+def match_players(left: DataFrame, players: DataFrame, name: str = "player_name") -> DataFrame:
+    """Adds player_id to `left`: the smallest id of `players` (id, full_name) whose name is the same without case, accents
+    and punctuation. Null and empty names match nothing."""
+    first = players.select("id", quote_name(F.col("full_name")).alias("_known")).where("_known <> ''").groupBy("_known").agg(F.min("id").alias("player_id"))
+    return left.withColumn("_asked", quote_name(F.col(name))).join(first, F.col("_asked") == F.col("_known"), "left").select(*left.columns, "player_id")
+
+
 def match_games(quotes: DataFrame, games: DataFrame) -> DataFrame:
     """Adds game_id to `quotes` (.., day, team): the smallest game of `games` (game_id, day, teams) whose teams include it.
 

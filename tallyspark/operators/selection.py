@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -161,16 +161,18 @@ def time_split(df: DataFrame, day: str, share: float = 0.8) -> DataFrame:
     return df.crossJoin(F.broadcast(last)).withColumn("is_train", F.col(day) <= F.col("cutoff_day")).drop("cutoff_day")
 
 
-def group_holdout(df: DataFrame, keys: Sequence[str], ts: str, share: float = 0.3) -> DataFrame:
+def group_holdout(df: DataFrame, keys: Sequence[str], ts: str, share: float = 0.3, held_of: Callable[[int], int] | None = None) -> DataFrame:
     """Adds is_eval: whole groups, the last `share` of them by their latest time (then by key).
 
+    `held_of` gives the number of groups to hold out from the number of groups, in place of `share`.
+
     The boundary time comes from counts of distinct times in ranges; only groups with that very time are ranked by key.
     """
     kind = df.schema[ts].dataType
     number = F.unix_micros(F.col(ts).cast("timestamp")) if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)) else F.col(ts)
     groups = df.groupBy(*keys).agg(F.coalesce(F.max(number.cast("double")), F.lit(float("-inf"))).alias("p"))
     total = groups.count()
-    kept = total - int(total * share)
+    kept = total - (held_of(total) if held_of else int(total * share))
     places = running_by_score(groups.select("p", F.lit(0).alias("y")), descending=False)
     edge = places.where((F.col("n_before") <= kept) & (F.col("n_before") + F.col("n") > kept)).first()
     if edge is None:
@@ -181,6 +183,23 @@ def group_holdout(df: DataFrame, keys: Sequence[str], ts: str, share: float = 0.
     return df.join(held, list(keys), "left")
 
 
+#: The groups that a holdout needs, and the least of them that it holds out.
+LEAST_GROUPS, LEAST_HELD = 20, 10
+
+
+def guarded_held(groups: int, share: float = 0.3) -> int:
+    """The groups to hold out of so many: the share, rounded, but LEAST_HELD at least; too few groups are an error."""
+    if groups < LEAST_GROUPS:
+        raise ValueError(f"a holdout needs {LEAST_GROUPS} groups, there are {groups}")
+    held = max(LEAST_HELD, round(groups * share))
+    return held if held < groups else max(1, groups - 1)
+
+
+def guarded_holdout(df: DataFrame, keys: Sequence[str], ts: str, share: float = 0.3) -> DataFrame:
+    """group_holdout() of guarded_held() groups. A group is on one side only, as its rows get its flag by a join."""
+    return group_holdout(df, keys, ts, held_of=lambda groups: guarded_held(groups, share))
+
+
 def exact_sample(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> DataFrame:
     """Exactly n rows in the order of a seeded hash of their keys."""
     return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
