@@ -122,6 +122,37 @@ def board_candidates(quotes: DataFrame, live: bool = False) -> DataFrame:
     }).drop("_fair", "_market", "_std", "_base", "_s")
 
 
+def _pooled(pmfs: list, targets: list, tolerance: float, rounds: int) -> list[list[float]]:
+    """All rows at once: cells and lines are padded, and a row that has settled takes no further part."""
+    lines = [sorted((t["line"], t["over"]) for t in ([] if ts is None else ts) if t["over"] is not None and t["line"] is not None) for ts in targets]
+    cells = np.array([len(p) for p in pmfs], int)
+    q = np.zeros((len(pmfs), cells.max(initial=0)))
+    goals = np.full((len(pmfs), max(map(len, lines), default=0), 2), np.nan)
+    for i, (p, own) in enumerate(zip(pmfs, lines, strict=True)):
+        q[i, : cells[i]] = p
+        if own:
+            goals[i, : len(own)] = own
+    places = np.arange(q.shape[1])
+    rest = np.arange(len(pmfs))
+    for _ in range(rounds):
+        if not rest.size:
+            break
+        now, real = q[rest], places < cells[rest, None]
+        before = now.copy()
+        for line, over in np.moveaxis(goals[rest], 0, 2):
+            asked = ~np.isnan(line)
+            above = (places > line[:, None]) & real
+            for part, goal in ((above, over), (real & ~above, 1 - over)):
+                mass = np.where(part, now, 0.0).sum(axis=1)
+                scale = np.divide(goal, mass, out=np.ones_like(mass), where=asked & (mass > 0))
+                now = np.where(part, now * scale[:, None], now)
+            floor = np.where(real, np.maximum(now, 1e-12), 0.0)
+            now = np.where(asked[:, None], floor / np.maximum(floor.sum(axis=1, keepdims=True), 1e-300), now)
+        q[rest] = now
+        rest = rest[np.abs(now - before).max(axis=1, initial=0) >= tolerance]
+    return [row[:n].tolist() for row, n in zip(q, cells, strict=True)]
+
+
 def entropy_pool(df: DataFrame, tolerance: float = 1e-7, rounds: int = 100) -> DataFrame:
     """Rescales `pmf` (array) until its mass over each line meets the target of `targets` (array of struct line, over).
 
@@ -131,23 +162,6 @@ def entropy_pool(df: DataFrame, tolerance: float = 1e-7, rounds: int = 100) -> D
 
     def pool(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for pmf, targets in zip(pdf["pmf"], pdf["targets"], strict=True):
-                q = np.array(pmf, float)
-                lines = sorted((t["line"], t["over"]) for t in ([] if targets is None else targets) if t["over"] is not None and t["line"] is not None)
-                for _ in range(rounds):
-                    before = q.copy()
-                    for line, over in lines:
-                        above = np.arange(q.size) > line
-                        for part, goal in ((above, over), (~above, 1 - over)):
-                            mass = q[part].sum()
-                            if mass > 0:
-                                q[part] *= goal / mass
-                        q = np.maximum(q, 1e-12)
-                        q /= q.sum()
-                    if np.abs(q - before).max(initial=0) < tolerance:
-                        break
-                out.append(q.tolist())
-            yield pdf.assign(pooled=out)
+            yield pdf.assign(pooled=_pooled(list(pdf["pmf"]), list(pdf["targets"]), tolerance, rounds))
 
     return df.mapInPandas(pool, schema)

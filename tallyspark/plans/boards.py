@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import odds as O
 from ..functions import pmf as PMF
 from ..operators import calibration as CAL
+from ..operators import diagnostics as D
 from ..operators import features as X
 from ..operators import frames as FR
 from ..operators import market as M
+from ..operators import pooling as PO
 from ..operators import selection as C
 from ..operators.lineage import settled
 from . import board as B
@@ -43,17 +45,25 @@ def resolved(quotes: DataFrame, states: DataFrame) -> DataFrame:
     return found.where(F.col("pmf").isNotNull()).select(*ENTRY, "pmf")
 
 
-def priced_board(quotes: DataFrame, entries: DataFrame, threshold: CAL.Isotonic | None = None) -> Board:
+def with_over(rows: DataFrame, out: str, threshold: CAL.Isotonic | DataFrame | None = None) -> DataFrame:
+    """Adds `out`, the calibrated chance of over, to rows with a pmf and a line_value.
+
+    `threshold` is a small calibrator, which goes into the plan, or a fitted curve as a table of one group `_curve`, which
+    the rows meet in a join.
+    """
+    raw = O.clip_probability(PMF.over(F.col("pmf"), F.col("line_value")))
+    if isinstance(threshold, DataFrame):
+        return PO.apply_curves(rows.withColumns({"_raw": raw, "_curve": F.lit(0)}), threshold, ["_curve"], "_raw", out).drop("_raw", "_curve")
+    return rows.withColumn(out, raw if threshold is None else threshold.apply(raw))
+
+
+def priced_board(quotes: DataFrame, entries: DataFrame, threshold: CAL.Isotonic | DataFrame | None = None) -> Board:
     """The tables of a board from open quotes and entries (game_id, player_name, pmf).
 
     `threshold` is the calibrator of over prices. An entry without quotes has a summary and its exact counts only; quotes
     without an entry are left out.
     """
-    p_over = O.clip_probability(PMF.over(F.col("pmf"), F.col("line_value")))
-    if threshold is not None:
-        p_over = threshold.apply(p_over)
-
-    priced = M.candidates(quotes.drop("model_over_prob").join(entries, list(ENTRY)).withColumn("model_over_prob", p_over).drop("pmf"))
+    priced = M.candidates(with_over(quotes.drop("model_over_prob").join(entries, list(ENTRY)), "model_over_prob", threshold).drop("pmf"))
     passes = C.strict_gate()
     bets = priced.withColumns({"passes_strict_ev_gate": passes, "action_tier": F.when(passes, "BET").otherwise("PASS")})
 
@@ -63,13 +73,14 @@ def priced_board(quotes: DataFrame, entries: DataFrame, threshold: CAL.Isotonic
     summary = main.join(entries.withColumns(moments), list(ENTRY), "right").withColumn("market_mean_shift", F.col("market_mean") - F.col("k_mean")).drop("pmf")
     summary = summary.fillna(0, ["top_quote_count", "vendor_count"])
 
-    grid = quotes.select(*ENTRY, "line_value").distinct().join(entries, list(ENTRY)).withColumn("p_over", p_over).drop("pmf")
+    grid = quotes.select(*ENTRY, "line_value").distinct().join(entries, list(ENTRY))
+    grid = with_over(grid, "p_over", threshold).drop("pmf")
     lines = grid.withColumns({"p_under": 1 - F.col("p_over"), "p_push": F.lit(0.0), "fair_over": O.fair_odds(F.col("p_over")), "fair_under": O.fair_odds(1 - F.col("p_over"))})
     exact = entries.select(*ENTRY, F.posexplode("pmf").alias("strikeouts", "probability")).withColumn("fair", O.fair_odds(F.col("probability")))
     return Board(summary, bets, lines, exact)
 
 
-def universe_board(quotes: DataFrame, states: DataFrame, tilt: tuple[float, float] | None = None, threshold: CAL.Isotonic | None = None) -> Board:
+def universe_board(quotes: DataFrame, states: DataFrame, tilt: tuple[float, float] | None = None, threshold: CAL.Isotonic | DataFrame | None = None) -> Board:
     """The tables of a board from open quotes (open_quotes) and states (player_id, player_name, pmf).
 
     `tilt` is the fitted (tau, lambda) of the distributions, `threshold` the calibrator of over prices. Distributions are
@@ -84,17 +95,41 @@ def with_names(df: DataFrame, player: str) -> DataFrame:
     return df.withColumn("player_name", F.concat(F.lit("p"), F.col(player).cast("string")))
 
 
+#: The year from which quotes are open. Where curves are fitted, quotes are open from a later one and the history is before.
+OPEN_FROM, FITTED_FROM = 1994, 2000
 TILT = (1.1, 0.02)
 THRESHOLD = CAL.Isotonic([0.1, 0.5, 0.9], [0.15, 0.48, 0.85])
 
 
-def _universe(spark, d) -> Board:
-    quotes = with_names(quote_view(spark, d), "player_id").withColumn("player_id", F.when(F.col("player_id") % 4 != 0, F.col("player_id")))
+def fit_board_curves(rows: DataFrame) -> tuple[tuple[float, float], DataFrame | None]:
+    """(tilt, threshold) for a board, from labelled rows (game_id, player_id, snapshot_ts, line_value, over_hit, pmf).
+
+    The tilt is chosen on the earlier groups and is none unless it helps the later ones. The curve of over prices is
+    fitted on the earlier groups' tilted prices, so the later groups stay unseen by it. A history of fewer than
+    LEAST_GROUPS groups gives neither: no tilt and no curve.
+    """
+    rows = settled(rows)
+    if rows.select("game_id", "player_id").distinct().count() < C.LEAST_GROUPS:
+        return (1.0, 0.0), None
+    split = settled(C.guarded_holdout(rows, ["game_id", "player_id"], "snapshot_ts"))
+    early, late = split.where("not is_eval"), split.where("is_eval")
+    found = D.fit_tilt(early, late)
+    tilt = (found["tau"], found["lam"]) if found["accepted"] else (1.0, 0.0)
+    tilted = early.withColumn("pmf", PMF.tilt(F.col("pmf"), F.lit(tilt[0]), F.lit(tilt[1])))
+    return tilt, settled(PO.fit_curves(with_over(tilted, "p").select("p", F.col("over_hit").alias("y"), F.lit(0).alias("_curve")), ["_curve"]))
+
+
+def _universe(spark, d, fitted: bool = False) -> Board:
     events = pa_view(spark, d)
     last = table(spark, d, "events").agg(F.max(F.to_date("ts"))).first()[0]
     before = FR.as_of(events.withColumn("day", F.to_date("ts")), "day", F.lit(last)).drop("day")
     states = with_names(B.distributions(B.states(before)), "player_id").select("player_id", "player_name", "pmf")
-    return universe_board(open_quotes(quotes, F.year("commence_time") >= 1994, "primary"), states, TILT, THRESHOLD)
+    tilt, threshold, start = TILT, THRESHOLD, FITTED_FROM if fitted else OPEN_FROM
+    if fitted:
+        past = M.labels(M.evaluation_quotes(quote_view(spark, d)).where(F.year("commence_time") < start))
+        tilt, threshold = fit_board_curves(past.join(states.select("player_id", "pmf"), "player_id"))
+    quotes = with_names(quote_view(spark, d), "player_id").withColumn("player_id", F.when(F.col("player_id") % 4 != 0, F.col("player_id")))
+    return universe_board(open_quotes(quotes, F.year("commence_time") >= start, "primary"), states, tilt, threshold)
 
 
 def _states_sql(before: str) -> str:
@@ -186,6 +221,12 @@ def universe_exact(spark, d):
     return r6(_universe(spark, d).exact.withColumn("fair", F.round("fair", 2)))
 
 
+@register("fitted_universe_bets")
+def fitted_universe_bets(spark, d):
+    """The bets by a tilt and a curve that are fitted on quotes of earlier years; a test holds them against numpy."""
+    return r6(_universe(spark, d, fitted=True).bets.select(*BET_COLUMNS))
+
+
 _INTEGER_FAIR = "(CASE WHEN {0} >= 0.5 THEN round_even(-100 * {0} / (1 - {0}), 0) ELSE round_even(100 * (1 - {0}) / {0}, 0) END)::BIGINT"
 _BOUNDED = "least(greatest({0}, 1e-9::DOUBLE), 1 - 1e-9::DOUBLE)"
 

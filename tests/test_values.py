@@ -72,3 +72,88 @@ def test_board_stakes(spark):
     got = P.board_stakes(spark, DIR).toPandas().merge(pdf.assign(want=dense(pdf, C.BOARD_CAP)), on=keys)
     assert len(got) == len(pdf) and got["weight"].to_numpy() == pytest.approx(got["want"].to_numpy(), abs=2e-6)
     assert got["weight"].sum() == pytest.approx(C.BOARD_CAP, abs=1e-4) or got["weight"].sum() < C.BOARD_CAP
+
+
+def rising(p, y):
+    """(scores, values) of the least-squares rising curve, by pooling neighbours one at a time."""
+    blocks = []
+    for score in np.unique(p):
+        blocks.append([y[p == score].sum(), (p == score).sum(), 1])
+        while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
+            last = blocks.pop()
+            blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
+    return np.unique(p), np.concatenate([[s / n] * k for s, n, k in blocks])
+
+
+def test_fitted_universe_bets(spark):
+    """The board's prices by a tilt and a curve found anew, on quotes of earlier years."""
+    from tallyspark.operators import frames as FR
+    from tallyspark.plans import board as B
+    from tallyspark.plans import boards as BO
+    from tallyspark.plans.views import pa_view, table
+
+    d = DIR.replace("sf0.001", "sf0.01")  # the smaller one has 15 groups, too few for a holdout
+    last = table(spark, d, "events").agg(F.max(F.to_date("ts"))).first()[0]
+    before = FR.as_of(pa_view(spark, d).withColumn("day", F.to_date("ts")), "day", F.lit(last)).drop("day")
+    states = {r.player_id: np.array(r.pmf) for r in B.distributions(B.states(before)).collect()}
+    past = M.labels(M.evaluation_quotes(quote_view(spark, d)).where("year(commence_time) < 2000")).where(F.col("player_id").isin(list(states)))
+    rows = past.select("game_id", "player_id", "snapshot_ts", "line_value", "over_hit").toPandas()
+    groups = rows.groupby(["game_id", "player_id"])["snapshot_ts"].max().reset_index().sort_values(["snapshot_ts", "game_id", "player_id"])
+    held = set(map(tuple, groups[["game_id", "player_id"]].to_numpy()[len(groups) - C.guarded_held(len(groups)) :]))
+    is_eval = np.array([(g, k) in held for g, k in zip(rows["game_id"], rows["player_id"], strict=True)])
+    a = np.log(np.maximum(np.array([states[k] for k in rows["player_id"]]), 1e-12))
+    line, y, cells = rows["line_value"].to_numpy(), rows["over_hit"].to_numpy(), np.arange(a.shape[1])
+
+    def over(logs, lines, tau, lam):
+        z = np.exp(logs / tau + lam * cells)
+        return np.clip((z * (cells > lines[:, None])).sum(1) / z.sum(1), 1e-6, 1 - 1e-6)
+
+    def scores(tau, lam, of):
+        q = over(a[of], line[of], tau, lam)
+        return -np.mean(y[of] * np.log(q) + (1 - y[of]) * np.log(1 - q)), np.mean((q - y[of]) ** 2)
+
+    found = {(t, lam): scores(t, lam, ~is_eval) for t in D.TAUS for lam in D.LAMBDAS}
+    tilt = min(found, key=lambda c: (*found[c], *c))
+    base, new = scores(1.0, 0.0, is_eval), scores(*tilt, is_eval)
+    if not (base[0] - new[0] > 1e-4 and base[1] - new[1] > 1e-4):
+        tilt = (1.0, 0.0)
+    knots, values = rising(over(a[~is_eval], line[~is_eval], *tilt), y[~is_eval])
+    bets = BO.fitted_universe_bets(spark, d).toPandas()
+    logs = np.log(np.maximum(np.array([states[int(n[1:])] for n in bets["player_name"]]), 1e-12))
+    want = np.clip(np.interp(over(logs, bets["line_value"].to_numpy(), *tilt), knots, values), 1e-6, 1 - 1e-6)
+    assert len(bets) and bets["model_over_prob"].to_numpy() == pytest.approx(want, abs=2e-6)
+
+
+def test_entropy_pool(spark):
+    """Padded rows against one row at a time."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(40):
+        p = rng.dirichlet(np.ones(int(rng.integers(3, 13)))).tolist()
+        lines = sorted(rng.choice(np.arange(0.5, 11, 0.5), int(rng.integers(0, 4)), replace=False).tolist())
+        rows.append((i, p, None if i == 7 else [(x, None if rng.random() < 0.1 else float(rng.uniform(0.1, 0.9))) for x in lines]))
+    df = spark.createDataFrame(rows, "id int, pmf array<double>, targets array<struct<line: double, over: double>>").coalesce(2)
+    got = {r.id: r.pooled for r in M.entropy_pool(df).collect()}
+    for i, p, lines in rows:
+        q = np.array(p)
+        asked = sorted((x, o) for x, o in (lines or []) if o is not None)
+        for _ in range(100):
+            before = q.copy()
+            for x, o in asked:
+                above = np.arange(q.size) > x
+                for part, goal in ((above, o), (~above, 1 - o)):
+                    if q[part].sum() > 0:
+                        q[part] *= goal / q[part].sum()
+                q = np.maximum(q, 1e-12)
+                q /= q.sum()
+            if np.abs(q - before).max() < 1e-7:
+                break
+        assert got[i] == pytest.approx(q.tolist(), abs=1e-9)
+
+
+def test_a_short_history_fits_nothing(spark):
+    from tallyspark.plans import boards as BO
+
+    rows = spark.range(60).select((F.col("id") % 3).alias("game_id"), F.lit(1).alias("player_id"), F.col("id").alias("snapshot_ts"), F.lit(1.5).alias("line_value"), (F.col("id") % 2).alias("over_hit"), F.array(F.lit(0.2), F.lit(0.3), F.lit(0.5)).alias("pmf"))
+    assert BO.fit_board_curves(rows) == ((1.0, 0.0), None)
+    assert BO.fit_board_curves(rows.where("id < 0")) == ((1.0, 0.0), None)
