@@ -7,7 +7,8 @@ fitted. Nothing is fitted on evaluate; the report scores each stage there.
 
 A session's distribution comes from its first row: its features are advanced to each step of the horizon by rule (events
 so far, expected pitches, times through), scored by both classifiers, and folded as arrays. No step draws or feeds back
-a simulated outcome.
+a simulated outcome. With batter features, each step takes those of the batter whose turn it is in the session's line-up.
+With a state stride, the hazard also learns from rows in the middle of sessions, so that running ones can be priced.
 
 A saved model is a folder of versions with a pointer to the last whole one. The pointer is replaced by one atomic
 rename, after everything else is written, so a save that is cut off leaves the version before it readable.
@@ -41,6 +42,8 @@ STAGES = ("raw", "isotonic", "count_curves", "temperature")
 ROWS_A_TASK = 50_000
 #: Pitches of an event where a session has none so far.
 USUAL_PITCHES = 4.0
+#: Batters of a line-up.
+PLACES = 9
 
 
 class _Settings(Params):
@@ -55,34 +58,70 @@ class _Settings(Params):
     size = Param(Params._dummy(), "size", "cells of a distribution", TypeConverters.toInt)
     leastDays = Param(Params._dummy(), "leastDays", "days that a fit needs", TypeConverters.toInt)
     heldDays = Param(Params._dummy(), "heldDays", "days of calibrate and of evaluate at least", TypeConverters.toInt)
+    batterFeatures = Param(Params._dummy(), "batterFeatures", "those of the features that belong to the batter", TypeConverters.toListString)
+    stateStride = Param(Params._dummy(), "stateStride", "every so many events a session's state is a start for the hazard; 0: its first row only", TypeConverters.toInt)
 
     def _given(self, **values) -> None:
-        self._setDefault(features=[], keys=["game_id", "pitcher_id"], rounds=350, stopRounds=300, depth=4, horizon=36, size=21, leastDays=30, heldDays=7)
+        self._setDefault(features=[], keys=["game_id", "pitcher_id"], rounds=350, stopRounds=300, depth=4, horizon=36, size=21, leastDays=30, heldDays=7, batterFeatures=[], stateStride=0)
         self._set(**{k: v for k, v in values.items() if v is not None})
 
     def of(self, name: str):
         return self.getOrDefault(name)
 
 
-def session_starts(events: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """The first row of each session with its length and its count of successes; `day` is the day of its first event."""
-    known = [c for c in dict.fromkeys([*features, "bf_so_far", "pitch_count_pa_so_far", "pitches_per_bf"]) if c not in keys]
+def line_ups(events: DataFrame, keys: Sequence[str], batters: Sequence[str]) -> DataFrame:
+    """(keys, lineup): the first PLACES batters of each session with their features when they first appear."""
+    met = events.where(F.col("batter_id").isNotNull()).groupBy(*keys, "batter_id")
+    firsts = met.agg(F.min("bf_so_far").alias("place"), F.min_by(F.struct(*batters), F.struct("bf_so_far", "event_id")).alias("batter"))
+    ordered = F.array_sort(F.collect_list(F.struct("place", "batter_id", "batter")))
+    return firsts.groupBy(*keys).agg(F.slice(F.transform(ordered, lambda x: x["batter"]), 1, PLACES).alias("lineup"))
+
+
+def session_starts(events: DataFrame, keys: Sequence[str], features: Sequence[str], batters: Sequence[str] = ()) -> DataFrame:
+    """The first row of each session with its length and its count of successes; `day` is the day of its first event.
+
+    With batter features `batters` it has the line-up and the place of the next batter in it in place of them; a session
+    without known batters has no line-up.
+    """
+    known = [c for c in dict.fromkeys([*features, "bf_so_far", "pitch_count_pa_so_far", "pitches_per_bf"]) if c not in (*keys, *batters)]
     first = F.min_by(F.struct(*known), F.struct("bf_so_far", "event_id"))
     day = [] if "day" in keys else [F.min("day").alias("day")]
     found = events.groupBy(*keys).agg(*day, first.alias("_first"), F.count(F.lit(1)).alias("remaining_bf"), F.sum("is_strikeout").alias("actual"))
-    return found.select(*keys, *(["day"] if day else []), "_first.*", "remaining_bf", "actual")
+    starts = found.select(*keys, *(["day"] if day else []), "_first.*", "remaining_bf", "actual")
+    return starts.join(line_ups(events, keys, batters), list(keys), "left").withColumn("next_place", F.lit(0)) if batters else starts
+
 
+def states_between(events: DataFrame, starts: DataFrame, keys: Sequence[str], stride: int) -> DataFrame:
+    """The starts, and the states of their sessions after every `stride` events with what remains from there."""
+    moving = [c for c in ("bf_so_far", "pitch_count_pa_so_far", "pitches_per_bf") if c in starts.columns]
+    derived = [c for c in ("times_through", "heavy_workload") if c in starts.columns]
+    later = events.where((F.col("bf_so_far") > 0) & (F.col("bf_so_far") % stride == 0)).select(*keys, *(F.col(c).alias(f"_{c}") for c in (*moving, *derived)))
+    met = starts.join(later, list(keys))
+    changed = {c: F.col(f"_{c}") for c in (*moving, *derived)} | {"remaining_bf": F.col("remaining_bf") - F.col("_bf_so_far")}
+    if "next_place" in starts.columns:
+        changed["next_place"] = F.col("_bf_so_far").cast("int")
+    return starts.unionByName(met.withColumns(changed).select(*starts.columns))
 
-def step_rows(starts: DataFrame, keys: Sequence[str], features: Sequence[str], steps) -> DataFrame:
-    """(keys, future_bf_step, features) of each session at each of its steps, what follows from the step brought forward."""
+
+def step_rows(starts: DataFrame, keys: Sequence[str], features: Sequence[str], steps, batters: Sequence[str] = ()) -> DataFrame:
+    """(keys, future_bf_step, features) of each session at each of its steps, what follows from the step brought forward.
+
+    The batters of a line-up take turns from its `next_place` on; those of a session without one have no features.
+    """
     at = starts.select("*", F.explode(steps).alias("future_bf_step"))
     ahead = F.col("future_bf_step") - 1
     bf = F.col("bf_so_far") + ahead
     pitches = F.col("pitch_count_pa_so_far") + ahead * F.coalesce("pitches_per_bf", F.lit(USUAL_PITCHES))
     times = F.floor(bf / 9)
     moved = {"bf_so_far": bf, "pitch_count_pa_so_far": pitches, "times_through": times, "heavy_workload": ((pitches >= X.WORKLOAD_PITCHES) | (times >= X.WORKLOAD_TIMES)).cast("int")}
-    others = [c for c in at.columns if c not in (*keys, "future_bf_step")]
-    return at.select(*keys, "future_bf_step", *((moved[c] if c in moved else F.col(c)).alias(c) for c in others))
+    others = [c for c in at.columns if c not in (*keys, "future_bf_step", *batters)]
+    turn = []
+    if batters:
+        others = [c for c in others if c not in ("lineup", "next_place")]
+        place = F.pmod(F.col("next_place") + ahead, F.greatest(F.size("lineup"), F.lit(1))) + 1
+        batter = F.try_element_at("lineup", place.cast("int"))
+        turn = [batter[c].alias(c) for c in batters]
+    return at.select(*keys, "future_bf_step", *((moved[c] if c in moved else F.col(c)).alias(c) for c in others), *turn)
 
 
 def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -121,7 +160,7 @@ class OutcomeModel(_Settings, Model, MLWritable, MLReadable):
     def distributions(self, starts: DataFrame, calibrated: bool = True) -> DataFrame:
         """Adds `pmf` before count curves and temperature, from classifiers as they are or calibrated."""
         keys, features = self.of("keys"), self.of("features")
-        steps = step_rows(starts, keys, features, F.sequence(F.lit(1), F.lit(self.of("horizon"))))
+        steps = step_rows(starts, keys, features, F.sequence(F.lit(1), F.lit(self.of("horizon"))), self.of("batterFeatures"))
         rows = _scored(_scored(steps, self.success, features, "_p"), self.stop, [*features, "future_bf_step"], "_h").select(*keys, "future_bf_step", "_p", "_h")
         if calibrated:
             for column, curve in (("_p", self.success_curve), ("_h", self.stop_curve)):
@@ -172,29 +211,31 @@ class OutcomeModel(_Settings, Model, MLWritable, MLReadable):
 
 class OutcomeChain(_Settings, Estimator):
     """fit() takes the rows of an event log with their features: the keys, day, event_id, is_strikeout, bf_so_far,
-    pitch_count_pa_so_far, pitches_per_bf and the named features."""
+    pitch_count_pa_so_far, pitches_per_bf and the named features; batter_id too if some of them are the batter's."""
 
-    def __init__(self, features: Sequence[str], keys: Sequence[str] | None = None, rounds: int | None = None, stop_rounds: int | None = None, horizon: int | None = None, size: int | None = None, least_days: int | None = None, held_days: int | None = None) -> None:
+    def __init__(self, features: Sequence[str], keys: Sequence[str] | None = None, rounds: int | None = None, stop_rounds: int | None = None, horizon: int | None = None, size: int | None = None, least_days: int | None = None, held_days: int | None = None, batter_features: Sequence[str] | None = None, state_stride: int | None = None) -> None:
         super().__init__()
-        self._given(features=list(features), keys=None if keys is None else list(keys), rounds=rounds, stopRounds=stop_rounds, horizon=horizon, size=size, leastDays=least_days, heldDays=held_days)
+        batters = None if batter_features is None else list(batter_features)
+        self._given(features=list(features), keys=None if keys is None else list(keys), rounds=rounds, stopRounds=stop_rounds, horizon=horizon, size=size, leastDays=least_days, heldDays=held_days, batterFeatures=batters, stateStride=state_stride)
 
     def parts(self, events: DataFrame) -> DataFrame:
         """The sessions' starts with `part`: whole sessions go to train, calibrate or evaluate by the day they begin."""
-        starts = session_starts(events, self.of("keys"), self.of("features"))
+        starts = session_starts(events, self.of("keys"), self.of("features"), self.of("batterFeatures"))
         return SP.out_of_time(starts, F.col("day"), least=self.of("heldDays"), least_days=self.of("leastDays"))
 
     def _fit(self, dataset: DataFrame) -> OutcomeModel:
-        keys, features = self.of("keys"), self.of("features")
+        keys, features, batters, stride = self.of("keys"), self.of("features"), self.of("batterFeatures"), self.of("stateStride")
         starts = settled(self.parts(dataset))
         events = dataset.drop("part").join(starts.select(*keys, "part"), keys)
         wanted = [c for c in features if c in dataset.columns and c not in keys]
         events = settled(events.select(*keys, "part", "is_strikeout", *dict.fromkeys(["event_id", *wanted])))
-        periods = step_rows(starts.where("remaining_bf >= 1"), keys, features, F.sequence(F.lit(1), F.least(F.lit(self.of("horizon")), F.col("remaining_bf").cast("int"))))
+        states = states_between(dataset, starts, keys, stride) if stride else starts
+        periods = step_rows(states.where("remaining_bf >= 1"), keys, features, F.sequence(F.lit(1), F.least(F.lit(self.of("horizon")), F.col("remaining_bf").cast("int"))), batters)
         periods = settled(periods.withColumn("stops", (F.col("future_bf_step") == F.col("remaining_bf")).cast("int")))
         with_step = [*features, "future_bf_step"]
         train, held = F.col("part") == "train", F.col("part") == "calibrate"
         success = _classifier(events.where(train), features, "is_strikeout", [*keys, "event_id"], self.of("rounds"), self.of("depth"), 0.04, 0.85)
-        stop = _classifier(periods.where(train), with_step, "stops", [*keys, "future_bf_step"], self.of("stopRounds"), self.of("depth"), 0.05, 0.9)
+        stop = _classifier(periods.where(train), with_step, "stops", [*keys, "future_bf_step", *(["bf_so_far"] if stride else [])], self.of("stopRounds"), self.of("depth"), 0.05, 0.9)
         success_curve = settled(PO.fit_curves(_one(_scored(events.where(held), success, features, "_p")), ["curve"], "_p", "is_strikeout"))
         stop_curve = settled(PO.fit_curves(_one(_scored(periods.where(held), stop, with_step, "_p")), ["curve"], "_p", "stops"))
         model = self._copyValues(OutcomeModel(success, stop, success_curve, stop_curve))
