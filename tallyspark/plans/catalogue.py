@@ -497,23 +497,25 @@ _LOGITS = """WITH x AS (SELECT vec_id, [v::DOUBLE FOR v IN embedding[1:12]] AS x
 
 
 @register("pmf_tilt", _LOGITS + """, c AS (SELECT vec_id, unnest(pmf) AS p, unnest(range(0, 12)) AS k FROM f),
- r AS (SELECT vec_id, k, exp(ln(greatest(p, 1e-12::DOUBLE)) / 0.85::DOUBLE + 0.1::DOUBLE * k) AS w FROM c) SELECT vec_id, round(sum(w * k) / sum(w), 6) AS mean, round(sum(w) FILTER (WHERE k > 5.5) / sum(w), 6) AS over_line FROM r GROUP BY vec_id""")
+ r AS (SELECT vec_id, k, exp(ln(greatest(p, 1e-12::DOUBLE)) / 0.85::DOUBLE + 0.1::DOUBLE * k) AS w FROM c) SELECT vec_id, CAST(k AS INTEGER) AS k, round(w / sum(w) OVER (PARTITION BY vec_id), 6) AS p FROM r""")
 def pmf_tilt(spark, d):
     q = logits_pmf(spark, d).select("vec_id", PMF.tilt(F.col("pmf"), F.lit(0.85), F.lit(0.1)).alias("q"))
-    return r6(q.select("vec_id", PMF.mean(F.col("q")).alias("mean"), PMF.over(F.col("q"), F.lit(5.5)).alias("over_line")))
+    return r6(q.select("vec_id", F.posexplode("q").alias("k", "p")))
 
 
 @register("pmf_temperature", _LOGITS + """, c AS (SELECT vec_id, unnest(pmf) AS p, unnest(range(0, 12)) AS k FROM f), r AS (SELECT vec_id, k, power(p, 1 / 1.3::DOUBLE) AS w FROM c)
- SELECT vec_id, round(sum(w * k) / sum(w), 6) AS mean, round(max(w) / sum(w), 6) AS largest FROM r GROUP BY vec_id""")
+ SELECT vec_id, CAST(k AS INTEGER) AS k, round(w / sum(w) OVER (PARTITION BY vec_id), 6) AS p FROM r""")
 def pmf_temperature(spark, d):
     q = logits_pmf(spark, d).select("vec_id", PMF.temperature(F.col("pmf"), F.lit(1.3)).alias("q"))
-    return r6(q.select("vec_id", PMF.mean(F.col("q")).alias("mean"), F.array_max("q").alias("largest")))
+    return r6(q.select("vec_id", F.posexplode("q").alias("k", "p")))
 
 
-@register("pmf_poisson_binomial", _LOGITS + """ SELECT vec_id, 13 AS cells, round(list_sum(probs), 6) AS mean, round(list_product([1 - p FOR p IN probs]), 6) AS none, round(list_product(probs), 6) AS every, 1.0::DOUBLE AS total FROM f""")
+@register("pmf_poisson_binomial", _LOGITS.replace("WITH x", "WITH RECURSIVE x") + """, g AS (SELECT vec_id, 0 AS i, probs, [1.0::DOUBLE] AS q FROM f UNION ALL
+  SELECT vec_id, i + 1, probs, [coalesce(q[j], 0) * (1 - probs[i + 1]) + coalesce(q[j - 1], 0) * probs[i + 1] FOR j IN range(1, i + 3)] FROM g WHERE i < 12)
+ SELECT vec_id, CAST(unnest(range(0, 13)) AS INTEGER) AS k, round(unnest(q), 6) AS p FROM g WHERE i = 12""")
 def pmf_poisson_binomial(spark, d):
     q = logits_pmf(spark, d).select("vec_id", PMF.poisson_binomial(F.col("probs")).alias("q"))
-    return r6(q.select("vec_id", F.size("q").alias("cells"), PMF.mean(F.col("q")).alias("mean"), F.col("q")[0].alias("none"), F.try_element_at("q", F.lit(-1)).alias("every"), PMF.total(F.col("q")).alias("total")))
+    return r6(q.select("vec_id", F.posexplode("q").alias("k", "p")))
 
 
 @register("pmf_line_grid", _LOGITS + """, c AS (SELECT vec_id, unnest(pmf) AS p, unnest(range(0, 12)) AS k FROM f), l AS (SELECT unnest([2.5, 3.0, 4.5, 6.0])::DOUBLE AS line)
