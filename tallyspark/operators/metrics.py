@@ -166,3 +166,11 @@ def segment_summary(rows: DataFrame, least: int = 10) -> DataFrame:
         *(F.avg((F.col("best_ev") > limit).cast("int")).alias(f"share_ev_over_{name}") for name, limit in (("1pct", 0.01), ("2pct", 0.02))),
         F.count_if(positive).alias("n_positive_ev"), F.avg(F.when(positive, won)).alias("positive_ev_hit_rate"), F.avg(F.when(positive, F.col("best_ev"))).alias("positive_ev_mean_ev"),
     ).where((F.col("n") >= least) | F.col("level").isin(7, 3))
+
+
+def kolmogorov_p(statistic: Column, n: Column) -> Column:
+    """Asymptotic p-value of the two-sided test, 100 terms."""
+    x = (F.sqrt(n) + 0.12 + 0.11 / F.sqrt(n)) * statistic
+    terms = F.transform(F.sequence(F.lit(1), F.lit(100)), lambda k: F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2 * k * k * x * x))
+    total = 2 * F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)
+    return F.when(x > 0.2, F.least(F.lit(1.0), F.greatest(F.lit(0.0), total))).otherwise(1.0)

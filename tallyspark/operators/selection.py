@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import odds as O
+from ..functions import text as TX
 from .features import latest_row
 from .metrics import running_by_score
 from .ranges import last_rows
@@ -56,6 +57,22 @@ def quote_summary(quotes: DataFrame) -> DataFrame:
     return quotes.groupBy("game_id", "player_id").agg(F.avg("line_value").alias("market_mean"), F.countDistinct("vendor").alias("vendor_count"))
 
 
+def gate_rows(rows: DataFrame, side: str | None = None) -> DataFrame:
+    """Rows (best_ev, model_over_prob, market_over_prob, actual_over and any others) as gates and their metrics read them.
+
+    The side is that of the column `side`, or else over unless under's value is higher, a missing value being the lowest.
+    Adds side, model_prob, market_prob and actual of that side and conf_dist. Infinities count as missing, and rows without
+    one of the numbers, or whose given side is neither over nor under, are left out.
+    """
+    lowest = lambda c: F.coalesce(F.nanvl(F.col(c).try_cast("double"), F.lit(None).cast("double")), F.lit(float("-inf")))
+    chosen = F.when(lowest("over_ev") >= lowest("under_ev"), "over").otherwise("under") if side is None else TX.side(F.col(side))
+    numbers = {c: O.clean(F.col(c).try_cast("double")) for c in ("best_ev", "model_over_prob", "market_over_prob", "actual_over")}
+    out = rows.withColumn("side", chosen).withColumns(numbers)
+    over = F.col("side") == "over"
+    sided = {n: F.when(over, F.col(c)).otherwise(1 - F.col(c)) for n, c in (("model_prob", "model_over_prob"), ("market_prob", "market_over_prob"), ("actual", "actual_over"))}
+    return out.withColumns(sided | {"conf_dist": F.abs(F.col("model_over_prob") - 0.5)}).dropna(subset=["side", *numbers])
+
+
 def gate_sweep(rows: DataFrame, edges: Sequence[float], confidences: Sequence[float], least: int = 20) -> DataFrame:
     """Metrics of every gate (edge, confidence) over vendors, lines, both and all.
 

@@ -104,3 +104,20 @@ def normalise_quotes(raw: DataFrame) -> DataFrame:
     price = lambda side: F.max_by("price", F.when(F.col("side") == side, F.col("at"))).alias(f"{side}_odds")
     keys = ["event_id", "commence_time", "home_team", "away_team", "vendor", "prop_type", "updated_at", "fetched_at", "player_name", "line_value"]
     return rows.groupBy(*keys).agg(price("over"), price("under"))
+
+
+#: Rows of a props service: one market for each.
+PROPS_SCHEMA = "game_id bigint, player_id bigint, vendor string, prop_type string, line_value double, updated_at string, market struct<type: string, over_odds: double, under_odds: double, odds: double>"
+
+
+def market_quotes(rows: DataFrame, prop_type: str) -> DataFrame:
+    """Flat quotes of rows in PROPS_SCHEMA: whole odds, cut towards zero, and `milestone_odds` for milestones alone.
+
+    A missing vendor is an empty text, a missing line zero and a missing prop type the one asked for; rows without a game or
+    a player are left out.
+    """
+    whole = lambda c: F.col(f"market.{c}").cast("bigint")
+    return rows.where("game_id IS NOT NULL AND player_id IS NOT NULL").select(
+        "game_id", "player_id", F.coalesce("vendor", F.lit("")).alias("vendor"), F.coalesce("prop_type", F.lit(prop_type)).alias("prop_type"), F.coalesce("line_value", F.lit(0.0)).alias("line_value"),
+        whole("over_odds").alias("over_odds"), whole("under_odds").alias("under_odds"), F.when(F.col("market.type") == "milestone", whole("odds")).alias("milestone_odds"), "updated_at",
+    )
