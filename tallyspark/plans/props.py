@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import market as M
 from ..operators import metrics as S
 from ..operators import selection as C
 from ..operators import splits as SP
 from ..sources import scans as SC
-from .catalogue import EVALUATED, evaluated, r6, register
+from .boards import FITTED_FROM
+from .catalogue import _CELL_COLS, EVALUATED, evaluated, r6, register
 from .views import QUOTE_SQL, quote_view, table
 
 _DUCK_QUOTES = QUOTE_SQL.replace("AS STRING", "AS VARCHAR")
@@ -74,3 +76,18 @@ def ks_report(spark, d):
     rows = table(spark, d, "lineitem").select(F.expr(_DRAW).cast("double").alias("p"))
     found = S.ks_uniform(rows).crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n"))))  # one row each
     return r6(found.select("n", "ks", S.kolmogorov_p(F.col("ks"), F.col("n")).alias("p_value")))
+
+
+def labelled_candidates(quotes):
+    """Both sides of quotes as board candidates with `won`; pushes count as lost, quotes without a result are left out."""
+    rows = M.board_candidates(M.labels(quotes.where("actual_total_k IS NOT NULL")))
+    return rows.withColumn("won", F.when(F.col("bet_side") == "over", F.col("over_hit")).otherwise(F.col("under_hit")))
+
+
+@register("learned_candidates")
+def learned_candidates(spark, d):
+    """Candidates of the later quotes with the score of a filter that learned from the earlier ones' candidates."""
+    quotes = M.latest_quotes(M.pregame(quote_view(spark, d)))
+    earlier = F.year("commence_time") < FITTED_FROM
+    scored = C.learned_filter(labelled_candidates(quotes.where(earlier)), M.board_candidates(quotes.where(~earlier)))
+    return scored.select(*_CELL_COLS, "bet_side", F.round("selection_score", 3).alias("selection_score"), "pass_rules", "selected")

@@ -2,8 +2,10 @@
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from tallyspark.operators import market as M
 from tallyspark.operators import metrics as S
 from tallyspark.operators import selection as C
 from tallyspark.sources import scans as SC
@@ -43,3 +45,35 @@ def test_kolmogorov_p(spark):
     assert all(abs(r.p - plain(r.d, r.n)) < 1e-12 for r in got)
     # The five per cent point of the asymptotic distribution.
     assert abs(plain(1.3581 / 1000, 10**6) - 0.05) < 1e-3
+
+
+def test_learned_candidates_equal_a_plain_fit(spark):
+    """The filter's scores against Newton's method on the earlier candidates."""
+    from tallyspark.plans import props as P
+    from tallyspark.plans.views import quote_view
+
+    directory = "/root/testdata/sf0.01"
+    quotes = M.latest_quotes(M.pregame(quote_view(spark, directory)))
+    earlier = F.year("commence_time") < P.FITTED_FROM
+    history = P.labelled_candidates(quotes.where(earlier)).select(*C.FILTER_FEATURES, "won").toPandas()
+    keys = [*P._CELL_COLS, "bet_side"]
+    later = M.board_candidates(quotes.where(~earlier)).select(*keys, *C.FILTER_FEATURES).toPandas()
+    got = P.learned_candidates(spark, directory).toPandas()
+    assert len(got) == len(later) > 1000 and len(history) > 1000 and set(history["won"]) == {0, 1}
+
+    def matrix(df):
+        return np.c_[np.ones(len(df)), df[list(C.FILTER_FEATURES)].fillna(0).to_numpy(float)]
+
+    x, y = matrix(history), history["won"].to_numpy(float)
+    w, ridge = np.zeros(x.shape[1]), np.r_[0.0, np.full(x.shape[1] - 1, 2.0)]
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ w))
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge)
+        w -= np.linalg.solve(hessian, x.T @ (p - y) + ridge * w)
+    later["score"] = 1 / (1 + np.exp(-matrix(later) @ w))
+    order = [*keys, "selection_score"]
+    want = later.rename(columns={"score": "selection_score"}).sort_values(order)["selection_score"].to_numpy()
+    have = got.sort_values(order)
+    assert np.abs(have["selection_score"].to_numpy() - want).max() < 2e-3
+    sure = np.abs(have["selection_score"] - 0.55) > 2e-3
+    assert (have["selected"] == (have["pass_rules"] & (have["selection_score"] >= 0.55)).astype(int))[sure].all()
