@@ -28,7 +28,9 @@ def two_sided(quotes: DataFrame) -> DataFrame:
 
 
 def latest_quotes(quotes: DataFrame, keys: Sequence[str] = CELL, ties: Sequence[str] = TIES) -> DataFrame:
-    return latest_row(quotes, keys, [F.col("snapshot_ts").desc_nulls_last(), *(F.col(c).desc_nulls_last() for c in ties)])
+    """The latest quote of each cell. Rows are dealt by the first two keys, the game and the player, so that what is worked
+    out for a player's lines or joined to a player afterwards finds its rows together and moves none of them again."""
+    return latest_row(quotes.repartition(*keys[:2]), keys, [F.col("snapshot_ts").desc_nulls_last(), *(F.col(c).desc_nulls_last() for c in ties)])
 
 
 def pregame(quotes: DataFrame) -> DataFrame:
@@ -103,23 +105,29 @@ def board_candidates(quotes: DataFrame, live: bool = False) -> DataFrame:
     The market price is the mean over the vendors of a line that offer both sides; where there is none, market_prob is
     null, the edge is the whole probability and the gap 0. A candidate is as uncertain as its player's lines differ between
     vendors in the mean, and its own line, and as its price is off the market's. Vendors count even if one-sided. Quotes
-    without a line are left out.
+    without a line are left out. All of it is worked out on the quotes of one player in one game, vendors times lines after
+    latest_quotes(), which lie together: no quote is joined to its line.
     """
     fair = quotes.where(F.col("line_value").isNotNull()).withColumn("_fair", O.no_vig(F.col("over_odds"), F.col("under_odds")))
-    lines = fair.groupBy(*LINE).agg(F.avg("_fair").alias("_market"), F.coalesce(F.stddev_samp("_fair"), F.lit(0.0)).alias("_std"), F.countDistinct("vendor").alias("vendor_count"))
-    # A window over the lines of one player in one game, a few rows after the aggregation.
-    lines = lines.withColumn("_base", F.lit(BASE_UNCERTAINTY) + F.avg("_std").over(Window.partitionBy("game_id", "player_id")))
+    line = Window.partitionBy(*LINE)
+    fair = fair.withColumns({
+        "_market": F.avg("_fair").over(line), "_std": F.coalesce(F.stddev_samp("_fair").over(line), F.lit(0.0)),
+        "vendor_count": F.size(F.collect_set("vendor").over(line)).cast("long"), "_place": F.row_number().over(line.orderBy("vendor")),
+    })
+    # Each line counts once in its player's mean.
+    own = F.avg(F.when(F.col("_place") == 1, F.col("_std"))).over(Window.partitionBy("game_id", "player_id"))
+    fair = fair.withColumn("_base", F.lit(BASE_UNCERTAINTY) + own)
     p, m = F.col("model_over_prob"), F.col("_market")
     rows = F.array(
         F.struct(F.lit("over").alias("bet_side"), F.col("over_odds").alias("odds"), p.alias("prob"), m.alias("market_prob")),
         F.struct(F.lit("under").alias("bet_side"), F.col("under_odds").alias("odds"), (1 - p).alias("prob"), (1 - m).alias("market_prob")),
     )
-    long = fair.join(lines, list(LINE)).withColumn("_s", F.explode(rows)).select("*", "_s.*").where(F.col("odds").isNotNull())
+    long = fair.withColumn("_s", F.explode(rows)).select("*", "_s.*").where(F.col("odds").isNotNull())
     gap = F.abs(F.col("prob") - F.col("market_prob"))
     return long.withColumns({
         "edge": F.col("prob") - F.coalesce("market_prob", F.lit(0.0)), "ev": O.expected_value(F.col("prob"), F.col("odds")),
         "uncertainty": F.col("_base") + F.col("_std") + F.coalesce(gap, F.lit(UNPRICED_GAP)), "abs_gap": F.coalesce(gap, F.lit(0.0)), "is_live": F.lit(int(live)),
-    }).drop("_fair", "_market", "_std", "_base", "_s")
+    }).drop("_fair", "_market", "_std", "_place", "_base", "_s")
 
 
 def _pooled(pmfs: list, targets: list, tolerance: float, rounds: int) -> list[list[float]]:

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions import odds as O
 from ..functions import text as TX
 from .features import latest_row
+from .lineage import settled
 from .metrics import running_by_score
 from .ranges import last_rows
 
@@ -159,6 +160,8 @@ def learned_filter(history: DataFrame, candidates: DataFrame, least: int = 250,
     if sum(r["count"] for r in counts) < least or len(counts) < 2:
         return ruled.withColumns({"selection_score": F.col("pass_rules").cast("double"), "selected": F.col("pass_rules").cast("int")})
     from pyspark.ml.classification import LogisticRegression
+    # The fit reads the history several times: its few columns are written once.
+    history = settled(history.select(*FILTER_FEATURES, "won"))
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
