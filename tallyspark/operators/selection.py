@@ -190,8 +190,9 @@ def group_holdout(df: DataFrame, keys: Sequence[str], ts: str, share: float = 0.
     """
     kind = df.schema[ts].dataType
     number = F.unix_micros(F.col(ts).cast("timestamp")) if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)) else F.col(ts)
-    groups = df.groupBy(*keys).agg(F.coalesce(F.max(number.cast("double")), F.lit(float("-inf"))).alias("p"))
+    groups = settled(df.groupBy(*keys).agg(F.coalesce(F.max(number.cast("double")), F.lit(float("-inf"))).alias("p")))
     total = groups.count()
+    `df` is read twice: for its groups, which are written once as a row each, and for the rows that get their flag.
     kept = total - (held_of(total) if held_of else int(total * share))
     places = running_by_score(groups.select("p", F.lit(0).alias("y")), descending=False)
     edge = places.where((F.col("n_before") <= kept) & (F.col("n_before") + F.col("n") > kept)).first()

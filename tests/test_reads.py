@@ -29,3 +29,12 @@ def test_candidates_are_dealt_once(spark):
     df = spark.createDataFrame([], kind)
     plan = M.board_candidates(M.latest_quotes(df))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and "Join" not in plan
+
+
+def test_holdouts_read_their_rows_twice(spark):
+    n = 300
+    made = spark.range(n).select((F.col("id") % 60).alias("k"), (F.col("id") * 37 % 101).alias("ts"))
+    for hold in (C.group_holdout, C.guarded_holdout):
+        df, read = counted(spark, made)
+        held = hold(df, ["k"], "ts")
+        assert held.where("is_eval").select("k").distinct().count() == 18 and read.value <= 2 * n
