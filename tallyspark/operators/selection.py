@@ -74,6 +74,10 @@ def gate_rows(rows: DataFrame, side: str | None = None) -> DataFrame:
     return out.withColumns(sided | {"conf_dist": F.abs(F.col("model_over_prob") - 0.5)}).dropna(subset=["side", *numbers])
 
 
+#: The columns that a sweep reads.
+SWEPT = ("vendor", "line_value", "best_side", "best_ev", "conf_dist", "over_hit", "under_hit", "model_prob", "market_prob")
+
+
 def gate_sweep(rows: DataFrame, edges: Sequence[float], confidences: Sequence[float], least: int = 20) -> DataFrame:
     """Metrics of every gate (edge, confidence) over vendors, lines, both and all.
 
@@ -133,7 +137,8 @@ def gated(rows: DataFrame, gate: dict) -> DataFrame:
 
 def gate_holdout(rows: DataFrame, edges: Sequence[float], confidences: Sequence[float], ts: str = "snapshot_ts", least_test: int = 10) -> dict:
     """Chooses a gate on the earlier groups and verifies it on the later ones: {accepted, gate, n_test, ...}."""
-    split = group_holdout(rows, ["game_id", "player_id"], ts)
+    wanted = dict.fromkeys(["game_id", "player_id", ts, *SWEPT])
+    split = settled(group_holdout(rows.select(*wanted), ["game_id", "player_id"], ts))  # both sweeps read it twice
     gate = choose_gate(gate_sweep(split.where("not is_eval"), edges, confidences))
     if gate is None:
         return {"accepted": False, "reason": "no training gate beats the market on both scores"}

@@ -38,3 +38,15 @@ def test_holdouts_read_their_rows_twice(spark):
         df, read = counted(spark, made)
         held = hold(df, ["k"], "ts")
         assert held.where("is_eval").select("k").distinct().count() == 18 and read.value <= 2 * n
+
+
+def test_gate_choice_reads_its_rows_twice(spark):
+    n = 400
+    c = F.col("id")
+    made = spark.range(n).select(
+        (c % 40).alias("game_id"), (c % 80).alias("player_id"), c.alias("snapshot_ts"), F.lit("a").alias("vendor"), F.lit(4.5).alias("line_value"), F.lit("over").alias("best_side"),
+        F.lit(0.3).alias("best_ev"), F.lit(0.2).alias("conf_dist"), (c % 10 < 7).cast("int").alias("over_hit"), (c % 10 >= 7).cast("int").alias("under_hit"), F.lit(0.7).alias("model_prob"), F.lit(0.5).alias("market_prob"),
+    )
+    df, read = counted(spark, made)
+    found = C.gate_holdout(df, (0.1, 0.2), (0.0, 0.1))
+    assert found["accepted"] and found["test"]["n"] == 120 and read.value <= 2 * n
