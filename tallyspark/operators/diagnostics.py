@@ -65,10 +65,17 @@ def best_temperature(df: DataFrame) -> float:
 
 
 def tilt_scores(df: DataFrame, taus: Sequence[float] = TAUS, lambdas: Sequence[float] = LAMBDAS) -> DataFrame:
-    """(tau, lam, log_loss, brier) of a table (pmf, line_value, over_hit)."""
+    """(tau, lam, log_loss, brier) of a table (pmf, line_value, over_hit), each row counted `weight` times if it has that.
+
+    Rows with one distribution, line and outcome are the same to every cell of the grid, so they are counted first.
+    """
+    times = F.sum("weight") if "weight" in df.columns else F.count(F.lit(1))
+    counted = df.groupBy("pmf", "line_value", "over_hit").agg(times.cast("double").alias("weight"))
     over = PMF.tilted_over(F.col("logs"), F.col("tau"), F.col("lam"), F.col("line_value"))
-    scored = _grid(df.select(PMF.logs(F.col("pmf")).alias("logs"), "line_value", "over_hit"), tau=taus, lam=lambdas).select("tau", "lam", over.alias("q"), "over_hit")
-    return scored.groupBy("tau", "lam").agg(F.avg(O.log_loss(F.col("q"), F.col("over_hit"))).alias("log_loss"), F.avg(O.brier(F.col("q"), F.col("over_hit"))).alias("brier"))
+    scored = _grid(counted.select(PMF.logs(F.col("pmf")).alias("logs"), "line_value", "over_hit", "weight"), tau=taus, lam=lambdas).select("tau", "lam", over.alias("q"), "over_hit", "weight")
+    losses = scored.select("tau", "lam", "weight", O.log_loss(F.col("q"), F.col("over_hit")).alias("log_loss"), O.brier(F.col("q"), F.col("over_hit")).alias("brier"))
+    mean = lambda c: (F.sum(F.col(c) * F.col("weight")) / F.sum(F.when(F.col(c).isNotNull(), F.col("weight")))).alias(c)
+    return losses.groupBy("tau", "lam").agg(mean("log_loss"), mean("brier"))
 
 
 def fit_tilt(calibration: DataFrame, evaluation: DataFrame, tolerance: float = 1e-4) -> dict:

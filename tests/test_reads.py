@@ -1,7 +1,10 @@
 """How often operators read their input, how often they deal it, and rows that are counted before they are worked on."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from tallyspark.operators import diagnostics as D
 from tallyspark.operators import market as M
 from tallyspark.operators import selection as C
 
@@ -31,6 +34,19 @@ def test_candidates_are_dealt_once(spark):
     assert plan.count("Exchange ") == 1 and "Join" not in plan
 
 
+def test_tilt_counts_equal_rows(spark):
+    rng = np.random.default_rng(1)
+    rows = [(rng.dirichlet(np.ones(6)).tolist(), float(rng.integers(1, 4)) + 0.5, int(rng.integers(0, 2)), int(rng.integers(1, 9))) for _ in range(30)]
+    df = spark.createDataFrame([*rows, (rows[0][0], 2.5, None, 3), (None, 2.5, 1, 2)], "pmf array<double>, line_value double, over_hit int, weight int")
+    single = df.select(F.explode(F.sequence(F.lit(1), "weight")), "pmf", "line_value", "over_hit").drop("col")
+    read = lambda t: {(r.tau, r.lam): (r.log_loss, r.brier) for r in D.tilt_scores(t, (0.8, 1.0), (0.0, 0.1)).collect()}
+    got, want = read(df), read(single)
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    # By hand, without the grid.
+    over = lambda p, line: min(max(sum(x for k, x in enumerate(p) if k > line), 1e-6), 1 - 1e-6)
+    assert got[1.0, 0.0][1] == pytest.approx(sum(w * (over(p, line) - y) ** 2 for p, line, y, w in rows) / sum(w for *_, w in rows), abs=1e-9)
+
+
 def test_holdouts_read_their_rows_twice(spark):
     n = 300
     made = spark.range(n).select((F.col("id") % 60).alias("k"), (F.col("id") * 37 % 101).alias("ts"))
