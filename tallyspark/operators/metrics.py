@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import odds as O
+from .lineage import settled
 
 
 def P() -> Column:
@@ -38,9 +39,9 @@ def running_by_score(df: DataFrame, descending: bool, blocks: int | None = None)
 
     The order is total, but no task gets all of it: scores are dealt into ranges, summed within, and the sums of the
     few ranges before are added. The ranges' edges are fixed first, as numbers, so that a task that runs again finds
-    its rows in the same ranges.
+    its rows in the same ranges. `df` is read once: the counts of its scores are written, as four jobs read them.
     """
-    counted = _by_score(df)
+    counted = settled(_by_score(df))
     if blocks is None:
         distinct = counted.agg(F.approx_count_distinct("p", 0.05)).first()[0]
         blocks = min(MOST_RANGES, max(LEAST_RANGES, distinct // RANGE_SCORES))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators import diagnostics as D
 from tallyspark.operators import market as M
+from tallyspark.operators import metrics as S
 from tallyspark.operators import selection as C
 
 
@@ -66,3 +67,8 @@ def test_gate_choice_reads_its_rows_twice(spark):
     df, read = counted(spark, made)
     found = C.gate_holdout(df, (0.1, 0.2), (0.0, 0.1))
     assert found["accepted"] and found["test"]["n"] == 120 and read.value <= 2 * n
+
+
+def test_distance_from_uniform_reads_its_rows_once(spark):
+    df, read = counted(spark, spark.range(200).select((F.col("id") % 50 / 50.0).alias("p")))
+    assert S.ks_uniform(df).first().ks == pytest.approx(0.02) and read.value == 200
