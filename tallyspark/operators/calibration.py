@@ -44,9 +44,11 @@ class Isotonic:
 
 
 def outcome_counts(df: DataFrame, *others: str, p: str = "p", y: str = "y") -> DataFrame:
-    """(p, y, others, weight): how often each score comes with each outcome. Fits and means need no more than that."""
+    """(p, y, others, weight): how often each score comes with each outcome. Fits and means need no more than that, so
+    rows that have a weight, as those of such a table, count so often."""
+    times = F.sum("weight") if "weight" in df.columns else F.count(F.lit(1))
     known = df.where(F.col(p).isNotNull() & F.col(y).isNotNull())
-    return known.groupBy(F.col(p).cast("double").alias("p"), F.col(y).cast("double").alias("y"), *others).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return known.groupBy(F.col(p).cast("double").alias("p"), F.col(y).cast("double").alias("y"), *others).agg(times.cast("double").alias("weight"))
 
 
 def fit_isotonic(df: DataFrame, p: str = "p", y: str = "y") -> Isotonic:
@@ -108,11 +110,13 @@ def candidates(df: DataFrame) -> dict[str, Column]:
 def sweep(train: DataFrame, test: DataFrame, tolerance: float = 1e-4) -> tuple[str, list[dict]]:
     """(winner, metrics): candidates are compared in order; a later one wins by log loss beyond the tolerance, else by Brier.
 
-    The comparison is not transitive, so it folds over the few results in candidate order.
+    The comparison is not transitive, so it folds over the few results in candidate order. Test rows are counted by score and
+    outcome before they meet the candidates.
     """
     named = candidates(train)
-    scored = test.select("y", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), e.alias("q")) for n, e in named.items()))).alias("s")).select("y", "s.*")
-    found = {r["name"]: r.asDict() for r in scored.groupBy("name").agg(F.avg(O.log_loss(F.col("q"), F.col("y"))).alias("log_loss"), F.avg(O.brier(F.col("q"), F.col("y"))).alias("brier")).collect()}
+    scored = outcome_counts(test).select("y", "weight", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), e.alias("q")) for n, e in named.items()))).alias("s")).select("y", "weight", "s.*")
+    mean = lambda loss: F.sum(loss(F.col("q"), F.col("y")) * F.col("weight")) / F.sum("weight")
+    found = {r["name"]: r.asDict() for r in scored.groupBy("name").agg(mean(O.log_loss).alias("log_loss"), mean(O.brier).alias("brier")).collect()}
     rows = [found[n] for n in named if n in found]
     best = rows[0]
     for r in rows[1:]:

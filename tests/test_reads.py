@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyspark.operators import calibration as CAL
 from tallyspark.operators import diagnostics as D
 from tallyspark.operators import market as M
 from tallyspark.operators import metrics as S
@@ -72,3 +73,15 @@ def test_gate_choice_reads_its_rows_twice(spark):
 def test_distance_from_uniform_reads_its_rows_once(spark):
     df, read = counted(spark, spark.range(200).select((F.col("id") % 50 / 50.0).alias("p")))
     assert S.ks_uniform(df).first().ks == pytest.approx(0.02) and read.value == 200
+
+
+def test_calibrator_sweep_of_counts_equals_rows(spark):
+    rng = np.random.default_rng(2)
+    rows = [(float(p), int(y), int(w)) for p, y, w in zip(rng.integers(1, 30, 60) / 30.0, rng.integers(0, 2, 60), rng.integers(1, 9, 60), strict=True)]
+    df = spark.createDataFrame(rows, "p double, y int, weight int")
+    single, read = counted(spark, df.select(F.explode(F.sequence(F.lit(1), "weight")), "p", "y").drop("col"))
+    n = sum(w for *_, w in rows)
+    (name, got), (same, want) = CAL.sweep(df, df), CAL.sweep(single, single)
+    assert name == same and read.value == 2 * n
+    for a, b in zip(got, want, strict=True):
+        assert a["log_loss"] == pytest.approx(b["log_loss"], abs=1e-7) and a["brier"] == pytest.approx(b["brier"], abs=1e-7)
