@@ -44,6 +44,8 @@ ROWS_A_TASK = 50_000
 USUAL_PITCHES = 4.0
 #: Batters of a line-up.
 PLACES = 9
+#: Segments of a fitted curve that are broadcast at most, under 2 MB; more of them meet their scores by a shuffle.
+CURVE_ROWS = 20_000
 
 
 class _Settings(Params):
@@ -149,6 +151,11 @@ def _one(df: DataFrame) -> DataFrame:
     return df.withColumn("curve", F.lit(0))
 
 
+def _near(curve: DataFrame) -> DataFrame:
+    """A curve as it is joined: few scores fall into most of its bins, so a shuffle by them would be uneven."""
+    return F.broadcast(curve) if curve.limit(CURVE_ROWS + 1).count() <= CURVE_ROWS else curve
+
+
 class OutcomeModel(_Settings, Model, MLWritable, MLReadable):
     """A fitted chain. `success`, `stop`: classifiers. `success_curve`, `stop_curve`, `count_curves`: tables of segments."""
 
@@ -159,17 +166,27 @@ class OutcomeModel(_Settings, Model, MLWritable, MLReadable):
 
     def distributions(self, starts: DataFrame, calibrated: bool = True) -> DataFrame:
         """Adds `pmf` before count curves and temperature, from classifiers as they are or calibrated."""
+        return self._first_stages(starts, **{"pmf": "isotonic" if calibrated else "raw"})
+
+    def _first_stages(self, starts: DataFrame, **stages: str) -> DataFrame:
+        """Adds distributions by their names, each of the stage raw or isotonic; the steps are scored once for all of them.
+
+        Sessions are dealt by their keys before their steps are laid out, so these need not be dealt again.
+        """
         keys, features = self.of("keys"), self.of("features")
-        steps = step_rows(starts, keys, features, F.sequence(F.lit(1), F.lit(self.of("horizon"))), self.of("batterFeatures"))
+        steps = step_rows(starts.repartition(*keys), keys, features, F.sequence(F.lit(1), F.lit(self.of("horizon"))), self.of("batterFeatures"))
         rows = _scored(_scored(steps, self.success, features, "_p"), self.stop, [*features, "future_bf_step"], "_h").select(*keys, "future_bf_step", "_p", "_h")
-        if calibrated:
+        if "isotonic" in stages.values():
             for column, curve in (("_p", self.success_curve), ("_h", self.stop_curve)):
-                rows = PO.apply_curves(_one(rows), curve, ["curve"], column, column)
+                rows = PO.apply_curves(_one(rows), _near(curve), ["curve"], column, f"{column}_isotonic")
+        rows = rows.withColumnsRenamed({"_p": "_p_raw", "_h": "_h_raw"})
+        wanted = [f"{column}_{stage}" for stage in dict.fromkeys(stages.values()) for column in ("_p", "_h")]
         # A session has `horizon` steps.
-        ordered = F.array_sort(F.collect_list(F.struct("future_bf_step", "_p", "_h")))
+        ordered = F.array_sort(F.collect_list(F.struct("future_bf_step", *wanted)))
         arrays = rows.groupBy(*keys).agg(ordered.alias("_s"))
-        p, h = F.transform("_s", lambda x: x["_p"]), F.transform("_s", lambda x: x["_h"])
-        priced = arrays.select(*(F.col(k).alias(f"_{k}") for k in keys), PMF.mixture(p, PMF.lengths(h), self.of("size")).alias("pmf"))
+        each = lambda c: F.transform("_s", lambda x: x[c])
+        pmfs = (PMF.mixture(each(f"_p_{stage}"), PMF.lengths(each(f"_h_{stage}")), self.of("size")).alias(name) for name, stage in stages.items())
+        priced = arrays.select(*(F.col(k).alias(f"_{k}") for k in keys), *pmfs)
         same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
         met = same[0]
         for s in same[1:]:
@@ -181,7 +198,7 @@ class OutcomeModel(_Settings, Model, MLWritable, MLReadable):
         found = self.distributions(starts, stage != "raw")
         if stage in ("raw", "isotonic"):
             return found
-        found = PO.apply_count_curves(found, self.count_curves, self.of("keys"))
+        found = PO.apply_count_curves(found, _near(self.count_curves), self.of("keys"))
         return found if stage == "count_curves" else found.withColumn("pmf", PMF.temperature(F.col("pmf"), F.lit(self.temperature)))
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
@@ -189,17 +206,17 @@ class OutcomeModel(_Settings, Model, MLWritable, MLReadable):
 
     def report(self, starts: DataFrame) -> DataFrame:
         """(stage, n, log_score, rps) of labelled starts; the last cell stands for all counts from there on."""
-        last = self.of("size") - 1
-        parts = []
-        for place, stage in enumerate(STAGES):
-            actual = F.least(F.col("actual"), F.lit(last)).cast("int")
-            chance = F.greatest(F.element_at("pmf", actual + 1), F.lit(PMF.FLOOR))
-            rps = PMF.ranked_probability_score(F.col("pmf"), actual)
-            parts.append(self.staged(starts, stage).where("actual IS NOT NULL").agg(F.lit(place).alias("place"), F.lit(stage).alias("stage"), F.count(F.lit(1)).alias("n"), F.avg(-F.log(chance)).alias("log_score"), F.avg(rps).alias("rps")))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        keys = self.of("keys")
+        known = settled(starts.where("actual IS NOT NULL"))
+        both = settled(self._first_stages(known, raw="raw", pmf="isotonic").select(*keys, "actual", "raw", "pmf"))
+        curved = PO.apply_count_curves(both.withColumn("isotonic", F.col("pmf")), _near(self.count_curves), keys)
+        staged = curved.withColumnsRenamed({"pmf": "count_curves"}).withColumn("temperature", PMF.temperature(F.col("count_curves"), F.lit(self.temperature)))
+        actual = F.least(F.col("actual"), F.lit(self.of("size") - 1)).cast("int")
+        chance = lambda stage: F.greatest(F.element_at(stage, actual + 1), F.lit(PMF.FLOOR))
+        means = [c for s in STAGES for c in (F.avg(-F.log(chance(s))).alias(f"log_{s}"), F.avg(PMF.ranked_probability_score(F.col(s), actual)).alias(f"rps_{s}"))]
+        found = staged.agg(F.count(F.lit(1)).alias("n"), *means)
+        rows = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(s).alias("stage"), "n", F.col(f"log_{s}").alias("log_score"), F.col(f"rps_{s}").alias("rps")) for i, s in enumerate(STAGES)))
+        return found.select(F.explode(rows).alias("_r")).select("_r.*")
 
     def write(self) -> MLWriter:
         return _Writer(self)
@@ -241,7 +258,7 @@ class OutcomeChain(_Settings, Estimator):
         model = self._copyValues(OutcomeModel(success, stop, success_curve, stop_curve))
         calibrate = settled(model.distributions(starts.where(held)).withColumn("actual", F.least("actual", F.lit(self.of("size") - 1))))
         model.count_curves = settled(PO.fit_count_curves(calibrate, self.of("size")))
-        model.temperature = D.best_temperature(PO.apply_count_curves(calibrate, model.count_curves, keys)) if not calibrate.isEmpty() else 1.0
+        model.temperature = D.best_temperature(PO.apply_count_curves(calibrate, _near(model.count_curves), keys)) if not calibrate.isEmpty() else 1.0
         return model
 
 

@@ -150,3 +150,17 @@ def test_saved_model_comes_back(spark, chain, tmp_path, monkeypatch):
     loaded.temperature = 1.25
     loaded.save(path)
     assert CH.current_version(spark, path) != first and CH.OutcomeModel.load(path).temperature == 1.25
+
+
+def test_report_reads_its_starts_once(spark, chain):
+    """All stages are scored from one table of steps."""
+    _, _, model, starts = chain
+    last = starts.where("part = 'evaluate'").drop("part")
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(frames):
+        for frame in frames:
+            read.add(len(frame))
+            yield frame
+
+    assert model.report(last.mapInPandas(seen, last.schema)).count() == 4 and read.value == last.count()
