@@ -10,6 +10,7 @@ from ..operators import market as M
 from ..operators import matching as MT
 from ..operators import ranges as R
 from ..operators import selection as C
+from ..operators.lineage import settled
 from .catalogue import _CELL, _CELL_COLS, _EV, _OVER, _P, _PROFIT, _CLIP, _UNDER, EVALUATED, PA, QUOTES, _TIES, evaluated, r6, register
 from .frames import _COLUMNS, _WINDOWS, ENTITIES, RATES, ROLLED
 from .views import pa_view, quote_view, table
@@ -26,11 +27,12 @@ _FILLED = ("days_rest", "avg_pitch_count_so_far", "avg_release_speed", *(c for *
 def training_frame(events):
     """Events with their rolling rates, state, rest and line-up, nulls filled by the medians of their columns.
 
-    Line-up means and rest are joined back to every event of their game and side, or pitcher and game.
+    Line-up means and rest are joined back to every event of their game and side, or pitcher and game. The rolling rates,
+    which line-ups, medians and the frame itself read, are worked out and written once.
     """
     for e in ENTITIES:
         events = X.rolling_rates(events, f"{e}_id", tuple(RATES))
-    events = events.withColumnsRenamed({f"{e}_id_{m}_{n}": c for e, m, n, c in ROLLED})
+    events = settled(events.withColumnsRenamed({f"{e}_id_{m}_{n}": c for e, m, n, c in ROLLED}))
     events = X.state_so_far(events).withColumnRenamed("pitches_per_bf", "avg_pitch_count_so_far")
     events = events.withColumn("same_hand", F.coalesce(F.col("batter_side") == F.col("pitcher_hand"), F.lit(False)).cast("int"))
     side = ["game_id", "half_inning"]

@@ -85,3 +85,13 @@ def test_calibrator_sweep_of_counts_equals_rows(spark):
     assert name == same and read.value == 2 * n
     for a, b in zip(got, want, strict=True):
         assert a["log_loss"] == pytest.approx(b["log_loss"], abs=1e-7) and a["brier"] == pytest.approx(b["brier"], abs=1e-7)
+
+
+def test_training_frame_reads_its_events_once(spark):
+    from tallyspark.plans import training as T
+    from tallyspark.plans.views import pa_view
+
+    events = pa_view(spark, "/root/testdata/sf0.001")
+    df, read = counted(spark, events)
+    n = events.count()
+    assert T.training_frame(df).count() == n and read.value == n
