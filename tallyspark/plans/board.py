@@ -24,7 +24,8 @@ def states(events: DataFrame) -> DataFrame:
 
 
 def distributions(state: DataFrame) -> DataFrame:
-    return state.withColumn("pmf", PMF.fold_tail(PMF.poisson_binomial(F.array_repeat("rate", F.col("expected_bf")), 1e-4, 0.95), CELLS))
+    rate = F.least(F.greatest("rate", F.lit(1e-4)), F.lit(0.95))
+    return state.withColumn("pmf", PMF.fold_tail(PMF.binomial(rate, F.col("expected_bf")), CELLS))
 
 
 def board(quotes: DataFrame, events: DataFrame) -> DataFrame:
