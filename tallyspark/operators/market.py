@@ -97,6 +97,8 @@ def sides(quotes: DataFrame) -> DataFrame:
 #: The uncertainty that any candidate has, and the gap that counts where a line has no market price.
 BASE_UNCERTAINTY, UNPRICED_GAP = 0.01, 0.02
 LINE = ("game_id", "player_id", "line_value")
+#: The columns of CELL, those of a line first.
+OFFER = (*LINE, "vendor")
 
 
 def board_candidates(quotes: DataFrame, live: bool = False) -> DataFrame:
@@ -105,10 +107,11 @@ def board_candidates(quotes: DataFrame, live: bool = False) -> DataFrame:
     The market price is the mean over the vendors of a line that offer both sides; where there is none, market_prob is
     null, the edge is the whole probability and the gap 0. A candidate is as uncertain as its player's lines differ between
     vendors in the mean, and its own line, and as its price is off the market's. Vendors count even if one-sided. Quotes
-    without a line are left out. All of it is worked out on the quotes of one player in one game, vendors times lines after
-    latest_quotes(), which lie together: no quote is joined to its line.
+    without a game, player or line are left out. All of it is worked out on the quotes of one player in one game, vendors
+    times lines after latest_quotes(), which lie together: no quote is joined to its line. Quotes in the order of their
+    line and vendor, as latest_quotes() by OFFER leaves them, are not sorted again.
     """
-    fair = quotes.where(F.col("line_value").isNotNull()).withColumn("_fair", O.no_vig(F.col("over_odds"), F.col("under_odds")))
+    fair = quotes.where(" AND ".join(f"{c} IS NOT NULL" for c in LINE)).withColumn("_fair", O.no_vig(F.col("over_odds"), F.col("under_odds")))
     line = Window.partitionBy(*LINE)
     fair = fair.withColumns({
         "_market": F.avg("_fair").over(line), "_std": F.coalesce(F.stddev_samp("_fair").over(line), F.lit(0.0)),

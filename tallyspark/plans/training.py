@@ -138,7 +138,7 @@ _OFFERED = f"""{QUOTES}, lq AS (SELECT * FROM q WHERE snapshot_ts < commence_tim
   round(edge, 9) >= {_RULES['edge']} AND round(ev, 9) >= {_RULES['ev']} AND round(uncertainty, 9) <= {_RULES['uncertainty']} AND vendor_count >= {_RULES['vendor_count']} AS pass_rules FROM v""")
 def board_candidates(spark, d):
     """Both sides of every open quote with their uncertainty, and whether the rules take them."""
-    rows = M.board_candidates(M.latest_quotes(M.pregame(quote_view(spark, d))))
+    rows = M.board_candidates(M.latest_quotes(M.pregame(quote_view(spark, d)), M.OFFER))
     # The rules compare rounded values: a mean's last bit depends on the order of its rows.
     compared = ("edge", "ev", "uncertainty")
     ruled = r6(rows.withColumn("own", F.struct(*compared, "market_prob", "abs_gap")), 9).withColumn("pass_rules", C.rule_filter())

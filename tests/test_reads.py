@@ -48,6 +48,18 @@ def test_board_candidates_deals_its_tables_once_and_its_quotes_once(spark):
     assert plan.count("Exchange ") == 3 and plan.count("SortMergeJoin ") == 1
 
 
+def test_board_candidates_sorts_its_open_quotes_once(spark):
+    from tallyspark.plans.training import board_candidates
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = board_candidates(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # The join sorts both sides; one order of the open quotes serves the latest of a cell, its line and its player.
+    assert plan.count("Sort [") == 3
+
+
 def test_tilt_counts_equal_rows(spark):
     rng = np.random.default_rng(1)
     rows = [(rng.dirichlet(np.ones(6)).tolist(), float(rng.integers(1, 4)) + 0.5, int(rng.integers(0, 2)), int(rng.integers(1, 9))) for _ in range(30)]

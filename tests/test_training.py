@@ -42,6 +42,33 @@ def test_candidate_uncertainty(spark):
     assert (alone.market_prob, alone.edge, alone.abs_gap) == (None, 0.4, 0.0) and alone.uncertainty == pytest.approx(base + 0.02)
 
 
+def test_candidates_need_game_player_and_line(spark):
+    rows = [(1, 1, 4.5), (None, 1, 4.5), (1, None, 4.5), (None, None, 4.5), (1, 1, None), (1, 1, math.nan)]
+    df = spark.createDataFrame([(g, p, "a", line, -110, -110, 0.6) for g, p, line in rows], "game_id long, player_id long, vendor string, line_value double, over_odds int, under_odds int, model_over_prob double")
+    got = M.board_candidates(df).collect()
+    # A line that is not a number is still a line.
+    assert len(got) == 4 and {(r.game_id, r.player_id) for r in got} == {(1, 1)}
+
+
+def test_board_candidates_without_players_equal_its_sql(spark, tmp_path):
+    import duckdb
+
+    from tallyspark.plans.catalogue import ORACLE_SQL
+    from tallyspark.plans.training import board_candidates
+
+    for t, null in (("lineitem", "* REPLACE (CASE WHEN l_orderkey % 5 > 0 THEN l_partkey END AS l_partkey)"), ("orders", "*")):
+        duckdb.execute(f"COPY (SELECT {null} FROM '/root/testdata/sf0.001/{t}.parquet') TO '{tmp_path}/{t}.parquet'")
+    got = board_candidates(spark, str(tmp_path)).toArrow()
+    con = duckdb.connect()
+    for t in ("lineitem", "orders"):
+        con.execute(f"CREATE VIEW {t} AS FROM '{tmp_path}/{t}.parquet'")
+    con.register("got", got)
+    con.execute(f"CREATE TABLE want AS {ORACLE_SQL['board_candidates']}")
+    names = ", ".join(got.column_names)
+    assert got.num_rows == con.execute("SELECT count(*) FROM want").fetchone()[0] > 1000
+    assert not con.execute(f"SELECT {names} FROM got EXCEPT ALL SELECT {names} FROM want").fetchall()
+
+
 def test_pregame_by_times_flag_or_neither(spark):
     df = spark.sql("SELECT * FROM VALUES (1, 0), (2, 1), (3, NULL) t(id, is_live_snapshot)")
     assert [r.id for r in M.pregame(df).collect()] == [1]
