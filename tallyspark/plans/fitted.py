@@ -14,8 +14,6 @@ from .catalogue import SCORED, evaluated, logits_pmf, r6, register, scored
 from .views import pa_view, quote_view
 
 SESSION = ("day", "pitcher_id")
-#: Rounds of both classifiers in the registered query; the chain itself has 350 and 300.
-REPORT_ROUNDS = 40
 FEATURES = ("bf_so_far", "pitch_count_pa_so_far", "pitches_per_bf", "times_through", "heavy_workload", *(f"pitcher_id_{m}_{n}" for m in ("is_strikeout", "is_hit", "is_out", "pitch_count_pa") for n in (15, 60)))
 
 
@@ -34,8 +32,11 @@ def fitted_chain(spark, d, rounds: int | None = None, stop_rounds: int | None =
 
 @register("fitted_chain_report")
 def fitted_chain_report(spark, d):
-    """Log score and ranked probability score of each stage on sessions of days that nothing was fitted on."""
-    model, starts = fitted_chain(spark, d, REPORT_ROUNDS, REPORT_ROUNDS)
+    """Log score and ranked probability score of each stage on sessions of days that nothing was fitted on.
+
+    Both classifiers have the chain's own rounds, 350 and 300.
+    """
+    model, starts = fitted_chain(spark, d)
     return r6(model.report(starts.where("part = 'evaluate'")))
 
 

@@ -164,3 +164,16 @@ def test_report_reads_its_starts_once(spark, chain):
             yield frame
 
     assert model.report(last.mapInPandas(seen, last.schema)).count() == 4 and read.value == last.count()
+
+
+def test_the_registered_report_has_all_rounds(spark, monkeypatch):
+    class Rounds(Exception):
+        pass
+
+    def stop(self, events):
+        raise Rounds(self.of("rounds"), self.of("stopRounds"))
+
+    monkeypatch.setattr(CH.OutcomeChain, "parts", stop)
+    with pytest.raises(Rounds) as fitted:
+        P.fitted_chain_report(spark, "/root/testdata/sf0.001")
+    assert fitted.value.args == (350, 300)
