@@ -20,32 +20,31 @@ import json
 import time
 import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import pmf as PMF
+from . import boosting as BO
 from . import diagnostics as D
 from . import features as X
 from . import pooling as PO
+from . import sessions as SE
 from . import splits as SP
 from .lineage import settled
+from .sessions import USUAL_PITCHES
 
 STAGES = ("raw", "isotonic", "count_curves", "temperature")
-#: Rows of a training task.
-ROWS_A_TASK = 50_000
-#: Pitches of an event where a session has none so far.
-USUAL_PITCHES = 4.0
 #: Batters of a line-up.
 PLACES = 9
-#: Segments of a fitted curve that are broadcast at most, under 2 MB; more of them meet their scores by a shuffle.
-CURVE_ROWS = 20_000
 
 
 class _Settings(Params):
@@ -134,14 +133,6 @@ def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol="_x").transform(named).drop(*names)
 
 
-def _classifier(df: DataFrame, features: Sequence[str], label: str, order: Sequence[str], rounds: int, depth: int, rate: float, share: float) -> GBTClassificationModel:
-    """Rows are sampled by their place in a partition, so they are dealt and sorted by `order` first: equal rows, equal trees."""
-    tasks = max(1, -(-df.count() // ROWS_A_TASK))
-    dealt = df.repartition(tasks, *order).sortWithinPartitions(*order)
-    rows = settled(_assembled(dealt, features).select("_x", F.col(label).cast("double").alias("_y")))
-    return GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=share, seed=42).fit(rows)
-
-
 def _scored(df: DataFrame, model: GBTClassificationModel, features: Sequence[str], out: str) -> DataFrame:
     scored = model.setFeaturesCol("_x").transform(_assembled(df, features))
     return scored.select(*df.columns, vector_to_array("probability")[1].alias(out))
@@ -151,11 +142,6 @@ def _one(df: DataFrame) -> DataFrame:
     return df.withColumn("curve", F.lit(0))
 
 
-def _near(curve: DataFrame) -> DataFrame:
-    """A curve as it is joined: few scores fall into most of its bins, so a shuffle by them would be uneven."""
-    return F.broadcast(curve) if curve.limit(CURVE_ROWS + 1).count() <= CURVE_ROWS else curve
-
-
 class OutcomeModel(_Settings, Model, MLWritable, MLReadable):
     """A fitted chain. `success`, `stop`: classifiers. `success_curve`, `stop_curve`, `count_curves`: tables of segments."""
 
@@ -164,57 +150,33 @@ class OutcomeModel(_Settings, Model, MLWritable, MLReadable):
         self._given()
         self.success, self.stop, self.success_curve, self.stop_curve, self.count_curves, self.temperature = success, stop, success_curve, stop_curve, count_curves, temperature
 
+    def _pricer(self) -> SE.Pricer:
+        curve = lambda table: SE.curves_of(table, "curve").get(0, SE.Curve())
+        counts = None if self.count_curves is None else SE.curves_of(self.count_curves, "k")
+        return SE.Pricer(self.of("features"), self.of("batterFeatures"), self.of("horizon"), self.of("size"), BO.Leaves.of(self.success), BO.Leaves.of(self.stop), curve(self.success_curve), curve(self.stop_curve), counts, self.temperature)
+
     def distributions(self, starts: DataFrame, calibrated: bool = True) -> DataFrame:
         """Adds `pmf` before count curves and temperature, from classifiers as they are or calibrated."""
-        return self._first_stages(starts, **{"pmf": "isotonic" if calibrated else "raw"})
-
-    def _first_stages(self, starts: DataFrame, **stages: str) -> DataFrame:
-        """Adds distributions by their names, each of the stage raw or isotonic; the steps are scored once for all of them.
-
-        Sessions are dealt by their keys before their steps are laid out, so these need not be dealt again.
-        """
-        keys, features = self.of("keys"), self.of("features")
-        steps = step_rows(starts.repartition(*keys), keys, features, F.sequence(F.lit(1), F.lit(self.of("horizon"))), self.of("batterFeatures"))
-        rows = _scored(_scored(steps, self.success, features, "_p"), self.stop, [*features, "future_bf_step"], "_h").select(*keys, "future_bf_step", "_p", "_h")
-        if "isotonic" in stages.values():
-            for column, curve in (("_p", self.success_curve), ("_h", self.stop_curve)):
-                rows = PO.apply_curves(_one(rows), _near(curve), ["curve"], column, f"{column}_isotonic")
-        rows = rows.withColumnsRenamed({"_p": "_p_raw", "_h": "_h_raw"})
-        wanted = [f"{column}_{stage}" for stage in dict.fromkeys(stages.values()) for column in ("_p", "_h")]
-        # A session has `horizon` steps.
-        ordered = F.array_sort(F.collect_list(F.struct("future_bf_step", *wanted)))
-        arrays = rows.groupBy(*keys).agg(ordered.alias("_s"))
-        each = lambda c: F.transform("_s", lambda x: x[c])
-        pmfs = (PMF.mixture(each(f"_p_{stage}"), PMF.lengths(each(f"_h_{stage}")), self.of("size")).alias(name) for name, stage in stages.items())
-        priced = arrays.select(*(F.col(k).alias(f"_{k}") for k in keys), *pmfs)
-        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-        met = same[0]
-        for s in same[1:]:
-            met = met & s
-        return starts.join(priced, met).drop(*(f"_{k}" for k in keys))
+        return self.staged(starts, "isotonic" if calibrated else "raw")
 
     def staged(self, starts: DataFrame, stage: str = STAGES[-1]) -> DataFrame:
-        """Adds `pmf` as it is after one of STAGES."""
-        found = self.distributions(starts, stage != "raw")
-        if stage in ("raw", "isotonic"):
-            return found
-        found = PO.apply_count_curves(found, _near(self.count_curves), self.of("keys"))
-        return found if stage == "count_curves" else found.withColumn("pmf", PMF.temperature(F.col("pmf"), F.lit(self.temperature)))
+        """Adds `pmf` as it is after one of STAGES. Starts are priced where they lie, none is shuffled."""
+        schema = T.StructType([*starts.schema, T.StructField("pmf", T.ArrayType(T.DoubleType()))])
+        return starts.mapInArrow(self._pricer().added({"pmf": stage}), schema)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         return self.staged(dataset)
 
     def report(self, starts: DataFrame) -> DataFrame:
-        """(stage, n, log_score, rps) of labelled starts; the last cell stands for all counts from there on."""
-        keys = self.of("keys")
-        known = settled(starts.where("actual IS NOT NULL"))
-        both = settled(self._first_stages(known, raw="raw", pmf="isotonic").select(*keys, "actual", "raw", "pmf"))
-        curved = PO.apply_count_curves(both.withColumn("isotonic", F.col("pmf")), _near(self.count_curves), keys)
-        staged = curved.withColumnsRenamed({"pmf": "count_curves"}).withColumn("temperature", PMF.temperature(F.col("count_curves"), F.lit(self.temperature)))
-        actual = F.least(F.col("actual"), F.lit(self.of("size") - 1)).cast("int")
-        chance = lambda stage: F.greatest(F.element_at(stage, actual + 1), F.lit(PMF.FLOOR))
-        means = [c for s in STAGES for c in (F.avg(-F.log(chance(s))).alias(f"log_{s}"), F.avg(PMF.ranked_probability_score(F.col(s), actual)).alias(f"rps_{s}"))]
-        found = staged.agg(F.count(F.lit(1)).alias("n"), *means)
+        """(stage, n, log_score, rps) of labelled starts; the last cell stands for all counts from there on.
+
+        A start is read once, and what comes of it is its scores at all stages.
+        """
+        pricer = self._pricer()
+        names = [f"{kind}_{s}" for kind in ("log", "rps") for s in STAGES]
+        known = starts.where("actual IS NOT NULL").select("actual", *pricer.columns(starts.columns))
+        scored = known.mapInArrow(pricer.scores(STAGES), ", ".join(f"{c} double" for c in names))
+        found = scored.agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(c) for c in names))
         rows = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(s).alias("stage"), "n", F.col(f"log_{s}").alias("log_score"), F.col(f"rps_{s}").alias("rps")) for i, s in enumerate(STAGES)))
         return found.select(F.explode(rows).alias("_r")).select("_r.*")
 
@@ -241,25 +203,41 @@ class OutcomeChain(_Settings, Estimator):
         return SP.out_of_time(starts, F.col("day"), least=self.of("heldDays"), least_days=self.of("leastDays"))
 
     def _fit(self, dataset: DataFrame) -> OutcomeModel:
+        return self.fit_parts(dataset)[0]
+
+    def fit_parts(self, dataset: DataFrame) -> tuple[OutcomeModel, DataFrame]:
+        """The model, and parts() of the same events."""
         keys, features, batters, stride = self.of("keys"), self.of("features"), self.of("batterFeatures"), self.of("stateStride")
         starts = settled(self.parts(dataset))
-        events = dataset.drop("part").join(starts.select(*keys, "part"), keys)
+        fitted_on = starts.where("part <> 'evaluate'")
         wanted = [c for c in features if c in dataset.columns and c not in keys]
-        events = settled(events.select(*keys, "part", "is_strikeout", *dict.fromkeys(["event_id", *wanted])))
-        states = states_between(dataset, starts, keys, stride) if stride else starts
+        events = settled(dataset.drop("part").join(fitted_on.select(*keys, "part"), keys).select("part", "is_strikeout", *wanted, *(k for k in keys if k in features)))
+        states = states_between(dataset, fitted_on, keys, stride) if stride else fitted_on
         periods = step_rows(states.where("remaining_bf >= 1"), keys, features, F.sequence(F.lit(1), F.least(F.lit(self.of("horizon")), F.col("remaining_bf").cast("int"))), batters)
-        periods = settled(periods.withColumn("stops", (F.col("future_bf_step") == F.col("remaining_bf")).cast("int")))
+        periods = periods.withColumn("stops", (F.col("future_bf_step") == F.col("remaining_bf")).cast("int"))
         with_step = [*features, "future_bf_step"]
         train, held = F.col("part") == "train", F.col("part") == "calibrate"
-        success = _classifier(events.where(train), features, "is_strikeout", [*keys, "event_id"], self.of("rounds"), self.of("depth"), 0.04, 0.85)
-        stop = _classifier(periods.where(train), with_step, "stops", [*keys, "future_bf_step", *(["bf_so_far"] if stride else [])], self.of("stopRounds"), self.of("depth"), 0.05, 0.9)
+        # Neither needs the other, so the jobs of one fill the gaps between those of the other.
+        with ThreadPoolExecutor(2) as both:
+            begun = [
+                both.submit(inheritable_thread_target(dataset.sparkSession)(BO.fit), rows, own, label, rounds, self.of("depth"), rate, share)
+                for rows, own, label, rounds, rate, share in ((events.where(train), features, "is_strikeout", self.of("rounds"), 0.04, 0.85), (periods.where(train), with_step, "stops", self.of("stopRounds"), 0.05, 0.9))
+            ]
+            success, stop = (b.result() for b in begun)
         success_curve = settled(PO.fit_curves(_one(_scored(events.where(held), success, features, "_p")), ["curve"], "_p", "is_strikeout"))
         stop_curve = settled(PO.fit_curves(_one(_scored(periods.where(held), stop, with_step, "_p")), ["curve"], "_p", "stops"))
         model = self._copyValues(OutcomeModel(success, stop, success_curve, stop_curve))
-        calibrate = settled(model.distributions(starts.where(held)).withColumn("actual", F.least("actual", F.lit(self.of("size") - 1))))
+        calibrate = settled(model.distributions(starts.where(held)).select("pmf", F.least("actual", F.lit(self.of("size") - 1)).alias("actual")))
         model.count_curves = settled(PO.fit_count_curves(calibrate, self.of("size")))
-        model.temperature = D.best_temperature(PO.apply_count_curves(calibrate, _near(model.count_curves), keys)) if not calibrate.isEmpty() else 1.0
-        return model
+        model.temperature = _best_temperature(calibrate.where("actual IS NOT NULL"), model._pricer())
+        return model, starts
+
+
+def _best_temperature(calibrate: DataFrame, pricer: SE.Pricer) -> float:
+    """The one with the least log score, the lower of equal ones; 1 without sessions."""
+    sums = calibrate.mapInArrow(pricer.tempered_scores(D.TEMPERATURES), "place int, n long, log_score double").groupBy("place").agg((F.sum("log_score") / F.sum("n")).alias("score"))
+    best = sums.agg(F.min_by("place", F.struct("score", "place"))).first()[0]
+    return 1.0 if best is None else D.TEMPERATURES[best]
 
 
 POINTER = "CURRENT"

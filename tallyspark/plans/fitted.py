@@ -26,8 +26,8 @@ def session_events(spark, d):
 def fitted_chain(spark, d, rounds: int | None = None, stop_rounds: int | None = None):
     """(model, starts of all parts)"""
     chain = CH.OutcomeChain(FEATURES, SESSION, rounds, stop_rounds)
-    events = CH.settled(session_events(spark, d))
-    return chain.fit(events), chain.parts(events)
+    read = ("event_id", "is_strikeout", "pitch_count_pa_so_far", *FEATURES)
+    return chain.fit_parts(CH.settled(session_events(spark, d).select(*SESSION, *dict.fromkeys(read))))
 
 
 @register("fitted_chain_report")
