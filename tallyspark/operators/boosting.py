@@ -15,6 +15,7 @@ import pickle
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ CELLS = 1_024
 SCALE, PACKED = 2.0**18, 2.0**37
 #: Rounds between checkpoints of the rows' state, where there is more than one task.
 ROUNDS_KEPT = 50
+#: Rows that are scored together.
+SCORED = 512
 #: Relative gain below which a split is rounding.
 LEAST_GAIN = 1e-12
 
@@ -150,7 +153,8 @@ class Rows:
         self.codes, self.y, self.h = codes, y.astype(np.int8), h.astype(np.uint32)
         self.n = None if not len(n) or n.max() == 1 else n.astype(float)
         self.margin = np.zeros(len(y))
-        self.packed = self.taken = self.pulled = None
+        #: Of the round: count and residual of each row, as one number if all counts are one.
+        self.sums: list[np.ndarray] = []
 
     def nodes(self, levels: int, asked: np.ndarray, follow: np.ndarray, part: slice) -> np.ndarray:
         """Where the rows are so many levels below the root."""
@@ -168,23 +172,28 @@ class Rows:
 
     def begin(self, round_: int, share: float, before: Tree | None, rate: float, layout: Layout) -> Rows:
         """After the tree `before`: margins, residuals, and the share of the rows that the round takes."""
-        y = self.y.astype(float)
-        if before is not None:
-            asked, follow = before.next_nodes(layout)
-            depth = int(np.log2(len(before.feature) + 1)) - 1
-            for part in self.parts():
+        whole = self.n is None
+        sums = [np.empty(len(self.y)) for _ in range(1 if whole else 2)]
+        asked, follow = (None, None) if before is None else before.next_nodes(layout)
+        for part in self.parts():
+            y = self.y[part].astype(float)
+            pull = y
+            if before is not None:
+                depth = int(np.log2(len(before.feature) + 1)) - 1
                 self.margin[part] += rate * before.value[self.nodes(depth, asked, follow, part)]
-        pull = np.rint(SCALE * (y if before is None else 4 * y / (1 + np.exp(2 * y * self.margin))))
-        n = 1.0 if self.n is None else self.n
-        if share < 1:
-            z = self.h + np.uint32(round_ * 0x9E3779B9 & 0xFFFFFFFF)
-            for shift, times in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
-                z = (z ^ (z >> np.uint32(shift))) * np.uint32(times)
-            n = np.floor(n * share + z * 2.0**-32)
-        if self.n is None:
-            self.packed = n * (PACKED + pull)
-        else:
-            self.taken, self.pulled = n, n * pull
+                pull = 4 * y / (1 + np.exp(2 * y * self.margin[part]))
+            pull = np.rint(SCALE * pull)
+            n = 1.0 if whole else self.n[part]
+            if share < 1:
+                z = self.h[part] + np.uint32(round_ * 0x9E3779B9 & 0xFFFFFFFF)
+                for shift, times in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+                    z = (z ^ (z >> np.uint32(shift))) * np.uint32(times)
+                n = np.floor(n * share + z * 2.0**-32)
+            if whole:
+                sums[0][part] = n * (PACKED + pull)
+            else:
+                sums[0][part], sums[1][part] = n, n * pull
+        self.sums = sums
         return self
 
     def histograms(self, tree: Tree, level: int, layout: Layout) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +202,7 @@ class Rows:
         asked, follow = tree.next_nodes(layout)
         rows, sums = ([np.zeros(nodes * c) for c in layout.cells] for _ in range(2))
         for part in self.parts():
-            weights = [self.packed[part]] if self.n is None else [self.taken[part], self.pulled[part]]
+            weights = [w[part] for w in self.sums]
             at = self.nodes(level, asked, follow, part) - first
             if level:
                 weights = [w * (at >= 0) for w in weights]
@@ -247,10 +256,14 @@ def _blocks(width: int, layout: Layout):
     return run
 
 
+def _filled(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    filled = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in df.columns else F.lit(0.0) for c in features]
+    return df.where(F.col(label).isNotNull()).select(*(e.alias(f"_f{i}") for i, e in enumerate(filled)), F.col(label).cast("double").alias("_y"))
+
+
 def grow_trees(df: DataFrame, features: Sequence[str], label: str, rounds: int, depth: int, rate: float, share: float) -> tuple[list[Tree], list[np.ndarray]]:
     """(trees, thresholds of each feature); features that are missing count as zero, also as whole columns."""
-    filled = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in df.columns else F.lit(0.0) for c in features]
-    rows = df.where(F.col(label).isNotNull()).select(*(e.alias(f"_f{i}") for i, e in enumerate(filled)), F.col(label).cast("double").alias("_y"))
+    rows = _filled(df, features, label)
     at = edges(rows, rows.columns[:-1])
     layout = Layout([len(e) + 1 for e in at])
     counted = settled(rows.mapInArrow(_binned(at), "x binary, y double").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).withColumn("h", F.xxhash64("x", "y")))
@@ -315,11 +328,47 @@ def _spark_model(df: DataFrame, trees: list[Tree], at: list[np.ndarray], rate: f
     return GBTClassificationModel(spark.ml.classification.GBTClassificationModel(f"gbtc_{named}", grown, weights, len(at), 2))
 
 
+@dataclass
+class Boosted:
+    """What was fitted; Spark's model of it is made when first asked for, as its nodes are made one by one."""
+
+    trees: list[Tree]
+    at: list[np.ndarray]
+    rate: float
+    rows: DataFrame
+
+    @cached_property
+    def leaves(self) -> Leaves:
+        return Leaves.grown(self.trees, self.at, self.rate)
+
+    @cached_property
+    def model(self) -> GBTClassificationModel:
+        made = _spark_model(self.rows, self.trees, self.at, self.rate)
+        made._leaves = self.leaves
+        return made
+
+
+def boosted(df: DataFrame, features: Sequence[str], label: str, rounds: int, depth: int, rate: float, share: float) -> Boosted:
+    return Boosted(*grow_trees(df, features, label, rounds, depth, rate, share), rate, df)
+
+
 def fit(df: DataFrame, features: Sequence[str], label: str, rounds: int, depth: int, rate: float, share: float) -> GBTClassificationModel:
-    trees, at = grow_trees(df, features, label, rounds, depth, rate, share)
-    model = _spark_model(df, trees, at, rate)
-    model._leaves = Leaves.grown(trees, at, rate)
-    return model
+    return boosted(df, features, label, rounds, depth, rate, share).model
+
+
+def scored(df: DataFrame, leaves: Leaves, features: Sequence[str], label: str) -> DataFrame:
+    """(p, y) of each row with a label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for a in range(0, batch.num_rows, SCORED):
+                part = batch.slice(a, SCORED)
+                bins = {f: leaves.bins(f, part.column(f).to_numpy(zero_copy_only=False)) for f in range(len(features))}
+                found.append(leaves.chance(leaves.left_over(bins, part.num_rows)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0), *found])), batch.column(len(features))], ["p", "y"])
+
+    return _filled(df, features, label).mapInArrow(run, "p double, y double")
 
 
 class Leaves:
@@ -401,3 +450,6 @@ class Leaves:
         else:
             margin = np.stack([self._bits(fixed & moving[at[:, t]]) @ self.value for t in range(steps)], axis=1)
         return 1 / (1 + np.exp(-2 * margin))
+
+    def chance(self, packed: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-2 * (self._bits(packed) @ self.value)))

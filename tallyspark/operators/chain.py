@@ -145,15 +145,24 @@ def _one(df: DataFrame) -> DataFrame:
 class OutcomeModel(_Settings, Model, MLWritable, MLReadable):
     """A fitted chain. `success`, `stop`: classifiers. `success_curve`, `stop_curve`, `count_curves`: tables of segments."""
 
-    def __init__(self, success: GBTClassificationModel, stop: GBTClassificationModel, success_curve: DataFrame, stop_curve: DataFrame, count_curves: DataFrame | None = None, temperature: float = 1.0) -> None:
+    def __init__(self, success: GBTClassificationModel | BO.Boosted, stop: GBTClassificationModel | BO.Boosted, success_curve: DataFrame, stop_curve: DataFrame, count_curves: DataFrame | None = None, temperature: float = 1.0) -> None:
         super().__init__()
         self._given()
-        self.success, self.stop, self.success_curve, self.stop_curve, self.count_curves, self.temperature = success, stop, success_curve, stop_curve, count_curves, temperature
+        self._success, self._stop, self.success_curve, self.stop_curve, self.count_curves, self.temperature = success, stop, success_curve, stop_curve, count_curves, temperature
+
+    @property
+    def success(self) -> GBTClassificationModel:
+        return self._success.model if isinstance(self._success, BO.Boosted) else self._success
+
+    @property
+    def stop(self) -> GBTClassificationModel:
+        return self._stop.model if isinstance(self._stop, BO.Boosted) else self._stop
 
     def _pricer(self) -> SE.Pricer:
         curve = lambda table: SE.curves_of(table, "curve").get(0, SE.Curve())
         counts = None if self.count_curves is None else SE.curves_of(self.count_curves, "k")
-        return SE.Pricer(self.of("features"), self.of("batterFeatures"), self.of("horizon"), self.of("size"), BO.Leaves.of(self.success), BO.Leaves.of(self.stop), curve(self.success_curve), curve(self.stop_curve), counts, self.temperature)
+        leaves = (m.leaves if isinstance(m, BO.Boosted) else BO.Leaves.of(m) for m in (self._success, self._stop))
+        return SE.Pricer(self.of("features"), self.of("batterFeatures"), self.of("horizon"), self.of("size"), *leaves, curve(self.success_curve), curve(self.stop_curve), counts, self.temperature)
 
     def distributions(self, starts: DataFrame, calibrated: bool = True) -> DataFrame:
         """Adds `pmf` before count curves and temperature, from classifiers as they are or calibrated."""
@@ -220,12 +229,12 @@ class OutcomeChain(_Settings, Estimator):
         # Neither needs the other, so the jobs of one fill the gaps between those of the other.
         with ThreadPoolExecutor(2) as both:
             begun = [
-                both.submit(inheritable_thread_target(dataset.sparkSession)(BO.fit), rows, own, label, rounds, self.of("depth"), rate, share)
+                both.submit(inheritable_thread_target(dataset.sparkSession)(BO.boosted), rows, own, label, rounds, self.of("depth"), rate, share)
                 for rows, own, label, rounds, rate, share in ((events.where(train), features, "is_strikeout", self.of("rounds"), 0.04, 0.85), (periods.where(train), with_step, "stops", self.of("stopRounds"), 0.05, 0.9))
             ]
             success, stop = (b.result() for b in begun)
-        success_curve = settled(PO.fit_curves(_one(_scored(events.where(held), success, features, "_p")), ["curve"], "_p", "is_strikeout"))
-        stop_curve = settled(PO.fit_curves(_one(_scored(periods.where(held), stop, with_step, "_p")), ["curve"], "_p", "stops"))
+        success_curve = settled(PO.fit_curves(_one(BO.scored(events.where(held), success.leaves, features, "is_strikeout")), ["curve"]))
+        stop_curve = settled(PO.fit_curves(_one(BO.scored(periods.where(held), stop.leaves, with_step, "stops")), ["curve"]))
         model = self._copyValues(OutcomeModel(success, stop, success_curve, stop_curve))
         calibrate = settled(model.distributions(starts.where(held)).select("pmf", F.least("actual", F.lit(self.of("size") - 1)).alias("actual")))
         model.count_curves = settled(PO.fit_count_curves(calibrate, self.of("size")))
